@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trailframe.config import IGNORE_LABEL
+from trailframe.functions.let import bind_all
 
 
 def last_subsequence(ids: Column, pattern: Column) -> Column:
@@ -14,16 +15,18 @@ def last_subsequence(ids: Column, pattern: Column) -> Column:
     An empty pattern is found behind the last id.  Only places whose first id
     fits are compared as a whole.
     """
-    n, m = F.size(ids), F.size(pattern)
+    return bind_all(_last_place, ids=ids, pat=pattern, m=F.size(pattern), first=F.get(pattern, F.lit(0)))
+
+
+def _last_place(b: Column) -> Column:
+    n = F.size(b["ids"])
     places = F.filter(
-        F.transform(ids, lambda _, i: i),
-        lambda i: (F.get(ids, i) == F.get(pattern, F.lit(0)))
-        & (i <= n - m)
-        & (F.slice(ids, i + 1, m) == pattern),
+        F.transform(b["ids"], lambda t, i: F.when(t == b["first"], i)),
+        lambda i: i.isNotNull() & (F.slice(b["ids"], i + 1, b["m"]) == b["pat"]),
     )
     return (
-        F.when(m == 0, n)
-        .when(m > n, F.lit(-1))
+        F.when(b["m"] == 0, n)
+        .when(b["m"] > n, F.lit(-1))
         .otherwise(F.coalesce(F.get(F.reverse(places), F.lit(0)), F.lit(-1)))
         .cast("int")
     )
@@ -58,14 +61,16 @@ def mask_labels(ids: Column, start: Column, eos_id: int | None) -> Column:
     carries loss.
     """
     ignored = F.lit(IGNORE_LABEL)
-    if eos_id is None:
-        return F.transform(ids, lambda t, i: F.when(i < start, ignored).otherwise(t))
-    last = last_position(ids, eos_id)
-    return F.transform(
-        ids,
-        lambda t, i: F.when(t == eos_id, F.when(i == last, t).otherwise(ignored))
-        .when(i < start, ignored)
-        .otherwise(t),
+    last = F.lit(None).cast("int") if eos_id is None else last_position(ids, eos_id)
+
+    def label(b: Column, t: Column, i: Column) -> Column:
+        kept = F.when(i < b["start"], ignored).otherwise(t)
+        if eos_id is None:
+            return kept
+        return F.when(t == eos_id, F.when(i == b["last"], t).otherwise(ignored)).otherwise(kept)
+
+    return bind_all(
+        lambda b: F.transform(b["ids"], lambda t, i: label(b, t, i)), ids=ids, start=start, last=last
     )
 
 

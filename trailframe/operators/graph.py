@@ -352,9 +352,10 @@ def _run_blocks(rows: DataFrame, heads: DataFrame, all_starts: bool) -> DataFram
     else:
         schema = f"episode_id {key_type}, step int, node_id {node_type}"
         columns = ["episode_id", "step", "node_id"]
+    entries = heads.select(F.col("episode_id").alias("of_id"), F.col(BLOCK).alias("of_block"), "start", "graph")
     return (
         rows.groupBy("episode_id", BLOCK)
-        .cogroup(heads.groupBy("episode_id", BLOCK))
+        .cogroup(entries.groupBy("of_id", "of_block"))
         .applyInPandas(walk, schema)
     )
 

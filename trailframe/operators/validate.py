@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from trailframe.config import CURRENT_SCHEMA, STOP_ACTION
 from trailframe.functions.geometry import is_finite
+from trailframe.functions.let import bind_all
 from trailframe.operators.steps import TASK_KEYS
 
 # ---------------------------------------------------------------------------
@@ -86,37 +87,64 @@ def _stop_steps() -> Column:
     )
 
 
-def _steps_where(condition: Callable[[Column], Column]) -> Column:
-    """Step numbers of a task that satisfy ``condition``."""
-    return F.filter(F.sequence(F.lit(0), F.greatest(_step_count() - 1, F.lit(0))), condition)
+STEP_ARRAYS = (
+    "floor_transition",
+    "pixel_coords",
+    "visibility_status",
+    "trajectory_pixel",
+    "expert_candidate_indices",
+    "trajectory_is_endpoint",
+    "trajectory_goal_distances",
+)
 
 
-def _true_at(name: str, i: Column) -> Column:
-    return F.coalesce(F.get(F.col(name), i), F.lit(False))
+def _steps_where(condition: Callable[[Column, Column], Column]) -> Column:
+    """Step numbers of a task that satisfy ``condition(step, endpoint radius)``.
 
+    The arrays are zipped first, so that a condition reads the fields of its
+    own element only.
+    """
 
-def _transition_conflict(i: Column) -> Column:
+    def matching(task: Column) -> Column:
+        numbered = F.transform(
+            F.slice(task["steps"], 1, task["n"]), lambda s, i: F.struct(s.alias("s"), i.alias("i"))
+        )
+        hits = F.filter(numbered, lambda e: condition(e["s"], task["radius"]))
+        return F.transform(hits, lambda e: e["i"])
+
+    empty = [F.coalesce(F.col(a), F.array()).alias(a) for a in STEP_ARRAYS]
+    return bind_all(
+        matching,
+        steps=F.arrays_zip(*empty),
+        n=_step_count(),
+        radius=F.col("generation_config.endpoint_target_radius_m"),
+    )
+
+
+def _is_true(flag: Column) -> Column:
+    return F.coalesce(flag, F.lit(False))
+
+
+def _transition_conflict(step: Column, _: Column) -> Column:
     supervised = (
-        F.coalesce(F.size(F.get(F.col("pixel_coords"), i)) > 0, F.lit(False))
-        | F.get(F.col("trajectory_pixel"), i).isNotNull()
-        | F.get(F.col("expert_candidate_indices"), i).isNotNull()
-        | _true_at("trajectory_is_endpoint", i)
+        _is_true(F.size(step["pixel_coords"]) > 0)
+        | step["trajectory_pixel"].isNotNull()
+        | step["expert_candidate_indices"].isNotNull()
+        | _is_true(step["trajectory_is_endpoint"])
     )
-    return _true_at("floor_transition", i) & supervised
+    return _is_true(step["floor_transition"]) & supervised
 
 
-def _bad_endpoint(i: Column) -> Column:
-    distance = F.get(F.col("trajectory_goal_distances"), i)
-    near = is_finite(distance) & (distance <= F.col("generation_config.endpoint_target_radius_m"))
-    return _true_at("trajectory_is_endpoint", i) & ~F.coalesce(near, F.lit(False))
+def _bad_endpoint(step: Column, radius: Column) -> Column:
+    distance = step["trajectory_goal_distances"]
+    near = is_finite(distance) & _is_true(distance <= radius)
+    return _is_true(step["trajectory_is_endpoint"]) & ~near
 
 
-def _hidden_label(i: Column) -> Column:
+def _hidden_label(step: Column, _: Column) -> Column:
     """A visible candidate without a pixel, which no sample can use as label."""
-    pixels, seen = F.get(F.col("pixel_coords"), i), F.get(F.col("visibility_status"), i)
-    pairs = F.arrays_zip(pixels.alias("px"), seen.alias("vis"))
-    lost = F.exists(pairs, lambda c: c["px"].isNull() & F.coalesce(c["vis"] == 0, F.lit(False)))
-    return F.coalesce(lost, F.lit(False))
+    pairs = F.arrays_zip(step["pixel_coords"].alias("px"), step["visibility_status"].alias("vis"))
+    return _is_true(F.exists(pairs, lambda c: c["px"].isNull() & _is_true(c["vis"] == 0)))
 
 
 def _rules() -> list[tuple[int, str, Column, Column, Column | None]]:
@@ -170,21 +198,29 @@ def _rules() -> list[tuple[int, str, Column, Column, Column | None]]:
     ]
 
 
+def _each(steps: Column, entry: Callable[[Column], Column]) -> Column:
+    return F.transform(steps, lambda s: entry(s))
+
+
 def violations(tasks: DataFrame) -> DataFrame:
     """All broken rules; rules 10, 11 and 22 give one row per step."""
     entries = []
     for number, name, broken, detail, steps in _rules():
-        where = F.array(F.lit(None).cast("int")) if steps is None else steps
-        rows = F.transform(
-            where,
-            lambda s, number=number, name=name, detail=detail: F.struct(
+
+        def entry(step: Column, number=number, name=name, detail=detail) -> Column:
+            return F.struct(
                 F.lit(number).alias("rule_no"),
                 F.lit(name).alias("rule"),
-                s.alias("step"),
+                step.alias("step"),
                 detail.alias("detail"),
-            ),
+            )
+
+        rows = (
+            F.array(entry(F.lit(None).cast("int")))
+            if steps is None
+            else _each(steps, entry)
         )
-        entries.append(F.when(F.coalesce(broken, F.lit(False)), rows))
+        entries.append(F.when(_is_true(broken), rows))
     present = F.filter(F.array(*entries), lambda e: e.isNotNull())
     return tasks.select(*TASK_KEYS, F.inline(F.flatten(present)))
 

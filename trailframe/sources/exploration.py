@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,50 +116,62 @@ def parse_tasks(documents: DataFrame) -> DataFrame:
 
 
 def load_documents(
-    spark: SparkSession, path: str, root: str | None = None, one_per_line: bool = False
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    root: Column | None = None,
+    one_per_line: bool = False,
 ) -> DataFrame:
-    """Read documents, plain or gzip by suffix, without splitting them."""
+    """Read documents, plain or gzip by suffix, without splitting them.
+
+    Every document's folder is its root, unless ``root`` gives another name.
+    """
     raw = (
         spark.read.schema(DOCUMENT_SCHEMA)
         .option("multiLine", not one_per_line)
         .option("encoding", "UTF-8")
-        .json(path)
+        .json(paths if isinstance(paths, str) else list(paths))
     )
-    return raw.select(F.lit(root or path).alias("root"), "*")
+    folder = F.regexp_extract("_metadata.file_path", r"^(?:file:/*(?=/))?(.*)/[^/]*$", 1)
+    return raw.select((folder if root is None else root).alias("root"), "*")
 
 
 def load_tasks(
-    spark: SparkSession, path: str, root: str | None = None, one_per_line: bool = False
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    root: Column | None = None,
+    one_per_line: bool = False,
 ) -> DataFrame:
-    """Read one exploration document (or a folder of them) as tasks."""
-    return parse_tasks(load_documents(spark, path, root, one_per_line))
+    """Read exploration documents as tasks."""
+    return parse_tasks(load_documents(spark, paths, root, one_per_line))
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def path_exists(spark: SparkSession, pattern: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return found is not None and len(found) > 0
 
 
 def union_roots(
     spark: SparkSession,
     roots: Sequence[str],
-    names: Sequence[str] | None = None,
+    document: str = DOCUMENT_FILE,
     one_per_line: bool = False,
 ) -> DataFrame:
-    """All tasks of several roots, in the given order.
+    """All tasks of several roots, read together; ``root_no`` is their order.
 
     A root without a document is skipped with a warning; none left is an error.
     """
-    parts = []
-    for root, name in zip(roots, names or roots, strict=True):
-        document = f"{root.rstrip('/')}/{DOCUMENT_FILE}"
-        if not path_exists(spark, document):
-            warnings.warn(f"no {DOCUMENT_FILE} in {root}; root skipped", stacklevel=2)
-            continue
-        parts.append(load_documents(spark, document, name, one_per_line))
-    if not parts:
+    present = []
+    for root in dict.fromkeys(r.rstrip("/") for r in roots):
+        if path_exists(spark, f"{root}/{document}"):
+            present.append(root)
+        else:
+            warnings.warn(f"no {document} in {root}; root skipped", stacklevel=2)
+    if not present:
         raise ValueError("no root holds an exploration document")
-    return parse_tasks(reduce(DataFrame.unionByName, parts))
+    tasks = load_tasks(spark, [f"{root}/{document}" for root in present], one_per_line=one_per_line)
+    order = F.array_position(F.array(*[F.lit(r) for r in present]), F.col("root")) - 1
+    return tasks.withColumn("root_no", order)
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -103,9 +103,7 @@ class BlockMeasures(StatefulProcessor):
             self.waiting.updateValue((int(row.step),), (int(row.step), *[float(v) for v in row[1:]]))
         step = next_step + gapless
         released = []
-        while gapless + len(released) > 0 or not early.empty:
-            if not self.waiting.containsKey((step,)):
-                break
+        while self.waiting.containsKey((step,)):
             released.append(tuple(self.waiting.getValue((step,))))
             self.waiting.removeKey((step,))
             step += 1
