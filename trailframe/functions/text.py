@@ -19,7 +19,9 @@ def image_path(
     root: Column, scene_id: Column, task_id: Column, step: Column, config: NavConfig
 ) -> Column:
     """``root/scene/task/rgb/step_0007.jpg``; longer step numbers keep all digits."""
-    frame = F.format_string("step_%04d.%s", step, F.lit(config.image_ext))
+    digits = step.cast("string")
+    padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0"))
+    frame = F.concat(F.lit("step_"), padded, F.lit(f".{config.image_ext}"))
     return F.concat_ws("/", root, scene_id, task_id.cast("string"), F.lit("rgb"), frame)
 
 

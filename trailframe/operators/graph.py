@@ -26,7 +26,7 @@ from trailframe.operators.raster import (
 from trailframe.operators.skew import salted_join
 from trailframe.session import write_through
 
-LEAF_NODES = 128
+LEAF_NODES = 256
 # Each level splits a square into 4 x 4; 13 levels give 2**26 cells per axis.
 MAX_LEVEL = 13
 
@@ -236,39 +236,42 @@ def neighbourhoods(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ranked.join(where, ["scene_id", "to_id"])
 
 
-def _walk(options: pd.DataFrame, start, xs: np.ndarray, zs: np.ndarray) -> np.ndarray:
-    """Index of the node after each position, for one or many start nodes.
-
-    ``options`` is a scene's neighbourhood table in (node, rank) order.  Start
-    nodes share their steps once their walks meet.
-    """
-    node_codes, names = pd.factorize(options["node_id"])
-    index = pd.Series(np.arange(len(names)), index=names)
-    width = int(options["rank_no"].max()) + 1
-    to = np.tile(np.arange(len(names))[:, None], (1, width))
-    at_x = np.full((len(names), width), np.inf)
-    at_z = np.full((len(names), width), np.inf)
-    slot = options["rank_no"].to_numpy()
-    to[node_codes, slot] = index.loc[options["to_id"]].to_numpy()
-    at_x[node_codes, slot] = options["x"].to_numpy()
-    at_z[node_codes, slot] = options["z"].to_numpy()
-    here = index.loc[start].to_numpy() if start is not None else np.arange(len(names))
-    path = np.empty((len(xs), len(here)), dtype=np.int64)
-    for i in range(len(xs)):
-        known, back = np.unique(here, return_inverse=True)
-        dx, dz = at_x[known] - xs[i], at_z[known] - zs[i]
-        best = np.argmin(np.sqrt(dx * dx + dz * dz), axis=1)
-        here = to[known, best][back]
-        path[i] = here
-    return names.to_numpy()[path] if hasattr(names, "to_numpy") else np.asarray(names)[path]
-
-
-def _options(packed) -> pd.DataFrame:
-    """The packed graph of one scene as a table in (node, rank) order."""
-    table = pd.DataFrame([row if isinstance(row, dict) else row.asDict() for row in packed])
-    table = table.sort_values(["node_id", "rank"], kind="stable").reset_index(drop=True)
-    table["rank_no"] = table.groupby("node_id").cumcount()
-    return table
+class _Scene:
+    """A scene's neighbourhoods as matrices: one row per node, self first."""
+
+    def __init__(self, head: pd.Series):
+        nodes, targets = np.asarray(head["node_ids"]), np.asarray(head["to_ids"])
+        first = np.r_[True, nodes[1:] != nodes[:-1]]
+        self.names = nodes[first]
+        node = np.cumsum(first) - 1
+        slot = np.arange(len(nodes)) - np.flatnonzero(first)[node]
+        shape = (len(self.names), int(slot.max()) + 1)
+        self.to = np.tile(np.arange(len(self.names))[:, None], (1, shape[1]))
+        self.to[node, slot] = self.places(targets)
+        self.x, self.z = np.full(shape, np.inf), np.full(shape, np.inf)
+        self.x[node, slot], self.z[node, slot] = np.asarray(head["xs"]), np.asarray(head["zs"])
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.names, ids)
+
+    def walk(self, starts: np.ndarray, xs: np.ndarray, zs: np.ndarray) -> np.ndarray:
+        """Node after each position, for each start; ties go to the first option.
+
+        Starts share their steps once their walks meet.
+        """
+        here, back = np.unique(starts, return_inverse=True)
+        path = np.empty((len(xs), len(starts)), dtype=np.int64)
+        for i, (x, z) in enumerate(zip(xs, zs)):
+            dx, dz = self.x[here] - x, self.z[here] - z
+            best = np.argmin(np.sqrt(dx * dx + dz * dz), axis=1)
+            moved = self.to[here, best]
+            if len(here) > 1:
+                here, merged = np.unique(moved, return_inverse=True)
+                back = merged[back]
+            else:
+                here = moved
+            path[i] = here[back]
+        return self.names[path]
 
 
 # A scene's graph with more entries than this is not handed to a task whole.
@@ -299,9 +302,19 @@ def track_nearest_node(
     largest = options.groupBy("scene_id").count().agg(F.max("count")).first()[0] or 0
     if largest > max_scene_options:
         return _track_by_step(steps, options, starts)
-    packed = options.groupBy("scene_id").agg(
-        F.collect_list(F.struct("node_id", "rank", "to_id", "x", "z")).alias("graph")
+    listed = F.array_sort(F.collect_list(F.struct("node_id", "rank", "to_id", "x", "z")))
+    packed = (
+        options.groupBy("scene_id")
+        .agg(listed.alias("_o"))
+        .select(
+            "scene_id",
+            F.col("_o.node_id").alias("node_ids"),
+            F.col("_o.to_id").alias("to_ids"),
+            F.col("_o.x").alias("xs"),
+            F.col("_o.z").alias("zs"),
+        )
     )
+    graph = ("scene_id", "node_ids", "to_ids", "xs", "zs")
     rows = with_block(steps, "step", block_rows).select("episode_id", BLOCK, "scene_id", "step", "x", "z")
     blocks = rows.groupBy("episode_id", BLOCK).agg(F.first("scene_id").alias("scene_id"))
     first_block = rows.groupBy("episode_id").agg(F.min(BLOCK).alias(BLOCK), F.max(BLOCK).alias("_end"))
@@ -314,7 +327,7 @@ def track_nearest_node(
         leads = _run_blocks(
             rows.join(inner.select("episode_id", BLOCK), ["episode_id", BLOCK], "left_semi"),
             inner.join(packed, "scene_id").select(
-                "episode_id", BLOCK, F.lit(None).cast(starts.schema["node_id"].dataType).alias("start"), "graph"
+                "episode_id", BLOCK, F.lit(None).cast(starts.schema["node_id"].dataType).alias("start"), *graph
             ),
             all_starts=True,
         )
@@ -322,7 +335,7 @@ def track_nearest_node(
     heads = (
         blocks.join(entry, ["episode_id", BLOCK])
         .join(packed, "scene_id")
-        .select("episode_id", BLOCK, F.col("node_id").alias("start"), "graph")
+        .select("episode_id", BLOCK, F.col("node_id").alias("start"), *graph)
     )
     return _run_blocks(rows, heads, all_starts=False).select("episode_id", "step", "node_id")
 
@@ -332,18 +345,23 @@ def _run_blocks(rows: DataFrame, heads: DataFrame, all_starts: bool) -> DataFram
     key_type = rows.schema["episode_id"].dataType.simpleString()
     node_type = heads.schema["start"].dataType.simpleString()
 
-    def walk(steps: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
-        if steps.empty or head.empty:
+    scenes: dict = {}
+
+    def walk(steps: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        if steps.empty or heads.empty:
             return pd.DataFrame(columns=columns)
-        steps = steps.sort_values("step")
-        options = _options(head["graph"].iloc[0])
+        steps, head = steps.sort_values("step"), heads.iloc[0]
+        scene = scenes.get(head["scene_id"])
+        if scene is None:
+            if len(scenes) >= 16:
+                scenes.clear()
+            scene = scenes[head["scene_id"]] = _Scene(head)
         xs, zs = steps["x"].to_numpy(float), steps["z"].to_numpy(float)
         episode, block = steps["episode_id"].iloc[0], steps[BLOCK].iloc[0]
         if all_starts:
-            names = pd.factorize(options["node_id"])[1]
-            path = _walk(options, None, xs, zs)
-            return pd.DataFrame({"episode_id": episode, BLOCK: block, "from_id": names, "to_id": path[-1]})
-        path = _walk(options, [head["start"].iloc[0]], xs, zs)
+            path = scene.walk(np.arange(len(scene.names)), xs, zs)
+            return pd.DataFrame({"episode_id": episode, BLOCK: block, "from_id": scene.names, "to_id": path[-1]})
+        path = scene.walk(scene.places(np.asarray([head["start"]])), xs, zs)
         return pd.DataFrame({"episode_id": episode, "step": steps["step"], "node_id": path[:, 0]})
 
     if all_starts:
@@ -352,7 +370,7 @@ def _run_blocks(rows: DataFrame, heads: DataFrame, all_starts: bool) -> DataFram
     else:
         schema = f"episode_id {key_type}, step int, node_id {node_type}"
         columns = ["episode_id", "step", "node_id"]
-    entries = heads.select(F.col("episode_id").alias("of_id"), F.col(BLOCK).alias("of_block"), "start", "graph")
+    entries = heads.withColumnsRenamed({"episode_id": "of_id", BLOCK: "of_block"})
     return (
         rows.groupBy("episode_id", BLOCK)
         .cogroup(entries.groupBy("of_id", "of_block"))

@@ -120,43 +120,38 @@ def stamp_triangle(centres: DataFrame, padding: float = TRIANGLE_PADDING) -> Dat
     )
 
 
-def _gap_points(gap: int) -> Column:
-    """Points every ``gap`` cells from the start, the end left out."""
+def _dot_count(gap: int) -> Column:
+    return F.ceil(F.col("_length") / F.lit(float(gap))).cast("int")
+
+
+def _with_length(segments: DataFrame) -> DataFrame:
     rows, cols = F.col("row2") - F.col("row1"), F.col("col2") - F.col("col1")
-    length = F.sqrt((rows * rows + cols * cols).cast("double"))
-    n = F.ceil(length / F.lit(float(gap))).cast("int")
-
-    def between(a: str, b: str, i: Column) -> Column:
-        part = (i * F.lit(float(gap))) / length
-        return (F.col(a) * (F.lit(1.0) - part) + F.col(b) * part + F.lit(0.5)).cast("int")
-
-    points = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(
-            i.cast("int").alias("i"),
-            between("row1", "row2", i).alias("row"),
-            between("col1", "col2", i).alias("col"),
-        ),
-    )
-    none = F.array().cast("array<struct<i:int,row:int,col:int>>")
-    return F.when(n > 0, points).otherwise(none)
+    return segments.withColumn("_length", F.sqrt((rows * rows + cols * cols).cast("double")))
 
 
-def _line_cells(a: Column, b: Column) -> Column:
-    """Cells of the line between two cells, both ends included."""
-    rows, cols = b["row"] - a["row"], b["col"] - a["col"]
-    n = F.greatest(F.abs(rows), F.abs(cols))
+def _dot(a: str, b: str, number: Column, gap: int) -> Column:
+    """Coordinate of a dot: the point ``number * gap`` along the segment, rounded."""
+    part = (number * F.lit(float(gap))) / F.col("_length")
+    return (F.col(a) * (F.lit(1.0) - part) + F.col(b) * part + F.lit(0.5)).cast("int")
 
-    def along(start: Column, delta: Column, k: Column) -> Column:
-        return (start + F.floor((delta * k * 2 + n) / (n * 2).cast("double"))).cast("int")
 
-    return F.transform(
-        F.sequence(F.lit(0), n),
-        lambda k: F.when(
-            n > 0,
-            F.struct(along(a["row"], rows, k).alias("row"), along(a["col"], cols, k).alias("col")),
-        ).otherwise(F.struct(a["row"].cast("int").alias("row"), a["col"].cast("int").alias("col"))),
-    )
+def _draw_lines(lines: DataFrame, others: Sequence[str]) -> DataFrame:
+    """Cells of the lines between two cells each, both ends included."""
+    rows, cols = F.col("row2") - F.col("row1"), F.col("col2") - F.col("col1")
+    numbered = lines.select(
+        *others,
+        "row1",
+        "col1",
+        rows.alias("_rows"),
+        cols.alias("_cols"),
+        F.greatest(F.abs(rows), F.abs(cols)).alias("_n"),
+    ).select("*", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("_k"))
+
+    def along(start: str, delta: str) -> Column:
+        part = (F.col(delta) * F.col("_k") * 2 + F.col("_n")) / (F.greatest("_n", F.lit(1)) * 2)
+        return (F.col(start) + F.floor(part)).cast("int")
+
+    return numbered.select(*others, along("row1", "_rows").alias("row"), along("col1", "_cols").alias("col"))
 
 
 def densify_segment(segments: DataFrame, style: str = "dotted", gap: int = DOT_GAP) -> DataFrame:
@@ -170,20 +165,30 @@ def densify_segment(segments: DataFrame, style: str = "dotted", gap: int = DOT_G
         raise ValueError(f"unknown style {style!r}")
     ends = ("row1", "col1", "row2", "col2")
     others = [c for c in segments.columns if c not in ends]
-    if style == "dotted":
-        cells = segments.select(*others, F.inline(_gap_points(gap)))
-        return cells.select(*others, "row", "col")
     if style == "filled":
-        a = F.struct(F.col("row1").alias("row"), F.col("col1").alias("col"))
-        b = F.struct(F.col("row2").alias("row"), F.col("col2").alias("col"))
-        return segments.select(*others, F.inline(_line_cells(a, b)))
-    pointed = segments.select(*others, _gap_points(gap).alias("_pts"))
-    pieces = F.transform(
-        F.filter("_pts", lambda p: p["i"] % 2 == 1),
-        lambda p: F.struct(F.get(F.col("_pts"), p["i"] - 1).alias("a"), p.alias("b")),
+        return _draw_lines(segments, others)
+    measured = _with_length(segments)
+    if style == "dotted":
+        dots = measured.where("_length > 0").select(
+            "*", F.explode(F.sequence(F.lit(0), _dot_count(gap) - 1)).alias("_i")
+        )
+        return dots.select(
+            *others,
+            _dot("row1", "row2", F.col("_i"), gap).alias("row"),
+            _dot("col1", "col2", F.col("_i"), gap).alias("col"),
+        )
+    dashes = measured.where(_dot_count(gap) > 1).select(
+        "*", F.explode(F.sequence(F.lit(1), _dot_count(gap) - 1, F.lit(2))).alias("_i")
+    )
+    pieces = dashes.select(
+        *others,
+        _dot("row1", "row2", F.col("_i") - 1, gap).alias("_r1"),
+        _dot("col1", "col2", F.col("_i") - 1, gap).alias("_c1"),
+        _dot("row1", "row2", F.col("_i"), gap).alias("_r2"),
+        _dot("col1", "col2", F.col("_i"), gap).alias("_c2"),
     )
-    split = pointed.select(*others, F.inline(pieces))
-    return split.select(*others, F.inline(_line_cells(F.col("a"), F.col("b"))))
+    named = pieces.withColumnsRenamed({"_r1": "row1", "_c1": "col1", "_r2": "row2", "_c2": "col2"})
+    return _draw_lines(named, others)
 
 
 def _path_segments(path: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailframe.operators.blocks import number_rows
+from trailframe.session import land_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +44,12 @@ def _pixel(u: Column, v: Column) -> Column:
 
 
 def nav_steps(spark: SparkSession, sf_dir: str, schema_version: int = 3) -> DataFrame:
-    """Exploration steps, one task per user, two roots."""
+    """Exploration steps, one task per user, two roots; landed as a table."""
+    landed = land_once(spark, ("steps", sf_dir), lambda: derive_nav_steps(spark, sf_dir))
+    return landed.withColumn("schema_version", F.lit(schema_version))
+
+
+def derive_nav_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, k, step = F.col("e"), F.col("k"), F.col("step")
     action = (
         F.when(k < 3, F.lit(None).cast("int"))
@@ -75,7 +81,6 @@ def nav_steps(spark: SparkSession, sf_dir: str, schema_version: int = 3) -> Data
         F.concat(F.lit("root"), F.pmod("user_id", F.lit(2)).cast("string")).alias("root"),
         F.col("user_id").alias("task_idx"),
         step,
-        F.lit(schema_version).alias("schema_version"),
         F.concat(F.lit("s"), F.pmod("user_id", F.lit(10)).cast("string")).alias("scene_id"),
         F.col("user_id").cast("string").alias("task_id"),
         F.concat(F.lit("walk to room "), F.pmod("user_id", F.lit(7)).cast("string"), F.lit(" and wait")).alias(
@@ -103,7 +108,11 @@ def nav_steps(spark: SparkSession, sf_dir: str, schema_version: int = 3) -> Data
 
 
 def episode_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Episode traces, one episode per user."""
+    """Episode traces, one episode per user; landed as a table."""
+    return land_once(spark, ("episodes", sf_dir), lambda: derive_episode_steps(spark, sf_dir))
+
+
+def derive_episode_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("e")
     return numbered_events(spark, sf_dir).select(
         F.col("user_id").alias("episode_id"),

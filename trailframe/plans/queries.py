@@ -32,7 +32,7 @@ from trailframe.operators import (
     validate,
 )
 from trailframe.plans import fixtures as fx
-from trailframe.session import shared_folder
+from trailframe.session import shared_folder, write_through
 from trailframe.sources import conversations as conversation_source
 from trailframe.sources import exploration
 from trailframe.streaming.measures import finish_measures, stream_measures
@@ -738,7 +738,7 @@ def compose(spark, sf_dir):
 
 @query("R1_resample_failed")
 def resample_failed(spark, sf_dir):
-    rows = indexed(spark, sf_dir).where("is_sample").select("task_idx", "step", "mode")
+    rows = write_through(indexed(spark, sf_dir).where("is_sample").select("task_idx", "step", "mode"), "samples")
     failed = F.pmod("step", F.lit(4)) == 3
     kept = images.resample_failed(rows, failed, ["task_idx", "step"])
     drawn = F.col("task_idx") != F.col("from_task_idx")

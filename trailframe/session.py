@@ -17,11 +17,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf) -> Spar
         .appName("trailframe")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Test tables are far below the size at which merging partitions pays.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording the Python line of every column costs most of the time it
+        # takes to build a plan.
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -44,6 +50,30 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/trailframe/{purpose}-{uuid.uuid4().hex}"
 
 
+_LANDED: dict[tuple[str, ...], str] = {}
+
+
+def land_once(spark: SparkSession, name: tuple[str, ...], build):
+    """A derived table that is written at its first use in a session.
+
+    Later uses read the stored files, so that each prunes the columns it needs
+    and none derives the table again.
+    """
+    key = (spark.sparkContext.applicationId, *name)
+    path = _LANDED.get(key)
+    if path is None or not path_exists(spark, path):
+        path = _LANDED[key] = shared_folder(spark, name[0])
+        build().write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def path_exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether some file or folder matches ``pattern``."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return found is not None and len(found) > 0
+
+
 def write_through(df, purpose: str):
     """Write ``df`` once to the shared folder and read it back.
 

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailframe.session import path_exists
+
 # ---------------------------------------------------------------------------
 # Names in the document format.
 # ---------------------------------------------------------------------------
@@ -145,12 +147,6 @@ def load_tasks(
     return parse_tasks(load_documents(spark, paths, root, one_per_line))
 
 
-def path_exists(spark: SparkSession, pattern: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
-    return found is not None and len(found) > 0
-
-
 def union_roots(
     spark: SparkSession,
     roots: Sequence[str],

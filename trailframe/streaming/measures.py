@@ -47,7 +47,7 @@ class BlockMeasures(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getValueState("totals", _STATE)
-        self.waiting = handle.getMapState("waiting", "step INT", _STEP)
+        self.waiting = handle.getListState("waiting", _STEP)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows)).drop_duplicates("step").sort_values("step")
@@ -95,21 +95,18 @@ class BlockMeasures(StatefulProcessor):
     def _in_order(self, next_step: int, arrived: pd.DataFrame) -> pd.DataFrame:
         """Rows that continue the block; the others wait in the state."""
         columns = ["step", "x", "y", "z", "distance_to_goal", "spl"]
-        arrived = arrived.loc[arrived["step"] >= next_step, columns]
-        steps = arrived["step"].to_numpy()
-        gapless = int((steps == next_step + np.arange(len(steps))).sum())
-        ready, early = [arrived.iloc[:gapless]], arrived.iloc[gapless:]
-        for row in early.itertuples(index=False):
-            self.waiting.updateValue((int(row.step),), (int(row.step), *[float(v) for v in row[1:]]))
-        step = next_step + gapless
-        released = []
-        while self.waiting.containsKey((step,)):
-            released.append(tuple(self.waiting.getValue((step,))))
-            self.waiting.removeKey((step,))
-            step += 1
-        if released:
-            ready.append(pd.DataFrame(released, columns=columns))
-        return pd.concat(ready)
+        rows = arrived.loc[arrived["step"] >= next_step, columns]
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        if held:
+            rows = pd.concat([pd.DataFrame(held, columns=columns), rows])
+            rows = rows.drop_duplicates("step").sort_values("step")
+        in_place = rows["step"].to_numpy() == next_step + np.arange(len(rows))
+        early = rows[~in_place]
+        if len(early):
+            self.waiting.put([(int(r[0]), *map(float, r[1:])) for r in early.itertuples(index=False)])
+        elif held:
+            self.waiting.clear()
+        return rows[in_place]
 
     def close(self) -> None:
         pass
