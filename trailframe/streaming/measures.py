@@ -26,8 +26,8 @@ from trailframe.operators.measures import (
 )
 from trailframe.session import STATE_STORE
 
+_COLUMNS = ("step", "x", "y", "z", "distance_to_goal", "spl")
 _STEP = "step INT, x DOUBLE, y DOUBLE, z DOUBLE, distance_to_goal DOUBLE, spl DOUBLE"
-_POINT = "STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE>"
 OUTPUT_SCHEMA = (
     f"episode_id BIGINT, {BLOCK} BIGINT, step INT, path_length DOUBLE, oracle_navigation_error DOUBLE, "
     "oracle_success DOUBLE, oracle_spl DOUBLE, steps_taken DOUBLE, start DOUBLE, "
@@ -50,60 +50,56 @@ class BlockMeasures(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _STEP)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).drop_duplicates("step").sort_values("step")
+        arrived = np.concatenate([frame[list(_COLUMNS)].to_numpy(float) for frame in rows])
         state = list(self.totals.get()) if self.totals.exists() else None
         ready = self._in_order(state[0] if state else int(key[1]) * self.block_rows, arrived)
-        if ready.empty:
+        if not len(ready):
             return
-        at = ready[["x", "y", "z"]].to_numpy(float)
+        step, at, distance, spl = ready[:, 0], ready[:, 1:4], ready[:, 4], ready[:, 5]
         if state is None:
-            start = ready["distance_to_goal"].iloc[0] if ready["step"].iloc[0] == 0 else np.nan
+            start = distance[0] if step[0] == 0 else np.nan
             state = [0, 0.0, np.inf, 0.0, 0.0, 0.0, start, *at[0], *at[0]]
         legs = np.sqrt((np.diff(np.vstack([state[10:13], at]), axis=0) ** 2).sum(axis=1))
-        distance = ready["distance_to_goal"].to_numpy(float)
-        moved = ready["step"].to_numpy() > 0
-        spl = np.where(moved, ready["spl"].to_numpy(float), np.nan)
-        out = pd.DataFrame(
-            {
-                "episode_id": key[0],
-                BLOCK: key[1],
-                "step": ready["step"].to_numpy(),
-                "path_length": state[1] + np.cumsum(legs),
-                "oracle_navigation_error": np.fmin.accumulate(np.r_[state[2], distance])[1:],
-                "oracle_success": np.maximum.accumulate(
-                    np.r_[state[3], (distance < ORACLE_SUCCESS_DISTANCE).astype(float)]
-                )[1:],
-                "oracle_spl": np.fmax.accumulate(np.r_[state[4], spl])[1:],
-                "steps_taken": state[5] + np.cumsum(moved),
-                "start": state[6],
-            }
-        )
-        for i, axis in enumerate("xyz"):
-            out[f"first_{axis}"] = state[7 + i]
-            out[f"last_{axis}"] = at[:, i]
-        last = out.iloc[-1]
+        near = (distance < ORACLE_SUCCESS_DISTANCE).astype(float)
+        moved = step > 0
+        running = {
+            "path_length": state[1] + np.cumsum(legs),
+            "oracle_navigation_error": np.fmin.accumulate(np.r_[state[2], distance])[1:],
+            "oracle_success": np.maximum.accumulate(np.r_[state[3], near])[1:],
+            "oracle_spl": np.fmax.accumulate(np.r_[state[4], np.where(moved, spl, np.nan)])[1:],
+            "steps_taken": state[5] + np.cumsum(moved),
+        }
         self.totals.update(
             (
-                int(last["step"]) + 1,
-                *[float(last[c]) for c in ("path_length", "oracle_navigation_error", "oracle_success", "oracle_spl", "steps_taken", "start")],
+                int(step[-1]) + 1,
+                *[float(values[-1]) for values in running.values()],
+                float(state[6]),
                 *[float(v) for v in state[7:10]],
                 *[float(v) for v in at[-1]],
             )
         )
-        yield out
+        yield pd.DataFrame(
+            {
+                "episode_id": key[0],
+                BLOCK: key[1],
+                "step": step.astype(np.int32),
+                **running,
+                "start": state[6],
+                **{f"first_{axis}": state[7 + i] for i, axis in enumerate("xyz")},
+                **{f"last_{axis}": at[:, i] for i, axis in enumerate("xyz")},
+            }
+        )
 
-    def _in_order(self, next_step: int, arrived: pd.DataFrame) -> pd.DataFrame:
+    def _in_order(self, next_step: int, arrived: np.ndarray) -> np.ndarray:
         """Rows that continue the block; the others wait in the state."""
-        columns = ["step", "x", "y", "z", "distance_to_goal", "spl"]
-        rows = arrived.loc[arrived["step"] >= next_step, columns]
         held = list(self.waiting.get()) if self.waiting.exists() else []
-        if held:
-            rows = pd.concat([pd.DataFrame(held, columns=columns), rows])
-            rows = rows.drop_duplicates("step").sort_values("step")
-        in_place = rows["step"].to_numpy() == next_step + np.arange(len(rows))
+        rows = np.concatenate([np.array(held, dtype=float), arrived]) if held else arrived
+        rows = rows[rows[:, 0] >= next_step]
+        rows = rows[np.unique(rows[:, 0], return_index=True)[1]]
+        in_place = rows[:, 0] == next_step + np.arange(len(rows))
         early = rows[~in_place]
         if len(early):
-            self.waiting.put([(int(r[0]), *map(float, r[1:])) for r in early.itertuples(index=False)])
+            self.waiting.put([(int(r[0]), *map(float, r[1:])) for r in early])
         elif held:
             self.waiting.clear()
         return rows[in_place]
