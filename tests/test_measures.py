@@ -86,10 +86,10 @@ def test_stream_equals_batch_in_any_arrival_order(spark, episodes, tmp_path, blo
         stream_measures(source, block_rows)
         .writeStream.format("parquet")
         .option("checkpointLocation", f"{tmp_path}/checkpoint")
+        .trigger(availableNow=True)
         .start(f"{tmp_path}/out")
     )
-    query.processAllAvailable()
-    query.stop()
+    assert query.awaitTermination(120)
     rows = spark.read.parquet(f"{tmp_path}/out")
     assert rows.count() == frame.count()
     batch = measures.measure_table(frame).collect()

@@ -319,23 +319,24 @@ def track_nearest_node(
     blocks = rows.groupBy("episode_id", BLOCK).agg(F.first("scene_id").alias("scene_id"))
     first_block = rows.groupBy("episode_id").agg(F.min(BLOCK).alias(BLOCK), F.max(BLOCK).alias("_end"))
     entry = first_block.join(starts, "episode_id").select("episode_id", BLOCK, "node_id")
-    longest = first_block.agg(F.max(F.col("_end") - F.col(BLOCK))).first()[0] or 0
+    spans = F.col("_end") - F.col(BLOCK)
+    longest, n_blocks = first_block.agg(F.max(spans), F.sum(spans + 1)).first()
+    longest, n_blocks = longest or 0, n_blocks or 0
     if longest > 0:
         inner = blocks.join(first_block.select("episode_id", "_end"), "episode_id").where(
             F.col(BLOCK) < F.col("_end")
         )
         leads = _run_blocks(
             rows.join(inner.select("episode_id", BLOCK), ["episode_id", BLOCK], "left_semi"),
-            inner.join(packed, "scene_id").select(
+            salted_join(inner, packed, ["scene_id"], ["episode_id", BLOCK], n_blocks).select(
                 "episode_id", BLOCK, F.lit(None).cast(starts.schema["node_id"].dataType).alias("start"), *graph
             ),
             all_starts=True,
         )
         entry = _block_starts(write_through(leads, "leads"), entry, longest)
-    heads = (
-        blocks.join(entry, ["episode_id", BLOCK])
-        .join(packed, "scene_id")
-        .select("episode_id", BLOCK, F.col("node_id").alias("start"), *graph)
+    placed = blocks.join(entry, ["episode_id", BLOCK])
+    heads = salted_join(placed, packed, ["scene_id"], ["episode_id", BLOCK], n_blocks).select(
+        "episode_id", BLOCK, F.col("node_id").alias("start"), *graph
     )
     return _run_blocks(rows, heads, all_starts=False).select("episode_id", "step", "node_id")
 
@@ -459,7 +460,7 @@ def same_floor_nodes(
         starts.select("map_id", "scene_id").join(at_start, "map_id").join(heights, ["scene_id", "node_id"])
     ).select("map_id", "scene_id", "_floor")
     near = (
-        floors.join(nodes, "scene_id")
+        salted_join(nodes, floors, ["scene_id"], ["node_id"], nodes.count())
         .where(F.abs(F.col("y") - F.col("_floor")) < height_tolerance)
         .join(maps, "map_id")
     )

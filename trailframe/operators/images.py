@@ -46,7 +46,7 @@ def locate_images(wanted: DataFrame, images: DataFrame, on: Sequence[str] = ("ro
     """
     paths = wanted.select(*on).distinct()
     tries = paths.select(*on, F.inline(lookup_keys(F.col(on[-1]))))
-    stored = images.select("store", "key").distinct()
+    stored = images.select("store", "key")
     hits = (
         tries.join(stored, ["store", "key"])
         .groupBy(*on)

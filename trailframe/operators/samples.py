@@ -53,7 +53,8 @@ def index_steps(
     block_rows: int = BLOCK_ROWS,
     max_carried_gaps: int = MAX_CARRIED_GAPS,
 ) -> DataFrame:
-    """Valid steps with ``pos``, ``is_sample``, ``absorbed``, ``emitted``, ``gaps``.
+    """Valid steps with ``pos``, ``is_sample``, ``absorbed``, ``emitted``, ``gaps``
+    and ``first_step``, the task's first valid step.
 
     * ``pos``: position among the task's valid steps.
     * ``is_sample``: false for a step that an earlier *action* step absorbs: it
@@ -144,6 +145,7 @@ def index_steps(
             "_after",
             F.coalesce("_opens", earlier).alias("_carried_start"),
             F.when(few, F.flatten(gathered)).alias("gaps"),
+            F.min("_head_step").over(whole).alias("first_step"),
         )
 
     rows = attach_carry(rows, keys, aggregates, carry)
@@ -166,6 +168,7 @@ def index_steps(
         F.when(F.col("mode") == "action", absorbs + 1).otherwise(1).alias("absorbed"),
         F.when(F.col("action") == STOP_ACTION, 1).otherwise(emits + 1).alias("emitted"),
         "gaps",
+        "first_step",
     )
 
 
@@ -236,7 +239,6 @@ def with_history(
     easy = wanted.where(F.col("gaps").isNotNull()).withColumn("history", carried).drop("_wanted")
     hard = wanted.where(F.col("gaps").isNull())
     places = indexed.where(F.col("gaps").isNull()).select(*TASK_KEYS, "pos", F.col("step").alias("_at"))
-    firsts = places.groupBy(*TASK_KEYS).agg(F.min("_at").alias("_first"))
     slots = hard.select(*TASK_KEYS, "step", F.posexplode("_wanted").alias("_slot", "pos")).where("pos > 0")
     found = (
         slots.join(places, [*TASK_KEYS, "pos"])
@@ -247,8 +249,7 @@ def with_history(
     first_slots = F.size(F.filter("_wanted", lambda p: p == 0))
     looked_up = (
         hard.join(found, [*TASK_KEYS, "step"], "left")
-        .join(firsts, list(TASK_KEYS))
-        .withColumn("history", F.concat(F.array_repeat("_first", first_slots), rest))
+        .withColumn("history", F.concat(F.array_repeat("first_step", first_slots), rest))
     )
     return easy.unionByName(looked_up.select(*easy.columns))
 

@@ -11,7 +11,8 @@ ANY_SCENE = "*"
 def load_image_files(spark: SparkSession, path: str, glob: str = "*.jpg") -> DataFrame:
     """Files below ``path`` as ``(path, length, bytes)``.
 
-    The content column is read only where a query uses it.
+    The content column is read only where a query uses it.  Spark does not list
+    empty files, so they show up as missing.
     """
     files = (
         spark.read.format("binaryFile")
