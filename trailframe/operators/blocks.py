@@ -71,7 +71,8 @@ def number_rows(
 
     ``rough`` is a number that agrees with the first ``order`` column (a
     timestamp in seconds, say).  Its range is cut evenly, into so many pieces
-    that one piece holds about ``rows_per_block`` rows of the whole table.
+    that one piece holds about ``rows_per_block`` rows of the whole table if
+    they lie evenly; rows of one series with the same number stay together.
     """
     low, high, rows = df.agg(F.min(rough), F.max(rough), F.count(F.lit(1))).first()
     pieces = max(1, -(-rows // rows_per_block))
