@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trailframe.llm.exact_dedup import exact_dedup
 from trailframe.llm.mixing import mix_sources
+from trailframe.llm.packing import pack
 from trailframe.llm.quality import quality
 from trailframe.llm.sharding import assign_shards
+from trailframe.llm.simhash import near_dedup
+from trailframe.llm.token_binary import token_files
+from trailframe.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +28,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).drop("md5", "source")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"))
 
@@ -35,11 +52,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_counts": op4_token_counts,
+    "op5_token_binary": op5_token_binary,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op9_packing": op9_packing,
 }
 
 _BLANKS = r"[\x20\x09-\x0D]"
