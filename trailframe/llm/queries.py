@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trailframe.llm.exact_dedup import exact_dedup
+from trailframe.llm.html_text import main_text
+from trailframe.llm.language_id import identify
 from trailframe.llm.mixing import mix_sources
 from trailframe.llm.packing import pack
 from trailframe.llm.quality import quality
@@ -52,10 +54,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -64,7 +74,9 @@ QUERIES: dict[str, Query] = {
     "op5_token_binary": op5_token_binary,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
+    "op10_language_id": op10_language_id,
 }
 
 _BLANKS = r"[\x20\x09-\x0D]"
