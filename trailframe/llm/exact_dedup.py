@@ -154,20 +154,20 @@ def exact_dedup(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    The verdict is joined back by document id and text digest; of rows that
-    are repeated in full, one stays.
+    The verdict is joined back by document id, text digest and length; of rows
+    that are repeated in full, one stays.
     """
-    kept = exact_dedup(docs).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_points")
-    )
+    found = write_through(exact_dedup(docs), "verdict")
+    names = {"doc_id": "_id", "text_sha256": "_sha", "n_points": "_points"}
+    kept = found.where("kept").select(*[F.col(k).alias(v) for k, v in names.items()])
+    text = text_of()
     keyed = docs.withColumns(
-        {"_sha_own": F.sha2(without_blanks(text_of()), 256), "_points_own": F.length(text_of())}
-    )
-    match = (
-        F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))
-        & (F.col("_sha_own") == F.col("_sha"))
-        & (F.col("_points_own") == F.col("_points"))
+        {"_id_own": F.col("doc_id").cast("bigint"), "_sha_own": F.sha2(without_blanks(text), 256), "_points_own": F.length(text)}
     )
+    match = F.col("_id_own").eqNullSafe(F.col("_id")) & F.expr("_sha_own = _sha") & F.expr("_points_own = _points")
     rows = keyed.join(kept, match, "left_semi")
-    order = W.partitionBy("doc_id", "_sha_own").orderBy("doc_id")
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    if found.groupBy(*names).count().where("count > 1").limit(1).count():
+        # Some kept row is repeated: number its repetitions.
+        same = W.partitionBy("_id_own", "_sha_own", "_points_own").orderBy("_points_own")
+        rows = rows.withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    return rows.select(*docs.columns)

@@ -107,65 +107,73 @@ def thresholds(docs: DataFrame, budgets: DataFrame, total: int) -> DataFrame:
     return budgets.select("skey").join(state, "skey", "left").select("skey", F.coalesce("cut", everything).alias("cut"))
 
 
-def mix_sources(docs: DataFrame, keep_source: bool = False) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies`` for every row.
+def _source_key() -> Column:
+    return F.xxhash64(F.col("source").isNull(), F.col("source").cast("string"))
 
-    ``size`` is the number of words, 0 for a null text; ``taken`` is ``size``
-    times ``copies`` (0, 1 or 2).  A null ``doc_id`` draws a number of its own.
-    Rows of one source that draw the same number (repeated rows) share their
-    fate.  Further columns are ignored; an empty table gives no rows.
+
+def plan_of(docs: DataFrame) -> DataFrame:
+    """One row per source: ``skey, source_size, target, base, cut, n``.
+
+    Every document is taken ``base`` times, and once more if its number is
+    below ``cut``; ``n`` is the number of documents.
     """
     rows = write_through(
         docs.select(
-            F.col("doc_id").cast("bigint").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
+            _source_key().alias("skey"),
             n_words(text_of()).cast("bigint").alias("size"),
-            draw_of(F.col("doc_id")).alias("h"),
+            draw_of(F.col("doc_id").cast("bigint")).alias("h"),
         ),
         "sizes",
     )
-    mixed = mix_rows(rows)
-    return mixed if keep_source else mixed.drop("source")
-
-
-def mix_rows(rows: DataFrame) -> DataFrame:
-    """The mix of ``rows(doc_id, source, size, h)``, a written table."""
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    counted = write_through(sizes, "sources")
+    counted = write_through(
+        rows.groupBy("source", "skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources"
+    )
     total = counted.agg(F.sum("n")).first()[0] or 0
     whole = F.col("target") >= F.col("source_size")
     plan = source_targets(counted.select("source", "source_size")).select(
-        F.xxhash64(F.col("source").isNull(), "source").alias("skey"),
+        _source_key().alias("skey"),
         "source_size",
         "target",
         whole.cast("int").alias("base"),
         (F.col("target") - F.when(whole, F.col("source_size")).otherwise(0)).alias("budget"),
     )
-    numbers = counted.select(F.xxhash64(F.col("source").isNull(), "source").alias("skey"), "n")
-    plan = write_through(plan.join(numbers, "skey"), "plan")
-    keyed = rows.withColumn("skey", F.xxhash64(F.col("source").isNull(), "source"))
-    cuts = thresholds(keyed.select("skey", "h", "size"), plan.select("skey", "budget", "n"), total)
+    plan = write_through(plan.join(counted.select("skey", "n"), "skey"), "plan")
+    cuts = thresholds(rows.select("skey", "h", "size"), plan.select("skey", "budget", "n"), total)
     full = plan.join(cuts, "skey").select("skey", "source_size", "target", "base", "cut", "n")
-    copies = F.col("base") + (F.col("h") < F.col("cut")).cast("int")
-    return hot_join(keyed, full, ["skey"], "n", total).select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * copies).cast("bigint").alias("taken"),
-        copies.alias("copies"),
-        "source",
+    return write_through(full, "plan")
+
+
+def _with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """``docs(doc_id, source, ...)`` with the plan of its source and ``copies``."""
+    total = plan.agg(F.sum("n")).first()[0] or 0
+    joined = hot_join(docs.withColumn("skey", _source_key()), plan, ["skey"], "n", total)
+    copies = F.col("base") + (draw_of(F.col("doc_id").cast("bigint")) < F.col("cut")).cast("int")
+    return joined.withColumn("copies", copies)
+
+
+def mix_sources(docs: DataFrame) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, copies`` for every row.
+
+    ``size`` is the number of words, 0 for a null text; ``taken`` is ``size``
+    times ``copies`` (0, 1 or 2).  A null ``doc_id`` draws a number of its own,
+    a null source is a source.  Rows of one source that draw the same number
+    (repeated rows) share their fate.  Further columns are ignored; an empty
+    table gives no rows.
+    """
+    sized = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "source", n_words(text_of()).cast("bigint").alias("size")
     )
+    mixed = _with_copies(write_through(sized, "mixed"), plan_of(docs))
+    taken = (F.col("size") * F.col("copies")).cast("bigint").alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken, "copies")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each repeated as often as it is taken.
+    """The documents of the mix with their columns, each repeated as often as it is taken.
 
-    The verdict depends on source and id alone and is looked up by them.
+    Texts are not shuffled, but for those of sources of very few documents.
     """
-    mix = mix_sources(docs, keep_source=True)
-    taken = mix.groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
-    keyed = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_copies")
-    match = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-    rows = docs.join(keyed, match).where(F.col("_copies") > 0)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    used = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source")
+    chosen = _with_copies(used, plan_of(docs)).where(F.col("copies") > 0)
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -290,7 +290,12 @@ def one_per_group(docs: DataFrame) -> DataFrame:
 
     If the head's ``doc_id`` is repeated, one row of it stays.
     """
-    heads = near_dedup(docs).select(F.col("component_id").alias("_head")).distinct()
-    rows = docs.join(heads, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_head")), "left_semi")
-    order = W.partitionBy("doc_id").orderBy(F.length(text_of()).desc(), F.md5(text_of()))
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    found = write_through(near_dedup(docs), "verdict")
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+    heads = write_through(heads.withColumnRenamed("doc_id", "_head"), "heads")
+    own = docs.withColumn("_id", F.col("doc_id").cast("bigint"))
+    rows = own.join(heads, F.col("_id").eqNullSafe(F.col("_head")), "left_semi")
+    if heads.where("count > 1").limit(1).count():
+        order = W.partitionBy("_id").orderBy(F.length(text_of()).desc(), F.md5(text_of()))
+        rows = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return rows.select(*docs.columns)
