@@ -72,17 +72,43 @@ def tracked(nodes, edges, steps, starts):
     return out
 
 
-@pytest.mark.parametrize("block_rows, most", [(16_384, 200_000), (7, 200_000), (1, 200_000), (16_384, 0)])
-def test_track_nearest_node(spark, built, block_rows, most):
+def tracked_or_none(nodes, edges, steps, starts):
+    """As ``tracked``, with no node for episodes without a start on their scene."""
+    known = {n[1] for n in nodes}
+    fine = {e: n for e, n in starts if n in known}
+    found = tracked(nodes, edges, [s for s in steps if s[0] in fine], fine)
+    return {(s[0], s[2]): found.get((s[0], s[2])) for s in steps}
+
+
+@pytest.mark.parametrize("block_rows", [16_384, 7, 2, 1])
+@pytest.mark.parametrize("gaps", [False, True])
+def test_track_nearest_node(spark, built, block_rows, gaps):
     nodes, edges, node_frame, edge_frame = built
-    length = 6 if most == 0 else 30
-    steps = walks(length=length)
-    starts = [(e, f"n{e % 3}-{e:03d}") for e in range(8)]
+    steps, starts = walks(), [(e, f"n{e % 3}-{e:03d}") for e in range(8)]
+    if gaps:
+        # Late starts, single missing steps and whole missing blocks; an unknown start and a missing one.
+        steps = [s for s in steps if not (s[2] < s[0] or 9 <= s[2] <= 20 or s[2] % 7 == 5)]
+        starts = [(e, "n0-0005" if e == 3 else n) for e, n in starts if e != 6]
     got = graph.track_nearest_node(
         spark.createDataFrame(steps, STEPS), node_frame, edge_frame,
-        spark.createDataFrame(starts, "episode_id bigint, node_id string"), block_rows, most,
-    )
-    assert {(r["episode_id"], r["step"]): r["node_id"] for r in got.collect()} == tracked(nodes, edges, steps, starts)
+        spark.createDataFrame(starts, "episode_id bigint, node_id string"), block_rows,
+    ).collect()
+    assert len(got) == len(steps)
+    assert {(r["episode_id"], r["step"]): r["node_id"] for r in got} == tracked_or_none(nodes, edges, steps, starts)
+
+
+@pytest.mark.parametrize("leaf_nodes", [256, 4])
+def test_points_and_nodes_without_coordinates(spark, built, leaf_nodes):
+    nodes, _, _, _ = built
+    flawed = [(*n[:3], None if n[2] % 3 == 0 else n[3], n[4], float("nan") if n[2] % 5 == 0 else n[5]) for n in nodes]
+    points = [(1, "s0", 1.0, 1.0), (2, "nowhere", 1.0, 1.0), (3, "s1", None, 1.0), (4, "s1", float("nan"), 1.0)]
+    got = graph.nearest_node(
+        spark.createDataFrame(points, "id bigint, scene_id string, x double, z double"),
+        spark.createDataFrame(flawed, NODES), ["id"], leaf_nodes,
+    ).collect()
+    good = [n for n in nodes if n[0] == "s0" and n[2] % 3 and n[2] % 5]
+    nearest = min((math.hypot(n[3] - 1, n[5] - 1), n[2], n[1]) for n in good)
+    assert {r["id"]: r["node_id"] for r in got} == {1: nearest[2], 2: None, 3: None, 4: None}
 
 
 def test_tracking_a_stream_equals_the_batch(spark, built, tmp_path):

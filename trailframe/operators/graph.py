@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions.geometry import euclidean
@@ -35,22 +35,29 @@ def _cell(value: Column, level: int) -> Column:
     return F.shiftright(value, 2 * (MAX_LEVEL - level))
 
 
-def _placed(points: DataFrame, extents: DataFrame) -> DataFrame:
-    """Finest-level cell of each node within its scene's square."""
-    top = float(4**MAX_LEVEL)
+def _placed(nodes: DataFrame) -> DataFrame:
+    """Finest-level cell of each node, by its rank along either axis.
 
-    def cell(value: str, low: str) -> Column:
-        part = (F.col(value) - F.col(low)) / F.col("_side") * F.lit(top)
-        return F.least(F.floor(part), F.lit(4**MAX_LEVEL - 1)).cast("bigint")
+    Ranks fill the cells evenly however the coordinates are spread, so that one
+    far outlier does not press all other nodes into one cell.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy("scene_id"))
 
-    return points.join(extents, "scene_id").withColumns(
-        {"_qx": cell("x", "_low_x"), "_qz": cell("z", "_low_z")}
-    )
+    def cell(axis: str) -> Column:
+        rank = F.row_number().over(Window.partitionBy("scene_id").orderBy(axis, "node_order")) - 1
+        return F.floor(rank / n * F.lit(float(4**MAX_LEVEL))).cast("bigint")
+
+    return nodes.withColumns({"_qx": cell("x"), "_qz": cell("z")})
+
+
+def _is_place(x: str = "x", z: str = "z") -> Column:
+    """Both coordinates are numbers."""
+    return ~(F.col(x).isNull() | F.col(z).isNull() | F.isnan(x) | F.isnan(z))
 
 
 def _first_at_each_place(nodes: DataFrame) -> DataFrame:
-    """Of the nodes at one place, only the first can be an answer."""
-    return nodes.groupBy("scene_id", "x", "z").agg(
+    """Of the nodes at one place, only the first can be an answer; nodes without a place cannot."""
+    return nodes.where(_is_place()).groupBy("scene_id", "x", "z").agg(
         F.min_by("node_id", "node_order").alias("node_id"), F.min("node_order").alias("node_order")
     )
 
@@ -70,7 +77,13 @@ def _nearest_of(nodes: str) -> Column:
 
 
 def _answer(found: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return found.select(*keys, F.col("hit.node_id").alias("node_id"), F.col("hit.distance").alias("distance"))
+    """The hits; a point without a place has none."""
+    here = _is_place()
+    return found.select(
+        *keys,
+        F.when(here, F.col("hit.node_id")).alias("node_id"),
+        F.when(here, F.col("hit.distance")).alias("distance"),
+    )
 
 
 def _node_tree(distinct: DataFrame, leaf_nodes: int) -> tuple[DataFrame, DataFrame, int]:
@@ -79,13 +92,7 @@ def _node_tree(distinct: DataFrame, leaf_nodes: int) -> tuple[DataFrame, DataFra
     A square with more than ``leaf_nodes`` nodes is split further, so a leaf's
     node list is short.
     """
-    side = F.greatest(F.max("x") - F.min("x"), F.max("z") - F.min("z"))
-    extents = distinct.groupBy("scene_id").agg(
-        F.min("x").alias("_low_x"),
-        F.min("z").alias("_low_z"),
-        F.when(side > 0, side).otherwise(1.0).alias("_side"),
-    )
-    placed = write_through(_placed(distinct, extents).drop("_low_x", "_low_z", "_side"), "nodes")
+    placed = write_through(_placed(distinct), "nodes")
     levels = F.transform(
         F.sequence(F.lit(0), F.lit(MAX_LEVEL)),
         lambda level: F.struct(
@@ -147,7 +154,9 @@ def nearest_node(
 ) -> DataFrame:
     """``(keys, node_id, distance)``: the node nearest to each point in (x, z).
 
-    Ties go to the first node.  Exact for any number of nodes per scene: points
+    Ties go to the first node.  Nodes whose coordinates are null or NaN are no
+    candidates.  Every point is answered; without coordinates, or in a scene
+    without nodes, its node is null.  Exact for any number of nodes per scene: points
     descend a tree of squares, and at each level drop the squares that lie
     farther off than the farthest corner of another one.  Scenes of up to
     ``leaf_nodes`` nodes are a single leaf and need one join.
@@ -160,12 +169,13 @@ def nearest_node(
     crowd = distinct.groupBy("scene_id").count().agg(F.max("count")).first()[0] or 0
     if crowd <= leaf_nodes:
         leaves = distinct.groupBy("scene_id").agg(F.collect_list(F.struct("x", "z", "node_order", "node_id")).alias("nodes"))
-        listed = salted_join(base, leaves, ["scene_id"], keys, total)
-        nearest = listed.select(*keys, _nearest_of("nodes").alias("hit"))
-        return _answer(nearest, keys)
+        listed = salted_join(base, leaves, ["scene_id"], keys, total, "left")
+        return _answer(listed.select(*keys, "x", "z", _nearest_of("nodes").alias("hit")), keys)
     tree, leaves, depth = _node_tree(distinct, leaf_nodes)
     root = tree.where("level = 0").select("scene_id", "is_leaf")
-    live = salted_join(base, root, ["scene_id"], keys, total).select(
+    # Points are tried only where there is something to compare.
+    tried = base.where(_is_place())
+    live = salted_join(tried, root, ["scene_id"], keys, total).select(
         "*", F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cz")
     )
     for level in range(1, depth + 1):
@@ -213,9 +223,12 @@ def nearest_node(
         live = best.select(
             *keys, "scene_id", "x", "z", F.inline(F.filter("_squares", lambda s: s["at_least"] <= bound))
         ).drop("at_least")
+        # Both uses in the next level read the written rows; the plan stays as short.
+        live = write_through(live, "descent")
+        total = max(total, live.count())
     listed = salted_join(live.drop("is_leaf"), leaves, square, keys, total)
-    found = listed.select(*keys, _nearest_of("nodes").alias("hit"))
-    return _answer(found.groupBy(*keys).agg(F.min("hit").alias("hit")), keys)
+    found = listed.select(*keys, _nearest_of("nodes").alias("hit")).groupBy(*keys).agg(F.min("hit").alias("hit"))
+    return _answer(base.select(*keys, "x", "z").join(found, keys, "left"), keys)
 
 
 # -- tracking ---------------------------------------------------------------
@@ -232,51 +245,66 @@ def neighbourhoods(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ranked = both.select("scene_id", "node_id", (F.col("edge_order") + 1).alias("rank"), "to_id").unionByName(
         nodes.select("scene_id", "node_id", F.lit(0).cast("bigint").alias("rank"), F.col("node_id").alias("to_id"))
     )
-    where = nodes.select("scene_id", F.col("node_id").alias("to_id"), "x", "z")
+    far = F.lit(float("inf"))
+    # A node without coordinates is never nearest.
+    place = lambda axis: F.coalesce(F.nanvl(F.col(axis).cast("double"), far), far).alias(axis)
+    where = nodes.select("scene_id", F.col("node_id").alias("to_id"), place("x"), place("z"))
     return ranked.join(where, ["scene_id", "to_id"])
 
 
 class _Scene:
-    """A scene's neighbourhoods as matrices: one row per node, self first."""
+    """A scene's neighbourhoods in ragged arrays: each node's options in a row, self first."""
 
     def __init__(self, head: pd.Series):
         nodes, targets = np.asarray(head["node_ids"]), np.asarray(head["to_ids"])
-        first = np.r_[True, nodes[1:] != nodes[:-1]]
+        first = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
         self.names = nodes[first]
-        node = np.cumsum(first) - 1
-        slot = np.arange(len(nodes)) - np.flatnonzero(first)[node]
-        shape = (len(self.names), int(slot.max()) + 1)
-        self.to = np.tile(np.arange(len(self.names))[:, None], (1, shape[1]))
-        self.to[node, slot] = self.places(targets)
-        self.x, self.z = np.full(shape, np.inf), np.full(shape, np.inf)
-        self.x[node, slot], self.z[node, slot] = np.asarray(head["xs"]), np.asarray(head["zs"])
-
-    def places(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.names, ids)
+        self.begin, self.size = first, np.diff(np.r_[first, len(nodes)])
+        self.to = np.searchsorted(self.names, targets)
+        self.x, self.z = np.asarray(head["xs"], float), np.asarray(head["zs"], float)
+
+    def place(self, name) -> int | None:
+        """Position of a node; None for an unknown one."""
+        if name is None or name != name:
+            return None
+        k = int(np.searchsorted(self.names, name))
+        return k if k < len(self.names) and self.names[k] == name else None
+
+    def move(self, here: np.ndarray, x: float, z: float) -> np.ndarray:
+        """Where one step leads from each of the nodes ``here``; ties go to the first option."""
+        size = self.size[here]
+        starts = np.cumsum(size) - size
+        option = np.repeat(self.begin[here] - starts, size) + np.arange(size.sum())
+        dx, dz = self.x[option] - x, self.z[option] - z
+        distance = np.sqrt(dx * dx + dz * dz)
+        distance[np.isnan(distance)] = np.inf
+        nearest = distance == np.repeat(np.minimum.reduceat(distance, starts), size)
+        hits = np.flatnonzero(nearest)
+        return self.to[option[hits[np.searchsorted(hits, starts)]]]
+
+    def path(self, start: int, xs: np.ndarray, zs: np.ndarray) -> np.ndarray:
+        """Node after each position."""
+        here, found = np.array([start]), np.empty(len(xs), np.int64)
+        for i, (x, z) in enumerate(zip(xs, zs)):
+            here = self.move(here, x, z)
+            found[i] = here[0]
+        return self.names[found]
 
-    def walk(self, starts: np.ndarray, xs: np.ndarray, zs: np.ndarray) -> np.ndarray:
-        """Node after each position, for each start; ties go to the first option.
+    def ends(self, xs: np.ndarray, zs: np.ndarray) -> np.ndarray:
+        """Where the positions lead from each node of the scene.
 
-        Starts share their steps once their walks meet.
+        Starts share their steps once their walks meet; only the current nodes are held.
         """
-        here, back = np.unique(starts, return_inverse=True)
-        path = np.empty((len(xs), len(starts)), dtype=np.int64)
-        for i, (x, z) in enumerate(zip(xs, zs)):
-            dx, dz = self.x[here] - x, self.z[here] - z
-            best = np.argmin(np.sqrt(dx * dx + dz * dz), axis=1)
-            moved = self.to[here, best]
-            if len(here) > 1:
-                here, merged = np.unique(moved, return_inverse=True)
-                back = merged[back]
-            else:
-                here = moved
-            path[i] = here[back]
-        return self.names[path]
-
-
-# A scene's graph with more entries than this is not handed to a task whole.
-MAX_SCENE_OPTIONS = 200_000
+        here = np.arange(len(self.names))
+        back = here
+        for x, z in zip(xs, zs):
+            here, merged = np.unique(self.move(here, x, z), return_inverse=True)
+            back = merged[back]
+        return self.names[here[back]]
+
+
 TRACK_BLOCK_ROWS = 16_384
+_PLACE = "_place"
 
 
 def track_nearest_node(
@@ -285,23 +313,23 @@ def track_nearest_node(
     edges: DataFrame,
     starts: DataFrame,
     block_rows: int = TRACK_BLOCK_ROWS,
-    max_scene_options: int = MAX_SCENE_OPTIONS,
 ) -> DataFrame:
     """``(episode_id, step, node_id)``: the node carried from step to step.
 
-    Each step moves to the nearest of the current node and its neighbours.
-    ``starts(episode_id, node_id)`` gives the node before the first row;
-    ``steps`` has ``episode_id, scene_id, step, x, z``.
+    Each step moves to the nearest of the current node and its neighbours; a
+    step without coordinates stays.  ``starts(episode_id, node_id)`` gives the
+    node before the first row; ``steps`` has ``episode_id, scene_id, step, x,
+    z``.  Every row is answered; the node is null where the episode has no
+    start or its start is no node of the scene.
 
     The recurrence is run per block of an episode.  For an episode of several
     blocks, every block but the last is first run from all nodes of its scene
     at once, which tells where each would lead; the blocks' start nodes follow
-    by pointer doubling over those tables.
+    by pointer doubling over those tables.  Blocks are chained in the order of
+    those that have rows, so steps may be missing, also many in a row.  A task
+    holds one scene's graph, 40 bytes per option, and one block.
     """
     options = neighbourhoods(nodes, edges)
-    largest = options.groupBy("scene_id").count().agg(F.max("count")).first()[0] or 0
-    if largest > max_scene_options:
-        return _track_by_step(steps, options, starts)
     listed = F.array_sort(F.collect_list(F.struct("node_id", "rank", "to_id", "x", "z")))
     packed = (
         options.groupBy("scene_id")
@@ -316,27 +344,33 @@ def track_nearest_node(
     )
     graph = ("scene_id", "node_ids", "to_ids", "xs", "zs")
     rows = with_block(steps, "step", block_rows).select("episode_id", BLOCK, "scene_id", "step", "x", "z")
-    blocks = rows.groupBy("episode_id", BLOCK).agg(F.first("scene_id").alias("scene_id"))
-    first_block = rows.groupBy("episode_id").agg(F.min(BLOCK).alias(BLOCK), F.max(BLOCK).alias("_end"))
-    entry = first_block.join(starts, "episode_id").select("episode_id", BLOCK, "node_id")
-    spans = F.col("_end") - F.col(BLOCK)
-    longest, n_blocks = first_block.agg(F.max(spans), F.sum(spans + 1)).first()
-    longest, n_blocks = longest or 0, n_blocks or 0
+    # One row per block with rows; its place counts only such blocks.
+    order = Window.partitionBy("episode_id").orderBy(BLOCK)
+    blocks = write_through(
+        rows.groupBy("episode_id", BLOCK)
+        .agg(F.first("scene_id").alias("scene_id"))
+        .withColumns(
+            {
+                _PLACE: F.row_number().over(order) - 1,
+                "_last": F.count(F.lit(1)).over(Window.partitionBy("episode_id")) - 1,
+            }
+        ),
+        "blocks",
+    )
+    longest, n_blocks = blocks.agg(F.max("_last"), F.count(F.lit(1))).first()
+    longest = longest or 0
+    begin = blocks.where(F.col(_PLACE) == 0).join(starts, "episode_id").select("episode_id", _PLACE, "node_id")
     if longest > 0:
-        inner = blocks.join(first_block.select("episode_id", "_end"), "episode_id").where(
-            F.col(BLOCK) < F.col("_end")
+        inner = blocks.where(F.col(_PLACE) < F.col("_last"))
+        heads = salted_join(inner, packed, ["scene_id"], ["episode_id", BLOCK], n_blocks).select(
+            "episode_id", BLOCK, _PLACE, F.lit(None).cast(starts.schema["node_id"].dataType).alias("start"), *graph
         )
-        leads = _run_blocks(
-            rows.join(inner.select("episode_id", BLOCK), ["episode_id", BLOCK], "left_semi"),
-            salted_join(inner, packed, ["scene_id"], ["episode_id", BLOCK], n_blocks).select(
-                "episode_id", BLOCK, F.lit(None).cast(starts.schema["node_id"].dataType).alias("start"), *graph
-            ),
-            all_starts=True,
-        )
-        entry = _block_starts(write_through(leads, "leads"), entry, longest)
-    placed = blocks.join(entry, ["episode_id", BLOCK])
-    heads = salted_join(placed, packed, ["scene_id"], ["episode_id", BLOCK], n_blocks).select(
-        "episode_id", BLOCK, F.col("node_id").alias("start"), *graph
+        inside = rows.join(inner.select("episode_id", BLOCK), ["episode_id", BLOCK], "left_semi")
+        leads = write_through(_run_blocks(inside, heads, all_starts=True), "leads")
+        begin = _block_starts(leads, begin, longest)
+    placed = blocks.join(begin, ["episode_id", _PLACE], "left")
+    heads = salted_join(placed, packed, ["scene_id"], ["episode_id", BLOCK], n_blocks, "left").select(
+        "episode_id", BLOCK, _PLACE, F.col("node_id").alias("start"), *graph
     )
     return _run_blocks(rows, heads, all_starts=False).select("episode_id", "step", "node_id")
 
@@ -345,6 +379,7 @@ def _run_blocks(rows: DataFrame, heads: DataFrame, all_starts: bool) -> DataFram
     """Walk each block, from its start node or from all nodes of the scene."""
     key_type = rows.schema["episode_id"].dataType.simpleString()
     node_type = heads.schema["start"].dataType.simpleString()
+    step_type = rows.schema["step"].dataType.simpleString()
 
     scenes: dict = {}
 
@@ -353,23 +388,24 @@ def _run_blocks(rows: DataFrame, heads: DataFrame, all_starts: bool) -> DataFram
             return pd.DataFrame(columns=columns)
         steps, head = steps.sort_values("step"), heads.iloc[0]
         scene = scenes.get(head["scene_id"])
-        if scene is None:
-            if len(scenes) >= 16:
-                scenes.clear()
+        if scene is None and head["node_ids"] is not None:
+            # One graph at a time: blocks of a scene often follow each other.
+            scenes.clear()
             scene = scenes[head["scene_id"]] = _Scene(head)
         xs, zs = steps["x"].to_numpy(float), steps["z"].to_numpy(float)
-        episode, block = steps["episode_id"].iloc[0], steps[BLOCK].iloc[0]
+        episode = steps["episode_id"].iloc[0]
         if all_starts:
-            path = scene.walk(np.arange(len(scene.names)), xs, zs)
-            return pd.DataFrame({"episode_id": episode, BLOCK: block, "from_id": scene.names, "to_id": path[-1]})
-        path = scene.walk(scene.places(np.asarray([head["start"]])), xs, zs)
-        return pd.DataFrame({"episode_id": episode, "step": steps["step"], "node_id": path[:, 0]})
+            ends = scene.ends(xs, zs)
+            return pd.DataFrame({"episode_id": episode, _PLACE: head[_PLACE], "from_id": scene.names, "to_id": ends})
+        start = None if scene is None else scene.place(head["start"])
+        found = pd.Series([None] * len(steps), dtype=object) if start is None else scene.path(start, xs, zs)
+        return pd.DataFrame({"episode_id": episode, "step": steps["step"].to_numpy(), "node_id": found})
 
     if all_starts:
-        schema = f"episode_id {key_type}, {BLOCK} bigint, from_id {node_type}, to_id {node_type}"
-        columns = ["episode_id", BLOCK, "from_id", "to_id"]
+        schema = f"episode_id {key_type}, {_PLACE} int, from_id {node_type}, to_id {node_type}"
+        columns = ["episode_id", _PLACE, "from_id", "to_id"]
     else:
-        schema = f"episode_id {key_type}, step int, node_id {node_type}"
+        schema = f"episode_id {key_type}, step {step_type}, node_id {node_type}"
         columns = ["episode_id", "step", "node_id"]
     entries = heads.withColumnsRenamed({"episode_id": "of_id", BLOCK: "of_block"})
     return (
@@ -379,62 +415,39 @@ def _run_blocks(rows: DataFrame, heads: DataFrame, all_starts: bool) -> DataFram
     )
 
 
-def _block_starts(leads: DataFrame, entry: DataFrame, longest: int) -> DataFrame:
+def _block_starts(leads: DataFrame, begin: DataFrame, longest: int) -> DataFrame:
     """Start node of every block, from where each block leads.
 
     After round k the first 2**k starts of an episode are known, and ``jump``
     leads over 2**k blocks; so the rounds grow with the logarithm of the number
     of blocks.
     """
-    known, jump, reach = entry, leads, 1
+    known, jump, reach = begin, leads, 1
     while True:
         step = jump.select(
-            "episode_id", BLOCK, F.col("from_id").alias("node_id"), F.col("to_id").alias("_next")
+            "episode_id", _PLACE, F.col("from_id").alias("node_id"), F.col("to_id").alias("_next")
         )
-        further = known.join(step, ["episode_id", BLOCK, "node_id"]).select(
-            "episode_id", (F.col(BLOCK) + reach).alias(BLOCK), F.col("_next").alias("node_id")
+        further = known.join(step, ["episode_id", _PLACE, "node_id"]).select(
+            "episode_id", (F.col(_PLACE) + reach).alias(_PLACE), F.col("_next").alias("node_id")
         )
         known = write_through(known.unionByName(further), "starts")
         if reach >= longest:
             return known
         second = jump.select(
             "episode_id",
-            (F.col(BLOCK) - reach).alias(BLOCK),
+            (F.col(_PLACE) - reach).alias(_PLACE),
             F.col("from_id").alias("to_id"),
             F.col("to_id").alias("_far"),
         )
         jump = write_through(
-            jump.join(second, ["episode_id", BLOCK, "to_id"]).select(
-                "episode_id", BLOCK, "from_id", F.col("_far").alias("to_id")
+            jump.join(second, ["episode_id", _PLACE, "to_id"]).select(
+                "episode_id", _PLACE, "from_id", F.col("_far").alias("to_id")
             ),
             "jumps",
         )
         reach *= 2
 
 
-def _track_by_step(steps: DataFrame, options: DataFrame, starts: DataFrame) -> DataFrame:
-    """The same for scenes too large for one task: one join per step.
-
-    All episodes advance together; the current nodes are written after each
-    step, so that the plan does not grow.
-    """
-    low, high = steps.agg(F.min("step"), F.max("step")).first()
-    current, done = starts.select("episode_id", "node_id"), None
-    for number in range(low, high + 1) if low is not None else ():
-        here = steps.where(F.col("step") == number).select(
-            "episode_id", "scene_id", "step", F.col("x").alias("_x"), F.col("z").alias("_z")
-        )
-        offered = here.join(current, "episode_id").join(options, ["scene_id", "node_id"])
-        distance = euclidean([F.col("x"), F.col("z")], [F.col("_x"), F.col("_z")])
-        chosen = offered.groupBy("episode_id", "step").agg(
-            F.min(F.struct(distance.alias("d"), "rank", "to_id")).alias("hit")
-        )
-        reached = write_through(chosen.select("episode_id", "step", F.col("hit.to_id").alias("node_id")), "tracked")
-        done = reached if done is None else done.unionByName(reached)
-        current = reached.select("episode_id", "node_id")
-    return done if done is not None else steps.join(starts, "episode_id").select("episode_id", "step", "node_id")
-
-
 # -- nodes on a map ---------------------------------------------------------
 
 
