@@ -81,8 +81,7 @@ def test_decisions_match_loops(spark, tasks, version):
 def test_samples_match_loops(spark, tasks, version, block_rows, gaps, ahead, frames):
     config = NavConfig(max_action_lookahead=ahead, max_history_frames=frames)
     frame = spark.createDataFrame(rows_of(tasks, version), SCHEMA)
-    indexed = samples.index_steps(steps.classify_steps(frame, config), config, block_rows, gaps)
-    got = samples.with_history(indexed, config, look_up=gaps == 0)
+    got = samples.sample_history(frame, config, gaps, block_rows=block_rows)
     found = {
         (r["task_idx"], r["step"]): (r["mode"], r["absorbed"], r["emitted"], r["history"])
         for r in got.select("task_idx", "step", "mode", "absorbed", "emitted", "history").collect()

@@ -30,8 +30,8 @@ from trailframe.operators.blocks import (
     within_block,
 )
 from trailframe.operators.steps import (
-    TASK_KEYS,
     classify_steps,
+    task_keys,
     valid_steps,
     visible_frontiers,
 )
@@ -67,7 +67,7 @@ def index_steps(
       task with more than ``max_carried_gaps``.
     """
     config = config or NavConfig()
-    keys, ahead = list(TASK_KEYS), config.max_action_lookahead
+    keys, ahead = task_keys(steps), config.max_action_lookahead
     local = within_block(keys, "step")
     state = F.struct(
         "action", "floor_transition", "coord_supervised", (F.col("mode") == "action").alias("moves")
@@ -208,52 +208,69 @@ def has_uncarried_gaps(steps: DataFrame, max_carried_gaps: int = MAX_CARRIED_GAP
 
     Reads key, step and action only, and aggregates before it shuffles.
     """
-    numbers = valid_steps(steps).groupBy(*TASK_KEYS).agg(
+    numbers = valid_steps(steps).groupBy(*task_keys(steps)).agg(
         (F.max("step") + 1 - F.count(F.lit(1))).alias("missing")
     )
     crowded = numbers.where(F.col("missing") > max_carried_gaps)
     return not crowded.isEmpty()
 
 
-def with_history(
-    indexed: DataFrame,
-    config: NavConfig | None = None,
-    look_up: bool = True,
-    samples_only: bool = True,
-) -> DataFrame:
+def _wanted(indexed: DataFrame, config: NavConfig, samples_only: bool) -> DataFrame:
+    rows = indexed.where("is_sample") if samples_only else indexed
+    return rows.withColumn("_wanted", history_positions(config))
+
+
+def _carried_history(wanted: DataFrame) -> DataFrame:
+    return wanted.withColumn("history", F.transform("_wanted", _step_at)).drop("_wanted")
+
+
+def with_history(indexed: DataFrame, config: NavConfig | None = None, samples_only: bool = True) -> DataFrame:
     """Add ``history``: the earlier steps shown with a sample, oldest first.
 
     Rows with a gap list need no lookup.  The others (tasks with very many
     invalid steps) are joined on (task, position); their first position, which
     every row of a task wants, is taken out of the join so that no key is hot.
-    ``look_up=False`` leaves that branch out of the plan, for callers that know
-    from :func:`has_uncarried_gaps` that it has no rows.
     """
     config = config or NavConfig()
-    wanted = indexed.where("is_sample") if samples_only else indexed
-    wanted = wanted.withColumn("_wanted", history_positions(config))
-    carried = F.transform("_wanted", _step_at)
-    if not look_up:
-        return wanted.withColumn("history", carried).drop("_wanted")
-
-    easy = wanted.where(F.col("gaps").isNotNull()).withColumn("history", carried).drop("_wanted")
+    keys = task_keys(indexed)
+    wanted = _wanted(indexed, config, samples_only)
+    easy = _carried_history(wanted.where(F.col("gaps").isNotNull()))
     hard = wanted.where(F.col("gaps").isNull())
-    places = indexed.where(F.col("gaps").isNull()).select(*TASK_KEYS, "pos", F.col("step").alias("_at"))
-    slots = hard.select(*TASK_KEYS, "step", F.posexplode("_wanted").alias("_slot", "pos")).where("pos > 0")
+    places = indexed.where(F.col("gaps").isNull()).select(*keys, "pos", F.col("step").alias("_at"))
+    slots = hard.select(*keys, "step", F.posexplode("_wanted").alias("_slot", "pos")).where("pos > 0")
     found = (
-        slots.join(places, [*TASK_KEYS, "pos"])
-        .groupBy(*TASK_KEYS, "step")
+        slots.join(places, [*keys, "pos"])
+        .groupBy(*keys, "step")
         .agg(F.array_sort(F.collect_list(F.struct("_slot", "_at"))).alias("_found"))
     )
     rest = F.transform(F.coalesce("_found", F.array().cast(found.schema["_found"].dataType)), lambda s: s["_at"])
     first_slots = F.size(F.filter("_wanted", lambda p: p == 0))
     looked_up = (
-        hard.join(found, [*TASK_KEYS, "step"], "left")
+        hard.join(found, [*keys, "step"], "left")
         .withColumn("history", F.concat(F.array_repeat("first_step", first_slots), rest))
     )
     return easy.unionByName(looked_up.select(*easy.columns))
 
 
+def sample_history(
+    steps: DataFrame,
+    config: NavConfig | None = None,
+    max_carried_gaps: int = MAX_CARRIED_GAPS,
+    samples_only: bool = True,
+    **options,
+) -> DataFrame:
+    """Classified, indexed steps with their history.
+
+    The interruptions of all tasks are counted first; the lookup is planned
+    exactly if some task has more than its rows carry.
+    """
+    config = config or NavConfig()
+    indexed = index_steps(classify_steps(steps, config), config, max_carried_gaps=max_carried_gaps, **options)
+    if has_uncarried_gaps(steps, max_carried_gaps):
+        return with_history(indexed, config, samples_only)
+    return _carried_history(_wanted(indexed, config, samples_only))
+
+
 # -- samples ----------------------------------------------------------------
 
 
@@ -268,7 +285,7 @@ def assemble_samples(with_hist: DataFrame, config: NavConfig | None = None) -> D
         with_hist.withColumn("frontiers", visible_frontiers())
         .withColumn("_says", pick_conjunction(config, *keys))
         .select(
-            *TASK_KEYS,
+            *task_keys(with_hist),
             "step",
             "scene_id",
             "task_id",
@@ -314,17 +331,6 @@ def sample_index(steps: DataFrame, config: NavConfig | None = None, **options) -
     return index_steps(classify_steps(steps, config), config, **options).where("is_sample")
 
 
-def build_samples(
-    steps: DataFrame,
-    config: NavConfig | None = None,
-    look_up: bool | None = None,
-    max_carried_gaps: int = MAX_CARRIED_GAPS,
-    **options,
-) -> DataFrame:
+def build_samples(steps: DataFrame, config: NavConfig | None = None, **options) -> DataFrame:
     """Steps to finished samples."""
-    if look_up is None:
-        look_up = has_uncarried_gaps(steps, max_carried_gaps)
-    indexed = index_steps(
-        classify_steps(steps, config), config, max_carried_gaps=max_carried_gaps, **options
-    )
-    return assemble_samples(with_history(indexed, config, look_up=look_up), config)
+    return assemble_samples(sample_history(steps, config, **options), config)

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from trailframe.config import CURRENT_SCHEMA, STOP_ACTION, VISIBLE, NavConfig
 from trailframe.functions.geometry import INFINITY, euclidean
 
-TASK_KEYS = ("root", "task_idx")
+
+def task_keys(frame: DataFrame) -> list[str]:
+    """What identifies a task: its root, its document if the rows name it, its place there."""
+    return [c for c in ("root", "document", "task_idx") if c != "document" or c in frame.columns]
 
 
 # -- access -----------------------------------------------------------------
@@ -36,7 +39,7 @@ def explode_steps(tasks: DataFrame) -> DataFrame:
         return F.coalesce(item(name), F.lit(False))
 
     listed = at_step.select(
-        *TASK_KEYS,
+        *task_keys(tasks),
         "step",
         "schema_version",
         "scene_id",
