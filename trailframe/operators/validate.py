@@ -8,7 +8,7 @@ a document is its smallest ``(task_idx, rule_no)``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trailframe.config import CURRENT_SCHEMA, STOP_ACTION
 from trailframe.functions.geometry import is_finite
 from trailframe.functions.let import bind_all
-from trailframe.operators.steps import TASK_KEYS
+from trailframe.operators.steps import task_keys
 
 # ---------------------------------------------------------------------------
 # What a schema-3 document must hold.
@@ -195,6 +195,7 @@ def _rules() -> list[tuple[int, str, Column, Column, Column | None]]:
         (20, "missing_identity", F.size(unidentified) > 0, F.array_join(unidentified, ", "), None),
         (21, "fractional_number", F.col("has_fraction"), nothing, None),
         (22, "visible_without_pixel", F.size(hidden) > 0, nothing, hidden),
+        (23, "unreadable_field", F.size("unreadable") > 0, F.array_join("unreadable", ", "), None),
     ]
 
 
@@ -202,10 +203,12 @@ def _each(steps: Column, entry: Callable[[Column], Column]) -> Column:
     return F.transform(steps, lambda s: entry(s))
 
 
-def violations(tasks: DataFrame) -> DataFrame:
-    """All broken rules; rules 10, 11 and 22 give one row per step."""
+def _entries(rules: Collection[int] | None) -> Column:
+    """The broken rules of a task; only those asked for are evaluated."""
     entries = []
     for number, name, broken, detail, steps in _rules():
+        if rules is not None and number not in rules:
+            continue
 
         def entry(step: Column, number=number, name=name, detail=detail) -> Column:
             return F.struct(
@@ -221,8 +224,39 @@ def violations(tasks: DataFrame) -> DataFrame:
             else _each(steps, entry)
         )
         entries.append(F.when(_is_true(broken), rows))
-    present = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    return tasks.select(*TASK_KEYS, F.inline(F.flatten(present)))
+    return F.flatten(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+
+
+def violations(tasks: DataFrame, rules: Collection[int] | None = None) -> DataFrame:
+    """All broken rules, or those of ``rules``; rules 10, 11 and 22 give one row per step."""
+    return tasks.select(*task_keys(tasks), F.inline(_entries(rules)))
+
+
+def document_violations(documents: DataFrame, rules: Collection[int] | None = None) -> DataFrame:
+    """Broken rules of whole documents: ``root, document, rule_no, rule, detail``.
+
+    ``documents`` as :func:`trailframe.sources.exploration.load_documents` gives
+    them.  A document without tasks is checked as well; rule 30 marks one that
+    is no readable JSON or has no list of tasks, whose tasks are lost.
+    """
+    version = F.coalesce("schema_version", F.lit(1))
+    keys = F.coalesce(F.json_object_keys("generation_config"), F.array().cast("array<string>"))
+    missing = F.array_sort(F.array_except(_names(REQUIRED_SETTINGS), keys))
+    unreadable = F.col("corrupt").isNotNull() | F.col("tasks").isNull()
+    checks = [
+        (1, "schema_version", version > CURRENT_SCHEMA, version.cast("string")),
+        (2, "generation_config", (version == CURRENT_SCHEMA) & (F.size(missing) > 0), F.array_join(missing, ", ")),
+        (30, "unreadable_document", unreadable, F.lit(None).cast("string")),
+    ]
+    entries = [
+        F.when(
+            _is_true(broken if number == 30 else broken & ~unreadable),
+            F.struct(F.lit(number).alias("rule_no"), F.lit(name).alias("rule"), detail.alias("detail")),
+        )
+        for number, name, broken, detail in checks
+        if rules is None or number in rules
+    ]
+    return documents.select("root", "document", F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
 
 
 def first_errors(tasks: DataFrame) -> DataFrame:
@@ -243,11 +277,11 @@ def validate(tasks: DataFrame, mode: str = "quarantine") -> tuple[DataFrame, Dat
         raise ValueError(f"unknown mode {mode!r}")
     found = violations(tasks)
     if mode == "fail":
-        first = found.orderBy("root", "task_idx", "rule_no", "step").first()
+        first = found.orderBy(*task_keys(tasks), "rule_no", "step").first()
         if first is not None:
             raise ValueError(f"task {first['task_idx']} of {first['root']}: {first['rule']} {first['detail'] or ''}")
     if mode == "quarantine":
-        return tasks.join(found.select(*TASK_KEYS).distinct(), list(TASK_KEYS), "left_anti"), found
+        return tasks.where(F.size(_entries(None)) == 0), found
     return tasks, found
 
 

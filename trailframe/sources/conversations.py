@@ -11,6 +11,17 @@ ITEM_SCHEMA = (
 )
 
 
+def unreadable_conversations(spark: SparkSession, path: str) -> DataFrame:
+    """``source, reason`` of the files whose items are lost: not a readable list of items."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
+    items = F.from_json("value", ITEM_SCHEMA)
+    # Null elements stand for items that are no objects.
+    bad = F.when(items.isNull() | (F.json_array_length("value").isNull()), "unreadable_file").when(
+        F.exists(items, lambda i: i.isNull()), "unreadable_item"
+    )
+    return files.select("source", bad.alias("reason")).where("reason is not null")
+
+
 def load_conversations(spark: SparkSession, path: str) -> DataFrame:
     """One row per item: ``source, item_idx, item_id, video, image, turns``.
 

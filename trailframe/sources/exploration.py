@@ -21,7 +21,7 @@ from trailframe.session import path_exists
 # Names in the document format.
 # ---------------------------------------------------------------------------
 DOCUMENT_FILE = "exploration_data.json"
-DOCUMENT_SCHEMA = "schema_version INT, generation_config STRING, tasks ARRAY<STRING>"
+DOCUMENT_SCHEMA = "schema_version INT, generation_config STRING, tasks ARRAY<STRING>, corrupt STRING"
 GENERATION_SCHEMA = (
     "waypoint_radius_m DOUBLE, stop_radius_m DOUBLE, endpoint_target_radius_m DOUBLE, "
     "min_unexplored_area_m2 DOUBLE, expert_candidate_match_distance_m DOUBLE, "
@@ -69,27 +69,31 @@ def _has_fraction() -> Column:
 
 
 def parse_tasks(documents: DataFrame) -> DataFrame:
-    """Documents ``(root, schema_version, generation_config, tasks)`` to tasks.
+    """Documents ``(root, document, schema_version, generation_config, tasks)`` to tasks.
 
-    ``task_idx`` is the position in the document.  ``keys`` lists the keys that
+    ``task_idx`` is the position in the document, so ``(root, document,
+    task_idx)`` is unique; ``document`` is left out if the documents have none.
+    ``unreadable`` lists the fields that are present but could not be read.  ``keys`` lists the keys that
     are present, ``lengths`` the length of every array; ``has_fraction`` marks
     codes or pixels that the integer columns cannot hold.
     """
+    names = [c for c in ("root", "document") if c != "document" or c in documents.columns]
     split = documents.select(
-        "root",
+        *names,
         F.coalesce("schema_version", F.lit(1)).alias("schema_version"),
         F.from_json("generation_config", GENERATION_SCHEMA).alias("generation_config"),
         F.json_object_keys("generation_config").alias("config_keys"),
         F.posexplode("tasks").alias("_idx", "_json"),
     )
     typed = split.select(
-        "root",
+        *names,
         F.col("_idx").cast("bigint").alias("task_idx"),
         "schema_version",
         "generation_config",
         "config_keys",
         F.json_object_keys("_json").alias("keys"),
         F.from_json("_json", TASK_SCHEMA).alias("_t"),
+        "_json",
     )
     fields = typed.schema["_t"].dataType.fields
     arrays = [f.name for f in fields if f.dataType.typeName() == "array"]
@@ -104,8 +108,15 @@ def parse_tasks(documents: DataFrame) -> DataFrame:
     lengths = F.create_map(
         *[part for name in arrays for part in (F.lit(name), F.size(F.col(f"_t.{name}")))]
     )
+    # A field with a value in the text and none in the row could not be read.
+    lost = [
+        F.when(
+            F.col(f"_t.{f.name}").isNull() & F.get_json_object("_json", f"$.{f.name}").isNotNull(), F.lit(f.name)
+        )
+        for f in fields
+    ]
     return typed.select(
-        "root",
+        *names,
         "task_idx",
         "schema_version",
         "generation_config",
@@ -113,6 +124,7 @@ def parse_tasks(documents: DataFrame) -> DataFrame:
         "keys",
         F.map_filter(lengths, lambda _, n: n >= 0).alias("lengths"),
         _has_fraction().alias("has_fraction"),
+        F.array_compact(F.array(*lost)).alias("unreadable"),
         *[shaped.get(f.name, F.col(f"_t.{f.name}")).alias(f.name) for f in fields],
     )
 
@@ -126,15 +138,27 @@ def load_documents(
     """Read documents, plain or gzip by suffix, without splitting them.
 
     Every document's folder is its root, unless ``root`` gives another name.
+    ``document`` names the document within the root: a digest of its file and
+    its content, the same in every run.  A document that is no readable JSON
+    stays, with its text in ``corrupt``;
+    :func:`trailframe.operators.validate.document_violations` lists such ones.
     """
     raw = (
         spark.read.schema(DOCUMENT_SCHEMA)
         .option("multiLine", not one_per_line)
         .option("encoding", "UTF-8")
+        .option("columnNameOfCorruptRecord", "corrupt")
         .json(paths if isinstance(paths, str) else list(paths))
     )
-    folder = F.regexp_extract("_metadata.file_path", r"^(?:file:/*(?=/))?(.*)/[^/]*$", 1)
-    return raw.select((folder if root is None else root).alias("root"), "*")
+    folder = F.regexp_extract(F.url_decode(_plus_kept("_metadata.file_path")), r"^(?:file:/*(?=/))?(.*)/[^/]*$", 1)
+    content = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("schema_version", "generation_config", "tasks", "corrupt")]
+    document = F.substring(F.md5(F.concat_ws("\n", F.col("_metadata.file_path"), *content)), 1, 16)
+    return raw.select((folder if root is None else root).alias("root"), document.alias("document"), "*")
+
+
+def _plus_kept(path: str) -> Column:
+    """Decoding must not take a plus sign for a space."""
+    return F.replace(F.col(path), F.lit("+"), F.lit("%2B"))
 
 
 def load_tasks(
@@ -143,7 +167,7 @@ def load_tasks(
     root: Column | None = None,
     one_per_line: bool = False,
 ) -> DataFrame:
-    """Read exploration documents as tasks."""
+    """Read exploration documents as tasks; check :func:`load_documents` for lost ones."""
     return parse_tasks(load_documents(spark, paths, root, one_per_line))
 
 
@@ -153,9 +177,11 @@ def union_roots(
     document: str = DOCUMENT_FILE,
     one_per_line: bool = False,
 ) -> DataFrame:
-    """All tasks of several roots, read together; ``root_no`` is their order.
+    """All tasks of several roots; ``root`` is the path given, ``root_no`` its order.
 
-    A root without a document is skipped with a warning; none left is an error.
+    Each root is read by the name it was given, whatever scheme or characters
+    its path has.  A root without a document is skipped with a warning; none
+    left is an error.
     """
     present = []
     for root in dict.fromkeys(r.rstrip("/") for r in roots):
@@ -165,9 +191,12 @@ def union_roots(
             warnings.warn(f"no {document} in {root}; root skipped", stacklevel=2)
     if not present:
         raise ValueError("no root holds an exploration document")
-    tasks = load_tasks(spark, [f"{root}/{document}" for root in present], one_per_line=one_per_line)
-    order = F.array_position(F.array(*[F.lit(r) for r in present]), F.col("root")) - 1
-    return tasks.withColumn("root_no", order)
+    parts = [load_documents(spark, f"{root}/{document}", F.lit(root), one_per_line) for root in present]
+    documents = parts[0]
+    for part in parts[1:]:
+        documents = documents.unionByName(part)
+    numbers = F.create_map(*[x for k, root in enumerate(present) for x in (F.lit(root), F.lit(k))])
+    return parse_tasks(documents).withColumn("root_no", numbers[F.col("root")])
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
