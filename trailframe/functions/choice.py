@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def seeded_number(seed: int, *keys: Column) -> Column:
-    """A 32-bit number that depends only on the row's key and the seed.
+    """A 60-bit number that depends only on the row's key and the seed.
 
     The same for every partitioning, so a recomputed task draws the same value.
     """
     text = F.concat_ws("|", *[key.cast("string") for key in keys], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def seeded_choice(seed: int, choices: Column, *keys: Column) -> Column:

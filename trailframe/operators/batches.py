@@ -17,13 +17,14 @@ from trailframe.functions.tokens import (
 
 
 def label_samples(
-    samples: DataFrame, marker: Column, response: Column, eos_id: int | None, max_length: int = 4096
+    samples: DataFrame, marker: Column, response: Column, eos_id: int | None, max_length: int | None = None
 ) -> DataFrame:
-    """Add ``input_ids`` (cut), ``labels`` and ``attention_mask`` to ``ids``.
+    """Add ``input_ids`` (cut to ``max_length``, if given), ``labels`` and ``attention_mask`` to ``ids``.
 
     The parts are separate projections, so that each is computed once per row.
     """
-    cut = samples.withColumn("input_ids", truncate_ids(F.col("ids"), max_length))
+    ids = F.col("ids") if max_length is None else truncate_ids(F.col("ids"), max_length)
+    cut = samples.withColumn("input_ids", ids)
     started = cut.withColumn("loss_start", loss_start(F.col("input_ids"), marker, response))
     return started.select(
         *samples.columns,
@@ -47,22 +48,24 @@ def pad_batches(
     """Group samples into batches and pad each to its longest member.
 
     Batches are formed inside hash shards: no task sees more than one shard,
-    and the same key always lands in the same batch.  The default number of
+    and the same key always lands in the same batch; ``key`` is unique and not null.  The default number of
     shards grows with the table.  ``by_length`` orders a shard by length, which
     cuts padding; otherwise the order is pseudo-random.
     """
     if shards is None:
         shards = max(1, -(-samples.count() // rows_per_shard))
     number = seeded_number(seed, F.col(key))
-    order = ([F.size("input_ids")] if by_length else []) + [F.col("_number"), F.col(key)]
-    placed = samples.withColumn("_number", number).withColumn("shard", F.pmod("_number", F.lit(shards)))
+    order = (["_size"] if by_length else []) + ["_number", key]
+    # Only keys and lengths are sorted; the ids are joined once the batches stand.
+    light = samples.select(key, F.size("input_ids").alias("_size"), number.alias("_number"))
+    placed = light.withColumn("shard", F.pmod("_number", F.lit(shards)))
     ordered = placed.withColumn(
         "_place", F.row_number().over(Window.partitionBy("shard").orderBy(*order)) - 1
     )
     batched = ordered.withColumn("batch_id", F.floor(F.col("_place") / F.lit(batch_size)))
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy("shard", "batch_id"))
-    sized = batched.withColumn("_length", longest)
-    return sized.select(
+    longest = F.max("_size").over(Window.partitionBy("shard", "batch_id"))
+    sized = batched.select(key, "shard", "batch_id", longest.alias("_length"))
+    return samples.join(sized, key).select(
         key,
         "shard",
         "batch_id",

@@ -8,13 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions.choice import seeded_choice, seeded_number
+from trailframe.operators.skew import salted_join
 from trailframe.sources.images import ANY_SCENE
 
 
-# One summary row per bucket is scanned in order, so their number is bounded.
-MAX_BUCKETS = 100_000
-
-
 def _without_extension(path: Column) -> Column:
     return F.regexp_replace(path, r"([^/])\.[^./]*$", "$1")
 
@@ -38,17 +35,24 @@ def lookup_keys(rel_path: Column) -> Column:
     return F.filter(F.array(*entries), lambda e: e["store"].isNotNull() & e["key"].isNotNull())
 
 
+def _places(images: DataFrame) -> list[str]:
+    """What names a stored image; a store may belong to one data root."""
+    return [c for c in ("root", "store", "key") if c != "root" or c in images.columns]
+
+
 def locate_images(wanted: DataFrame, images: DataFrame, on: Sequence[str] = ("root", "rel_path")) -> DataFrame:
     """The stored key of every distinct wanted path; null where there is none.
 
     Paths are made distinct first (a task's first frame is wanted by all of its
-    samples), and only keys are read and shuffled here, never image bytes.
+    samples), and only keys are read and shuffled here, never image bytes.  If
+    ``images`` has a column ``root``, a path is looked up in the stores of its
+    own root only.
     """
     paths = wanted.select(*on).distinct()
     tries = paths.select(*on, F.inline(lookup_keys(F.col(on[-1]))))
-    stored = images.select("store", "key")
+    stored = images.select(*_places(images)).distinct()
     hits = (
-        tries.join(stored, ["store", "key"])
+        tries.join(stored, _places(images))
         .groupBy(*on)
         .agg(F.min(F.struct("priority", "store", "key")).alias("hit"))
     )
@@ -58,8 +62,12 @@ def locate_images(wanted: DataFrame, images: DataFrame, on: Sequence[str] = ("ro
 
 
 def resolve_images(wanted: DataFrame, images: DataFrame, on: Sequence[str] = ("root", "rel_path")) -> DataFrame:
-    """``locate_images`` plus the bytes; the bytes are shuffled once."""
-    return locate_images(wanted, images, on).join(images, ["store", "key"], "left").select(
+    """``locate_images`` plus the bytes; the bytes are shuffled once.
+
+    A key stored twice counts once, with the smaller content.
+    """
+    single = images.groupBy(*_places(images)).agg(F.min("bytes").alias("bytes"))
+    return locate_images(wanted, images, on).join(single, _places(images), "left").select(
         *on, "priority", "store", "key", "bytes"
     )
 
@@ -100,7 +108,8 @@ def resample_failed(
     if n_failed and (on_fail == "fail" or n_good == 0):
         raise ValueError(f"{n_failed} samples failed, {n_good} are good")
 
-    buckets = min(MAX_BUCKETS, max(1, -(-n_good // rows_per_bucket)))
+    # One summary row per bucket; a bucket is one task's rows.
+    buckets = max(1, -(-n_good // rows_per_bucket))
     number = seeded_number(seed, *[F.col(k) for k in keys])
     placed = good.select(*keys, number.alias("_number")).withColumn(
         "_bucket", F.pmod("_number", F.lit(buckets))
@@ -118,7 +127,8 @@ def resample_failed(
     )
     drawn = seeded_choice(seed + 1, F.lit(n_good), *[F.col(k) for k in keys])
     lost = marked.where("_failed").select(*keys, drawn.alias("_rank"))
-    pairs = lost.join(ranked, "_rank").drop("_rank")
+    # Few good samples may serve very many failed ones.
+    pairs = salted_join(lost, ranked, ["_rank"], keys, n_failed).drop("_rank")
     donors = good.select(*origin, *columns)
     replaced = pairs.join(donors, [f"from_{k}" for k in keys]).select(
         *keys, *columns, *[f"from_{k}" for k in keys]

@@ -45,7 +45,7 @@ def _pixel(u: Column, v: Column) -> Column:
 
 def nav_steps(spark: SparkSession, sf_dir: str, schema_version: int = 3) -> DataFrame:
     """Exploration steps, one task per user, two roots; landed as a table."""
-    landed = land_once(spark, ("steps", sf_dir), lambda: derive_nav_steps(spark, sf_dir))
+    landed = land_once(spark, ("steps", sf_dir), lambda: derive_nav_steps(spark, sf_dir), f"{sf_dir}/events.parquet")
     return landed.withColumn("schema_version", F.lit(schema_version))
 
 
@@ -109,7 +109,7 @@ def derive_nav_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def episode_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episode traces, one episode per user; landed as a table."""
-    return land_once(spark, ("episodes", sf_dir), lambda: derive_episode_steps(spark, sf_dir))
+    return land_once(spark, ("episodes", sf_dir), lambda: derive_episode_steps(spark, sf_dir), f"{sf_dir}/events.parquet")
 
 
 def derive_episode_steps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,6 +133,14 @@ history as (
   from slots a join valid b on b.task_idx = a.task_idx and b.pos = a.wanted group by all
 )"""
 
+
+
+def history_frames(version: int) -> str:
+    return f"""with {indexed(version)},{HISTORY}
+select task_idx, step, coalesce(n_hist, 0) as frames, coalesce(hist, '') as history
+from indexed left join history using (task_idx, step) where is_sample"""
+
+
 FRONTIERS = """
 frontiers as (
   select task_idx, step, '[' || string_agg('(' || u || ', ' || v || ')', ', ' order by i) || ']' as listed,
@@ -144,7 +152,7 @@ frontiers as (
 
 def seeded(n: int, *keys: str, seed: int = 42) -> str:
     text = " || '|' || ".join([f"cast({k} as varchar)" for k in keys] + [f"'{seed}'"])
-    return f"(cast('0x' || substr(md5({text}), 1, 8) as bigint) % {n})"
+    return f"(cast('0x' || substr(md5({text}), 1, 15) as bigint) % {n})"
 
 
 def samples(version: int) -> str:
@@ -245,7 +253,7 @@ def last_at(ids: str, pattern: str) -> str:
 
 
 LABELS = f"""{TOKENS},
-cut as (select doc_id, ids[1:4096] as ids, response from responses),
+cut as (select doc_id, ids, response from responses),
 found as (
   select *, {last_at('ids', '[2, 3]')} as marker_at, {last_at('ids', 'response')} as response_at,
     list_max(list_filter(range(len(ids)), lambda i: ids[i + 1] = 7)) as last_eos from cut
@@ -427,13 +435,49 @@ wanted as (
   from nav_steps where action is not null
 )"""
 
+NEAREST_NODE = f"""with {NODES},
+pairs as (
+  select p.node_id as point_id, n.node_id, sqrt((n.x - (p.x + 0.05)) * (n.x - (p.x + 0.05)) + (n.z - p.z) * (n.z - p.z)) as d
+  from nodes p join nodes n using (scene_id)
+)
+select point_id, node_id, round(d, 6) as distance from pairs
+qualify row_number() over (partition by point_id order by d, node_id) = 1"""
+
 ORACLES: dict[str, str] = {
     "S1_load_tasks": f"""with {DOCUMENTS}
 select root, task_no as task_idx, task_id, schema_version, n_actions,
   case when defect in (0, 1) then null else 'goal' end as goal_world, defect in (4, 5, 6) as success from doc_tasks""",
     "S2_union_roots": f"""with {DOCUMENTS}
 select case when kind in (0, 2) then 'even' else 'odd' end as root, case when kind in (0, 2) then 1 else 0 end as root_no,
-  task_id, schema_version from doc_tasks""",
+  task_id, schema_version, true as unique_key, task_no as task_idx from doc_tasks""",
+    "S1_corrupt_documents": f"""with {DOCUMENTS}
+select distinct root, cast(null as varchar) as task_id, 'unreadable_document' as rule from doc_tasks where kind = 1
+union all
+select root, task_id, 'unreadable_field' from doc_tasks t where kind = 3
+  and exists (select 1 from doc_steps d where d.task_idx = t.user_no and d.step = 0 and doc_action = 1)""",
+    "V1_empty_document": f"""with {DOCUMENTS}
+select distinct root, case kind when 2 then 'schema_version' else 'generation_config' end as rule,
+  case kind when 2 then '4' else 'update_interval, waypoint_radius_m' end as detail from doc_tasks where kind in (2, 3)""",
+    "S3_corrupt_items": """
+select conv_id // 50 as file, case when conv_id // 50 % 3 = 1 then 0 else count(distinct conv_id) end as items,
+  case when conv_id // 50 % 3 = 1 then 'unreadable_file' end as reason from conversations group by conv_id // 50""",
+    "S4_two_roots": f"""with {WANTED},
+store as (
+  select case step % 4 when 1 then '*' else scene_id end as store,
+    case step % 4 when 0 then below when 1 then bare else rel_path end as key from wanted where step % 4 <> 3
+  union all select '*', rel_path from wanted where step % 8 = 0
+),
+tries as (
+  select rel_path, unnest([0, 1, 2, 3, 4, 5]) as priority,
+    unnest([scene_id, scene_id, scene_id, '*', '*', '*']) as store,
+    unnest([below, bare, rel_path, below, bare, rel_path]) as key from wanted
+),
+best as (
+  select rel_path, priority, store, key from tries join store using (store, key)
+  qualify row_number() over (partition by rel_path order by priority) = 1
+)
+select r.root, w.rel_path, priority, store, key, r.root || ':' || store || ':' || key as content
+from (select distinct rel_path from wanted) w cross join (values ('a'), ('b')) r(root) left join best using (rel_path)""",
     "S3_load_conversations": f"""with {TURNS},
 items as (select *, conv_id // 50 as file, row_number() over (partition by conv_id // 50 order by conv_id) - 1 as item_idx from flat)
 select file, item_idx, case when conv_id % 5 <> 0 then 'c' || conv_id else cast(item_idx as varchar) end as item_id,
@@ -571,10 +615,13 @@ select root, task_idx, step, mode, absorbed, emitted from indexed where is_sampl
 select task_idx, step, array_to_string(list_transform(range(emitted), lambda n: action), ',') as sequence from indexed"""
         for v in (2, 3)
     },
+    **{f"W3_history_frames_v{v}": history_frames(v) for v in (2, 3)},
     **{
-        f"W3_history_frames_v{v}": f"""with {indexed(v)},{HISTORY}
-select task_idx, step, coalesce(n_hist, 0) as frames, coalesce(hist, '') as history
-from indexed left join history using (task_idx, step) where is_sample"""
+        # Two long tasks; each change of the user is an interruption.
+        f"W3_history_many_gaps_v{v}": history_frames(v).replace(
+            "cast(user_id as bigint) as task_idx, e, k, step,",
+            "cast(user_id % 2 as bigint) as task_idx, e, k, user_id * 1000 + step as step,",
+        )
         for v in (2, 3)
     },
     "W4_video_frame_plan": """with videos as (
@@ -594,10 +641,10 @@ left join indexed i on i.mode = m.mode and is_sample group by m.mode"""
     },
     "A2_flatten_conversation": f"with {TURNS} select conv_id, prompt, response, n_images from flat",
     "A3_pad_batch": f"""with {LABELS},
-numbered as (select *, {seeded(2**32, 'doc_id')} as number from labelled),
+numbered as (select *, {seeded(2**60, 'doc_id')} as number from labelled),
 placed as (
-  select *, number % 4 as shard, (row_number() over (partition by number % 4 order by number, doc_id) - 1) // 8 as batch_id
-  from numbered
+  select *, number % shards as shard, (row_number() over (partition by number % shards order by number, doc_id) - 1) // 8 as batch_id
+  from numbered, (select greatest(1, cast(ceil(count(*) / 65536.0) as bigint)) as shards from documents)
 ),
 sized as (select *, max(len(ids)) over (partition by shard, batch_id) - len(ids) as missing, len(ids) as n from placed)
 select doc_id, shard, batch_id,
@@ -654,13 +701,7 @@ select map_id, row, col, max(code) as code from ({_layer('first', 4)} union all
 shown as (select * from moved where r > 0 and r < 64 and c > 0 and c < 64),{_triangle('shown', 'triangles', 2)}
 {_layer('triangles', 12)}""",
     "G9_waypoint_layer_oracle": f"with {MAP_POINTS},{_triangle('moved', 'triangles', 1)} {_layer('triangles', 13)}",
-    "G10_nearest_node": f"""with {NODES},
-pairs as (
-  select p.node_id as point_id, n.node_id, sqrt((n.x - (p.x + 0.05)) * (n.x - (p.x + 0.05)) + (n.z - p.z) * (n.z - p.z)) as d
-  from nodes p join nodes n using (scene_id)
-)
-select point_id, node_id, round(d, 6) as distance from pairs
-qualify row_number() over (partition by point_id order by d, node_id) = 1""",
+    "G10_nearest_node": NEAREST_NODE,
     "G11_track_nearest_node": f"""with recursive {WALKS},
 tracked as (
   select episode_id, cast(-1 as bigint) as step, node_id from ranked_starts where place = 1
@@ -672,6 +713,35 @@ tracked as (
     join options o on o.scene_id = w.scene_id and o.node_id = t.node_id) where place = 1
 )
 select episode_id, step, node_id from tracked where step >= 0""",
+    "G10_nearest_node_deep": NEAREST_NODE,
+    "G10_points_without_nodes": f"""with {NODES},
+points as (
+  select node_id as point_id, case when node_id % 5 = 0 then 'nowhere' else scene_id end as scene_id,
+    case when node_id % 7 <> 0 then x + 0.05 end as x, z from nodes
+),
+pairs as (
+  select p.point_id, n.node_id, sqrt((n.x - p.x) * (n.x - p.x) + (n.z - p.z) * (n.z - p.z)) as d
+  from points p join nodes n using (scene_id) where p.x is not null and n.node_id % 3 <> 0
+),
+best as (select *, row_number() over (partition by point_id order by d, node_id) as place from pairs)
+select p.point_id, b.node_id, round(b.d, 6) as distance from points p
+left join best b on b.point_id = p.point_id and place = 1""",
+    "G11_track_gaps": f"""with recursive {WALKS},
+kept as (
+  select *, row_number() over (partition by episode_id order by step) - 1 as place from walks
+  where not (step between 14 and 40 or (episode_id % 3 = 0 and step < 5) or (step % 11 = 3))
+),
+tracked as (
+  select episode_id, cast(-1 as bigint) as place, cast(-1 as bigint) as step, node_id from ranked_starts
+  where place = 1 and episode_id % 5 <> 4
+  union all
+  select episode_id, place, step, to_id from (
+    select w.episode_id, w.place, w.step, o.to_id, row_number() over (partition by w.episode_id
+      order by sqrt((to_x - w.x) * (to_x - w.x) + (to_z - w.z) * (to_z - w.z)), rank) as choice
+    from tracked t join kept w on w.episode_id = t.episode_id and w.place = t.place + 1
+    join options o on o.scene_id = w.scene_id and o.node_id = t.node_id) where choice = 1
+)
+select k.episode_id, k.step, t.node_id from kept k left join tracked t on t.episode_id = k.episode_id and t.place = k.place""",
     "G12_same_floor_nodes": f"""with recursive {NODES},{RASTER},
 valid as (
   select distinct cast(label as varchar) as scene_id, i as r, cast(floor(abs(v) * 1000) as bigint) % 64 as c from raster
@@ -705,13 +775,13 @@ stacked as (
 )
 select map_id, row, col, arg_max(code, z) as code from stacked group by all""",
     "R1_resample_failed": f"""with {indexed(3)},
-marked as (select task_idx, step, mode, step % 4 = 3 as failed, {seeded(2**32, 'task_idx', 'step')} as number from indexed where is_sample),
+marked as (select task_idx, step, mode, step % 4 = 3 as failed, {seeded(2**60, 'task_idx', 'step')} as number from indexed where is_sample),
 total as (select count(*) as n, cast(ceil(count(*) / 65536.0) as bigint) as buckets from marked where not failed),
 good as (
   select m.*, row_number() over (order by number % buckets, number, task_idx, step) - 1 as place from marked m, total
   where not failed
 ),
-lost as (select task_idx, step, {seeded(2**32, 'task_idx', 'step', seed=43)} % n as place from marked, total where failed)
+lost as (select task_idx, step, {seeded(2**60, 'task_idx', 'step', seed=43)} % n as place from marked, total where failed)
 select task_idx, step, mode, task_idx as from_task_idx, step as from_step, false as replaced from good
 union all
 select l.task_idx, l.step, g.mode, g.task_idx, g.step, true from lost l join good g using (place)""",

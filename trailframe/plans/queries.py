@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailframe.config import NavConfig
@@ -118,9 +118,59 @@ def union_roots(spark, sf_dir):
         whole("root_no"),
         "task_id",
         whole("schema_version"),
+        (F.count(F.lit(1)).over(Window.partitionBy("root", "document", "task_idx")) == 1).alias("unique_key"),
+        "task_idx",
     )
 
 
+@query("S1_corrupt_documents")
+def corrupt_documents(spark, sf_dir):
+    """Documents of root 1 are cut short; in root 3 actions that begin with 1 hold a word."""
+    number = F.substring_index("root", "-", 1)
+    cut = F.expr("substring(text, 1, length(text) div 2)")
+    flawed = F.when(number == "1", cut).when(
+        number == "3", F.replace("text", F.lit('"actions":[1,'), F.lit('"actions":["x",1,'))
+    )
+    folder = shared_folder(spark, "corrupt")
+    documents = fx.exploration_documents(spark, sf_dir).withColumn("text", F.coalesce(flawed, "text"))
+    documents.repartition("root").write.partitionBy("root").text(folder)
+    loaded = exploration.load_documents(spark, f"{folder}/root=*/*.txt", one_per_line=True)
+    broken = validate.document_violations(loaded, [30]).select("root", F.lit(None).cast("string").alias("task_id"), "rule")
+    tasks = exploration.parse_tasks(loaded)
+    names = tasks.select("root", "document", "task_idx", "task_id")
+    unread = validate.violations(tasks, [23]).join(names, ["root", "document", "task_idx"]).select("root", "task_id", "rule")
+    return broken.unionByName(unread).withColumn("root", F.substring_index("root", "=", -1))
+
+
+@query("V1_empty_document")
+def empty_documents(spark, sf_dir):
+    """Documents whose list of tasks is empty are checked all the same."""
+    emptied = fx.exploration_documents(spark, sf_dir).select(
+        "root", F.concat(F.substring_index("text", '"tasks":[', 1), F.lit('"tasks":[]}')).alias("text")
+    )
+    folder = shared_folder(spark, "empty")
+    emptied.write.partitionBy("root").text(folder)
+    loaded = exploration.load_documents(spark, f"{folder}/root=*/*.txt", one_per_line=True)
+    found = validate.document_violations(loaded)
+    return found.select(F.substring_index("root", "=", -1).alias("root"), "rule", "detail")
+
+
+@query("S3_corrupt_items")
+def corrupt_items(spark, sf_dir):
+    """Every third file of conversations is cut short."""
+    documents = fx.conversation_documents(spark, sf_dir)
+    cut = F.expr("substring(text, 1, length(text) div 2)")
+    documents = documents.withColumn("text", F.when(F.pmod("file", F.lit(3)) == 1, cut).otherwise(F.col("text")))
+    folder = shared_folder(spark, "cut")
+    documents.repartition("file").write.partitionBy("file").text(folder)
+    path = f"{folder}/file=*/*.txt"
+    lost = conversation_source.unreadable_conversations(spark, path)
+    lost = lost.select("source", F.lit(0).cast("bigint").alias("items"), "reason")
+    read = conversation_source.load_conversations(spark, path).groupBy("source").agg(F.count(F.lit(1)).alias("items"))
+    both = lost.unionByName(read.withColumn("reason", F.lit(None).cast("string")))
+    return both.select(F.regexp_extract("source", r"file=(\d+)/", 1).cast("bigint").alias("file"), "items", "reason")
+
+
 @query("S3_load_conversations")
 def load_conversations(spark, sf_dir):
     folder = shared_folder(spark, "conversations")
@@ -154,6 +204,20 @@ def resolve_images(spark, sf_dir):
     )
 
 
+@query("S4_two_roots")
+def resolve_images_of_two_roots(spark, sf_dir):
+    """Both roots hold the same paths and keys, one of them twice."""
+    rows = wanted_images(spark, sf_dir)
+    wanted = rows.drop("root").withColumn("root", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    store = fx.image_store(rows)
+    named = lambda root: F.encode(F.concat_ws(":", F.lit(root), "store", "key"), "utf-8")
+    parts = [store.withColumns({"root": F.lit(r), "bytes": named(r)}) for r in ("a", "b", "b")]
+    found = images.resolve_images(wanted, parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return found.select(
+        "root", "rel_path", whole("priority"), "store", "key", F.decode("bytes", "utf-8").alias("content")
+    )
+
+
 @query("S5_check_image_files")
 def check_image_files(spark, sf_dir):
     wanted = wanted_images(spark, sf_dir)
@@ -245,10 +309,6 @@ def format_coords(spark, sf_dir):
     )
 
 
-def history_rows(spark, sf_dir, version=3, samples_only=True):
-    return samples.with_history(indexed(spark, sf_dir, version), CONFIG, look_up=False, samples_only=samples_only)
-
-
 @query("P7_build_prompt")
 def build_prompts(spark, sf_dir):
     rows = indexed(spark, sf_dir).where("is_sample").withColumn("f", steps.visible_frontiers())
@@ -336,7 +396,7 @@ def parsed_tasks(spark, sf_dir) -> DataFrame:
 def _rule(number):
     def run(spark, sf_dir):
         tasks = parsed_tasks(spark, sf_dir)
-        found = validate.violations(tasks).where(F.col("rule_no") == number)
+        found = validate.violations(tasks, [number])
         return found.select("root", "task_idx", whole("step"), "rule", "detail")
 
     return run
@@ -429,19 +489,29 @@ def _sequences(version):
     return run
 
 
-def _history(version):
+def _history(version, derive=lambda rows: rows):
     def run(spark, sf_dir):
-        return history_rows(spark, sf_dir, version).select(
+        found = samples.sample_history(derive(fx.nav_steps(spark, sf_dir, version)), CONFIG)
+        return found.select(
             "task_idx", whole("step"), F.size("history").cast("bigint").alias("frames"), joined(F.col("history")).alias("history")
         )
 
     return run
 
 
+def long_tasks(rows: DataFrame) -> DataFrame:
+    """All users of a root as one task; every change of the user is an interruption."""
+    user = F.col("task_idx")
+    return rows.withColumns(
+        {"task_idx": F.pmod(user, F.lit(2)), "step": (user * 1000 + F.col("step")).cast("int")}
+    )
+
+
 for _version in (2, 3):
     QUERIES[f"W1_sample_index_v{_version}"] = _sample_index(_version)
     QUERIES[f"W2_action_sequence_v{_version}"] = _sequences(_version)
     QUERIES[f"W3_history_frames_v{_version}"] = _history(_version)
+    QUERIES[f"W3_history_many_gaps_v{_version}"] = _history(_version, long_tasks)
 
 
 @query("W4_video_frame_plan")
@@ -481,7 +551,7 @@ def labelled(spark, sf_dir) -> DataFrame:
 
 @query("A3_pad_batch")
 def pad_batch(spark, sf_dir):
-    padded = batches.pad_batches(labelled(spark, sf_dir), "doc_id", 8, PAD, shards=4)
+    padded = batches.pad_batches(labelled(spark, sf_dir), "doc_id", 8, PAD)
     return padded.select(
         "doc_id",
         whole("shard"),
@@ -681,6 +751,27 @@ def nearest(spark, sf_dir):
     return found.select("point_id", "node_id", rounded("distance"))
 
 
+@query("G10_nearest_node_deep")
+def nearest_deep(spark, sf_dir):
+    nodes = fx.graph_nodes(spark, sf_dir)
+    points = nodes.select("scene_id", F.col("node_id").alias("point_id"), (F.col("x") + 0.05).alias("x"), "z")
+    return graph.nearest_node(points, nodes, ["point_id"], leaf_nodes=1).select("point_id", "node_id", rounded("distance"))
+
+
+@query("G10_points_without_nodes")
+def nearest_of_few(spark, sf_dir):
+    nodes, p = fx.graph_nodes(spark, sf_dir), F.col("node_id")
+    points = nodes.select(
+        F.when(F.pmod(p, F.lit(5)) == 0, "nowhere").otherwise(F.col("scene_id")).alias("scene_id"),
+        p.alias("point_id"),
+        F.when(F.pmod(p, F.lit(7)) != 0, F.col("x") + 0.05).alias("x"),
+        "z",
+    )
+    flawed = nodes.withColumn("x", F.when(F.pmod(p, F.lit(3)) != 0, F.col("x")))
+    found = graph.nearest_node(points, flawed, ["point_id"])
+    return found.select("point_id", "node_id", rounded("distance"))
+
+
 def tracking_inputs(spark, sf_dir):
     nodes, walks = fx.graph_nodes(spark, sf_dir), fx.graph_walks(spark, sf_dir)
     starts = graph.nearest_node(walks.where("step = 0"), nodes, ["episode_id"]).select("episode_id", "node_id")
@@ -693,6 +784,17 @@ def track(spark, sf_dir):
     return tracked.select("episode_id", whole("step"), "node_id")
 
 
+@query("G11_track_gaps")
+def track_gaps(spark, sf_dir):
+    """Late starts, missing steps, whole missing blocks, and episodes without a start."""
+    walks, nodes, edges, starts = tracking_inputs(spark, sf_dir)
+    e, step = F.col("episode_id"), F.col("step")
+    gone = step.between(14, 40) | ((F.pmod(e, F.lit(3)) == 0) & (step < 5)) | (F.pmod(step, F.lit(11)) == 3)
+    started = starts.where(F.pmod(e, F.lit(5)) != 4)
+    tracked = graph.track_nearest_node(walks.where(~gone), nodes, edges, started, block_rows=8)
+    return tracked.select("episode_id", whole("step"), "node_id")
+
+
 @query("G12_same_floor_nodes")
 def same_floor(spark, sf_dir):
     nodes = fx.graph_nodes(spark, sf_dir)
