@@ -122,6 +122,21 @@ def test_segments(spark):
         raster.densify_segment(frame, "wavy")
 
 
+def test_clipped_segments_keep_the_cells_on_the_map(spark):
+    ends = [(1, -90, 4, 200, 50), (2, 3, 3, 3, 3), (3, 10, -70, 10, 300), (4, -9, -9, -2, -9), (5, 63, 0, 0, 63), (6, 5, 200, 90, 2)]
+    frame = spark.createDataFrame(ends, "k int, row1 int, col1 int, row2 int, col2 int")
+    sized = frame.withColumns({"n_rows": F.lit(64), "n_cols": F.lit(64)})
+    inside = "row >= 0 and row < 64 and col >= 0 and col < 64"
+    for style, gap in (("dotted", 15), ("dashed", 10), ("filled", 1)):
+        cells = [
+            {tuple(r) for r in raster.densify_segment(f, style, gap).where(inside).select("k", "row", "col").collect()}
+            for f in (frame, sized)
+        ]
+        assert cells[0] == cells[1] and cells[0]
+    far = spark.createDataFrame([(1, 0, 0, 7, 2_000_000_000)], frame.schema).withColumns({"n_rows": F.lit(64), "n_cols": F.lit(64)})
+    assert raster.densify_segment(far, "filled").count() < 100
+
+
 def test_waypoints_on_the_edge(spark):
     edge = points(spark, [(0, 0, 0.0, 5.0)])
     assert raster.waypoint_layer(edge, "prediction").isEmpty()

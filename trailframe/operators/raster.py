@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions.geometry import grid_cell
+from trailframe.operators.blocks import BLOCK, across_blocks, attach_carry, with_block, within_block
 
 # ---------------------------------------------------------------------------
 # Cell codes, their colours, paddings in metres.
@@ -124,6 +125,15 @@ def _dot_count(gap: int) -> Column:
     return F.ceil(F.col("_length") / F.lit(float(gap))).cast("int")
 
 
+def _dot_range(segments: DataFrame, least: int, gap: int) -> tuple[Column, Column]:
+    """Numbers of the first and last dot (or dash end) that can lie on the map."""
+    low, high = _on_map(segments)
+    dots = F.col("_length") / F.lit(float(gap))
+    first = F.greatest(F.floor(low * dots).cast("int") - 1, F.lit(least))
+    last = F.least(F.ceil(high * dots).cast("int") + 1, _dot_count(gap) - 1)
+    return first, F.when(low <= high, last).otherwise(first - 1)
+
+
 def _with_length(segments: DataFrame) -> DataFrame:
     rows, cols = F.col("row2") - F.col("row1"), F.col("col2") - F.col("col1")
     return segments.withColumn("_length", F.sqrt((rows * rows + cols * cols).cast("double")))
@@ -135,8 +145,35 @@ def _dot(a: str, b: str, number: Column, gap: int) -> Column:
     return (F.col(a) * (F.lit(1.0) - part) + F.col(b) * part + F.lit(0.5)).cast("int")
 
 
+def _on_map(lines: DataFrame) -> tuple[Column, Column]:
+    """Parts (0 to 1) of a segment between which it can touch its map, two cells more.
+
+    Without the map's size the whole segment.
+    """
+    if not {"n_rows", "n_cols"} <= set(lines.columns):
+        return F.lit(0.0), F.lit(1.0)
+
+    def bounds(a: str, b: str, size: str) -> tuple[Column, Column]:
+        start, delta = F.col(a).cast("double"), (F.col(b) - F.col(a)).cast("double")
+        enters = F.try_divide(F.lit(-2.0) - start, delta)
+        leaves = F.try_divide(F.col(size) + F.lit(2.0) - start, delta)
+        near = start.between(-2.0, F.col(size) + 2)
+        still = lambda inside, outside: F.when(near, inside).otherwise(outside)
+        return (
+            F.when(delta == 0, still(0.0, 1.0)).otherwise(F.least(enters, leaves)),
+            F.when(delta == 0, still(1.0, 0.0)).otherwise(F.greatest(enters, leaves)),
+        )
+
+    (low_r, high_r), (low_c, high_c) = bounds("row1", "row2", "n_rows"), bounds("col1", "col2", "n_cols")
+    return F.greatest(low_r, low_c, F.lit(0.0)), F.least(high_r, high_c, F.lit(1.0))
+
+
 def _draw_lines(lines: DataFrame, others: Sequence[str]) -> DataFrame:
-    """Cells of the lines between two cells each, both ends included."""
+    """Cells of the lines between two cells each, both ends included.
+
+    Where the size of the map is known, cells far outside are never made.
+    """
+    low, high = _on_map(lines)
     rows, cols = F.col("row2") - F.col("row1"), F.col("col2") - F.col("col1")
     numbered = lines.select(
         *others,
@@ -145,7 +182,15 @@ def _draw_lines(lines: DataFrame, others: Sequence[str]) -> DataFrame:
         rows.alias("_rows"),
         cols.alias("_cols"),
         F.greatest(F.abs(rows), F.abs(cols)).alias("_n"),
-    ).select("*", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("_k"))
+        low.alias("_low"),
+        high.alias("_high"),
+    )
+    numbered = numbered.where("_low <= _high").select(
+        *[c for c in numbered.columns if c not in ("_low", "_high")],
+        F.explode(
+            F.sequence(F.floor(F.col("_low") * F.col("_n")).cast("int"), F.ceil(F.col("_high") * F.col("_n")).cast("int"))
+        ).alias("_k"),
+    )
 
     def along(start: str, delta: str) -> Column:
         part = (F.col(delta) * F.col("_k") * 2 + F.col("_n")) / (F.greatest("_n", F.lit(1)) * 2)
@@ -169,16 +214,19 @@ def densify_segment(segments: DataFrame, style: str = "dotted", gap: int = DOT_G
         return _draw_lines(segments, others)
     measured = _with_length(segments)
     if style == "dotted":
-        dots = measured.where("_length > 0").select(
-            "*", F.explode(F.sequence(F.lit(0), _dot_count(gap) - 1)).alias("_i")
+        first, last = _dot_range(measured, 0, gap)
+        dots = measured.where((F.col("_length") > 0) & (first <= last)).select(
+            "*", F.explode(F.sequence(first, last)).alias("_i")
         )
         return dots.select(
             *others,
             _dot("row1", "row2", F.col("_i"), gap).alias("row"),
             _dot("col1", "col2", F.col("_i"), gap).alias("col"),
         )
-    dashes = measured.where(_dot_count(gap) > 1).select(
-        "*", F.explode(F.sequence(F.lit(1), _dot_count(gap) - 1, F.lit(2))).alias("_i")
+    first, last = _dot_range(measured, 1, gap)
+    first = first + (first + 1) % 2  # dashes end at odd dots
+    dashes = measured.where((_dot_count(gap) > 1) & (first <= last)).select(
+        "*", F.explode(F.sequence(first, last, F.lit(2))).alias("_i")
     )
     pieces = dashes.select(
         *others,
@@ -187,6 +235,7 @@ def densify_segment(segments: DataFrame, style: str = "dotted", gap: int = DOT_G
         _dot("row1", "row2", F.col("_i"), gap).alias("_r2"),
         _dot("col1", "col2", F.col("_i"), gap).alias("_c2"),
     )
+    # The sizes of the map are among the columns kept.
     named = pieces.withColumnsRenamed({"_r1": "row1", "_c1": "col1", "_r2": "row2", "_c2": "col2"})
     return _draw_lines(named, others)
 
@@ -194,14 +243,26 @@ def densify_segment(segments: DataFrame, style: str = "dotted", gap: int = DOT_G
 def _path_segments(path: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Pair every point with the next one of its path.
 
-    The next point is met in an equi-join on its number, so that a long path
-    is not sorted in one task; ``order`` counts 0, 1, 2, ...
+    ``order`` is a whole number; numbers may be missing.  Points are paired
+    within blocks of the path, and a block's last point with the first of the
+    next block, so that a long path is not sorted in one task.
     """
-    here = path.select(*path.columns).withColumnsRenamed({"row": "row1", "col": "col1"})
-    there = path.select(
-        *keys, (F.col(order) - 1).alias(order), F.col("row").alias("row2"), F.col("col").alias("col2")
+    cell = F.struct("row", "col")
+    rows = with_block(path, order).withColumn("_next", F.lead(cell).over(within_block(keys, order)))
+
+    def carry(summary: DataFrame) -> DataFrame:
+        return summary.select(*keys, BLOCK, F.lead("_head").over(across_blocks(keys)).alias("_after"))
+
+    linked = attach_carry(rows, keys, [F.min_by(cell, order).alias("_head")], carry)
+    paired = linked.withColumn("_next", F.coalesce("_next", "_after")).where("_next is not null")
+    others = [c for c in path.columns if c not in ("row", "col")]
+    return paired.select(
+        *others,
+        F.col("row").alias("row1"),
+        F.col("col").alias("col1"),
+        F.col("_next.row").alias("row2"),
+        F.col("_next.col").alias("col2"),
     )
-    return here.join(there, [*keys, order])
 
 
 def reference_path_layer(path: DataFrame, keys: Sequence[str] = ("map_id",), order: str = "step") -> DataFrame:

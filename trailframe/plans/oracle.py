@@ -443,6 +443,15 @@ pairs as (
 select point_id, node_id, round(d, 6) as distance from pairs
 qualify row_number() over (partition by point_id order by d, node_id) = 1"""
 
+_NEXT = """paired as (
+  select * from (select map_id, step, r as row1, c as col1, lead(r) over p as row2, lead(c) over p as col2 from placed
+    window p as (partition by map_id order by step)) where row2 is not null
+)"""
+_PAIRED = MAP_POINTS[MAP_POINTS.index("paired as (") :]
+GAP_POINTS = MAP_POINTS.replace(_PAIRED, _NEXT).replace(
+    "  from episode_steps\n),\nmoved", "  from episode_steps where step % 5 <> 2 and step <> 7\n),\nmoved"
+)
+
 ORACLES: dict[str, str] = {
     "S1_load_tasks": f"""with {DOCUMENTS}
 select root, task_no as task_idx, task_id, schema_version, n_actions,
@@ -500,6 +509,44 @@ best as (
 )
 select w.root, w.rel_path, priority, store, key, store || ':' || key as content
 from wanted w left join best using (root, rel_path)""",
+    "S7_mixed_corpus": f"""with {samples(3)},{TURNS}
+select 'navigation' as kind, root as source, task_idx || '/' || step as sample_id, md5(prompt) as prompt_md5, response,
+  concat_ws(' ', hist_paths, printf('%s/%s/%s/rgb/step_%04d.jpg', root, scene_id, task_id, step)) as images,
+  coalesce(n_hist, 0) + 1 as n_images from samples
+union all
+select 'conversation', 'chat', 'c' || conv_id, md5(prompt), response, '', n_images from flat""",
+    "A4_collate": f"""with {samples(3)},{TURNS},
+texts as (
+  select 'navigation/' || root || '/' || task_idx || '/' || step as key, prompt, response from samples
+  union all select 'conversation/chat/c' || conv_id, prompt, response from flat
+),
+coded as (
+  select key, list_transform(string_split(response, ' '), lambda w: length(w)) as response,
+    list_concat(list_concat(list_transform(string_split(prompt, ' '), lambda w: length(w)), [2, 3]),
+      list_concat(list_transform(string_split(response, ' '), lambda w: length(w)), [7]))[1:4096] as ids from texts
+),
+found as (
+  select *, {last_at('ids', '[2, 3]')} as marker_at, {last_at('ids', 'response')} as response_at,
+    list_max(list_filter(range(len(ids)), lambda i: ids[i + 1] = 7)) as last_eos from coded
+),
+starts as (
+  select *, case when marker_at >= 0 then marker_at + 2 when response_at >= 0 then response_at
+                 else len(ids) // 2 end as loss_start from found
+),
+numbered as (
+  select *, {seeded(2**60, 'key')} as number, list_transform(range(len(ids)), lambda i: case when i = last_eos then ids[i + 1]
+      when ids[i + 1] = 7 or i < loss_start then -100 else ids[i + 1] end) as labels from starts
+),
+placed as (
+  select *, number % shards as shard, (row_number() over (partition by number % shards order by number, key) - 1) // 8 as batch_id
+  from numbered, (select greatest(1, cast(ceil(count(*) / 65536.0) as bigint)) as shards from numbered)
+),
+sized as (select *, max(len(ids)) over (partition by shard, batch_id) - len(ids) as missing, len(ids) as n from placed)
+select key, shard, batch_id,
+  md5(array_to_string(list_concat(ids, list_transform(range(missing), lambda i: 0)), ',')) as input_ids,
+  md5(array_to_string(list_concat(labels, list_transform(range(missing), lambda i: -100)), ',')) as labels,
+  md5(array_to_string(list_transform(range(n + missing), lambda i: case when i < n then 1 else 0 end), ',')) as attention_mask
+from sized""",
     "S5_check_image_files": f"""with {WANTED}
 select rel_path as path, case when step % 4 = 3 then 'missing' else 'empty' end as reason
 from wanted where step % 4 = 3 or step % 5 = 0""",
@@ -694,6 +741,11 @@ select map_id, step, r as row, c as col from triangles""",
 {_square('placed', 'squares')}
 select distinct map_id, r as row, c as col, 14 as code from (select map_id, r, c from lines {INSIDE}
   union all select map_id, r, c from squares)""",
+    "G6_reference_path_gaps": f"""with {GAP_POINTS},{_dots('paired', 10, 'dots')},{_dashes('dots', 'dashes')},{_lines('dashes', 'lines')},
+{_square('placed', 'squares')}
+select distinct map_id, r as row, c as col, 14 as code from (select map_id, r, c from lines {INSIDE}
+  union all select map_id, r, c from squares)""",
+    "G7_straight_path_gaps": f"with {GAP_POINTS},{_lines('paired', 'lines')} {_layer('lines', 14)} {INSIDE}",
     "G7_straight_path_layer": f"with {MAP_POINTS},{_lines('paired', 'lines')} {_layer('lines', 14)} {INSIDE}",
     "G8_endpoints_layer": f"""with {MAP_POINTS},{STARTS},{_square('starts', 'first')},{_square('goals', 'last')}
 select map_id, row, col, max(code) as code from ({_layer('first', 4)} union all {_layer('last', 6)}) group by all""",

@@ -22,6 +22,7 @@ from trailframe.functions.tokens import attention_mask, last_subsequence, trunca
 from trailframe.operators import (
     batches,
     conversations,
+    corpus,
     counts,
     graph,
     images,
@@ -187,6 +188,43 @@ def load_conversations(spark, sf_dir):
     )
 
 
+def mixed(spark, sf_dir) -> DataFrame:
+    navigation = samples.build_samples(fx.nav_steps(spark, sf_dir), CONFIG)
+    flat = conversations.flatten_conversation(fx.conversation_turns(spark, sf_dir))
+    items = flat.select(
+        F.lit("chat").alias("source"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("item_id"),
+        "prompt", "response", "n_images",
+    )
+    return corpus.mixed_corpus(navigation, items)
+
+
+@query("S7_mixed_corpus")
+def mixed_corpus(spark, sf_dir):
+    return mixed(spark, sf_dir).select(
+        "kind", "source", "sample_id", F.md5("prompt").alias("prompt_md5"), "response",
+        F.array_join("images", " ").alias("images"), whole("n_images"),
+    )
+
+
+@query("A4_collate")
+def collate(spark, sf_dir):
+    """Samples of both kinds to padded batches; word lengths stand for token ids."""
+    ids = lambda name: F.transform(F.split(name, " "), lambda w: F.length(w))
+    rows = mixed(spark, sf_dir).select(
+        F.concat_ws("/", "kind", "source", "sample_id").alias("key"),
+        F.concat(ids("prompt"), F.array(F.lit(2), F.lit(3)), ids("response"), F.array(F.lit(EOS))).alias("ids"),
+        ids("response").alias("response"),
+    )
+    marked = batches.label_samples(
+        rows, F.array(F.lit(2), F.lit(3)), F.col("response"), EOS, max_length=CONFIG.max_seq_length
+    )
+    padded = batches.pad_batches(marked, "key", 8, PAD)
+    return padded.select(
+        "key", whole("shard"), whole("batch_id"),
+        *[F.md5(joined(F.col(c))).alias(c) for c in ("input_ids", "labels", "attention_mask")],
+    )
+
+
 def wanted_images(spark, sf_dir) -> DataFrame:
     no_root = F.lit(None).cast("string")
     rel = image_path(no_root, F.col("scene_id"), F.col("task_id"), F.col("step"), CONFIG)
@@ -721,6 +759,21 @@ def straight_path(spark, sf_dir):
     return cells_of(raster.straight_path_layer(fx.map_points(spark, sf_dir)))
 
 
+def broken_paths(spark, sf_dir) -> DataFrame:
+    """Paths with missing steps."""
+    return fx.map_points(spark, sf_dir).where((F.pmod("step", F.lit(5)) != 2) & (F.col("step") != 7))
+
+
+@query("G6_reference_path_gaps")
+def reference_path_gaps(spark, sf_dir):
+    return cells_of(raster.reference_path_layer(broken_paths(spark, sf_dir)))
+
+
+@query("G7_straight_path_gaps")
+def straight_path_gaps(spark, sf_dir):
+    return cells_of(raster.straight_path_layer(broken_paths(spark, sf_dir)))
+
+
 def end_points(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     points = fx.map_points(spark, sf_dir)
     goals = points.where("step in (5, 7)").withColumn("goal_no", (F.col("step") - 5) / 2)
