@@ -103,7 +103,7 @@ def content_parts(samples: DataFrame, n_images: Column, token: str = "<image>")
 
     Text parts are non-empty; image parts last while there are images.
     """
-    segments = F.split("prompt", token.replace("|", r"\|"))
+    segments = F.split("prompt", rf"\Q{token}\E")
     parts = F.flatten(
         F.transform(
             segments,

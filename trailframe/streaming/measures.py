@@ -28,8 +28,8 @@ from trailframe.session import STATE_STORE
 
 _COLUMNS = ("step", "x", "y", "z", "distance_to_goal", "spl")
 _STEP = "step INT, x DOUBLE, y DOUBLE, z DOUBLE, distance_to_goal DOUBLE, spl DOUBLE"
-OUTPUT_SCHEMA = (
-    f"episode_id BIGINT, {BLOCK} BIGINT, step INT, path_length DOUBLE, oracle_navigation_error DOUBLE, "
+_OUTPUT = (
+    f"{BLOCK} BIGINT, step INT, path_length DOUBLE, oracle_navigation_error DOUBLE, "
     "oracle_success DOUBLE, oracle_spl DOUBLE, steps_taken DOUBLE, start DOUBLE, "
     "first_x DOUBLE, first_y DOUBLE, first_z DOUBLE, last_x DOUBLE, last_y DOUBLE, last_z DOUBLE"
 )
@@ -109,14 +109,19 @@ class BlockMeasures(StatefulProcessor):
 
 
 def stream_measures(steps: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Streaming form: one output row per input row, in append mode."""
+    """Streaming form: one output row per input row, in append mode.
+
+    A row whose predecessor never arrives waits for it, with all later rows of
+    its block; the batch operator is the one for episodes with missing steps.
+    """
     steps.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    key_type = steps.schema["episode_id"].dataType.simpleString()
     keyed = with_block(
         steps.select("episode_id", "step", "x", "y", "z", "distance_to_goal", "spl"), "step", block_rows
     )
     return keyed.groupBy("episode_id", BLOCK).transformWithStateInPandas(
         statefulProcessor=BlockMeasures(block_rows),
-        outputStructType=OUTPUT_SCHEMA,
+        outputStructType=f"episode_id {key_type}, {_OUTPUT}",
         outputMode="Append",
         timeMode="None",
     )
