@@ -7,8 +7,8 @@ inequality every such collision is a true link.
 
 * **Messages.**  All variants of a fingerprint that agree on the leading key
   bits travel as one row ``(key, fingerprint)``: the other flips can be redone
-  at the receiver, which knows how many flips are left.  With 24 key bits a
-  fingerprint sends 301 rows instead of 2,081.  The number of key bits grows
+  at the receiver, which knows how many flips are left.  With 22 key bits a
+  fingerprint sends 254 rows instead of 2,081.  The number of key bits grows
   with the logarithm of the number of fingerprints, which keeps the rows per
   key constant.
 * **Receivers.**  Rows arrive sorted by key.  The few rows of an ordinary key
@@ -46,7 +46,9 @@ HALF_RADIUS = 2
 RADIUS = 2 * HALF_RADIUS
 
 # Blocks up to FEW rows are compared directly, above BLOCK_ROWS shuffled again.
-FEW = 24
+FEW = 48
+# Key bits beyond the logarithm of the number of fingerprints; some 15 rows share a key.
+SPARE_BITS = 4
 BLOCK_ROWS = 4096
 CELLS = 1 << 16
 MAX_HOT_CELLS = 4096
@@ -243,7 +245,7 @@ def links_of(fps: DataFrame, total: int, key_bits: int | None = None, block_rows
     component: the same components as with all pairs.
     """
     if key_bits is None:
-        key_bits = min(40, max(16, math.ceil(math.log2(max(2, total))) + 6))
+        key_bits = min(40, max(16, math.ceil(math.log2(max(2, total))) + SPARE_BITS))
     sent = messages(fps, key_bits).withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(CELLS)))
     most = max(block_rows, total * len(_masks(key_bits, HALF_RADIUS)) // MAX_HOT_CELLS)
     # At most MAX_HOT_CELLS cells can hold more than that.
