@@ -1,11 +1,13 @@
 """Token ids of whole texts, by the tokenizers library, with repeated words encoded once.
 
-A byte-level vocabulary splits text before any merge, and a space that follows
-a visible character always begins a new part.  Texts are cut at such spaces;
-equal cuts have equal ids, whatever stands around them.  Distinct cuts are
-encoded by the library in long lines of words, whose ids are taken apart where a
-token begins with a space, and are kept in a bounded table per worker.  Texts
-that hold a special string are encoded whole.
+A byte-level vocabulary splits text before any merge, and a space or a line end
+that follows a visible character always begins a new part; a line end between
+visible characters is a part of its own.  Texts are cut there; equal cuts have
+equal ids, whatever stands around them.  Distinct cuts are encoded by the
+library in long lines, whose ids are taken apart where a token begins with a
+space or is a line end, and are kept in a bounded table per worker.  Texts with
+other runs of blanks are cut at spaces only; texts that hold a special string
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ import numpy as np
 
 KEPT_WORDS = 1_000_000
 _LINE_WORDS = 500
-_BATCH_CHARS = 1 << 20
+_SHORT = 9
+_BATCH_CHARS = 1 << 21
 
-#: A blank that is no space, before a space: the space then does not begin a part.
-_JOINED = re.compile(r"[^\S ] |  ")
-_BLANK = re.compile(r"\s")
+#: Blanks other than single spaces and line ends between visible characters.
+_ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -42,8 +44,9 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[k for piece, k in vocabulary.items() if piece.startswith("Ġ")]] = True
-        self.head: dict[str, bytes] = {"": b""}
-        self.tail: dict[str, bytes] = {}
+        self.line_end = self._whole(["\n"])[0]
+        self.first: dict[str, bytes] = {"": b""}  # words at the start of a line
+        self.later: dict[str, bytes] = {}  # words after a space
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -55,47 +58,61 @@ class Encoder:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _lines(self, words: list[str]) -> list[bytes]:
-        """Ids of words without blanks, each after a space."""
-        lines = ["".join([" " + w for w in words[i : i + _LINE_WORDS]]) for i in range(0, len(words), _LINE_WORDS)]
-        ids = b"".join(self._whole(lines))
-        starts = np.flatnonzero(self.spaced[np.frombuffer(ids, "<u4")])
+    def _apart(self, words: list[str], blank: str) -> list[bytes]:
+        """Ids of visible words, each after a space or at the start of a line."""
+        spaced = blank == " "
+        lines = [blank.join(words[i : i + _LINE_WORDS]) for i in range(0, len(words), _LINE_WORDS)]
+        coded = self._whole([blank + line for line in lines])
+        data = b"".join(coded)
+        ids = np.frombuffer(data, "<u4")
+        starts = np.flatnonzero(self.spaced[ids] if spaced else ids == np.frombuffer(self.line_end, "<u4")[0])
         if len(starts) != len(words):
-            return self._whole([" " + w for w in words])
-        ends = [*(4 * starts[1:]).tolist(), len(ids)]
-        return [ids[a:b] for a, b in zip((4 * starts).tolist(), ends)]
+            return self._whole([" " + w for w in words] if spaced else words)
+        ends = [*(4 * starts[1:]).tolist(), len(data)]
+        skip = 0 if spaced else len(self.line_end)
+        return [data[a + skip : b] for a, b in zip((4 * starts).tolist(), ends)]
 
-    def _learn(self, known: dict[str, bytes], words: set[str], prefix: str) -> None:
+    def _learn(self, known: dict[str, bytes], words: set[str], blank: str, visible: bool) -> None:
         new = list(words.difference(known))
-        plain = [w for w in new if w and not _BLANK.search(w)] if prefix else []
-        known.update(zip(plain, self._lines(plain) if plain else []))
-        other = [w for w in new if w not in known]
-        known.update(zip(other, self._whole([prefix + w for w in other])))
+        if new:
+            # Words with blanks inside cannot be taken out of a line.
+            coded = self._apart(new, blank) if visible else self._whole([blank.strip("\n") + w for w in new])
+            known.update(zip(new, coded))
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        if len(self.head) + len(self.tail) > KEPT_WORDS:
-            self.head, self.tail = {"": b""}, {}
-        cuts: list[list[str] | None] = []
-        heads: set[str] = set()
-        tails: set[str] = set()
+        if len(self.first) + len(self.later) > KEPT_WORDS:
+            # Short words are the frequent ones; they stay.
+            self.first = {"": b""}
+            self.later = {w: ids for w, ids in self.later.items() if len(w) <= _SHORT}
+        cuts: list[list[list[str]] | None] = []
+        # Words of ordinary texts, and of texts with odd blanks.
+        first: tuple[list[str], list[str]] = ([], [])
+        later: tuple[set[str], set[str]] = (set(), set())
         for text in texts:
             if self.special and self.special.search(text):
                 cuts.append(None)
                 continue
-            if _JOINED.search(text):
+            odd = _ODD.search(text) is not None
+            if odd:
                 parts = _CUT.split(text)
-                words = [parts[0], *[p[1:] for p in parts[1:]]]
+                lines = [[parts[0], *[p[1:] for p in parts[1:]]]]
             else:
-                words = text.split(" ")
-            cuts.append(words)
-            heads.add(words[0])
-            tails.update(words[1:])
-        self._learn(self.head, heads, "")
-        self._learn(self.tail, tails, " ")
-        head, tail = self.head, self.tail.__getitem__
+                lines = [line.split(" ") for line in text.split("\n")]
+            cuts.append(lines)
+            for words in lines:
+                first[odd].append(words[0])
+                later[odd].update(words[1:])
+        for odd in (False, True):
+            self._learn(self.first, set(first[odd]), "\n", not odd)
+            self._learn(self.later, later[odd], " ", not odd)
+        # A small table for this batch alone is quicker to search than all words.
+        here = {w: self.later[w] for part in later for w in part}
+        find, start = here.__getitem__, self.first
         return [
-            self._whole([text])[0] if words is None else head[words[0]] + b"".join(map(tail, words[1:]))
-            for text, words in zip(texts, cuts)
+            self._whole([text])[0]
+            if lines is None
+            else self.line_end.join([start[words[0]] + b"".join(map(find, words[1:])) for words in lines])
+            for text, lines in zip(texts, cuts)
         ]
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
