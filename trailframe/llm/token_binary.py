@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from trailframe.llm.common import text_of
 from trailframe.llm.encoding import Encoder
-from trailframe.session import shared_folder, write_through
+from trailframe.session import remove_at_exit, shared_folder, write_through
 
 MAGIC = b"TFPLANE1"
 BLOCK_IDS = 1 << 16
@@ -158,14 +158,19 @@ class PlaneReader:
             left = joined[size:]
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = END_ID, bits: bool = False) -> tuple[str, DataFrame]:
+def write_token_files(
+    docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = END_ID, bits: bool = False
+) -> tuple[str, DataFrame]:
     """Writes token files in ascending ``doc_id`` order; gives their folder and manifest.
 
+    ``folder`` is one that all executors share (a path or URI); without one the
+    files are intermediate and go when the application ends.
+
     The manifest ``(file_no, file, n_docs, n_ids)`` is in file order, which is
     document order.
     """
     spark = docs.sparkSession
-    folder = shared_folder(spark, "token-files")
+    given, folder = folder, folder or shared_folder(spark, "token-files")
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +207,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = END_ID, bi
         .sortWithinPartitions("doc_id", F.md5("text"))
     )
     manifest = ordered.mapInArrow(write, "file_no bigint, file string, n_docs bigint, n_ids bigint")
-    return folder, write_through(manifest, "manifest")
+    manifest = write_through(manifest, "manifest")
+    if not given:
+        remove_at_exit(spark, folder)
+    return folder, manifest
 
 
 def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
