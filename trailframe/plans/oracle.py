@@ -454,7 +454,7 @@ GAP_POINTS = MAP_POINTS.replace(_PAIRED, _NEXT).replace(
 
 ORACLES: dict[str, str] = {
     "S1_load_tasks": f"""with {DOCUMENTS}
-select root, task_no as task_idx, task_id, schema_version, n_actions,
+select cast(kind as varchar) as root, task_no as task_idx, task_id, schema_version, n_actions,
   case when defect in (0, 1) then null else 'goal' end as goal_world, defect in (4, 5, 6) as success from doc_tasks""",
     "S2_union_roots": f"""with {DOCUMENTS}
 select case when kind in (0, 2) then 'even' else 'odd' end as root, case when kind in (0, 2) then 1 else 0 end as root_no,

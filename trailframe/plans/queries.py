@@ -33,7 +33,7 @@ from trailframe.operators import (
     validate,
 )
 from trailframe.plans import fixtures as fx
-from trailframe.session import shared_folder, write_through
+from trailframe.session import remove_at_exit, shared_folder, write_through
 from trailframe.sources import conversations as conversation_source
 from trailframe.sources import exploration
 from trailframe.streaming.measures import finish_measures, stream_measures
@@ -81,14 +81,16 @@ def indexed(spark, sf_dir, version=3):
 
 
 def written_documents(spark: SparkSession, sf_dir: str) -> str:
-    """Documents derived from the tables, written as files: one folder per root."""
+    """Documents derived from the tables, written one per line: a folder per root, few files in each."""
     folder = shared_folder(spark, "documents")
-    fx.exploration_documents(spark, sf_dir).repartition("root").write.partitionBy("root").text(folder)
+    documents = fx.exploration_documents(spark, sf_dir).withColumn("root", F.substring_index("root", "-", 1))
+    documents.write.partitionBy("root").text(folder)
+    remove_at_exit(spark, folder)
     return folder
 
 
 def loaded_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = exploration.load_tasks(spark, f"{written_documents(spark, sf_dir)}/root=*/*.txt")
+    tasks = exploration.load_tasks(spark, f"{written_documents(spark, sf_dir)}/root=*/*.txt", one_per_line=True)
     return tasks.withColumn("root", F.substring_index("root", "=", -1))
 
 
