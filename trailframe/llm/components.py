@@ -42,7 +42,9 @@ def components(links: DataFrame) -> DataFrame:
             roots = merge.withColumnRenamed("p", "root")
             continue
         children = merge.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-        targets = children.join(roots.withColumnRenamed("v", "p"), "p")
-        resolved = hot_join(merge, targets, ["p"], "n", size, "left")
-        roots = write_through(resolved.select("v", F.coalesce("root", "p").alias("root")), "roots")
+        # A vertex that met no link in the later rounds is a root itself.
+        targets = children.join(roots.withColumnRenamed("v", "p"), "p", "left")
+        targets = targets.select("p", "n", F.coalesce("root", "p").alias("root"))
+        resolved = hot_join(merge, targets, ["p"], "n", size)
+        roots = write_through(resolved.select("v", "root"), "roots")
     return links.select("v", F.col("u").alias("root")) if roots is None else roots

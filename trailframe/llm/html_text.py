@@ -288,6 +288,6 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_percent: int = M
     )
     templates = site_templates(rows.select("host", "html"), min_pages, min_percent)
     total = templates.agg(F.sum("n")).first()[0] or 0
-    with_template = hot_join(rows, templates, ["host"], "n", total, "left").select("page_id", "url", "html", "template")
+    with_template = hot_join(rows, templates, ["host"], "n", total).select("page_id", "url", "html", "template")
     texts = with_template.mapInArrow(_extract, "page_id bigint, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -99,9 +99,9 @@ def thresholds(docs: DataFrame, budgets: DataFrame, total: int) -> DataFrame:
             over, under = F.col("c.before") + F.col("c.words") - F.col("c.rest"), F.col("c.rest") - F.col("c.before")
             cut = cut.select("skey", (F.col("c.bucket") + (over < under).cast("bigint")).alias("cut"))
         else:
-            cut = cut.select(
-                "skey", "n", (F.col("c.rest") - F.col("c.before")).alias("rest"), F.col("c.bucket").alias("prefix")
-            )
+            cut = cut.select("skey", (F.col("c.rest") - F.col("c.before")).alias("rest"), F.col("c.bucket").alias("prefix"))
+            # Sources without a boundary stay, with a bucket that no document has.
+            cut = budgets.select("skey", "n").join(cut, "skey", "left").fillna(-1, "prefix")
         state = write_through(cut, "cuts")
     # A source that never passes its budget is taken whole.
     return budgets.select("skey").join(state, "skey", "left").select("skey", F.coalesce("cut", everything).alias("cut"))
