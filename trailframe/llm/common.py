@@ -15,6 +15,9 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 # and their rows of the other side (one per key) may be broadcast.
 MAX_HOT_KEYS = 10_000
 
+# Lists of ids or digests up to so many rows (some 100 bytes each) are broadcast.
+MAX_BROADCAST = 100_000
+
 
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty text."""
@@ -33,17 +36,22 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANK_RUN, -1), "")
 
 
+def limited_broadcast(table: DataFrame) -> DataFrame:
+    """The written ``table`` with a broadcast hint if its rows are few; else as it is."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
+
+
 def hot_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     weight: str,
     total: int,
-    how: str = "inner",
 ) -> DataFrame:
-    """Join on ``on`` (nulls equal), safe for keys that hold a third of the left rows.
+    """Inner join on ``on`` (nulls equal), safe for keys that hold a third of the left rows.
 
-    ``right`` has one row per key, and its column ``weight`` says how many rows
+    ``right`` has one row per key (for every hot key of the left side too: without
+    a row it could not be told, and its rows would be shuffled), and its column ``weight`` says how many rows
     the key has on the left; ``total`` is the number of left rows.  Keys with
     more than ``total / MAX_HOT_KEYS`` rows number at most ``MAX_HOT_KEYS``;
     their right rows are broadcast, and the left rows of such keys stay where
@@ -65,5 +73,5 @@ def hot_join(
     cold = renamed.where(F.col(weight) <= limit)
     near = left.join(F.broadcast(hot), same, "inner")
     rest = left.join(F.broadcast(hot.select(*keys)), same, "left_anti")
-    far = rest.join(cold, same, how)
+    far = rest.join(cold, same, "inner")
     return near.unionByName(far).drop(weight, *keys)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailframe.llm.common import MAX_HOT_KEYS, hot_join, text_of, without_blanks
+from trailframe.llm.common import MAX_HOT_KEYS, hot_join, limited_broadcast, text_of, without_blanks
 from trailframe.session import write_through
 
 MAX_DEPTH = 18
@@ -154,19 +154,23 @@ def exact_dedup(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    The verdict is joined back by document id, text digest and length; of rows
-    that are repeated in full, one stays.
+    Dropped documents are left out by their id, text digest and length.  Their
+    list is broadcast up to a number of rows and shuffled beyond that; of
+    rows that are repeated in full, one stays.
     """
-    found = write_through(exact_dedup(docs), "verdict")
-    names = {"doc_id": "_id", "text_sha256": "_sha", "n_points": "_points"}
-    kept = found.where("kept").select(*[F.col(k).alias(v) for k, v in names.items()])
+    found = exact_dedup(docs)
+    keys = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_points")]
+    verdict = write_through(
+        found.groupBy(*keys).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "verdict"
+    )
+    gone = verdict.where("not kept").select("_id", "_sha", "_points")
     text = text_of()
     keyed = docs.withColumns(
         {"_id_own": F.col("doc_id").cast("bigint"), "_sha_own": F.sha2(without_blanks(text), 256), "_points_own": F.length(text)}
     )
     match = F.col("_id_own").eqNullSafe(F.col("_id")) & F.expr("_sha_own = _sha") & F.expr("_points_own = _points")
-    rows = keyed.join(kept, match, "left_semi")
-    if found.groupBy(*names).count().where("count > 1").limit(1).count():
+    rows = keyed.join(limited_broadcast(gone), match, "left_anti")
+    if verdict.where("kept and rows > 1").limit(1).count():
         # Some kept row is repeated: number its repetitions.
         same = W.partitionBy("_id_own", "_sha_own", "_points_own").orderBy("_points_own")
         rows = rows.withColumn("_n", F.row_number().over(same)).where("_n = 1")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailframe.llm.common import hot_join, text_of
+from trailframe.llm.common import hot_join, limited_broadcast, text_of
 from trailframe.llm.components import components
 from trailframe.session import write_through
 
@@ -290,14 +290,17 @@ def _hex(column: str) -> Column:
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The documents that head their component, with all their columns.
 
-    If the head's ``doc_id`` is repeated, one row of it stays.
+    The others are left out by their id; their list is broadcast up to a number
+    of rows and shuffled beyond that.  If a head's ``doc_id`` is repeated, one
+    row of it stays.
     """
-    found = write_through(near_dedup(docs), "verdict")
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    heads = write_through(heads.withColumnRenamed("doc_id", "_head"), "heads")
+    head = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    verdict = near_dedup(docs).groupBy(F.col("doc_id").alias("_head"))
+    verdict = write_through(verdict.agg(F.max(head).alias("heads"), F.count(F.lit(1)).alias("rows")), "verdict")
+    gone = verdict.where("not heads").select("_head")
     own = docs.withColumn("_id", F.col("doc_id").cast("bigint"))
-    rows = own.join(heads, F.col("_id").eqNullSafe(F.col("_head")), "left_semi")
-    if heads.where("count > 1").limit(1).count():
+    rows = own.join(limited_broadcast(gone), F.col("_id").eqNullSafe(F.col("_head")), "left_anti")
+    if verdict.where("heads and rows > 1").limit(1).count():
         order = W.partitionBy("_id").orderBy(F.length(text_of()).desc(), F.md5(text_of()))
         rows = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
     return rows.select(*docs.columns)
