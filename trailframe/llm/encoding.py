@@ -3,11 +3,12 @@
 A byte-level vocabulary splits text before any merge, and a space or a line end
 that follows a visible character always begins a new part; a line end between
 visible characters is a part of its own.  Texts are cut there; equal cuts have
-equal ids, whatever stands around them.  Distinct cuts are encoded by the
-library in long lines, whose ids are taken apart where a token begins with a
-space or is a line end, and are kept in a bounded table per worker.  Texts with
-other runs of blanks are cut at spaces only; texts that hold a special string
-are encoded whole.
+equal ids, whatever stands around them.  The distinct cuts of a batch are found
+by Arrow's dictionary encoding.  New ones are encoded by the library in long
+lines, whose ids are taken apart where a token begins with a space or is a line
+end, and are kept in a bounded table per worker; the ids of the texts are then
+gathered with numpy.  Texts with other runs of blanks are cut at spaces only;
+texts that hold a special string are encoded whole.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-KEPT_WORDS = 1_000_000
+#: Words kept per worker, some 200 bytes each.
+KEPT_WORDS = 800_000
 _LINE_WORDS = 500
-_SHORT = 9
 _BATCH_CHARS = 1 << 21
 
 #: Blanks other than single spaces and line ends between visible characters.
@@ -31,9 +34,10 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 class Encoder:
     """Encodes texts with one vocabulary; kept per worker process."""
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple[str, int], Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
+        self.kept_words = kept_words
         # Tasks are the unit of parallelism.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -45,75 +49,87 @@ class Encoder:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[k for piece, k in vocabulary.items() if piece.startswith("Ġ")]] = True
         self.line_end = self._whole(["\n"])[0]
-        self.first: dict[str, bytes] = {"": b""}  # words at the start of a line
-        self.later: dict[str, bytes] = {}  # words after a space
+        # Words after a space; words after a line end with it in front, and its id in theirs.
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words that were not used lately
+        self.parts: dict[str, bytes] = {}  # cuts of texts with odd blanks
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, kept_words: int = KEPT_WORDS) -> Encoder:
+        key = (path, kept_words)
+        if key not in cls._made:
+            cls._made[key] = cls(*key)
+        return cls._made[key]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _apart(self, words: list[str], blank: str) -> list[bytes]:
-        """Ids of visible words, each after a space or at the start of a line."""
-        spaced = blank == " "
-        lines = [blank.join(words[i : i + _LINE_WORDS]) for i in range(0, len(words), _LINE_WORDS)]
-        coded = self._whole([blank + line for line in lines])
-        data = b"".join(coded)
+    def _apart(self, words: list[str], spaced: bool) -> list[bytes]:
+        """Ids of visible words, each after a space or after a line end."""
+        blank = " " if spaced else "\n"
+        lines = [blank + blank.join(words[i : i + _LINE_WORDS]) for i in range(0, len(words), _LINE_WORDS)]
+        data = b"".join(self._whole(lines))
         ids = np.frombuffer(data, "<u4")
         starts = np.flatnonzero(self.spaced[ids] if spaced else ids == np.frombuffer(self.line_end, "<u4")[0])
         if len(starts) != len(words):
-            return self._whole([" " + w for w in words] if spaced else words)
+            return self._whole([blank + w for w in words])
         ends = [*(4 * starts[1:]).tolist(), len(data)]
-        skip = 0 if spaced else len(self.line_end)
-        return [data[a + skip : b] for a, b in zip((4 * starts).tolist(), ends)]
-
-    def _learn(self, known: dict[str, bytes], words: set[str], blank: str, visible: bool) -> None:
-        new = list(words.difference(known))
+        return [data[a:b] for a, b in zip((4 * starts).tolist(), ends)]
+
+    def _ordinary(self, texts: list[str]) -> list[bytes]:
+        """Texts with single spaces and line ends between visible characters only."""
+        if len(self.words) > self.kept_words // 2:
+            # Words used again in time stay; the others go at the next change.
+            self.older, self.words = self.words, {}
+        marked = pa.array([("\n" + t).replace("\n", " \n")[1:] for t in texts], pa.large_string())
+        split = pc.split_pattern(marked, " ")
+        coded = split.values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        known, older = self.words, self.older
+        new = [w for w in names if w not in known]
+        if older:
+            known.update([(w, older[w]) for w in new if w in older])
+            new = [w for w in new if w not in older]
+        later = [w for w in new if w[0] != "\n"]
+        first = [w for w in new if w[0] == "\n"]
+        known.update(zip(later, self._apart(later, True) if later else []))
+        known.update(zip(first, self._apart([w[1:] for w in first], False) if first else []))
+        own = [known[w] for w in names]
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        ids = np.frombuffer(b"".join(own), "<u4")
+        word = coded.indices.to_numpy()
+        count = size[word]
+        ends = np.cumsum(count)
+        place = np.repeat((np.cumsum(size) - size)[word] - (ends - count), count)
+        place += np.arange(len(place))
+        joined = ids[place]
+        bounds = np.concatenate(([0], ends))[split.offsets.to_numpy()].tolist()
+        # The line end in front of the first word is not of the text.
+        return [joined[a + 1 : b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def _with_odd_blanks(self, texts: list[str]) -> list[bytes]:
+        if len(self.parts) > self.kept_words // 4:
+            self.parts = {}
+        cuts = [_CUT.split(text) for text in texts]
+        new = list({part for cut in cuts for part in cut}.difference(self.parts))
         if new:
-            # Words with blanks inside cannot be taken out of a line.
-            coded = self._apart(new, blank) if visible else self._whole([blank.strip("\n") + w for w in new])
-            known.update(zip(new, coded))
+            self.parts.update(zip(new, self._whole(new)))
+        return [b"".join([self.parts[part] for part in cut]) for cut in cuts]
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > KEPT_WORDS:
-            # Short words are the frequent ones; they stay.
-            self.first = {"": b""}
-            self.later = {w: ids for w, ids in self.later.items() if len(w) <= _SHORT}
-        cuts: list[list[list[str]] | None] = []
-        # Words of ordinary texts, and of texts with odd blanks.
-        first: tuple[list[str], list[str]] = ([], [])
-        later: tuple[set[str], set[str]] = (set(), set())
-        for text in texts:
+        out: list[bytes] = [b""] * len(texts)
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for k, text in enumerate(texts):
             if self.special and self.special.search(text):
-                cuts.append(None)
-                continue
-            odd = _ODD.search(text) is not None
-            if odd:
-                parts = _CUT.split(text)
-                lines = [[parts[0], *[p[1:] for p in parts[1:]]]]
-            else:
-                lines = [line.split(" ") for line in text.split("\n")]
-            cuts.append(lines)
-            for words in lines:
-                first[odd].append(words[0])
-                later[odd].update(words[1:])
-        for odd in (False, True):
-            self._learn(self.first, set(first[odd]), "\n", not odd)
-            self._learn(self.later, later[odd], " ", not odd)
-        # A small table for this batch alone is quicker to search than all words.
-        here = {w: self.later[w] for part in later for w in part}
-        find, start = here.__getitem__, self.first
-        return [
-            self._whole([text])[0]
-            if lines is None
-            else self.line_end.join([start[words[0]] + b"".join(map(find, words[1:])) for words in lines])
-            for text, lines in zip(texts, cuts)
-        ]
+                kinds[2].append(k)
+            elif text:
+                kinds[_ODD.search(text) is not None].append(k)
+        for places, code in zip(kinds, (self._ordinary, self._with_odd_blanks, self._whole)):
+            if places:
+                for k, ids in zip(places, code([texts[k] for k in places])):
+                    out[k] = ids
+        return out
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

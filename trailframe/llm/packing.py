@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailframe.llm.common import text_of
-from trailframe.llm.encoding import Encoder
+from trailframe.llm.encoding import KEPT_WORDS, Encoder
 from trailframe.session import write_through
 
 WINDOW = 2048
@@ -108,7 +108,7 @@ def place(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-def pieces_of(docs: DataFrame, vocabulary: str, window: int, end_id: int) -> DataFrame:
+def pieces_of(docs: DataFrame, vocabulary: str, window: int, end_id: int, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Pieces of all documents, in whole texts."""
     end = np.array([end_id], "<u4").tobytes()
 
@@ -117,7 +117,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, window: int, end_id: int) -> Dat
             rows: list[tuple] = []
             names = batch.column("doc_id").to_pylist()
             texts = (t.as_py() for t in batch.column("text"))
-            for doc_id, ids in zip(names, Encoder.of(vocabulary).encode(texts)):
+            for doc_id, ids in zip(names, Encoder.of(vocabulary, kept_words).encode(texts)):
                 ids += end
                 total = len(ids) // 4
                 for s in range(0, total, window):
@@ -136,6 +136,7 @@ def pack(
     window: int = WINDOW,
     end_id: int = END_ID,
     group_pieces: int = GROUP_PIECES,
+    kept_words: int = KEPT_WORDS,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
@@ -145,7 +146,7 @@ def pack(
     """
     # Written with a row number, so that groups do not depend on a key that may be repeated.
     pieces = write_through(
-        pieces_of(docs, vocabulary, window, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces"
+        pieces_of(docs, vocabulary, window, end_id, kept_words).withColumn("row", F.monotonically_increasing_id()), "pieces"
     )
     whole = pieces.where(F.col("length") == window).select(
         *pieces.columns[:-1], (2 * F.col("row") + 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
