@@ -6,7 +6,7 @@ import re
 
 import pytest
 import xxhash
-from conftest_helpers import documents, plain_words
+from conftest_helpers import SCHEMA, documents, plain_words
 
 from trailframe.llm.components import components
 from trailframe.llm.exact_dedup import exact_dedup, keep_first
@@ -103,6 +103,17 @@ def test_one_document_of_each_group_stays(odd_documents, no_documents):
     assert one_per_group(no_documents).collect() == [] and near_dedup(no_documents).collect() == []
 
 
+def test_unlike_texts_under_one_id_or_none_all_stay(spark):
+    rng = random.Random(3)
+    unlike = [" ".join(f"u{rng.randrange(9000)}" for _ in range(80)) for _ in range(6)]
+    ids = [None, None, None, 5, 5, 3]
+    # The longer text of id 5 is a copy of the head 3; a copy of a null row and a full repetition go.
+    rows = list(zip(ids, unlike)) + [(5, unlike[5]), (None, unlike[0]), (3, unlike[5])]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in one_per_group(frame).collect()]
+    assert sorted(got, key=key) == sorted(zip(ids, unlike), key=key)
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(40)]
     hub = [(100, 101 + i) for i in range(30)] + [(7, 7)]

@@ -33,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailframe.llm.common import hot_join, limited_broadcast, text_of
@@ -78,13 +77,22 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         values = [fingerprint(t.as_py()) for t in batch.column("text")]
         signed = pa.array(np.array(values, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed], ["doc_id", "fp"])
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], signed], [*names, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` for every row; ``fp`` is signed."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().cast("binary").alias("text"))
-    return texts.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+def fingerprints(docs: DataFrame, with_digest: bool = False) -> DataFrame:
+    """``doc_id, fp`` for every row, with the text's ``digest`` between if asked for; ``fp`` is signed."""
+    digest = [_digest().alias("digest")] if with_digest else []
+    texts = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), *digest, text_of().cast("binary").alias("text")
+    )
+    kept = "doc_id bigint, digest binary" if with_digest else "doc_id bigint"
+    return texts.mapInArrow(_fingerprints, f"{kept}, fp bigint")
+
+
+def _digest() -> Column:
+    return F.unhex(F.md5(text_of()))
 
 
 def _masks(bits: int, flips: int) -> list[int]:
@@ -271,16 +279,21 @@ def near_dedup(docs: DataFrame, key_bits: int | None = None, block_rows: int = B
     columns are ignored; an empty table gives no rows.
     """
     marked = write_through(fingerprints(docs), "fingerprints")
-    fps = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    rows = _with_head(marked, F.col("doc_id"), key_bits, block_rows)
+    return rows.select("doc_id", _hex("fp").alias("fingerprint"), F.col("head").alias("component_id"))
+
+
+def _with_head(marked: DataFrame, rank: Column, key_bits: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The written rows with ``head``, the smallest ``rank`` of their component."""
+    fps = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
     fps = write_through(fps, "distinct")
     total = fps.count()
     roots = components(links_of(fps.select("fp"), total, key_bits, block_rows))
     placed = fps.join(roots.withColumnRenamed("v", "fp"), "fp", "left")
     placed = write_through(placed.select("fp", "n", "first", F.coalesce("root", "fp").alias("root")), "placed")
-    heads = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size"))
-    named = write_through(hot_join(placed, heads, ["root"], "size", total).select("fp", "n", "component_id"), "named")
-    rows = hot_join(marked, named, ["fp"], "n", marked.count())
-    return rows.select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
+    heads = placed.groupBy("root").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("size"))
+    named = write_through(hot_join(placed, heads, ["root"], "size", total).select("fp", "n", "head"), "named")
+    return hot_join(marked, named, ["fp"], "n", marked.count())
 
 
 def _hex(column: str) -> Column:
@@ -288,19 +301,27 @@ def _hex(column: str) -> Column:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The documents that head their component, with all their columns.
+    """One document of each component, with all its columns.
 
-    The others are left out by their id; their list is broadcast up to a number
-    of rows and shuffled beyond that.  If a head's ``doc_id`` is repeated, one
-    row of it stays.
+    The row with the smallest ``doc_id`` stays (null after all others), then the
+    one with the smallest text digest.  The others are left out by id and
+    digest, so that unlike texts under one id, or without ids, are judged apart;
+    their list is broadcast up to a number of rows and shuffled beyond that.  Of
+    rows that repeat id and text, one stays.
     """
-    head = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    verdict = near_dedup(docs).groupBy(F.col("doc_id").alias("_head"))
-    verdict = write_through(verdict.agg(F.max(head).alias("heads"), F.count(F.lit(1)).alias("rows")), "verdict")
-    gone = verdict.where("not heads").select("_head")
-    own = docs.withColumn("_id", F.col("doc_id").cast("bigint"))
-    rows = own.join(limited_broadcast(gone), F.col("_id").eqNullSafe(F.col("_head")), "left_anti")
-    if verdict.where("heads and rows > 1").limit(1).count():
-        order = W.partitionBy("_id").orderBy(F.length(text_of()).desc(), F.md5(text_of()))
-        rows = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    marked = write_through(fingerprints(docs, with_digest=True), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    found = _with_head(marked, rank)
+    keys = [F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")]
+    verdict = found.groupBy(*keys).agg(F.max(rank == F.col("head")).alias("heads"), F.count(F.lit(1)).alias("rows"))
+    verdict = write_through(verdict, "verdict")
+    own = docs.withColumns({"_id_own": F.col("doc_id").cast("bigint"), "_digest_own": _digest()})
+    match = F.col("_id_own").eqNullSafe(F.col("_id")) & F.expr("_digest_own = _digest")
+    rows = own.join(limited_broadcast(verdict.where("not heads").select("_id", "_digest")), match, "left_anti")
+    repeated = verdict.where("heads and rows > 1").select("_id", "_digest")
+    if repeated.limit(1).count():
+        repeated = limited_broadcast(repeated)
+        # Only these rows are brought together, and each task sends one of a key.
+        again = rows.join(repeated, match, "left_semi").dropDuplicates(["_id_own", "_digest_own"])
+        rows = rows.join(repeated, match, "left_anti").unionByName(again)
     return rows.select(*docs.columns)
