@@ -193,3 +193,16 @@ def test_site_templates_go(spark):
         **{100 + i: "only text" for i in range(9)},
         200: "Welcome to the shop text 0 Shared by two",
     }
+
+
+def main_texts(spark, pages):
+    """Texts of ``pages`` on one host, in order."""
+    rows = [(i, "http://one.example/", html) for i, html in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(frame).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_templates_with_children_go_whole(spark):
+    page = "<div>Call us: <b>123</b> any time</div><p>Share via <a>mail</a> or post</p><ul>In <li>x<p>y</p></ul><p>own {}</p>"
+    assert main_texts(spark, [page.format(i) for i in range(9)]) == [f"own {i}" for i in range(9)]

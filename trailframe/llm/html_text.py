@@ -75,10 +75,11 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "junk", "level", "parts", "out")
+    __slots__ = ("tag", "junk", "level", "filled", "parts", "out")
 
     def __init__(self, tag: str, junk: bool, level: int):
         self.tag, self.junk, self.level = tag, junk, level
+        self.filled = False  # holds text, deleted or not
         self.parts: list[bytes] = []  # texts and hashes of children, for the hash
         self.out: list[tuple[int, str]] = []  # kept texts with their level
 
@@ -154,6 +155,7 @@ class Page:
         if top.junk:
             return
         text = unescape(text)
+        top.filled = top.filled or not text.isspace() and bool(text)
         top.parts.append(text.encode("utf-8", "surrogatepass"))
         top.out.append((top.level, text))
 
@@ -207,12 +209,14 @@ class Page:
             value = xxhash.xxh64_intdigest(done.tag.encode() + b"\0" + b"\1".join(done.parts))
             value -= (value >> 63) << 64
             whole = done.tag in ("html", "body", "main", "article")
-            if not whole and value in self.template:
-                done.out = []
-            elif any(text.strip() for _, text in done.out):
+            if done.filled:
+                # Deleted elements count too, so that both passes hash their parents alike.
+                above.filled = True
+                above.parts.append(value.to_bytes(8, "little", signed=True))
                 if not whole:
                     self.hashes.add(value)
-                above.parts.append(value.to_bytes(8, "little", signed=True))
+                if not whole and value in self.template:
+                    done.out = []
             if not above.out:
                 above.out = done.out
             else:
