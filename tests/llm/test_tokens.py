@@ -206,3 +206,20 @@ def main_texts(spark, pages):
 def test_templates_with_children_go_whole(spark):
     page = "<div>Call us: <b>123</b> any time</div><p>Share via <a>mail</a> or post</p><ul>In <li>x<p>y</p></ul><p>own {}</p>"
     assert main_texts(spark, [page.format(i) for i in range(9)]) == [f"own {i}" for i in range(9)]
+
+
+def test_recurring_parts_of_articles_stay(spark):
+    own = "<h2>Summary</h2><p><b>Note:</b> text {0} is <i>not</i> <a>here</a></p><ul><li>Salt<li>n{0}</ul>"
+    table = "<table><tr><th>Name<td>Yes<td>{0}</table><p>Yes</p>"
+    legal = "<p>All rights to this text are with the people who wrote it</p>"
+    body = "<article>" + own + table + legal + "</article>"
+    wanted = ["Summary Note: text {0} is not here Salt n{0} Name Yes {0} Yes".format(i) for i in range(9)]
+    assert main_texts(spark, [body.format(i) for i in range(9)]) == wanted
+    # The same without an article element.
+    assert main_texts(spark, [(own + table + legal).format(i) for i in range(9)]) == wanted
+
+
+def test_a_sections_menu_goes(spark):
+    menu = "<div>" + " ".join(f"<a>entry{k}</a>" for k in range(12)) + "</div>"
+    pages = [(menu if i % 4 == 0 else "") + f"<p>own text of {i}</p>" for i in range(240)]
+    assert main_texts(spark, pages) == [f"own text of {i}" for i in range(240)]

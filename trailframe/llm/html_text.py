@@ -28,6 +28,12 @@ from trailframe.session import write_through
 
 MIN_PAGES = 5
 MIN_PERCENT = 30
+# A long subtree is template as well on so many pages if they are one percent of the host's.
+MANY_PAGES = 50
+MANY_PERCENT = 1
+# So many words, or characters where words are not divided, make a subtree long.
+LONG_WORDS = 10
+LONG_CHARS = 60
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -56,6 +62,10 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+# Blocks that group others; of the rest, single ones recur in articles of their own accord.
+GROUPS = frozenset("address details dir div dl fieldset figure footer form header hgroup menu nav ol section table ul".split())
+CELLS = frozenset("caption td th tr tbody thead tfoot".split())
+ITEMS = frozenset("dd dt figcaption h1 h2 h3 h4 h5 h6 legend li summary".split())
 # Elements that are no article text by their own meaning.
 DROPPED = frozenset(
     "nav footer aside form head script style noscript template iframe object embed svg math canvas audio video map "
@@ -75,11 +85,12 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "junk", "level", "filled", "parts", "out")
+    __slots__ = ("tag", "junk", "level", "filled", "words", "chars", "parts", "out")
 
     def __init__(self, tag: str, junk: bool, level: int):
         self.tag, self.junk, self.level = tag, junk, level
         self.filled = False  # holds text, deleted or not
+        self.words = self.chars = 0  # of that text
         self.parts: list[bytes] = []  # texts and hashes of children, for the hash
         self.out: list[tuple[int, str]] = []  # kept texts with their level
 
@@ -104,12 +115,26 @@ def _is_junk(tag: str, attributes: str, level: int) -> bool:
     return False
 
 
+def _deletable(tag: str, level: int, words: int, long: bool) -> bool:
+    """Whether recurrence can make this element template.
+
+    Inline elements and parts of tables never; within an article or main part,
+    and for list items and headings anywhere, only long ones.  A paragraph of
+    one or two words is no template, a group of any size is outside of articles.
+    """
+    if tag not in BLOCK or tag in CELLS or tag in ("html", "body", "main", "article"):
+        return False
+    if level or tag in ITEMS:
+        return long
+    return tag in GROUPS or words > 2
+
+
 class Page:
     """Reads one page; ``template`` holds the subtree hashes to delete."""
 
     def __init__(self, template: frozenset[int] | set[int] = frozenset()):
         self.template = template
-        self.hashes: set[int] = set()
+        self.hashes: dict[int, bool] = {}  # subtrees that may be template: whether they are long
         self.stack = [_Element("", False, 0)]
 
     def read(self, html: str) -> str:
@@ -155,7 +180,11 @@ class Page:
         if top.junk:
             return
         text = unescape(text)
-        top.filled = top.filled or not text.isspace() and bool(text)
+        words = text.split()
+        if words:
+            top.filled = True
+            top.words += len(words)
+            top.chars += sum(map(len, words))
         top.parts.append(text.encode("utf-8", "surrogatepass"))
         top.out.append((top.level, text))
 
@@ -208,15 +237,19 @@ class Page:
         if not done.junk:
             value = xxhash.xxh64_intdigest(done.tag.encode() + b"\0" + b"\1".join(done.parts))
             value -= (value >> 63) << 64
-            whole = done.tag in ("html", "body", "main", "article")
             if done.filled:
                 # Deleted elements count too, so that both passes hash their parents alike.
                 above.filled = True
+                above.words += done.words
+                above.chars += done.chars
                 above.parts.append(value.to_bytes(8, "little", signed=True))
-                if not whole:
-                    self.hashes.add(value)
-                if not whole and value in self.template:
-                    done.out = []
+                long = done.words >= LONG_WORDS or done.chars >= LONG_CHARS
+                if _deletable(done.tag, done.level, done.words, long):
+                    # The same subtree counts apart inside and outside of articles.
+                    value = ~value if done.level else value
+                    self.hashes[value] = long
+                    if value in self.template:
+                        done.out = []
             if not above.out:
                 above.out = done.out
             else:
@@ -232,39 +265,43 @@ def host_of(url: Column) -> Column:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, pages, hashes = [], [], []
+        hosts, pages, hashes, longs = [], [], [], []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html")):
             page = Page()
             text = page.read(html.as_py())
             mark = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))).astype(np.int64)
             # One row without a subtree, so that every page is counted.
-            for value in [None, *page.hashes]:
+            for value, long in [(None, False), *page.hashes.items()]:
                 hosts.append(host)
                 pages.append(int(mark))
                 hashes.append(value)
+                longs.append(long)
         columns = [pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(hashes, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "page", "subtree"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(longs, pa.bool_())], ["host", "page", "subtree", "long"])
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_percent: int = MIN_PERCENT) -> DataFrame:
     """``host, n, template``: rows and template subtrees of each host, from ``pages(host, html)``.
 
     A template subtree is on at least ``min_percent`` of the host's different
-    pages, so a host has at most a few times as many as a page has elements.
+    pages; a long one also on ``MANY_PAGES`` that are ``MANY_PERCENT`` of them, as
+    a section's menu.  So a host has at most a hundred times as many as a page has
+    elements.
     """
-    found = pages.mapInArrow(_subtrees, "host string, page bigint, subtree bigint")
+    found = pages.mapInArrow(_subtrees, "host string, page bigint, subtree bigint, long boolean")
     # Counted by task and page first; a frequent subtree is a row per different page, then one.
     counts = (
         found.groupBy("host", "subtree", "page")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("long").alias("long"))
         .groupBy("host", "subtree")
-        .agg(F.count(F.lit(1)).alias("pages"), F.sum("rows").alias("rows"))
+        .agg(F.count(F.lit(1)).alias("pages"), F.sum("rows").alias("rows"), F.max("long").alias("long"))
     )
     counts = write_through(counts, "subtrees")
     hosts = counts.where("subtree is null").select("host", F.col("pages").alias("all"), F.col("rows").alias("n"))
-    frequent = counts.where(F.col("subtree").isNotNull() & (F.col("pages") >= min_pages)).select("host", "subtree", "pages")
-    many = hosts.join(frequent, "host", "left")
-    chosen = F.when(100 * F.col("pages") >= min_percent * F.col("all"), F.col("subtree"))
+    frequent = counts.where(F.col("subtree").isNotNull() & (F.col("pages") >= min_pages))
+    many = hosts.join(frequent.select("host", "subtree", "pages", "long"), "host", "left")
+    often = F.col("long") & (F.col("pages") >= MANY_PAGES) & (100 * F.col("pages") >= MANY_PERCENT * F.col("all"))
+    chosen = F.when((100 * F.col("pages") >= min_percent * F.col("all")) | often, F.col("subtree"))
     return write_through(many.groupBy("host", "n").agg(F.collect_list(chosen).alias("template")), "templates")
 
 
