@@ -223,3 +223,31 @@ def test_a_sections_menu_goes(spark):
     menu = "<div>" + " ".join(f"<a>entry{k}</a>" for k in range(12)) + "</div>"
     pages = [(menu if i % 4 == 0 else "") + f"<p>own text of {i}</p>" for i in range(240)]
     assert main_texts(spark, pages) == [f"own text of {i}" for i in range(240)]
+
+
+STORY = "A long story of many words is told here for all who read it. " * 4
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<article class='post comments-open'>{}</article>",
+        "<div class='content with-sidebar'>{}</div>",
+        "<div id='no-sidebar'>{}</div>",
+        "<p class='social-science'>{}</p>",
+        "<div class='search-results-item'>{}</div><div class='product-notice'>{}</div>",
+        "<div class='search'>{}<p class='share-buttons'>no</p></div><div class='top-nav'>no</div>",
+        "<div class='comment'>{}</div><div class='comment'>{}</div>",
+        "<form action='/'>{}</form>",
+        "<main>{}</main><div>out</div>",
+        "<body><article class='cookie'>{}</article><div id='cookie-banner'>no</div></body>",
+    ],
+)
+def test_marks_do_not_drop_articles(html):
+    assert html_text.Page().read(html.replace("{}", STORY)) == " ".join([STORY.strip()] * html.count("{}"))
+
+
+def test_a_small_article_does_not_replace_the_page():
+    for html in ("<main>{}<article>card</article></main>", "<body>{}<article>card</article></body>"):
+        assert html_text.Page().read(html.format(STORY)) == STORY + "card"
+    assert html_text.Page().read(f"<main>out</main><article>{STORY}</article>") == STORY.strip()

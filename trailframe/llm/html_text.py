@@ -6,9 +6,12 @@ subtree occurs.  Subtrees that recur on many pages of a host are its template.
 The second pass extracts the text without them.  Pages count as different only
 if their texts differ, so copies of one article do not make it a template.
 
-The extraction keeps the articles of a page, else its main part, else its body,
-without navigation, footers, asides, forms, scripts, adverts, notices and reader
-comments.  Tags may be missing or nested wrongly.
+The extraction keeps the articles of a page if they hold at least half of its
+text, else its main part on the same condition, else its body, without
+navigation, footers, asides, forms, scripts, adverts, notices and reader
+comments.  Class, id, role and form only hint at these: an element that holds most
+of the page's text is kept, and all are if next to nothing is left.  Tags may be
+missing or nested wrongly.
 """
 
 from __future__ import annotations
@@ -68,51 +71,69 @@ CELLS = frozenset("caption td th tr tbody thead tfoot".split())
 ITEMS = frozenset("dd dt figcaption h1 h2 h3 h4 h5 h6 legend li summary".split())
 # Elements that are no article text by their own meaning.
 DROPPED = frozenset(
-    "nav footer aside form head script style noscript template iframe object embed svg math canvas audio video map "
+    "nav footer aside head script style noscript template iframe object embed svg math canvas audio video map "
     "button select input textarea datalist dialog menu title xmp noembed noframes".split()
 )
 ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split()
 )
-# Words of class and id attributes of what surrounds an article.
+# Elements so marked stay if they hold more than this of a page's text.
+MOST_PERCENT = 75
+# All of them stay if less than this is left.
+LEAST_PERCENT = 10
+# Names in class and id attributes of what surrounds an article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
     "gdpr notice notices notification newsletter subscribe subscription signup popup modal overlay sidebar aside menu "
     "nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead share sharing social related "
     "recommended recommendations comment comments disqus respond replies widget toolbar skip login search".split()
 )
-_WORDS = re.compile(r"[a-z]+")
+# Parts of such names that do not change their meaning, as in "top-nav" or "share_buttons".
+NEUTRAL = frozenset(
+    "site main page top left right bottom global primary secondary box container wrapper wrap block section list item "
+    "links link buttons button bar area slot unit group content header posts form".split()
+)
+_PART = re.compile(r"[-_0-9]+")
 
 
 class _Element:
-    __slots__ = ("tag", "junk", "level", "filled", "words", "chars", "parts", "out")
+    __slots__ = ("tag", "junk", "mark", "level", "filled", "words", "chars", "parts", "out")
 
-    def __init__(self, tag: str, junk: bool, level: int):
+    def __init__(self, tag: str, junk: bool, mark: int, level: int):
         self.tag, self.junk, self.level = tag, junk, level
+        self.mark = mark  # number of the innermost marked element around the text, 0 without
         self.filled = False  # holds text, deleted or not
         self.words = self.chars = 0  # of that text
         self.parts: list[bytes] = []  # texts and hashes of children, for the hash
-        self.out: list[tuple[int, str]] = []  # kept texts with their level
+        self.out: list[tuple[int, int, str]] = []  # kept texts with their level and mark
 
 
-def _is_junk(tag: str, attributes: str, level: int) -> bool:
-    if tag in DROPPED or (tag == "header" and level < 2):
+def _is_name(name: str) -> bool:
+    """Whether a class or id names what surrounds an article."""
+    if name in MARKS:
         return True
+    parts = [p for p in _PART.split(name) if p]
+    return not MARKS.isdisjoint(parts) and all(p in MARKS or p in NEUTRAL for p in parts)
+
+
+def _is_junk(tag: str, attributes: str, level: int) -> tuple[bool, bool]:
+    """Whether an element is no article text for sure, and whether it is marked so."""
+    if tag in DROPPED or (tag == "header" and level < 2):
+        return True, False
+    marked = tag == "form"
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return False, marked
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if not MARKS.isdisjoint(_WORDS.findall(value)):
-                return True
+            marked = marked or (tag != "article" and any(map(_is_name, value.split())))
         elif name == "role":
-            if value in ROLES:
-                return True
+            marked = marked or (tag != "article" and value in ROLES)
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         elif name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return True, False
+    return False, marked
 
 
 def _deletable(tag: str, level: int, words: int, long: bool) -> bool:
@@ -135,7 +156,10 @@ class Page:
     def __init__(self, template: frozenset[int] | set[int] = frozenset()):
         self.template = template
         self.hashes: dict[int, bool] = {}  # subtrees that may be template: whether they are long
-        self.stack = [_Element("", False, 0)]
+        self.stack = [_Element("", False, 0, 0)]
+        # Of each mark: the mark around it, and its characters, of deleted texts too.
+        self.around = [0]
+        self.marked = [0]
 
     def read(self, html: str) -> str:
         at = 0
@@ -171,9 +195,25 @@ class Page:
                 self._end(tag)
         while len(self.stack) > 1:
             self._close()
-        out = self.stack[0].out
-        best = max((level for level, text in out if text.strip()), default=0)
-        return " ".join("".join([text if level == best else " " for level, text in out]).split())
+        kept = self._kept_marks()
+        # Texts by level: of the body, the main part and the articles.
+        out = [(level, text) for level, mark, text in self.stack[0].out if kept[mark]]
+        sizes = [0, 0, 0]
+        for level, text in out:
+            sizes[level] += len("".join(text.split()))
+        best = 2 if 2 * sizes[2] >= sum(sizes) else 1 if 2 * (sizes[1] + sizes[2]) >= sum(sizes) else 0
+        return " ".join("".join([text if level >= best else " " for level, text in out]).split())
+
+    def _kept_marks(self) -> list[bool]:
+        total = sum(self.marked)
+        whole = list(self.marked)
+        for k in range(len(whole) - 1, 0, -1):
+            whole[self.around[k]] += whole[k]
+        kept = [True]
+        for k in range(1, len(whole)):
+            kept.append(kept[self.around[k]] and 100 * whole[k] > MOST_PERCENT * total)
+        left = sum(n for n, keep in zip(self.marked, kept) if keep)
+        return kept if 100 * left >= LEAST_PERCENT * total else [True] * len(kept)
 
     def _text(self, text: str) -> None:
         top = self.stack[-1]
@@ -184,9 +224,11 @@ class Page:
         if words:
             top.filled = True
             top.words += len(words)
-            top.chars += sum(map(len, words))
+            chars = sum(map(len, words))
+            top.chars += chars
+            self.marked[top.mark] += chars
         top.parts.append(text.encode("utf-8", "surrogatepass"))
-        top.out.append((top.level, text))
+        top.out.append((top.level, top.mark, text))
 
     def _begin(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
@@ -206,7 +248,13 @@ class Page:
         above = self.stack[-1]
         level = 2 if tag == "article" else 1 if tag == "main" else 0
         level = max(level, above.level)
-        self.stack.append(_Element(tag, above.junk or _is_junk(tag, attributes, level), level))
+        junk, marked = _is_junk(tag, attributes, level)
+        mark = above.mark
+        if marked and not junk and not above.junk:
+            self.around.append(mark)
+            self.marked.append(0)
+            mark = len(self.marked) - 1
+        self.stack.append(_Element(tag, above.junk or junk, mark, level))
 
     def _end_paragraph(self) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -229,7 +277,7 @@ class Page:
     def _space(self) -> None:
         top = self.stack[-1]
         if not top.junk:
-            top.out.append((top.level, " "))
+            top.out.append((top.level, top.mark, " "))
 
     def _close(self) -> None:
         done = self.stack.pop()
@@ -238,11 +286,13 @@ class Page:
             value = xxhash.xxh64_intdigest(done.tag.encode() + b"\0" + b"\1".join(done.parts))
             value -= (value >> 63) << 64
             if done.filled:
-                # Deleted elements count too, so that both passes hash their parents alike.
-                above.filled = True
-                above.words += done.words
-                above.chars += done.chars
-                above.parts.append(value.to_bytes(8, "little", signed=True))
+                # Deleted elements count too, so that both passes hash their parents alike;
+                # marked ones, such as adverts, do not tell their parents apart.
+                if done.mark == above.mark:
+                    above.filled = True
+                    above.words += done.words
+                    above.chars += done.chars
+                    above.parts.append(value.to_bytes(8, "little", signed=True))
                 long = done.words >= LONG_WORDS or done.chars >= LONG_CHARS
                 if _deletable(done.tag, done.level, done.words, long):
                     # The same subtree counts apart inside and outside of articles.
