@@ -93,6 +93,16 @@ def test_copies_do_not_make_a_line_frequent(spark):
     assert {r["kept"] for r in quality.quality(frame, 5).collect()} == {True}
 
 
+def test_one_text_makes_no_line_frequent(spark):
+    refrain = " ".join(f"r{i}" for i in range(45))
+    song = "\n".join(f"{refrain}\n" + " ".join(f"v{i}x{k}" for k in range(8)) for i in range(30))
+    frame = documents(spark, [song, refrain + "\n" + " ".join(f"o{i}" for i in range(10))])
+    # The song itself fails by its repeated windows; the text that only shares the refrain stays.
+    assert [r["doc_id"] for r in quality.kept_documents(frame).collect()] == [1]
+    got = {r["doc_id"]: r["text"] for r in quality.without_frequent_lines(frame).collect()}
+    assert got == {r["doc_id"]: r["text"] for r in frame.collect()}
+
+
 def test_frequent_lines_are_removed(spark):
     frame = documents(spark, [f"own {i}\nsame line\nmore {i}" for i in range(8)])
     got = {r["doc_id"]: r["text"] for r in quality.without_frequent_lines(frame, 4).collect()}
