@@ -7,16 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from trailframe.llm.conversation_repair import damaged, repair_conversations
 from trailframe.llm.exact_dedup import exact_dedup
 from trailframe.llm.html_text import main_text
 from trailframe.llm.language_id import identify
 from trailframe.llm.mixing import mix_sources
 from trailframe.llm.packing import pack
 from trailframe.llm.quality import quality
+from trailframe.llm.secret_scan import scan_report, secret_spans
 from trailframe.llm.sharding import assign_shards
 from trailframe.llm.simhash import near_dedup
 from trailframe.llm.token_binary import token_files
 from trailframe.llm.token_counts import token_counts
+from trailframe.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +69,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return scan_report(secret_spans(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -77,10 +93,97 @@ QUERIES: dict[str, Query] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 _BLANKS = r"[\x20\x09-\x0D]"
 
+
+def _edit(state: str, cost: str, letter: str, line: str) -> str:
+    """A state ``cost audit chr(1) text`` after one more edit; null if the state cannot be reached."""
+    return (
+        f"lpad(cast(cast(substr({state}, 1, 8) as bigint) + {cost} as varchar), 8, '0') "
+        f"|| substr({state}, 9, strpos({state}, chr(1)) - 9) || '{letter}' || substr({state}, strpos({state}, chr(1))) || {line}"
+    )
+
+
+def _repair_sql() -> str:
+    """One row after the other, with the least state per place of the pattern (z start, s, u, a)."""
+    user, helper = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+
+    def keep(state: str, initial: str) -> str:
+        return f"case when not gone and initial = '{initial}' then {_edit(state, 'cut', 'K', 'chr(10) || line')} end"
+
+    def rerole(state: str, role: str) -> str:
+        return f"case when not gone then {_edit(state, '3 + cut', 'R', f'{role} || text')} end"
+
+    def drop(state: str) -> str:
+        return _edit(state, "4", "D", "''")
+
+    def insert(state: str, role: str) -> str:
+        return _edit(state, "3", "I", role)
+
+    def least(*options: str) -> str:
+        return "list_min([" + ", ".join(options) + "])"
+
+    inserted = f"""z, s, {least('u', insert('z', user), insert('s', user), insert('a', user))} as u,
+         {least('a', insert('u', helper))} as a"""
+    return rf"""
+with recursive named as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         list_reduce(flatten(list_transform(
+             string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''),
+             lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1])),
+           lambda c, e: case when e >= 0 then xor(c, e)
+                             else xor(c >> 1, 3988292384 * (c & 1)) end, 4294967295::bigint) as crc
+  from conversations),
+kinds as (select *, xor(crc, 4294967295::bigint) % 20 as kind from named),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+         case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text,
+         unnest(range(case when kind = 3 then 2 else 1 end)) as copy
+  from kinds where kind <> 0),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, md5(length(role) || ':' || role || text), copy) as i,
+         row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as seen,
+         substr(role, 1, 1) as initial, regexp_replace(text, '{_BLANKS}+$', '') as bare
+  from damaged),
+faults as (
+  select *, case when bare = '' then 'blank' when seen then 'duplicate'
+                 when right(bare, 1) not in ('.', '!', '?') then 'truncated' end as fault,
+         lag(initial) over (partition by conv_id order by i) || initial as pair
+  from placed),
+facts as (
+  select conv_id, i, initial, text, role || ':' || text as line, coalesce(fault in ('blank', 'duplicate'), false) as gone,
+         case when fault = 'truncated' then 3 else 0 end as cut from faults),
+states as (
+  select conv_id, 0 as i, '00000000' || chr(1) as z, cast(null as varchar) as s,
+         '00000003I' || chr(1) || {user} as u, '00000006II' || chr(1) || {user} || {helper} as a
+  from (select distinct conv_id from conversations)
+  union all
+  select conv_id, i, {inserted} from (select conv_id, i, {inserted} from (
+    select q.conv_id, f.i, {drop('z')} as z, {least(drop('s'), keep('z', 's'))} as s,
+           {least(drop('u'), *[x for p in 'zsa' for x in (keep(p, 'u'), rerole(p, user))])} as u,
+           {least(drop('a'), keep('u', 'a'), rerole('u', helper))} as a
+    from states q join facts f on q.conv_id is not distinct from f.conv_id and f.i = q.i + 1))),
+ends as (
+  select conv_id, arg_max({least('z', 'a')}, i) as best from states group by conv_id),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+         count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+  from faults group by conv_id)
+select e.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+       cast(substr(best, 1, 8) as bigint) as cost, substr(best, 9, strpos(best, chr(1)) - 9) as audit,
+       sha256(substr(best, strpos(best, chr(1)) + 2)) as repaired_sha256
+from ends e left join counts c on e.conv_id is not distinct from c.conv_id
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": rf"""
 with plain as (
@@ -179,4 +282,5 @@ select r.doc_id, r.size, p.source_size, p.target,
 from rows r join plan p on r.source is not distinct from p.source
 left join cuts c on r.source is not distinct from c.source
 """,
+    "op11_conversation_repair": _repair_sql(),
 }
