@@ -302,6 +302,13 @@ final as (
 )"""
 _MEASURES = ("path_length", "oracle_navigation_error", "oracle_success", "oracle_spl", "pl", "steps_taken")
 
+# A sixth of the steps is missing, a tenth comes too late.
+GAPS = (
+    FINAL.replace("from episode_steps window", "from episode_steps where e % 6 <> 1 and e % 10 <> 3 window")
+    .replace("first_value(distance_to_goal) over w", "max(case when step = 0 then distance_to_goal end) over w")
+    .replace("cast(step as double)", "cast(count(case when step > 0 then 1 end) over w as double)")
+)
+
 
 def _final(*names: str) -> str:
     return f"with {FINAL} select episode_id, {', '.join(f'round({n}, 6) as {n}' for n in names)} from final"
@@ -718,6 +725,10 @@ select episode_id, step, round(sqrt((x - distance_to_goal) * (x - distance_to_go
     "M6_steps_taken": _running("steps_taken"),
     "M7_measure_table": _final(*_MEASURES, "farthest_x"),
     "M8_stream_measures": _final(*_MEASURES),
+    "M8_stream_measures_gaps": f"""with {GAPS}
+select e.episode_id, e.late_rows, {', '.join(f'round({n}, 6) as {n}' for n in _MEASURES)}
+from (select episode_id, count(*) filter (e % 10 = 3) as late_rows from episode_steps where e % 6 <> 1 group by episode_id) e
+left join final using (episode_id)""",
     "G1_to_grid": f"""with {EPISODES}
 select episode_id as map_id, step, cast(trunc((z - 2.0e0) / (16.0e0 / 48)) as bigint) as row,
   cast(trunc((x - 1.0e0) / (16.0e0 / 64)) as bigint) as col from episode_steps""",

@@ -36,7 +36,7 @@ from trailframe.plans import fixtures as fx
 from trailframe.session import remove_at_exit, shared_folder, write_through
 from trailframe.sources import conversations as conversation_source
 from trailframe.sources import exploration
-from trailframe.streaming.measures import finish_measures, stream_measures
+from trailframe.streaming.measures import finish_measures, stream_measures, stream_measures_over_gaps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -692,6 +692,43 @@ def streaming_measures(spark, sf_dir):
     return table.select("episode_id", *[rounded(n) for n in names])
 
 
+def streamed_over_gaps(spark: SparkSession, rows: DataFrame, behind: DataFrame) -> DataFrame:
+    """The streaming operator over ``rows``, in four files in any order, then over ``behind``, which comes too late.
+
+    One row of a far later time ends the first run, so that the watermark passes all rows.
+    """
+    folder = shared_folder(spark, "gap-stream")
+    end = rows.limit(1).withColumns({"episode_id": F.lit(-1).cast("bigint"), "step": F.lit(0), "at": F.timestamp_seconds(F.lit(10**9))})
+    for number, parts in enumerate(((rows.repartition(4, F.hash("step")), end.coalesce(1)), (behind.coalesce(1),))):
+        for k, part in enumerate(parts):
+            part.write.parquet(f"{folder}/in/{number}-{k}")
+        source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in/*")
+        running = (
+            stream_measures_over_gaps(source, "at", delay="1 day")
+            .writeStream.format("parquet")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .option("path", f"{folder}/out")
+            .trigger(availableNow=True)
+            .start()
+        )
+        running.awaitTermination()
+    remove_at_exit(spark, folder)
+    return spark.read.parquet(f"{folder}/out").where("episode_id >= 0")
+
+
+@query("M8_stream_measures_gaps")
+def streaming_measures_gaps(spark, sf_dir):
+    """A sixth of the steps is missing and a tenth comes too late; the rest counts."""
+    steps_ = fx.episode_steps(spark, sf_dir).where(F.pmod("e", F.lit(6)) != 1)
+    timed = steps_.withColumn("at", F.timestamp_seconds(F.col("step") * 30))
+    behind = F.pmod("e", F.lit(10)) == 3
+    out = streamed_over_gaps(spark, timed.where(~behind), timed.where(behind))
+    table = finish_measures(out)
+    names = [c for c in table.columns if c != "episode_id"]
+    late = out.groupBy("episode_id").agg(F.count_if("late").alias("late_rows"))
+    return late.join(table, "episode_id", "left").select("episode_id", "late_rows", *[rounded(n) for n in names])
+
+
 # -- maps -----------------------------------------------------------------------------
 
 

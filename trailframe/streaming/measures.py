@@ -5,6 +5,11 @@ key grows without bound.  Rows of a block may arrive in any order: a row waits
 in the state until its predecessor is there.  The output rows carry the values
 within the block; :func:`finish_measures` adds what came before the block, with
 the merge that the batch operator uses.
+
+Where steps can be missing, :func:`stream_measures_over_gaps` lets rows wait
+until the watermark has passed them: what has not come by then is missing.  State
+of a block that has been idle for long is dropped; a block that goes on afterwards
+starts a new segment, which the same merge links to the one before.
 """
 
 from __future__ import annotations
@@ -51,10 +56,17 @@ class BlockMeasures(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = np.concatenate([frame[list(_COLUMNS)].to_numpy(float) for frame in rows])
+        ready = self._in_order(self._next_step(key), arrived)
+        if len(ready):
+            yield self._advance(key, ready)
+
+    def _next_step(self, key) -> int:
+        """The step that the block goes on with."""
+        return self.totals.get()[0] if self.totals.exists() else int(key[1]) * self.block_rows
+
+    def _advance(self, key, ready: np.ndarray) -> pd.DataFrame:
+        """Take rows in step order into the totals; their values so far."""
         state = list(self.totals.get()) if self.totals.exists() else None
-        ready = self._in_order(state[0] if state else int(key[1]) * self.block_rows, arrived)
-        if not len(ready):
-            return
         step, at, distance, spl = ready[:, 0], ready[:, 1:4], ready[:, 4], ready[:, 5]
         if state is None:
             start = distance[0] if step[0] == 0 else np.nan
@@ -78,7 +90,7 @@ class BlockMeasures(StatefulProcessor):
                 *[float(v) for v in at[-1]],
             )
         )
-        yield pd.DataFrame(
+        return pd.DataFrame(
             {
                 "episode_id": key[0],
                 BLOCK: key[1],
@@ -108,11 +120,143 @@ class BlockMeasures(StatefulProcessor):
         pass
 
 
+class GapBlockMeasures(BlockMeasures):
+    """Running measures of one block whose steps may be missing, come late or twice.
+
+    A row leaves at once if it is the next step.  Others wait, with a timer at
+    their event time: predecessors are no younger than they are, so a predecessor
+    that has not come when the watermark passes is missing.  The waiting rows
+    that the watermark has passed then leave in step order.  Rows that come after
+    a later step has left, again, or after their block was dropped, are reported as late.
+    """
+
+    def __init__(self, block_rows: int, idle_ms: int):
+        super().__init__(block_rows)
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", _STATE)
+        self.waiting = handle.getListState("waiting", f"{_STEP}, at_ms BIGINT")
+        # Step at which the totals begin, latest event time, and the one timer that is set.
+        self.segment = handle.getValueState("segment", "first_step INT")
+        self.clock = handle.getValueState("clock", "latest_ms BIGINT, timer_ms BIGINT")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = np.concatenate([frame[[*_COLUMNS, "at_ms"]].to_numpy(float) for frame in rows])
+        held = self._held()
+        if not self.totals.exists() and not len(held):
+            closed = arrived[:, -1] < timerValues.getCurrentWatermarkInMs()
+        else:
+            closed = arrived[:, 0] < self._next_step(key)
+        late, arrived = arrived[closed], arrived[~closed]
+        rows_now = np.concatenate([held, arrived])
+        # The first row of a step counts, a second one is reported.
+        first = np.unique(rows_now[:, 0], return_index=True)[1]
+        again = np.ones(len(rows_now), bool)
+        again[first] = False
+        late, rows_now = np.concatenate([late, rows_now[again]]), rows_now[first]
+        if len(late):
+            yield self._late(key, late)
+        if len(rows_now):
+            here = rows_now[:, 0] == self._next_step(key) + np.arange(len(rows_now))
+            yield from self._leave(key, rows_now, int(here.sum()))
+            self._set_timer(float(arrived[:, -1].max()) if len(arrived) else None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        latest, _ = self.clock.get()
+        self.clock.update((latest, None))  # the timer that was set is this one
+        held = self._held()
+        passed = np.flatnonzero(held[:, -1] < watermark)
+        if len(passed):
+            # Everything up to the last passed row, and what follows it without a gap.
+            upto = int(passed[-1]) + 1
+            after = held[upto:, 0] == held[upto - 1, 0] + 1 + np.arange(len(held) - upto)
+            yield from self._leave(key, held, upto + int(after.sum()))
+        if not len(self._held()) and watermark > latest + self.idle_ms:
+            for state in (self.totals, self.waiting, self.segment, self.clock):
+                state.clear()
+        else:
+            self._set_timer(None)
+
+    def _held(self) -> np.ndarray:
+        """Waiting rows by step."""
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        return np.array(held, dtype=float).reshape(len(held), len(_COLUMNS) + 1)
+
+    def _leave(self, key, rows: np.ndarray, count: int) -> Iterator[pd.DataFrame]:
+        """The first ``count`` rows leave, the others wait."""
+        rest = rows[count:]
+        if len(rest):
+            self.waiting.put([(int(r[0]), *map(float, r[1:-1]), int(r[-1])) for r in rest])
+        else:
+            self.waiting.clear()
+        if count:
+            if not self.segment.exists():
+                self.segment.update((int(rows[0, 0]),))
+            out = self._advance(key, rows[:count, : len(_COLUMNS)])
+            yield out.assign(segment=self.segment.get()[0], late=False)
+
+    def _late(self, key, rows: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame({"episode_id": key[0], BLOCK: key[1], "step": rows[:, 0].astype(np.int32)})
+        values = {c.split()[0]: np.nan for c in _OUTPUT.split(", ")[2:]}
+        return out.assign(**values, segment=-1, late=True)
+
+    def _set_timer(self, newest: float | None) -> None:
+        """One timer: at the first waiting row, or where the block has been idle for long."""
+        latest, old = self.clock.get() if self.clock.exists() else (0, None)
+        latest = latest if newest is None else max(latest, int(newest))
+        held = self._held()
+        # The watermark has passed a time when it is beyond it.
+        timer = (int(held[:, -1].min()) if len(held) else latest + self.idle_ms) + 1
+        if timer != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timer)
+        self.clock.update((latest, timer))
+
+
+def stream_measures_over_gaps(
+    steps: DataFrame,
+    event_time: str,
+    delay: str = "1 minute",
+    idle: str = "1 hour",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Streaming form for episodes with missing steps, in append mode.
+
+    ``event_time`` is a timestamp that does not fall from step to step of an
+    episode, and ``delay`` how much later than younger rows a row may come.  Every input
+    row gives one output row.  ``late`` rows (see :class:`GapBlockMeasures`) have no
+    values and no part in the measures; a timestamp that is null is late as well.  State
+    is dropped when the watermark is ``idle`` past the latest row of a block.
+    """
+    spark = steps.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    idle_ms = int(spark.sql(f"select unix_millis(timestamp_seconds(0) + interval '{idle}')").first()[0])
+    key_type = steps.schema["episode_id"].dataType.simpleString()
+    # The operator gets plain milliseconds: rows behind the watermark are reported, not dropped unseen.
+    timed = steps.withWatermark(event_time, delay).select(
+        "episode_id", *_COLUMNS, F.coalesce(F.unix_millis(event_time), F.lit(-1)).alias("at_ms")
+    )
+    return (
+        with_block(timed, "step", block_rows)
+        .groupBy("episode_id", BLOCK)
+        .transformWithStateInPandas(
+            statefulProcessor=GapBlockMeasures(block_rows, idle_ms),
+            outputStructType=f"episode_id {key_type}, {_OUTPUT}, segment INT, late BOOLEAN",
+            outputMode="Append",
+            timeMode="EventTime",
+        )
+    )
+
+
 def stream_measures(steps: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Streaming form: one output row per input row, in append mode.
 
     A row whose predecessor never arrives waits for it, with all later rows of
-    its block; the batch operator is the one for episodes with missing steps.
+    its block; :func:`stream_measures_over_gaps` is for episodes with missing steps.
     """
     steps.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     key_type = steps.schema["episode_id"].dataType.simpleString()
@@ -138,8 +282,12 @@ def _nan_as_missing(name: str):
 def finish_measures(emitted: DataFrame) -> DataFrame:
     """Final measures per episode from the rows a stream has written.
 
-    The row with the highest step of a block holds that block's totals.
+    The row with the highest step of a block, or of a segment of a block, holds
+    its totals.  Late rows are left out.
     """
+    if "segment" in emitted.columns:
+        # Segments follow each other by their first steps, in a block and across blocks.
+        emitted = emitted.where("not late").withColumn(BLOCK, F.col("segment").cast("bigint"))
     known: dict[str, Measure] = standard_measures()
     order = ["path_length", "oracle_navigation_error", "oracle_success", "oracle_spl", "pl", "steps_taken"]
     latest = emitted.groupBy("episode_id", BLOCK).agg(
