@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailframe.operators import graph
+from trailframe.operators.blocks import rank_rows
 from trailframe.operators.skew import salted_join
 from trailframe.streaming.nodes import track_stream
 
@@ -97,6 +98,48 @@ def test_track_nearest_node(spark, built, block_rows, gaps):
     assert {(r["episode_id"], r["step"]): r["node_id"] for r in got} == tracked_or_none(nodes, edges, steps, starts)
 
 
+@pytest.mark.parametrize("tile_nodes, block_rows", [(5, 16_384), (1, 16_384), (20, 10)])
+def test_tracking_over_tiles(spark, built, tile_nodes, block_rows):
+    """Scenes larger than a tile; one hub whose options no tile takes in as a neighbour's."""
+    nodes, edges, node_frame, _ = built
+    hub = [("s0", "n0-000", f"n0-{i:03d}", 1000 + i) for i in range(1, 60)]
+    lonely = [("s1", "n1-alone", 9999, 5.0, 0.0, 5.0), ("s1", "n1-nowhere", 10_000, None, 0.0, float("nan"))]
+    steps = [*walks(episodes=9, length=40), (9, "s1", 0, 1.0, 1.0), (9, "s1", 1, 2.0, 2.0)]
+    starts = [(e, f"n{e % 3}-{e:03d}") for e in range(9)] + [(9, "n1-alone")]
+    more = spark.createDataFrame(lonely, NODES)
+    got = graph.track_nearest_node(
+        spark.createDataFrame(steps, STEPS), node_frame.unionByName(more), spark.createDataFrame(edges + hub, EDGES),
+        spark.createDataFrame(starts, "episode_id bigint, node_id string"), block_rows, tile_nodes,
+    ).collect()
+    assert len(got) == len(steps)
+    wanted = tracked(nodes + lonely[:1], edges + hub, steps, starts)
+    assert {(r["episode_id"], r["step"]): r["node_id"] for r in got} == wanted
+
+
+def test_no_tile_holds_a_scene(spark, built):
+    _, _, node_frame, edge_frame = built
+    owners, tiles = graph.graph_tiles(node_frame, edge_frame, 8)
+    assert owners.count() == 180 and owners.groupBy("scene_id", "tile").count().agg({"count": "max"}).first()[0] <= 8
+    assert tiles.count() >= 3 * 8
+    assert tiles.select(F.max(F.size(F.array_distinct("node_ids")))).first()[0] < 60
+
+
+def test_ranks_of_large_groups_and_ties(spark):
+    """One group holds all rows but a few; ranks are those of a sort, made in several tasks."""
+    rng = random.Random(9)
+    rows = [("big", rng.choice([0.0, 1e300, -5.0, rng.random()]), i) for i in range(4000)] + [(f"g{i % 5}", 1.0, i) for i in range(20)]
+    rows += [("nulls", None, 1), ("nulls", 2.0, 0), (None, 1.0, 0), (None, 0.5, 1)]
+    frame = spark.createDataFrame(rows, "g string, v double, i int")
+    ranked = rank_rows(frame, ["g"], ["v", "i"], "rank")
+    wanted = {}
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))
+        wanted |= {r: k for k, r in enumerate(mine)}
+    assert {(r["g"], r["v"], r["i"]): r["rank"] for r in ranked.collect()} == wanted
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan  # the sorted ranges have been written
+
+
 @pytest.mark.parametrize("leaf_nodes", [256, 4])
 def test_points_and_nodes_without_coordinates(spark, built, leaf_nodes):
     nodes, _, _, _ = built

@@ -16,6 +16,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from trailframe.session import write_through
+
 BLOCK = "block"
 BLOCK_ROWS = 65_536
 
@@ -90,3 +92,31 @@ def number_rows(
     return placed.withColumn(name, (F.col("_before") + F.col("_local") - 1).cast("int")).drop(
         BLOCK, "_local", "_before"
     )
+
+
+def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """0-based rank of each row within its ``keys`` by ``order``, whatever the spread of values.
+
+    Rows are dealt to sorted ranges whose ends Spark takes from a sample, so a
+    large group lies in many ranges.  A row's rank is its place in its range plus
+    the rows of its group in earlier ranges; only those counts, one per group and
+    range, go through a window.  ``order`` should be unique within a group; rows
+    that agree in it get different ranks in any order.
+    """
+    keys = list(keys)
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    marked = dealt.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    # Written once: both uses below have to see the same ranges.
+    marked = write_through(marked, "ranks")
+    counts = marked.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys],
+        F.col("_range").alias("_of_range"),
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_from"),
+    )
+    same = F.col("_range") == F.col("_of_range")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    ranked = marked.join(starts, same)
+    return ranked.select(*df.columns, (F.col("_at") + F.col("_from")).alias(name))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions.geometry import euclidean
-from trailframe.operators.blocks import BLOCK, with_block
+from trailframe.operators.blocks import BLOCK, rank_rows, with_block
 from trailframe.operators.raster import (
     INVALID,
     NODE_WAYPOINT,
@@ -41,13 +41,14 @@ def _placed(nodes: DataFrame) -> DataFrame:
     Ranks fill the cells evenly however the coordinates are spread, so that one
     far outlier does not press all other nodes into one cell.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy("scene_id"))
-
-    def cell(axis: str) -> Column:
-        rank = F.row_number().over(Window.partitionBy("scene_id").orderBy(axis, "node_order")) - 1
-        return F.floor(rank / n * F.lit(float(4**MAX_LEVEL))).cast("bigint")
-
-    return nodes.withColumns({"_qx": cell("x"), "_qz": cell("z")})
+    sizes = nodes.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n"))
+    # A scene of any size is ranked by many tasks.
+    ranked = rank_rows(nodes, ["scene_id"], ["x", "node_order"], "_rx")
+    ranked = rank_rows(ranked, ["scene_id"], ["z", "node_order"], "_rz")
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    sized = salted_join(ranked, sizes, ["scene_id"], ["x", "z"], total)
+    cell = lambda rank: F.floor(F.col(rank) / F.col("_n") * F.lit(float(4**MAX_LEVEL))).cast("bigint")
+    return sized.withColumns({"_qx": cell("_rx"), "_qz": cell("_rz")}).drop("_rx", "_rz", "_n")
 
 
 def _is_place(x: str = "x", z: str = "z") -> Column:
@@ -252,26 +253,21 @@ def neighbourhoods(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ranked.join(where, ["scene_id", "to_id"])
 
 
-class _Scene:
-    """A scene's neighbourhoods in ragged arrays: each node's options in a row, self first."""
+class _Tile:
+    """A tile's neighbourhoods in ragged arrays: each owned node's options in a row, self first."""
 
     def __init__(self, head: pd.Series):
-        nodes, targets = np.asarray(head["node_ids"]), np.asarray(head["to_ids"])
+        nodes, self.to_names = np.asarray(head["node_ids"]), np.asarray(head["to_ids"])
         first = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
         self.names = nodes[first]
         self.begin, self.size = first, np.diff(np.r_[first, len(nodes)])
-        self.to = np.searchsorted(self.names, targets)
+        place = np.minimum(np.searchsorted(self.names, self.to_names), len(self.names) - 1)
+        # Options that the tile does not own lead to another tile.
+        self.to = np.where(self.names[place] == self.to_names, place, -1)
         self.x, self.z = np.asarray(head["xs"], float), np.asarray(head["zs"], float)
 
-    def place(self, name) -> int | None:
-        """Position of a node; None for an unknown one."""
-        if name is None or name != name:
-            return None
-        k = int(np.searchsorted(self.names, name))
-        return k if k < len(self.names) and self.names[k] == name else None
-
     def move(self, here: np.ndarray, x: float, z: float) -> np.ndarray:
-        """Where one step leads from each of the nodes ``here``; ties go to the first option."""
+        """The option that one step takes from each of the nodes ``here``; ties go to the first."""
         size = self.size[here]
         starts = np.cumsum(size) - size
         option = np.repeat(self.begin[here] - starts, size) + np.arange(size.sum())
@@ -280,31 +276,68 @@ class _Scene:
         distance[np.isnan(distance)] = np.inf
         nearest = distance == np.repeat(np.minimum.reduceat(distance, starts), size)
         hits = np.flatnonzero(nearest)
-        return self.to[option[hits[np.searchsorted(hits, starts)]]]
-
-    def path(self, start: int, xs: np.ndarray, zs: np.ndarray) -> np.ndarray:
-        """Node after each position."""
-        here, found = np.array([start]), np.empty(len(xs), np.int64)
-        for i, (x, z) in enumerate(zip(xs, zs)):
-            here = self.move(here, x, z)
-            found[i] = here[0]
-        return self.names[found]
-
-    def ends(self, xs: np.ndarray, zs: np.ndarray) -> np.ndarray:
-        """Where the positions lead from each node of the scene.
-
-        Starts share their steps once their walks meet; only the current nodes are held.
-        """
-        here = np.arange(len(self.names))
-        back = here
+        return option[hits[np.searchsorted(hits, starts)]]
+
+    def walk(self, start, xs: np.ndarray, zs: np.ndarray) -> np.ndarray:
+        """Options taken from node ``start`` until the positions end or the tile is left."""
+        here, taken = np.searchsorted(self.names, [start]), []
         for x, z in zip(xs, zs):
-            here, merged = np.unique(self.move(here, x, z), return_inverse=True)
-            back = merged[back]
-        return self.names[here[back]]
+            option = self.move(here, x, z)
+            taken.append(option[0])
+            here = self.to[option]
+            if here[0] < 0:
+                break
+        return np.array(taken, np.int64)
 
 
 TRACK_BLOCK_ROWS = 16_384
+#: Nodes per tile; a tile travels as one row with the options of its nodes.
+TILE_NODES = 16_384
+#: Neighbours with up to so many options are part of a tile too, so that walks along an edge seldom change tiles.
+HALO_OPTIONS = 16
 _PLACE = "_place"
+_GRAPH = ("node_ids", "to_ids", "xs", "zs")
+# What a walk gives: the node after a step, a change of tile, the end of a block.
+_STEP, _HOP, _END = 0, 1, 2
+
+
+def graph_tiles(nodes: DataFrame, edges: DataFrame, tile_nodes: int = TILE_NODES) -> tuple[DataFrame, DataFrame]:
+    """``owners(scene_id, node_id, tile)`` and ``tiles(scene_id, tile, node_ids, to_ids, xs, zs)``.
+
+    A scene is cut into strips by the rank along x, a strip into tiles by the rank
+    along z, so no tile has more than ``tile_nodes`` nodes of its own.  A tile
+    holds the options of its nodes and of their neighbours, as far as these
+    have few.
+    """
+    sizes = nodes.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n"))
+    crowd = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    if (crowd[0] or 0) <= tile_nodes:
+        owners = nodes.select("scene_id", "node_id", F.lit(0).cast("bigint").alias("tile"))
+    else:
+        ranked = rank_rows(nodes, ["scene_id"], ["x", "node_order"], "_rx")
+        sized = salted_join(ranked, sizes, ["scene_id"], ["node_id"], crowd[1])
+        strips = F.ceil(F.sqrt(F.col("_n") / tile_nodes))
+        cut = sized.withColumn("_strip", F.floor(F.col("_rx") * strips / F.col("_n")))
+        ranked = rank_rows(cut, ["scene_id", "_strip"], ["z", "node_order"], "_rz")
+        tile = F.shiftleft(F.col("_strip").cast("bigint"), 32) + F.floor(F.col("_rz") / tile_nodes)
+        owners = write_through(ranked.select("scene_id", "node_id", tile.alias("tile")), "tile-owners")
+    options = write_through(neighbourhoods(nodes, edges), "options")
+    degree = options.groupBy("scene_id", "node_id").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") <= HALO_OPTIONS)
+    small = options.join(degree.select("scene_id", "node_id"), ["scene_id", "node_id"], "left_semi")
+    halo = (
+        small.join(owners, ["scene_id", "node_id"])
+        .select("scene_id", F.col("to_id").alias("node_id"), "tile")
+        .join(degree.select("scene_id", "node_id"), ["scene_id", "node_id"], "left_semi")
+    )
+    members = owners.unionByName(halo).distinct()
+    listed = F.array_sort(F.collect_list(F.struct("node_id", "rank", "to_id", "x", "z")))
+    tiles = (
+        members.join(options, ["scene_id", "node_id"])
+        .groupBy("scene_id", "tile")
+        .agg(listed.alias("_o"))
+        .select("scene_id", "tile", *[F.col(f"_o.{c}").alias(a) for c, a in zip(("node_id", "to_id", "x", "z"), _GRAPH)])
+    )
+    return owners, write_through(tiles, "tiles")
 
 
 def track_nearest_node(
@@ -313,6 +346,7 @@ def track_nearest_node(
     edges: DataFrame,
     starts: DataFrame,
     block_rows: int = TRACK_BLOCK_ROWS,
+    tile_nodes: int = TILE_NODES,
 ) -> DataFrame:
     """``(episode_id, step, node_id)``: the node carried from step to step.
 
@@ -322,33 +356,25 @@ def track_nearest_node(
     z``.  Every row is answered; the node is null where the episode has no
     start or its start is no node of the scene.
 
-    The recurrence is run per block of an episode.  For an episode of several
-    blocks, every block but the last is first run from all nodes of its scene
-    at once, which tells where each would lead; the blocks' start nodes follow
-    by pointer doubling over those tables.  Blocks are chained in the order of
+    The recurrence is run per block of an episode and tile of a graph: a walk
+    goes on until the block ends or the tile is left, and is then handed to
+    the tile that owns its node.  For an episode of several blocks, every block but the
+    last is first run from the nodes where it may start: the node nearest to
+    where the block before it ends, the episode's first node, and wherever a run
+    of the block before it has led.  Such sets close after as many rounds as walks
+    need to meet, since walks that meet stay together.  The blocks' true start
+    nodes follow by pointer doubling.  Blocks are chained in the order of
     those that have rows, so steps may be missing, also many in a row.  A task
-    holds one scene's graph, 40 bytes per option, and one block.
+    holds one block and one tile, 40 bytes per option.
     """
-    options = neighbourhoods(nodes, edges)
-    listed = F.array_sort(F.collect_list(F.struct("node_id", "rank", "to_id", "x", "z")))
-    packed = (
-        options.groupBy("scene_id")
-        .agg(listed.alias("_o"))
-        .select(
-            "scene_id",
-            F.col("_o.node_id").alias("node_ids"),
-            F.col("_o.to_id").alias("to_ids"),
-            F.col("_o.x").alias("xs"),
-            F.col("_o.z").alias("zs"),
-        )
-    )
-    graph = ("scene_id", "node_ids", "to_ids", "xs", "zs")
+    owners, tiles = graph_tiles(nodes, edges, tile_nodes)
     rows = with_block(steps, "step", block_rows).select("episode_id", BLOCK, "scene_id", "step", "x", "z")
     # One row per block with rows; its place counts only such blocks.
     order = Window.partitionBy("episode_id").orderBy(BLOCK)
+    here = F.when(_is_place(), F.struct("step", "x", "z"))
     blocks = write_through(
         rows.groupBy("episode_id", BLOCK)
-        .agg(F.first("scene_id").alias("scene_id"))
+        .agg(F.first("scene_id").alias("scene_id"), F.max(here).alias("_at"))
         .withColumns(
             {
                 _PLACE: F.row_number().over(order) - 1,
@@ -357,62 +383,122 @@ def track_nearest_node(
         ),
         "blocks",
     )
-    longest, n_blocks = blocks.agg(F.max("_last"), F.count(F.lit(1))).first()
-    longest = longest or 0
+    longest = blocks.agg(F.max("_last")).first()[0] or 0
     begin = blocks.where(F.col(_PLACE) == 0).join(starts, "episode_id").select("episode_id", _PLACE, "node_id")
     if longest > 0:
-        inner = blocks.where(F.col(_PLACE) < F.col("_last"))
-        heads = salted_join(inner, packed, ["scene_id"], ["episode_id", BLOCK], n_blocks).select(
-            "episode_id", BLOCK, _PLACE, F.lit(None).cast(starts.schema["node_id"].dataType).alias("start"), *graph
-        )
-        inside = rows.join(inner.select("episode_id", BLOCK), ["episode_id", BLOCK], "left_semi")
-        leads = write_through(_run_blocks(inside, heads, all_starts=True), "leads")
+        begin = write_through(begin, "begin")
+        leads = _leads(rows, blocks, nodes, begin, owners, tiles)
         begin = _block_starts(leads, begin, longest)
-    placed = blocks.join(begin, ["episode_id", _PLACE], "left")
-    heads = salted_join(placed, packed, ["scene_id"], ["episode_id", BLOCK], n_blocks, "left").select(
-        "episode_id", BLOCK, _PLACE, F.col("node_id").alias("start"), *graph
+    tokens = begin.join(blocks, ["episode_id", _PLACE]).select(
+        "episode_id", _PLACE, BLOCK, "scene_id", F.col("node_id").alias("from_id"), "node_id", F.lit(None).cast("bigint").alias("after")
+    )
+    walked = _walk(rows, tokens, owners, tiles, keep_steps=True)
+    path = walked.where(F.col("kind") == _STEP).select("episode_id", BLOCK, F.col("after").alias("step"), "node_id")
+    # Blocks that no walk has entered have no node; a block's rows are few.
+    entered = walked.select("episode_id", BLOCK).distinct()
+    lost = rows.join(entered, ["episode_id", BLOCK], "left_anti").select(
+        "episode_id", "step", F.lit(None).cast(nodes.schema["node_id"].dataType).alias("node_id")
     )
-    return _run_blocks(rows, heads, all_starts=False).select("episode_id", "step", "node_id")
+    return path.select("episode_id", F.col("step").cast(steps.schema["step"].dataType), "node_id").unionByName(lost)
 
 
-def _run_blocks(rows: DataFrame, heads: DataFrame, all_starts: bool) -> DataFrame:
-    """Walk each block, from its start node or from all nodes of the scene."""
-    key_type = rows.schema["episode_id"].dataType.simpleString()
-    node_type = heads.schema["start"].dataType.simpleString()
-    step_type = rows.schema["step"].dataType.simpleString()
+def _leads(rows: DataFrame, blocks: DataFrame, nodes: DataFrame, begin: DataFrame, owners: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Where each block but an episode's last leads: ``(episode_id, _place, from_id, to_id)``.
 
-    scenes: dict = {}
+    The starts are those that can be reached from the first guesses.
+    """
+    inner = blocks.where(F.col(_PLACE) < F.col("_last"))
+    ends = inner.select("episode_id", (F.col(_PLACE) + 1).alias(_PLACE), "scene_id", F.col("_at.x").alias("x"), F.col("_at.z").alias("z"))
+    near = nearest_node(ends, nodes, ["episode_id", _PLACE]).select("episode_id", _PLACE, "node_id")
+    first = blocks.where(F.col(_PLACE) > 0).join(begin.select("episode_id", "node_id"), "episode_id").select("episode_id", _PLACE, "node_id")
+    pair = ["episode_id", _PLACE, "node_id"]
+    # An episode without a start has nothing to find.
+    guesses = near.join(begin.select("episode_id").distinct(), "episode_id", "left_semi").unionByName(first).unionByName(begin)
+    place = inner.select("episode_id", _PLACE, BLOCK, "scene_id")
+    new = write_through(guesses.where("node_id is not null").distinct().join(place, ["episode_id", _PLACE], "left_semi"), "guesses")
+    leads = known = None
+    while not new.isEmpty():
+        tokens = new.join(place, ["episode_id", _PLACE]).select(
+            "episode_id", _PLACE, BLOCK, "scene_id", F.col("node_id").alias("from_id"), "node_id", F.lit(None).cast("bigint").alias("after")
+        )
+        ended = _walk(rows, tokens, owners, tiles, keep_steps=False).where(F.col("kind") == _END)
+        found = ended.select("episode_id", _PLACE, "from_id", F.col("node_id").alias("to_id"))
+        leads = found if leads is None else leads.unionByName(found)
+        known = new if known is None else write_through(known.unionByName(new), "known")
+        further = found.select("episode_id", (F.col(_PLACE) + 1).alias(_PLACE), F.col("to_id").alias("node_id")).distinct()
+        further = further.join(place, ["episode_id", _PLACE], "left_semi")
+        new = write_through(further.join(known, pair, "left_anti"), "reached")
+    if leads is None:
+        return begin.select("episode_id", _PLACE, F.col("node_id").alias("from_id"), F.col("node_id").alias("to_id")).limit(0)
+    return write_through(leads, "leads")
+
+
+def _walk(rows: DataFrame, tokens: DataFrame, owners: DataFrame, tiles: DataFrame, keep_steps: bool) -> DataFrame:
+    """Run walks to the ends of their blocks, from tile to tile.
+
+    ``tokens`` has ``episode_id, _place, block, scene_id, from_id, node_id, after``:
+    the walk that entered the block at ``from_id`` is at ``node_id`` after that
+    step.  Walks whose node is not of the scene are dropped.  The result has the
+    columns ``episode_id, _place, block, scene_id, kind, from_id, node_id, after``.
+    """
+    key_type = rows.schema["episode_id"].dataType.simpleString()
+    node_type = owners.schema["node_id"].dataType.simpleString()
+    scene_type = rows.schema["scene_id"].dataType.simpleString()
+    columns = ["episode_id", _PLACE, BLOCK, "scene_id", "kind", "from_id", "node_id", "after"]
+    schema = (
+        f"episode_id {key_type}, {_PLACE} int, {BLOCK} bigint, scene_id {scene_type}, kind int, "
+        f"from_id {node_type}, node_id {node_type}, after bigint"
+    )
+    held: dict = {}
 
     def walk(steps: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
         if steps.empty or heads.empty:
             return pd.DataFrame(columns=columns)
-        steps, head = steps.sort_values("step"), heads.iloc[0]
-        scene = scenes.get(head["scene_id"])
-        if scene is None and head["node_ids"] is not None:
-            # One graph at a time: blocks of a scene often follow each other.
-            scenes.clear()
-            scene = scenes[head["scene_id"]] = _Scene(head)
+        steps = steps.sort_values("step")
+        numbers = steps["step"].to_numpy(np.int64)
         xs, zs = steps["x"].to_numpy(float), steps["z"].to_numpy(float)
-        episode = steps["episode_id"].iloc[0]
-        if all_starts:
-            ends = scene.ends(xs, zs)
-            return pd.DataFrame({"episode_id": episode, _PLACE: head[_PLACE], "from_id": scene.names, "to_id": ends})
-        start = None if scene is None else scene.place(head["start"])
-        found = pd.Series([None] * len(steps), dtype=object) if start is None else scene.path(start, xs, zs)
-        return pd.DataFrame({"episode_id": episode, "step": steps["step"].to_numpy(), "node_id": found})
-
-    if all_starts:
-        schema = f"episode_id {key_type}, {_PLACE} int, from_id {node_type}, to_id {node_type}"
-        columns = ["episode_id", _PLACE, "from_id", "to_id"]
-    else:
-        schema = f"episode_id {key_type}, step {step_type}, node_id {node_type}"
-        columns = ["episode_id", "step", "node_id"]
-    entries = heads.withColumnsRenamed({"episode_id": "of_id", BLOCK: "of_block"})
-    return (
-        rows.groupBy("episode_id", BLOCK)
-        .cogroup(entries.groupBy("of_id", "of_block"))
-        .applyInPandas(walk, schema)
-    )
+        kinds, froms, found, afters = [], [], [], []
+        for _, head in heads.iterrows():
+            key = (head["scene_id"], head["tile"])
+            if key not in held:
+                # One tile at a time: blocks of a tile often follow each other.
+                held.clear()
+                held[key] = _Tile(head)
+            tile = held[key]
+            for token in head["tokens"]:
+                at = 0 if token["after"] is None else int(np.searchsorted(numbers, token["after"], "right"))
+                taken = tile.walk(token["node_id"], xs[at:], zs[at:])
+                names, reached = tile.to_names[taken].tolist(), numbers[at : at + len(taken)].tolist()
+                if keep_steps:
+                    kinds += [_STEP] * len(taken)
+                    found += names
+                    afters += reached
+                kinds.append(_END if at + len(taken) == len(numbers) else _HOP)
+                found.append(names[-1] if names else token["node_id"])
+                afters.append(reached[-1] if names else int(numbers[-1]))
+                froms += [token["from_id"]] * (len(found) - len(froms))
+        head = heads.iloc[0]
+        place = {c: head[c] for c in ("episode_id", _PLACE, BLOCK, "scene_id")}
+        return pd.DataFrame({**{c: [v] * len(kinds) for c, v in place.items()}, "kind": kinds, "from_id": froms, "node_id": found, "after": afters})
+
+    tokens = write_through(tokens, "walks")
+    out = None
+    while True:
+        n_tokens = tokens.count()
+        placed = salted_join(tokens, owners, ["scene_id", "node_id"], ["episode_id", _PLACE], n_tokens)
+        grouped = placed.groupBy("episode_id", _PLACE, BLOCK, "scene_id", "tile").agg(
+            F.collect_list(F.struct("from_id", "node_id", "after")).alias("tokens")
+        )
+        heads = salted_join(grouped, tiles, ["scene_id", "tile"], ["episode_id", _PLACE], n_tokens)
+        heads = heads.withColumns({"of_id": F.col("episode_id"), "of_block": F.col(BLOCK)})
+        inside = rows.join(placed.select("episode_id", BLOCK).distinct(), ["episode_id", BLOCK], "left_semi")
+        walked = inside.groupBy("episode_id", BLOCK).cogroup(heads.groupBy("of_id", "of_block")).applyInPandas(walk, schema)
+        walked = write_through(walked, "walked")
+        out = walked if out is None else out.unionByName(walked)
+        hops = walked.where(F.col("kind") == _HOP)
+        if hops.isEmpty():
+            return out
+        tokens = write_through(hops.drop("kind"), "walks")
 
 
 def _block_starts(leads: DataFrame, begin: DataFrame, longest: int) -> DataFrame:

@@ -459,6 +459,19 @@ GAP_POINTS = MAP_POINTS.replace(_PAIRED, _NEXT).replace(
     "  from episode_steps\n),\nmoved", "  from episode_steps where step % 5 <> 2 and step <> 7\n),\nmoved"
 )
 
+TRACKED = f"""with recursive {WALKS},
+tracked as (
+  select episode_id, cast(-1 as bigint) as step, node_id from ranked_starts where place = 1
+  union all
+  select episode_id, step, to_id from (
+    select w.episode_id, w.step, o.to_id, row_number() over (partition by w.episode_id
+      order by sqrt((to_x - w.x) * (to_x - w.x) + (to_z - w.z) * (to_z - w.z)), rank) as place
+    from tracked t join walks w on w.episode_id = t.episode_id and w.step = t.step + 1
+    join options o on o.scene_id = w.scene_id and o.node_id = t.node_id) where place = 1
+)
+select episode_id, step, node_id from tracked where step >= 0"""
+
+
 ORACLES: dict[str, str] = {
     "S1_load_tasks": f"""with {DOCUMENTS}
 select cast(kind as varchar) as root, task_no as task_idx, task_id, schema_version, n_actions,
@@ -765,17 +778,8 @@ shown as (select * from moved where r > 0 and r < 64 and c > 0 and c < 64),{_tri
 {_layer('triangles', 12)}""",
     "G9_waypoint_layer_oracle": f"with {MAP_POINTS},{_triangle('moved', 'triangles', 1)} {_layer('triangles', 13)}",
     "G10_nearest_node": NEAREST_NODE,
-    "G11_track_nearest_node": f"""with recursive {WALKS},
-tracked as (
-  select episode_id, cast(-1 as bigint) as step, node_id from ranked_starts where place = 1
-  union all
-  select episode_id, step, to_id from (
-    select w.episode_id, w.step, o.to_id, row_number() over (partition by w.episode_id
-      order by sqrt((to_x - w.x) * (to_x - w.x) + (to_z - w.z) * (to_z - w.z)), rank) as place
-    from tracked t join walks w on w.episode_id = t.episode_id and w.step = t.step + 1
-    join options o on o.scene_id = w.scene_id and o.node_id = t.node_id) where place = 1
-)
-select episode_id, step, node_id from tracked where step >= 0""",
+    "G11_track_nearest_node": TRACKED,
+    "G11_track_tiles": TRACKED,
     "G10_nearest_node_deep": NEAREST_NODE,
     "G10_points_without_nodes": f"""with {NODES},
 points as (

@@ -876,6 +876,13 @@ def track(spark, sf_dir):
     return tracked.select("episode_id", whole("step"), "node_id")
 
 
+@query("G11_track_tiles")
+def track_tiles(spark, sf_dir):
+    """Scenes in tiles of 16 nodes and episodes in blocks of 50 rows."""
+    tracked = graph.track_nearest_node(*tracking_inputs(spark, sf_dir), block_rows=50, tile_nodes=16)
+    return tracked.select("episode_id", whole("step"), "node_id")
+
+
 @query("G11_track_gaps")
 def track_gaps(spark, sf_dir):
     """Late starts, missing steps, whole missing blocks, and episodes without a start."""
