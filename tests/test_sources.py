@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from trailframe.operators import conversations, images, steps, validate
 from trailframe.sources import conversations as conversation_source
-from trailframe.sources import exploration
+from trailframe.session import write_through
+from trailframe.sources import exploration, json_elements
 from trailframe.sources.images import load_image_files
 
 SETTINGS = {name: 1.0 for name in validate.REQUIRED_SETTINGS} | {"endpoint_target_radius_m": 3.0}
@@ -238,3 +239,92 @@ def test_samples_are_written_by_root(spark, tmp_path):
     frame = spark.createDataFrame([("a", 1), ("b", 2)], "root string, step int")
     exploration.write_samples(frame, f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").where("root = 'b'").first()["step"] == 2
+
+
+@pytest.fixture
+def small_splits(spark, monkeypatch):
+    """Documents are read in ranges that begin inside strings, escapes and characters; returns their number."""
+    counts = []
+
+    def cut_small(frame, purpose):
+        if purpose != "fragments":
+            return write_through(frame, purpose)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "211")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            counts.append(frame.rdd.getNumPartitions())
+            return write_through(frame, purpose)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+    monkeypatch.setattr(json_elements, "write_through", cut_small)
+    return counts
+
+
+ODD_TEXTS = ['}],"tasks":[{', "grüße } \\ \" {[", "\U0001f600}\U0001f600", '\\"}', "", "a\\\\"]
+
+
+def same_tasks(spark, path):
+    """Read whole and by many tasks; the number of tasks found."""
+    columns = [c for c in exploration.load_tasks(spark, path).columns if c != "document"]
+    whole = sorted(map(str, exploration.load_tasks(spark, path).select(columns).collect()))
+    assert sorted(map(str, exploration.load_large_tasks(spark, path).select(columns).collect())) == whole
+    return len(whole)
+
+
+def test_large_documents_equal_whole_ones(spark, tmp_path, small_splits):
+    tasks = [task(2, instruction=t, task_id=f"t{i}") for i, t in enumerate(ODD_TEXTS * 2)]
+    doc = document(*tasks)
+    later = {"note": ODD_TEXTS, "tasks": tasks, "extra": [{"a": 1}, {"b": [{}]}], "schema_version": 3, "generation_config": SETTINGS}
+    write(tmp_path / "a" / "exploration_data.json", doc)
+    write(tmp_path / "b+ c" / "exploration_data.json", later)
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "exploration_data.json").write_text(json.dumps(doc, ensure_ascii=False) + " \n", encoding="utf-8")
+    assert same_tasks(spark, f"{tmp_path}/*/exploration_data.json") == 3 * len(tasks)
+    assert small_splits[0] > 50
+
+
+ODD_DOCUMENTS = [
+    json.dumps(document()),
+    json.dumps(document(task())),
+    json.dumps({"tasks": [task(1), None, 5, "x}", task(1, task_id="u"), [task(1)], task(1)]}),
+    json.dumps({"schema_version": 2, "more": {"a": {"b": {}}, "c": {"d": 1}}, "tasks": [task(1), task(1)]}),
+    json.dumps(document(task(1), task(1)))[:-40],
+    json.dumps(document(task(1), task(1)))[:-1],
+    json.dumps(document(task(1), task(1), task(1))).replace('"success": false', '"success": fal', 1),
+    '{"tasks": [{"task_id": "1"}, {"task_id": "2"}], "tasks": [{"task_id": "3"}, {"task_id": "4"}]}',
+    '["tasks", [{"task_id": "1"}, {"task_id": "2"}]]',
+    '{"tasks": {"a": {"task_id": "1"}, "b": {"task_id": "2"}}}',
+    '{"a}": "\\\\", "tasks": [{"task_id": "1\\\\\\""}, {"task_id": "}"}  ,\n {}, {"task_id": "{"}]}',
+    "{}",
+    "[]",
+    "",
+    "x",
+    "}}}",
+]
+
+
+def test_odd_documents_are_read_as_whole_ones(spark, tmp_path, small_splits):
+    for k, text in enumerate(ODD_DOCUMENTS):
+        (tmp_path / f"r{k}").mkdir()
+        (tmp_path / f"r{k}" / "exploration_data.json").write_text(text, encoding="utf-8")
+    same_tasks(spark, f"{tmp_path}/*/exploration_data.json")
+
+
+def test_large_conversation_lists_equal_whole_ones(spark, tmp_path, small_splits):
+    items = [
+        {"id": f"c{i}" if i % 3 else None, "video": "v" if i % 2 else None,
+         "conversations": [{"from": "human", "value": t}, {"from": "gpt", "value": t[::-1]}]}
+        for i, t in enumerate(ODD_TEXTS * 3)
+    ]
+    for name, text in {
+        "many": json.dumps(items, indent=1), "flat": json.dumps(items, ensure_ascii=False) + "\n", "one": json.dumps(items[:1]),
+        "none": "[]", "mixed": json.dumps([*items[:3], None, 7, *items[3:6]]), "cut": json.dumps(items)[:-9],
+        "object": json.dumps({"a": items[0], "b": items[1]}), "empty": "",
+    }.items():
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+    whole = conversation_source.load_conversations(spark, f"{tmp_path}/*.json")
+    large = conversation_source.load_large_conversations(spark, f"{tmp_path}/*.json")
+    assert large.columns == whole.columns
+    assert sorted(map(str, large.collect())) == sorted(map(str, whole.collect()))

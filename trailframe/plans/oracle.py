@@ -476,6 +476,13 @@ ORACLES: dict[str, str] = {
     "S1_load_tasks": f"""with {DOCUMENTS}
 select cast(kind as varchar) as root, task_no as task_idx, task_id, schema_version, n_actions,
   case when defect in (0, 1) then null else 'goal' end as goal_world, defect in (4, 5, 6) as success from doc_tasks""",
+    # The list of a root's only document holds the tasks of all its parts.
+    "S1_load_large_tasks": f"""with {DOCUMENTS}
+select cast(kind as varchar) as root, row_number() over (partition by kind order by user_no // 400, task_no) - 1 as task_idx, task_id, schema_version, n_actions,
+  case when defect in (0, 1) then null else 'goal' end as goal_world, defect in (4, 5, 6) as success from doc_tasks""",
+    "S3_load_large_conversations": f"""with {TURNS}
+select row_number() over (order by conv_id) - 1 as item_idx, case when conv_id % 3 = 0 then 'v' || conv_id end as video_path,
+  n_images, md5(prompt) as prompt_md5, md5(response) as response_md5 from flat""",
     "S2_union_roots": f"""with {DOCUMENTS}
 select case when kind in (0, 2) then 'even' else 'odd' end as root, case when kind in (0, 2) then 1 else 0 end as root_no,
   task_id, schema_version, true as unique_key, task_no as task_idx from doc_tasks""",

@@ -107,6 +107,34 @@ def load_tasks(spark, sf_dir):
     )
 
 
+@query("S1_load_large_tasks")
+def load_large_tasks(spark, sf_dir):
+    """All tasks of a root in one pretty-printed document, which many tasks read."""
+    tasks = fx.exploration_documents(spark, sf_dir).select(
+        F.substring_index("root", "-", 1).alias("root"),
+        F.split_part("root", F.lit("-"), F.lit(2)).cast("int").alias("n"),
+        F.substring_index("text", '"tasks":[', 1).alias("head"),
+        F.regexp_replace("text", r'(?s)^.*?"tasks":\[|\]\}$', "").alias("tasks"),
+    )
+    lists = tasks.groupBy("root", "head").agg(F.array_sort(F.collect_list(F.struct("n", "tasks"))).alias("l"))
+    joined_lists = F.array_join(F.transform("l", lambda t: t["tasks"]), " ,\n  ")
+    folder = shared_folder(spark, "large")
+    # Fields behind the list, with brackets in strings, do not matter.
+    text = F.concat("head", F.lit('"tasks" : [\n  '), joined_lists, F.lit('\n], "note": "}],{[ \\" \\\\", "more": [{"a": 1}, {"b": {}}]}\n'))
+    lists.select("root", text.alias("text")).write.partitionBy("root").text(folder)
+    remove_at_exit(spark, folder)
+    loaded = exploration.load_large_tasks(spark, f"{folder}/root=*/*.txt")
+    return loaded.select(
+        F.substring_index("root", "=", -1).alias("root"),
+        "task_idx",
+        "task_id",
+        whole("schema_version"),
+        F.coalesce(F.size("actions"), F.lit(0)).cast("bigint").alias("n_actions"),
+        "goal_world",
+        "success",
+    )
+
+
 @query("S2_union_roots")
 def union_roots(spark, sf_dir):
     folder = shared_folder(spark, "roots")
@@ -190,6 +218,24 @@ def load_conversations(spark, sf_dir):
     )
 
 
+@query("S3_load_large_conversations")
+def load_large_conversations(spark, sf_dir):
+    """All items in one list, which many tasks read."""
+    lists = fx.conversation_documents(spark, sf_dir).groupBy().agg(F.array_sort(F.collect_list(F.struct("file", "text"))).alias("l"))
+    inner = F.transform("l", lambda t: F.substring(t["text"], 2, F.length(t["text"]) - 2))
+    folder = shared_folder(spark, "large-conversations")
+    lists.select(F.concat(F.lit("[\n"), F.array_join(inner, ",\n"), F.lit("\n]\n")).alias("text")).coalesce(1).write.text(folder)
+    remove_at_exit(spark, folder)
+    items = conversation_source.load_large_conversations(spark, f"{folder}/*.txt")
+    return conversations.flatten_items(items).select(
+        "item_idx",
+        "video_path",
+        whole("n_images"),
+        F.md5("prompt").alias("prompt_md5"),
+        F.md5("response").alias("response_md5"),
+    )
+
+
 def mixed(spark, sf_dir) -> DataFrame:
     navigation = samples.build_samples(fx.nav_steps(spark, sf_dir), CONFIG)
     flat = conversations.flatten_conversation(fx.conversation_turns(spark, sf_dir))

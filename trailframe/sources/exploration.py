@@ -3,8 +3,8 @@
 A document stays raw JSON until it has been split into tasks, because the
 checks need to tell a missing key from a null and from an empty value.  A
 multi-line JSON file is read by one task; many roots are read in parallel.
-For files that one task cannot hold, write one document per line and pass
-``one_per_line=True``; Spark then splits inside the files.
+Files that one task cannot hold are read by many with :func:`load_large_tasks`;
+documents written one per line (``one_per_line=True``) are split by Spark.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.session import path_exists
+from trailframe.session import path_exists, write_through
+from trailframe.sources.json_elements import json_elements, with_documents
 
 # ---------------------------------------------------------------------------
 # Names in the document format.
@@ -85,6 +86,11 @@ def parse_tasks(documents: DataFrame) -> DataFrame:
         F.json_object_keys("generation_config").alias("config_keys"),
         F.posexplode("tasks").alias("_idx", "_json"),
     )
+    return _typed_tasks(split, names)
+
+
+def _typed_tasks(split: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Tasks of the result of ``parse_tasks`` from their texts ``_json`` at the places ``_idx``."""
     typed = split.select(
         *names,
         F.col("_idx").cast("bigint").alias("task_idx"),
@@ -150,12 +156,16 @@ def load_documents(
         .option("columnNameOfCorruptRecord", "corrupt")
         .json(paths if isinstance(paths, str) else list(paths))
     )
-    folder = F.regexp_extract(F.url_decode(_plus_kept("_metadata.file_path")), r"^(?:file:/*(?=/))?(.*)/[^/]*$", 1)
+    folder = _folder("_metadata.file_path")
     content = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("schema_version", "generation_config", "tasks", "corrupt")]
     document = F.substring(F.md5(F.concat_ws("\n", F.col("_metadata.file_path"), *content)), 1, 16)
     return raw.select((folder if root is None else root).alias("root"), document.alias("document"), "*")
 
 
+def _folder(path: str) -> Column:
+    return F.regexp_extract(F.url_decode(_plus_kept(path)), r"^(?:file:/*(?=/))?(.*)/[^/]*$", 1)
+
+
 def _plus_kept(path: str) -> Column:
     """Decoding must not take a plus sign for a space."""
     return F.replace(F.col(path), F.lit("+"), F.lit("%2B"))
@@ -171,6 +181,38 @@ def load_tasks(
     return parse_tasks(load_documents(spark, paths, root, one_per_line))
 
 
+def load_large_tasks(spark: SparkSession, paths: str | Sequence[str], root: Column | None = None) -> DataFrame:
+    """``load_tasks`` for plain multi-line files of any size, one document each, read by many tasks.
+
+    Only ``document`` differs: it is a digest of the file's name and of the document
+    without the elements of its list.  A document that is no sound JSON, or whose tasks
+    are not all objects, is parsed whole, as by ``load_tasks``.
+    """
+    rest, elements = json_elements(spark, paths, 2, "tasks", lambda text: F.json_object_keys(text).isNotNull())
+    read = F.from_json("text", DOCUMENT_SCHEMA, {"columnNameOfCorruptRecord": "corrupt"})
+    folder = _folder("file") if root is None else root
+    documents = write_through(
+        rest.select(
+            "file",
+            folder.alias("root"),
+            F.substring(F.md5(F.concat_ws("\n", "file", "text")), 1, 16).alias("document"),
+            read.alias("_d"),
+        ).select("file", "root", "document", "_d.*"),
+        "large-documents",
+    )
+    names = ["root", "document"]
+    heads = documents.where("tasks is not null").select(
+        "file",
+        *names,
+        F.coalesce("schema_version", F.lit(1)).alias("schema_version"),
+        F.from_json("generation_config", GENERATION_SCHEMA).alias("generation_config"),
+        F.json_object_keys("generation_config").alias("config_keys"),
+    )
+    further = elements.select("file", F.col("idx").alias("part"), F.col("text").alias("_json"))
+    split = with_documents(further, heads, elements.count()).withColumnRenamed("part", "_idx")
+    return parse_tasks(documents).unionByName(_typed_tasks(split, names))
+
+
 def union_roots(
     spark: SparkSession,
     roots: Sequence[str],
