@@ -6,7 +6,7 @@ visible characters is a part of its own.  Texts are cut there; equal cuts have
 equal ids, whatever stands around them.  The distinct cuts of a batch are found
 by Arrow's dictionary encoding.  New ones are encoded by the library in long
 lines, whose ids are taken apart where a token begins with a space or is a line
-end, and are kept in a bounded table per worker; the ids of the texts are then
+end, and are kept in a table per worker, bounded in bytes; the ids of the texts are then
 gathered with numpy.  Texts with other runs of blanks are cut at spaces only;
 texts that hold a special string are encoded whole.
 """
@@ -21,13 +21,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept per worker, some 200 bytes each.
+#: Words kept per worker, of some 200 bytes each; longer words count for more.
 KEPT_WORDS = 800_000
-_LINE_WORDS = 500
-_BATCH_CHARS = 1 << 21
-
-#: Blanks other than single spaces and line ends between visible characters.
-_ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
+_WORD_BYTES = 200
+_LINE_WORDS = 100
+_BATCH_CHARS = 1 << 23
+
+#: Blanks other than single spaces and line ends between visible characters, for Arrow's expressions.
+_ODD = (
+    r"[\x{09}\x{0B}-\x{0D}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+    r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
+)
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -44,7 +48,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special = added
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[k for piece, k in vocabulary.items() if piece.startswith("Ġ")]] = True
@@ -52,7 +56,9 @@ class Encoder:
         # Words after a space; words after a line end with it in front, and its id in theirs.
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # words that were not used lately
+        self.word_bytes = 0  # of the words, with their ids
         self.parts: dict[str, bytes] = {}  # cuts of texts with odd blanks
+        self.part_bytes = 0
 
     @classmethod
     def of(cls, path: str, kept_words: int = KEPT_WORDS) -> Encoder:
@@ -62,7 +68,7 @@ class Encoder:
         return cls._made[key]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _apart(self, words: list[str], spaced: bool) -> list[bytes]:
@@ -77,25 +83,40 @@ class Encoder:
         ends = [*(4 * starts[1:]).tolist(), len(data)]
         return [data[a:b] for a, b in zip((4 * starts).tolist(), ends)]
 
-    def _ordinary(self, texts: list[str]) -> list[bytes]:
-        """Texts with single spaces and line ends between visible characters only."""
-        if len(self.words) > self.kept_words // 2:
+    def _learn(self, words: list[str]) -> None:
+        """Encode words, those after a line end with it in front."""
+        later = [w for w in words if w[:1] != "\n"]
+        first = [w for w in words if w[:1] == "\n"]
+        self.words.update(zip(later, self._apart(later, True) if later else []))
+        self.words.update(zip(first, self._apart([w[1:] for w in first], False) if first else []))
+
+    def _known(self, names: list[str]) -> list[bytes]:
+        """Ids of each word."""
+        if self.word_bytes > self.kept_words * _WORD_BYTES // 2:
             # Words used again in time stay; the others go at the next change.
-            self.older, self.words = self.words, {}
-        marked = pa.array([("\n" + t).replace("\n", " \n")[1:] for t in texts], pa.large_string())
+            self.older, self.words, self.word_bytes = self.words, {}, 0
+        own = list(map(self.words.get, names))
+        missing = [k for k, ids in enumerate(own) if ids is None]
+        if missing:
+            new = [names[k] for k in missing]
+            older = {w: ids for w, ids in zip(new, map(self.older.get, new)) if ids is not None} if self.older else {}
+            self.words.update(older)
+            self._learn([w for w in new if w not in older] if older else new)
+            for k, w in zip(missing, new):
+                own[k] = self.words[w]
+            self.word_bytes += sum(map(len, new)) + sum(len(own[k]) for k in missing) + len(new) * _WORD_BYTES * 3 // 4
+        return own
+
+    def _ordinary(self, texts: pa.Array) -> list[bytes]:
+        """Texts with single spaces and line ends between visible characters only."""
+        blank, line_end = (pa.scalar(x, pa.large_string()) for x in ("", "\n"))
+        marked = pc.binary_join_element_wise(blank, pc.replace_substring(texts, "\n", " \n"), line_end)
         split = pc.split_pattern(marked, " ")
         coded = split.values.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        known, older = self.words, self.older
-        new = [w for w in names if w not in known]
-        if older:
-            known.update([(w, older[w]) for w in new if w in older])
-            new = [w for w in new if w not in older]
-        later = [w for w in new if w[0] != "\n"]
-        first = [w for w in new if w[0] == "\n"]
-        known.update(zip(later, self._apart(later, True) if later else []))
-        known.update(zip(first, self._apart([w[1:] for w in first], False) if first else []))
-        own = [known[w] for w in names]
+        kinds = coded.dictionary
+        # Words hold no space, so one joined text is taken apart again at once.
+        whole = pa.ListArray.from_arrays([0, len(kinds)], kinds.cast(pa.string()))
+        own = self._known(pc.binary_join(whole, " ")[0].as_py().split(" "))
         size = np.fromiter(map(len, own), np.int64, len(own)) // 4
         ids = np.frombuffer(b"".join(own), "<u4")
         word = coded.indices.to_numpy()
@@ -108,26 +129,32 @@ class Encoder:
         # The line end in front of the first word is not of the text.
         return [joined[a + 1 : b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
-    def _with_odd_blanks(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > self.kept_words // 4:
-            self.parts = {}
-        cuts = [_CUT.split(text) for text in texts]
+    def _with_odd_blanks(self, texts: pa.Array) -> list[bytes]:
+        if self.part_bytes > self.kept_words * _WORD_BYTES // 4:
+            self.parts, self.part_bytes = {}, 0
+        cuts = [_CUT.split(text) for text in texts.to_pylist()]
         new = list({part for cut in cuts for part in cut}.difference(self.parts))
         if new:
             self.parts.update(zip(new, self._whole(new)))
+            self.part_bytes += sum(len(part) + len(self.parts[part]) + _WORD_BYTES // 2 for part in new)
         return [b"".join([self.parts[part] for part in cut]) for cut in cuts]
 
     def _some(self, texts: list[str]) -> list[bytes]:
+        column = pa.array(texts, pa.large_string())
+        special = np.zeros(len(texts), bool)
+        for content in self.special:
+            special |= pc.match_substring(column, content).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
+        full = pc.binary_length(column).to_numpy() > 0
         out: list[bytes] = [b""] * len(texts)
-        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
-        for k, text in enumerate(texts):
-            if self.special and self.special.search(text):
-                kinds[2].append(k)
-            elif text:
-                kinds[_ODD.search(text) is not None].append(k)
-        for places, code in zip(kinds, (self._ordinary, self._with_odd_blanks, self._whole)):
-            if places:
-                for k, ids in zip(places, code([texts[k] for k in places])):
+        for which, code in (
+            (full & ~special & ~odd, self._ordinary),
+            (full & ~special & odd, self._with_odd_blanks),
+            (special, lambda some: self._whole(some.to_pylist())),
+        ):
+            places = np.flatnonzero(which)
+            if len(places):
+                for k, ids in zip(places.tolist(), code(column.take(pa.array(places)))):
                     out[k] = ids
         return out
 
