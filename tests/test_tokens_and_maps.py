@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailframe.functions import tokens
 from trailframe.functions.geometry import spread_index
 from trailframe.operators import batches, raster
+from trailframe.operators.skew import marked_by_bitmap
 
 
 def last_place(ids, pattern):
@@ -165,3 +166,42 @@ def test_area_resize_keeps_the_type_and_grows(spark):
     one = raster.resize_area(frame, 1, 1, value_type="int").first()
     assert one["value"] == 1
     assert raster.resize_area(frame, 3, 3).count() == 9
+
+
+def test_batches_stay_together(spark):
+    """A batch lies in one task, in order, also where Arrow batches and shards end inside of it."""
+    rng = random.Random(12)
+    rows = [(f"k{i}", [rng.randrange(9) for _ in range(rng.randrange(6))]) for i in range(500)]
+    frame = spark.createDataFrame(rows, "key string, input_ids array<int>").withColumn("labels", F.transform("input_ids", lambda t: -t))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        padded = batches.pad_batches(frame, "key", 4, 99, shards=3).withColumn("task", F.spark_partition_id())
+        plan = padded._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
+        got = padded.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ids = dict(rows)
+    assert sorted(r["key"] for r in got) == sorted(ids)
+    groups = {}
+    for r in got:
+        groups.setdefault((r["shard"], r["batch_id"]), []).append(r)
+    for (shard, batch), members in groups.items():
+        longest = max(len(ids[r["key"]]) for r in members)
+        assert len(members) == 4 or batch == max(b for s, b in groups if s == shard)
+        assert len({r["task"] for r in members}) == 1
+        for r in members:
+            own = ids[r["key"]]
+            short = longest - len(own)
+            assert r["input_ids"] == own + [99] * short and r["labels"] == [-t for t in own] + [-100] * short
+            assert r["attention_mask"] == [1] * len(own) + [0] * short
+
+
+def test_bitmap_marks_every_listed_key(spark):
+    rows = spark.range(5000).withColumn("k", F.when(F.col("id") % 50 != 0, F.col("id")))
+    listed = rows.where("id % 9 = 0 or k is null").select(F.col("k").alias("l"))
+    marked = marked_by_bitmap(rows, listed, [F.col("k")], [F.col("l")], "hit")
+    assert marked.columns == ["id", "k", "hit"] and marked.count() == 5000
+    hits = {r["id"] for r in marked.where("hit").collect()}
+    assert {i for i in range(5000) if i % 9 == 0 or i % 50 == 0} <= hits and len(hits) < 700
+    assert marked_by_bitmap(rows, listed.limit(0), [F.col("k")], [F.col("l")], "hit").where("hit").isEmpty()

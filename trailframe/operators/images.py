@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions.choice import seeded_choice, seeded_number
-from trailframe.operators.skew import salted_join
+from trailframe.operators.skew import marked_by_bitmap, salted_join
+from trailframe.session import write_through
 from trailframe.sources.images import ANY_SCENE
 
 
@@ -62,14 +63,19 @@ def locate_images(wanted: DataFrame, images: DataFrame, on: Sequence[str] = ("ro
 
 
 def resolve_images(wanted: DataFrame, images: DataFrame, on: Sequence[str] = ("root", "rel_path")) -> DataFrame:
-    """``locate_images`` plus the bytes; the bytes are shuffled once.
+    """``locate_images`` plus the bytes; only those of wanted images are shuffled, once.
 
-    A key stored twice counts once, with the smaller content.
+    The keys that were found are marked in a bitmap of a fixed size.  Images outside
+    of it are dropped where they are read.  A key stored twice counts once, with the smaller
+    content.
     """
-    single = images.groupBy(*_places(images)).agg(F.min("bytes").alias("bytes"))
-    return locate_images(wanted, images, on).join(single, _places(images), "left").select(
-        *on, "priority", "store", "key", "bytes"
-    )
+    places = _places(images)
+    found = write_through(locate_images(wanted, images, on), "located")
+    keys = [F.col(c) for c in places]
+    listed = found.where("key is not null").select(*places)
+    asked = marked_by_bitmap(images.select(*places, "bytes"), listed, keys, keys, "_asked").where("_asked")
+    single = asked.groupBy(*places).agg(F.min("bytes").alias("bytes"))
+    return found.join(single, places, "left").select(*on, "priority", "store", "key", "bytes")
 
 
 def check_image_files(required: DataFrame, listing: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot from this share of the left side on, so there are at most
@@ -51,3 +51,28 @@ def salted_join(
         .drop("_salts")
     )
     return split.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+# 8 MB, whatever is marked in it.
+BITMAP_BITS = 1 << 26
+
+
+def marked_by_bitmap(rows: DataFrame, keys: DataFrame, row_key: Sequence[Column], listed_key: Sequence[Column], name: str) -> DataFrame:
+    """``rows`` with the column ``name``: false where no row of ``keys`` can have the row's key.
+
+    The hashes of the listed keys are marks in a bitmap of a fixed size, which is
+    broadcast, so no row moves.  A key that is not listed may share its bit with a
+    listed one; the more are listed, the more such rows are marked.
+    """
+    slot = lambda key: F.pmod(F.xxhash64(*key), F.lit(BITMAP_BITS))
+    numbers = keys.select(slot(listed_key).alias("_slot"))
+    bitmaps = numbers.groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits")
+    )
+    placed = rows.withColumn("_slot", slot(row_key))
+    found = placed.join(F.broadcast(bitmaps), F.bitmap_bucket_number("_slot") == F.col("_bucket"), "left")
+    bit = F.bitmap_bit_position("_slot").cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    hit = F.expr("shiftright(_byte, _shift) & 1") == 1
+    tested = found.withColumns({"_byte": byte, "_shift": bit % 8})
+    return tested.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(hit, F.lit(False)).alias(name))
