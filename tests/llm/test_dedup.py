@@ -8,9 +8,13 @@ import pytest
 import xxhash
 from conftest_helpers import SCHEMA, documents, plain_words
 
+from pyspark.sql import functions as F
+
+from trailframe.llm.common import without_listed
 from trailframe.llm.components import components
 from trailframe.llm.exact_dedup import exact_dedup, keep_first
 from trailframe.llm.simhash import near_dedup, one_per_group
+from trailframe.operators.skew import marked_by_bitmap
 
 
 def plain_exact(rows):
@@ -120,3 +124,16 @@ def test_components_of_chains_and_hubs(spark):
     roots = {r["v"]: r["root"] for r in components(spark.createDataFrame(chain + hub, "u bigint, v bigint")).collect()}
     assert len({roots[v] for v in range(41)}) == 1 and len({roots[v] for v in range(100, 131)}) == 1
     assert roots[0] != roots[100] and len(roots) == 72
+
+
+def test_no_exchange_carries_texts_of_rows_that_stay(spark):
+    """Only listed rows, and the few that share a bit, leave their place to be compared."""
+    frame = documents(spark, [f"text {i}" for i in range(400)])
+    listed = spark.createDataFrame([(i, f"text {i}") for i in range(0, 400, 4)], "i bigint, t string")
+    match = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text") == F.col("t"))
+    left = without_listed(frame, listed, match, [F.col("doc_id"), F.col("text")], [F.col("i"), F.col("t")])
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 2
+    assert sorted(r["doc_id"] for r in left.collect()) == [i for i in range(400) if i % 4]
+    marked = marked_by_bitmap(frame, listed, [F.col("doc_id"), F.col("text")], [F.col("i"), F.col("t")], "m")
+    assert 100 <= marked.where("m").count() < 110

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailframe.operators.skew import marked_by_bitmap
+
 #: The blanks of every contract here: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -15,9 +17,6 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 # and their rows of the other side (one per key) may be broadcast.
 MAX_HOT_KEYS = 10_000
 
-# Lists of ids or digests up to so many rows (some 100 bytes each) are broadcast.
-MAX_BROADCAST = 100_000
-
 
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty text."""
@@ -36,9 +35,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANK_RUN, -1), "")
 
 
-def limited_broadcast(table: DataFrame) -> DataFrame:
-    """The written ``table`` with a broadcast hint if its rows are few; else as it is."""
-    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
+def without_listed(rows: DataFrame, listed: DataFrame, match: Column, row_key: Sequence[Column], listed_key: Sequence[Column]) -> DataFrame:
+    """``rows`` that ``match`` no row of ``listed``; the plan is the same for any number of these.
+
+    A bitmap of the listed keys is broadcast.  Rows outside of it stay where they are;
+    only the others, which are the listed ones and the few that share a bit with them, are
+    shuffled and compared.  ``rows`` is read twice, ``listed`` too: pass written tables.
+    """
+    marked = marked_by_bitmap(rows, listed, row_key, listed_key, "_maybe")
+    doubtful = marked.where("_maybe").drop("_maybe")
+    stay = doubtful.join(listed.hint("merge"), match, "left_anti")
+    return marked.where("not _maybe").drop("_maybe").unionByName(stay)
 
 
 def hot_join(

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailframe.llm.common import MAX_HOT_KEYS, hot_join, limited_broadcast, text_of, without_blanks
+from trailframe.llm.common import MAX_HOT_KEYS, hot_join, text_of, without_blanks, without_listed
 from trailframe.session import write_through
 
 MAX_DEPTH = 18
@@ -154,9 +154,8 @@ def exact_dedup(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    Dropped documents are left out by their id, text digest and length.  Their
-    list is broadcast up to a number of rows and shuffled beyond that; of
-    rows that are repeated in full, one stays.
+    Dropped documents are left out by their id, text digest and length
+    (``without_listed``); of rows that are repeated in full, one stays.
     """
     found = exact_dedup(docs)
     keys = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_points")]
@@ -169,7 +168,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
         {"_id_own": F.col("doc_id").cast("bigint"), "_sha_own": F.sha2(without_blanks(text), 256), "_points_own": F.length(text)}
     )
     match = F.col("_id_own").eqNullSafe(F.col("_id")) & F.expr("_sha_own = _sha") & F.expr("_points_own = _points")
-    rows = keyed.join(limited_broadcast(gone), match, "left_anti")
+    own, listed = ([F.col(c) for c in cs] for cs in (("_id_own", "_points_own", "_sha_own"), ("_id", "_points", "_sha")))
+    rows = without_listed(keyed, gone, match, own, listed)
     if verdict.where("kept and rows > 1").limit(1).count():
         # Some kept row is repeated: number its repetitions.
         same = W.partitionBy("_id_own", "_sha_own", "_points_own").orderBy("_points_own")

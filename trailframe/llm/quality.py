@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailframe.functions.let import bind
-from trailframe.llm.common import BLANK_RUN, MAX_HOT_KEYS, hot_join, limited_broadcast, text_of, without_blanks, words_of
+from trailframe.llm.common import BLANK_RUN, MAX_HOT_KEYS, hot_join, text_of, without_blanks, without_listed, words_of
 from trailframe.session import write_through
 
 MIN_WORDS = 50
@@ -223,7 +223,8 @@ def kept_documents(docs: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
     depleted = judged.where(~F.col("base_failed") & ~F.col("kept")).select("source", "md5").distinct()
     depleted = write_through(depleted.select(F.col("source").alias("_source"), F.col("md5").alias("_md5")), "depleted")
     match = F.col("source").eqNullSafe(F.col("_source")) & (F.col("md5") == F.col("_md5"))
-    passed = facts.where(F.col(_ROW).isNotNull()).join(limited_broadcast(depleted), match, "left_anti")
+    own, listed = ([F.col(c) for c in cs] for cs in (("source", "md5"), ("_source", "_md5")))
+    passed = without_listed(facts.where(F.col(_ROW).isNotNull()), depleted, match, own, listed)
     return passed.select(f"{_ROW}.*")
 
 

@@ -35,8 +35,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailframe.llm.common import hot_join, limited_broadcast, text_of
+from trailframe.llm.common import hot_join, text_of, without_listed
 from trailframe.llm.components import components
+from trailframe.operators.skew import marked_by_bitmap
 from trailframe.session import write_through
 
 SHINGLE_WORDS = 4
@@ -305,9 +306,8 @@ def one_per_group(docs: DataFrame) -> DataFrame:
 
     The row with the smallest ``doc_id`` stays (null after all others), then the
     one with the smallest text digest.  The others are left out by id and
-    digest, so that unlike texts under one id, or without ids, are judged apart;
-    their list is broadcast up to a number of rows and shuffled beyond that.  Of
-    rows that repeat id and text, one stays.
+    digest (``without_listed``), so that unlike texts under one id, or without ids,
+    are judged apart.  Of rows that repeat id and text, one stays.
     """
     marked = write_through(fingerprints(docs, with_digest=True), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
@@ -317,11 +317,12 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     verdict = write_through(verdict, "verdict")
     own = docs.withColumns({"_id_own": F.col("doc_id").cast("bigint"), "_digest_own": _digest()})
     match = F.col("_id_own").eqNullSafe(F.col("_id")) & F.expr("_digest_own = _digest")
-    rows = own.join(limited_broadcast(verdict.where("not heads").select("_id", "_digest")), match, "left_anti")
+    row_key, listed_key = ([F.col(c) for c in cs] for cs in (("_id_own", "_digest_own"), ("_id", "_digest")))
+    rows = without_listed(own, verdict.where("not heads").select("_id", "_digest"), match, row_key, listed_key)
     repeated = verdict.where("heads and rows > 1").select("_id", "_digest")
     if repeated.limit(1).count():
-        repeated = limited_broadcast(repeated)
-        # Only these rows are brought together, and each task sends one of a key.
-        again = rows.join(repeated, match, "left_semi").dropDuplicates(["_id_own", "_digest_own"])
-        rows = rows.join(repeated, match, "left_anti").unionByName(again)
+        # Only rows that may be such are brought together, and each task sends one of a key.
+        marked = marked_by_bitmap(rows, repeated, row_key, listed_key, "_maybe")
+        again = marked.where("_maybe").dropDuplicates(["_id_own", "_digest_own"])
+        rows = marked.where("not _maybe").unionByName(again)
     return rows.select(*docs.columns)
