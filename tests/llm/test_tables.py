@@ -1,5 +1,6 @@
 """Quality rules, sharding and mixing against plain Python, and the SQL twins."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -25,12 +26,28 @@ def plain_quality(rows, limit):
     def normal(line):
         return re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" ").lower()
 
-    surroundings = {}
-    for source, text in {(s, t or "") for _, t, s in rows}:
-        lines = [x for x in map(normal, text.split("\n")) if x]
-        for i, line in enumerate(lines):
-            around = (lines[i - 1] if i else None, lines[i + 1] if i + 1 < len(lines) else None)
-            surroundings.setdefault((source, line), set()).add(around)
+    texts = {(s, t or "") for _, t, s in rows}
+    lines_of = {st: [x for x in map(normal, st[1].split("\n")) if x] for st in texts}
+    holders, documents_of = {}, {}
+    for st, lines in lines_of.items():
+        for line in lines:
+            holders.setdefault((st[0], line), set()).add(st)
+    shingles, found = {}, Counter()
+    for st, lines in lines_of.items():
+        words = plain_words(st[1])
+        if 100 * sum(len(x.split(" ")) for x in lines if len(holders[st[0], x]) > limit) > 70 * len(words):
+            shingles[st] = {" ".join(words[i : i + 5]).lower() for i in range(len(words) - 4)}
+            found.update((st[0], w) for w in shingles[st])
+    names = {}
+    for (source, text), own in shingles.items():
+        shared = [w for w in own if found[source, w] > 1]
+        rare = [w for w in shared if found[source, w] <= limit]
+        common = [w for w in shared if found[source, w] > limit]
+        if own and 9 * len(shared) >= 8 * len(own):
+            among = rare if 9 * len(rare) >= len(own) else common
+            names[source, text] = min(hashlib.md5(w.encode()).hexdigest()[:15] for w in among)
+    for where, of in holders.items():
+        documents_of[where] = len({names.get(st, st) for st in of})
     out = []
     for doc_id, text, source in rows:
         text = text or ""
@@ -39,7 +56,7 @@ def plain_quality(rows, limit):
         covered = {i + d for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for d in range(3)}
         lines = [x for x in text.split("\n") if plain_words(x)]
         lost = sum(
-            len(normal(x).split(" ")) for x in text.split("\n") if normal(x) and len(surroundings[source, normal(x)]) > limit
+            len(normal(x).split(" ")) for x in text.split("\n") if normal(x) and documents_of[source, normal(x)] > limit
         )
         failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
         out.append((doc_id, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)),
@@ -87,6 +104,42 @@ def test_many_repeated_windows_take_the_sorted_way(spark):
     assert tuple(row) == plain_quality([(0, frame.first()["text"], "s")], 25)[0]
 
 
+def agrees_with_plain(frame, limit=25):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in frame.collect()]
+    got = quality.quality(frame, limit).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(plain_quality(rows, limit), key=key)
+    kept = sorted(r["doc_id"] for r in got if r["kept"])
+    assert sorted(r["doc_id"] for r in quality.kept_documents(frame, limit).collect()) == kept
+    return got
+
+
+def with_footer(n, own_copies=1):
+    footer = "\n".join(" ".join(f"f{i}w{j}" for j in range(9)) for i in range(10))
+    for i in range(n):
+        for k in range(own_copies):
+            yield " ".join(f"d{i}w{j}" for j in range(24)) + "\n" + footer + f"\ncopy{k}" * (own_copies > 1)
+
+
+@pytest.mark.parametrize("own_copies", [1, 2])
+def test_every_line_of_a_footer_is_charged(spark, own_copies):
+    got = agrees_with_plain(documents(spark, list(with_footer(200, own_copies))))
+    assert {r["lost_words"] for r in got} == {90 + (own_copies > 1)} and not any(r["kept"] for r in got)
+
+
+@pytest.mark.parametrize("n", [26, 28, 50, 400])
+def test_near_copies_stay(spark, n):
+    rng = random.Random(n)
+    words = [f"w{j}" for j in range(240)]
+    texts = []
+    for i in range(n):
+        mine = list(words)
+        for at in rng.sample(range(240), 3):
+            mine[at] = f"e{i}x{at}"
+        texts.append("\n".join(" ".join(mine[k : k + 12]) for k in range(0, 240, 12)))
+    got = agrees_with_plain(documents(spark, texts))
+    assert len(got) == n and all(r["kept"] for r in got)
+
+
 def test_copies_do_not_make_a_line_frequent(spark):
     text = "\n".join(" ".join(f"l{i}w{j}" for j in range(20)) for i in range(4))
     frame = documents(spark, [text] * 50)

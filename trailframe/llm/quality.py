@@ -5,12 +5,15 @@ column ``source``) the distinct documents of each line are counted; lines above
 the limit are boilerplate and are removed.  A document that loses more than a
 share of its words is depleted and rejected, as is one that fails the base rules.
 
-Documents count as distinct for a line only where the lines around it differ:
-copies and near copies of one text repeat a line in the same surroundings and
-count once, so a much-copied good document is left to the deduplication.
-``kept_documents`` and ``without_frequent_lines`` ask besides for more distinct
-texts than the limit, so that one text that repeats a line makes it frequent for
-nobody; ``quality`` follows its SQL twin, which counts surroundings only.
+Near copies count as one document, as everywhere with five words and a
+similarity of 0.8: they are left to the deduplication, and a much-copied good
+document stays.  This is asked of the texts that the plain count would deplete.
+Where eight ninths of a text's windows of five words are on further such texts, its
+own share is so small that two texts of this kind are near copies; it is then
+named by its smallest window on at most as many texts as the limit, if these make
+a ninth, or else by its smallest window on more.  Copies of one text agree on that
+name but for the few that were edited just there.  All other texts are named by
+themselves, and the distinct names of a line's texts are counted.
 
 Counts are pre-aggregated before each shuffle, and only hashes travel, never
 texts.  Only DataFrame functions are used.
@@ -23,12 +26,16 @@ from pyspark.sql import functions as F
 
 from trailframe.functions.let import bind
 from trailframe.llm.common import BLANK_RUN, MAX_HOT_KEYS, hot_join, text_of, without_blanks, without_listed, words_of
+from trailframe.operators.skew import marked_by_bitmap
 from trailframe.session import write_through
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 LINE_LIMIT = 25
 MAX_LOST_PERCENT = 70
+SHINGLE = 5
+# Two texts that share eight ninths of their windows with each other have a similarity of 0.8.
+MIN_SHARED_NINTHS = 8
 # Up to so many repeated windows a linear search is cheaper than a sort; the result is the same.
 FEW_WINDOWS = 64
 
@@ -89,24 +96,14 @@ def normal_line(line: Column) -> Column:
 
 
 def line_facts(text: Column) -> Column:
-    """Lines with a word: ``h`` (hash), ``around`` (hash of the lines around), ``words``."""
+    """Lines with a word: ``h`` (hash) and ``words``."""
     lines = F.filter(F.transform(F.split(text, "\n", -1), normal_line), lambda x: x != "")
-
-    def facts(normal: Column) -> Column:
-        hashes = F.transform(normal, lambda x: F.xxhash64(x))
-        return bind(
-            hashes,
-            lambda h: F.transform(
-                normal,
-                lambda x, i: F.struct(
-                    F.get(h, i).alias("h"),
-                    F.xxhash64(F.when(i > 0, F.get(h, i - 1)), F.get(h, i + 1)).alias("around"),
-                    (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"),
-                ),
-            ),
-        )
-
-    return bind(lines, facts)
+    return F.transform(
+        lines,
+        lambda x: F.struct(
+            F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")
+        ),
+    )
 
 
 def base_facts(docs: DataFrame, *more: Column) -> DataFrame:
@@ -136,45 +133,82 @@ _ROW = "row"
 
 
 def line_rows(rows: DataFrame) -> DataFrame:
-    """The lines of each distinct text of a host; a written table."""
+    """``source, md5, h, words``: the lines of each distinct text of a host, ``words`` summed; a written table."""
     exploded = rows.select("source", "md5", F.posexplode("lines").alias("pos", "line"))
-    return write_through(exploded.select("source", "md5", "pos", "line.*").distinct(), "lines")
+    each = exploded.select("source", "md5", "pos", "line.*").distinct()
+    return write_through(each.groupBy("source", "md5", "h").agg(F.sum("words").alias("words")), "lines")
 
 
-def line_counts(lines: DataFrame, line_limit: int) -> DataFrame:
-    """``source, h, n, frequent``: rows of every line, and whether its distinct documents exceed the limit."""
-    counts = (
-        lines.groupBy("source", "h", "around")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("source", "h")
-        .agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("n"))
+def text_names(docs: DataFrame, depleted: DataFrame, line_limit: int) -> DataFrame:
+    """``source, md5, name`` of the ``depleted`` texts that are near copies of others of them; a written table."""
+    text = text_of()
+    rows = docs.select(F.col("source").cast("string").alias("source"), F.md5(text).alias("md5"), text.alias("text"))
+    listed = depleted.select(F.col("source").alias("_source"), F.col("md5").alias("_md5"))
+    match = F.col("source").eqNullSafe(F.col("_source")) & (F.col("md5") == F.col("_md5"))
+    own, other = ([F.col(c) for c in cs] for cs in (("source", "md5"), ("_source", "_md5")))
+    # One row per text before the join, so that copies neither travel nor meet in a task.
+    found = marked_by_bitmap(rows, listed, own, other, "_maybe").where("_maybe")
+    texts = found.groupBy("source", "md5").agg(F.any_value("text").alias("text")).join(listed, match, "left_semi")
+    windows = bind(
+        words_of(F.lower("text")),
+        lambda w: F.when(
+            F.size(w) >= SHINGLE,
+            F.transform(
+                F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))),
+                lambda i: F.conv(F.substring(F.md5(F.array_join(F.slice(w, i, SHINGLE), " ")), 1, 15), 16, 10).cast("bigint"),
+            ),
+        ),
+    )
+    windows = write_through(texts.select("source", "md5", F.explode(F.array_distinct(windows)).alias("w")), "windows")
+    counts = write_through(windows.groupBy("source", "w").agg(F.count(F.lit(1)).alias("n")), "window-counts")
+    counts = counts.withColumn("texts", F.col("n"))
+    counted = hot_join(windows, counts, ["source", "w"], "n", windows.count())
+    rare = F.when(F.col("texts").between(2, line_limit), F.col("w"))
+    common = F.when((F.col("texts") > line_limit) & (F.col("texts") > 1), F.col("w"))
+    sums = counted.groupBy("source", "md5").agg(
+        F.count(F.lit(1)).alias("windows"),
+        F.count(F.when(F.col("texts") > 1, 1)).alias("shared"),
+        F.count(rare).alias("rare"),
+        F.min(rare).alias("rare_name"),
+        F.min(common).alias("common_name"),
     )
-    return counts.select("source", "h", "n", (F.col("documents") > line_limit).alias("frequent"))
+    near = sums.where(9 * F.col("shared") >= MIN_SHARED_NINTHS * F.col("windows"))
+    by_rare = 9 * F.col("rare") >= (9 - MIN_SHARED_NINTHS) * F.col("windows")
+    name = F.when(by_rare, F.col("rare_name")).otherwise(F.col("common_name"))
+    return write_through(near.select("source", "md5", name.cast("string").alias("name")), "names")
 
 
-def enough_texts(hits: DataFrame, line_limit: int) -> DataFrame:
-    """``source, h, md5, words`` of the lines that more than ``line_limit`` distinct texts have.
+def frequent_lines(docs: DataFrame, rows: DataFrame, lines: DataFrame, line_limit: int, total: int) -> tuple[DataFrame, DataFrame]:
+    """``source, h, n`` with ``frequent`` of the lines on too many texts, and these lines' rows of ``lines``.
 
-    ``hits`` are lines with ``source, h, md5, words``; ``words`` is summed.
+    ``frequent`` says whether they are on too many documents.  Both are written tables.
     """
-    texts = write_through(hits.groupBy("source", "h", "md5").agg(F.sum("words").alias("words")), "hits")
-    counts = texts.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n"))
-    counts = write_through(counts.withColumn("enough", F.col("n") > line_limit), "texts-of-lines")
-    return hot_join(texts, counts, ["source", "h"], "n", texts.count()).where("enough").drop("enough")
+    counts = lines.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n"))
+    # Hot lines that are not on many texts are named as well, so that they are not shuffled.
+    counts = counts.withColumn("many", F.col("n") > line_limit)
+    counts = write_through(counts.where(F.col("many") | (F.col("n") > total // MAX_HOT_KEYS)), "texts-of-lines")
+    hits = write_through(hot_join(lines, counts, ["source", "h"], "n", total).where("many").drop("many"), "hits")
+    lost = hits.groupBy("source", "md5").agg(F.sum("words").alias("lost"))
+    sizes = rows.groupBy(F.col("source").alias("_source"), F.col("md5").alias("_md5")).agg(F.max("n_words").alias("n_words"))
+    match = F.col("source").eqNullSafe(F.col("_source")) & (F.col("md5") == F.col("_md5"))
+    depleted = lost.join(sizes, match).where(_depleted(F.col("lost"))).select("source", "md5")
+    names = text_names(docs, write_through(depleted, "depleted-by-texts"), line_limit)
+    names = names.select(F.col("source").alias("_source"), F.col("md5").alias("_md5"), "name")
+    named = hits.join(names, match, "left").select("source", "h", F.coalesce("name", "md5").alias("name"))
+    documents = named.groupBy("source", "h", "name").agg(F.count(F.lit(1)).alias("n")).groupBy("source", "h").agg(
+        F.sum("n").alias("n"), (F.count(F.lit(1)) > line_limit).alias("frequent")
+    )
+    return write_through(documents, "frequent"), hits
 
 
-def lost_words(rows: DataFrame, total: int, line_limit: int, by_texts: bool) -> DataFrame:
+def lost_words(docs: DataFrame, rows: DataFrame, total: int, line_limit: int) -> DataFrame:
     """``source, md5, lost``: words of each distinct text in frequent lines.
 
-    ``total`` bounds the number of lines; ``by_texts`` asks for enough distinct texts as well.
+    ``total`` bounds the number of lines.
     """
     lines = line_rows(rows)
-    # Hot lines that are not frequent are named as well, so that they are not shuffled.
-    named = F.col("frequent") | (F.col("n") > total // MAX_HOT_KEYS)
-    marked = write_through(line_counts(lines, line_limit).where(named), "frequent")
-    hit = hot_join(lines, marked, ["source", "h"], "n", total).where("frequent")
-    if by_texts:
-        hit = enough_texts(hit, line_limit)
+    marked, hits = frequent_lines(docs, rows, lines, line_limit, total)
+    hit = hot_join(hits, marked, ["source", "h"], "n", hits.count()).where("frequent")
     return hit.groupBy("source", "md5").agg(F.sum("words").alias("lost"))
 
 
@@ -182,10 +216,14 @@ def _failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _judged(rows: DataFrame, line_limit: int, by_texts: bool) -> DataFrame:
+def _depleted(lost: Column) -> Column:
+    return 100 * lost > MAX_LOST_PERCENT * F.col("n_words")
+
+
+def _judged(docs: DataFrame, rows: DataFrame, line_limit: int) -> DataFrame:
     """The written ``rows`` of ``base_facts`` with ``base_failed``, ``kept`` and ``lost_words``."""
     found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("lines") + 1).alias("lines")).first()
-    lost = lost_words(rows, found["lines"] or 0, line_limit, by_texts)
+    lost = lost_words(docs, rows, found["lines"] or 0, line_limit)
     lost = lost.select(F.col("source").alias("_source"), F.col("md5").alias("_md5"), "lost")
     # A row for every text, also for those that lose nothing.
     texts = rows.groupBy("source", "md5").agg(F.count(F.lit(1)).alias("copies"))
@@ -193,8 +231,7 @@ def _judged(rows: DataFrame, line_limit: int, by_texts: bool) -> DataFrame:
     texts = texts.join(lost, match, "left")
     texts = texts.select("source", "md5", "copies", F.coalesce("lost", F.lit(0)).alias("lost_words"))
     joined = hot_join(rows.drop("lines"), write_through(texts, "texts"), ["source", "md5"], "copies", found["n"])
-    depleted = 100 * F.col("lost_words") > MAX_LOST_PERCENT * F.col("n_words")
-    return joined.withColumns({"base_failed": _failed(), "kept": ~_failed() & ~depleted})
+    return joined.withColumns({"base_failed": _failed(), "kept": ~_failed() & ~_depleted(F.col("lost_words"))})
 
 
 def quality(docs: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
@@ -205,7 +242,7 @@ def quality(docs: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
     is a host of its own.  Repeated rows get equal verdicts.  Further columns
     are ignored; an empty table gives no rows.
     """
-    judged = _judged(write_through(base_facts(docs), "facts"), line_limit, by_texts=False)
+    judged = _judged(docs, write_through(base_facts(docs), "facts"), line_limit)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words"
     )
@@ -219,7 +256,7 @@ def kept_documents(docs: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_ROW)
     facts = write_through(base_facts(docs, row).withColumn(_ROW, F.when(~_failed(), F.col(_ROW))), "facts")
-    judged = _judged(facts.drop(_ROW), line_limit, by_texts=True)
+    judged = _judged(docs, facts.drop(_ROW), line_limit)
     depleted = judged.where(~F.col("base_failed") & ~F.col("kept")).select("source", "md5").distinct()
     depleted = write_through(depleted.select(F.col("source").alias("_source"), F.col("md5").alias("_md5")), "depleted")
     match = F.col("source").eqNullSafe(F.col("_source")) & (F.col("md5") == F.col("_md5"))
@@ -235,8 +272,8 @@ def without_frequent_lines(docs: DataFrame, line_limit: int = LINE_LIMIT) -> Dat
     """
     facts = write_through(base_facts(docs), "facts")
     rows = line_rows(facts)
-    frequent = line_counts(rows, line_limit).where("frequent").select("source", "h")
-    frequent = frequent.intersect(enough_texts(rows, line_limit).select("source", "h"))
+    marked, _ = frequent_lines(docs, facts, rows, line_limit, rows.count())
+    frequent = marked.where("frequent").select("source", "h")
     numbered = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("bigint").alias("doc_id"),

@@ -214,21 +214,41 @@ repeated as (
 repeat_words as (
   select md5, count(distinct i + d) as n from repeated, (select unnest([0, 1, 2]) as d) group by md5),
 texts as (
-  select distinct source, md5,
+  select distinct source, md5, words,
          list_filter(list_transform(lines, lambda x: lower(trim(regexp_replace(x, '{_BLANKS}+', ' ', 'g')))),
                      lambda x: x <> '') as lines
   from split_up),
 line_rows as (
-  select source, md5, i, lines[i] as line,
-         case when i > 1 then lines[i - 1] end as prev, case when i < len(lines) then lines[i + 1] end as next
-  from (select *, unnest(range(1, len(lines) + 1)) as i from texts)),
+  select source, md5, line, sum(length(line) - length(replace(line, ' ', '')) + 1) as n
+  from (select source, md5, unnest(lines) as line from texts) group by source, md5, line),
+hits as (
+  select * from line_rows qualify count(*) over (partition by source, line) > 25),
+depleted as (
+  select t.source, t.md5, t.words
+  from (select source, md5, sum(n) as n from hits group by source, md5) h
+  join texts t on t.source is not distinct from h.source and t.md5 = h.md5 where 100 * h.n > 70 * len(t.words)),
+shingles as (
+  select distinct source, md5,
+         cast('0x' || substr(md5(lower(array_to_string(words[i:i + 4], ' '))), 1, 15) as bigint) as w
+  from (select *, unnest(range(1, len(words) - 3)) as i from depleted)),
+counted as (
+  select *, count(*) over (partition by source, w) as texts from shingles),
+shares as (
+  select source, md5, count(*) as n, count(*) filter (texts > 1) as shared,
+         count(*) filter (texts between 2 and 25) as rare, min(w) filter (texts between 2 and 25) as rare_name,
+         min(w) filter (texts > 25) as common_name
+  from counted group by source, md5),
+names as (
+  select source, md5, cast(case when 9 * rare >= n then rare_name else common_name end as varchar) as name
+  from shares where 9 * shared >= 8 * n),
 frequent as (
-  select source, line from (select distinct source, line, prev, next from line_rows)
-  group by source, line having count(*) > 25),
+  select h.source, h.line
+  from hits h left join names n on h.source is not distinct from n.source and h.md5 = n.md5
+  group by h.source, h.line having count(distinct coalesce(n.name, h.md5)) > 25),
 lost as (
-  select r.source, r.md5, sum(length(r.line) - length(replace(r.line, ' ', '')) + 1) as lost
-  from line_rows r join frequent f on r.source is not distinct from f.source and r.line = f.line
-  group by r.source, r.md5),
+  select h.source, h.md5, sum(h.n) as lost
+  from hits h join frequent f on h.source is not distinct from f.source and h.line = f.line
+  group by h.source, h.md5),
 facts as (
   select s.doc_id, cast(len(words) as bigint) as n_words,
          cast(length(regexp_replace(text, '{_BLANKS}', '', 'g')) as bigint) as word_chars,
