@@ -2,7 +2,9 @@
 
 import io
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -149,6 +151,42 @@ def test_language(spark, odd_documents, no_documents):
     assert language_id.identify(no_documents).collect() == []
 
 
+def plain_bundle(profiles, text):
+    """The sum over a Counter of 3-grams."""
+    shown = "".join(c if c.isalpha() else "\0" for c in "\0" + text.lower() + "\0")
+    shown = re.sub("\0+", "\0", shown)
+    total = np.zeros(profiles.dimensions)
+    for gram, n in Counter(shown[i : i + 3] for i in range(len(shown) - 2)).items():
+        a, b, c = (profiles.vector(ord(x)).astype(int) for x in gram)
+        total += n * np.roll(a, 2) * np.roll(b, 1) * c
+    return total
+
+
+@pytest.mark.parametrize("chars, kinds", [(1 << 19, 16_000), (37, 11), (1, 1)])
+def test_bundles_in_pieces_and_slices(monkeypatch, chars, kinds):
+    monkeypatch.setattr(language_id, "_BATCH_CHARS", chars)
+    monkeypatch.setattr(language_id, "_SLICE_KINDS", kinds)
+    rng = random.Random(9)
+    texts = ["", "a", "12 3", "ab  c" * 9, " ,. " * 30 + "ab", " " * 99 + "q" + " " * 60, "Ünïcode 語言 ΣΑΣ mixed"]
+    texts += ["".join(rng.choices("abcde ,.\n", k=150)) for _ in range(5)]
+    profiles = language_id.Profiles(64)
+    got = np.zeros((len(texts), 64))
+    for pieces, owners in language_id._batched(iter(texts)):
+        own, row = np.unique(owners, return_inverse=True)
+        got[own] += profiles.bundles(pieces, row, len(own))[1]
+    assert (got == np.stack([plain_bundle(profiles, t) for t in texts])).all()
+
+
+def test_language_of_a_long_text_with_many_letters(spark):
+    rng = random.Random(10)
+    rare = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    rows = [(1, "plain words " * 50, "en", "s", 1), (3, rare(2_000_000), "zh", "s", 1)]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert learned == rows
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, SCHEMA), 64).collect()}
+    assert got == {1: "en", 3: "zh"}
+
+
 def test_vectors_are_bound_by_place():
     profiles = language_id.Profiles(64)
     _, counts, vectors = profiles.grams(["ab"])

@@ -8,7 +8,9 @@ A document gets the language whose prototype has the largest cosine with it.
 
 Learning uses every labelled row.  Tasks bundle their rows, Spark adds one
 vector per language and task, and the prototypes, one per language, are sent to
-the tasks that predict.  Sums are whole numbers, so reruns agree exactly.
+the tasks that predict.  Sums are whole numbers, so reruns agree exactly.  Texts of
+any length are cut into pieces that share two letters, and the 3-grams of a batch
+of pieces are bundled a bounded number of kinds at a time.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ SEED = 17
 MAX_LANGUAGES = 10_000
 UNKNOWN = "und"
 _BATCH_CHARS = 1 << 19
+_SLICE_KINDS = 16_000
 _KEPT_LETTERS = 20_000
 _GAP = 0  # stands for any run of other characters
 
@@ -55,17 +58,16 @@ class Profiles:
             if len(self.vectors) > _KEPT_LETTERS:
                 self.vectors.clear()
             draws = np.random.default_rng([SEED, point]).integers(0, 2, self.dimensions)
-            self.vectors[point] = (2 * draws - 1).astype(np.float32)
+            self.vectors[point] = (2 * draws - 1).astype(np.int8)
         return self.vectors[point]
 
-    def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of letters per text, counts (texts x 3-grams) and the 3-grams' vectors."""
-        lowered = ["\0" + t.lower() + "\0" for t in texts]
-        sizes = np.fromiter(map(len, lowered), np.int64, len(texts))
-        points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
-        owner = np.repeat(np.arange(len(texts)), sizes)
+    def _numbered(self, pieces: list[str], row: np.ndarray):
+        """Letters of each piece; the row and the kind of every 3-gram; the kinds and the letters' vectors."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        points = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4")
+        owner = np.repeat(np.arange(len(pieces)), sizes)
         is_letter = self.letter[points]
-        letters = np.bincount(owner[is_letter], minlength=len(texts))
+        letters = np.bincount(owner[is_letter], minlength=len(pieces))
         # One gap for each run of other characters, also at both ends.
         keep = is_letter | np.concatenate(([True], is_letter[:-1])) | np.concatenate(([True], owner[1:] != owner[:-1]))
         points, owner = np.where(is_letter, points, _GAP)[keep], owner[keep]
@@ -77,7 +79,7 @@ class Profiles:
         small, width = number[points], len(alphabet)
         gram = (small[:-2] * width + small[1:-1]) * width + small[2:]
         inside = owner[:-2] == owner[2:]
-        gram, whose = gram[inside], owner[:-2][inside]
+        gram, whose = gram[inside], row[owner[:-2][inside]]
         if width**3 <= 1 << 22:
             seen = np.zeros(width**3, bool)
             seen[gram] = True
@@ -87,25 +89,76 @@ class Profiles:
             at = place[gram]
         else:
             kinds, at = np.unique(gram, return_inverse=True)
-        counts = np.bincount(whose * len(kinds) + at, minlength=len(texts) * len(kinds))
-        table = np.stack([self.vector(int(p)) for p in alphabet])
-        a, b, c = kinds // width**2, kinds // width % width, kinds % width
-        vectors = np.roll(table, 2, axis=1)[a] * np.roll(table, 1, axis=1)[b] * table[c]
-        return letters, counts.reshape(len(texts), len(kinds)), vectors
+        return letters, whose, at, kinds, np.stack([self.vector(int(p)) for p in alphabet])
 
+    @staticmethod
+    def _bound(kinds: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Vectors of the 3-grams ``kinds``."""
+        width = len(table)
+        a, b, c = table[kinds // width**2], table[kinds // width % width], table[kinds % width]
+        return (np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c).astype(np.float32)
 
-def _batched(texts: Iterator[str]) -> Iterator[list[str]]:
+    def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of letters per text, counts (texts x 3-grams) and the 3-grams' vectors, of a few short texts."""
+        pieces = ["\0" + t.lower() + "\0" for t in texts]
+        letters, whose, at, kinds, table = self._numbered(pieces, np.arange(len(texts)))
+        counts = np.bincount(whose * len(kinds) + at, minlength=len(texts) * len(kinds))
+        return letters, counts.reshape(len(texts), len(kinds)), self._bound(kinds, table)
+
+    def bundles(self, pieces: list[str], row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of each piece, and the bundles of ``n_rows`` rows; a piece belongs to the row ``row``."""
+        letters, whose, at, kinds, table = self._numbered(pieces, row)
+        sums = np.zeros((n_rows, self.dimensions), np.float32)
+        for low in range(0, len(kinds), _SLICE_KINDS):
+            part = kinds[low : low + _SLICE_KINDS]
+            mine = (at >= low) & (at < low + len(part)) if len(part) < len(kinds) else slice(None)
+            counts = np.bincount(whose[mine] * len(part) + at[mine] - low, minlength=n_rows * len(part))
+            # Whole numbers below 2**24, as a batch has fewer 3-grams: exact.
+            sums += counts.reshape(n_rows, len(part)).astype(np.float32) @ self._bound(part, table)
+        return letters, sums
+
+
+def _last_two(piece: str) -> str:
+    """The last two letters or gaps."""
+    found = ""
+    for char in reversed(piece):
+        symbol = char if char.isalpha() else "\0"
+        if symbol != "\0" or found[:1] != "\0":
+            found = symbol + found
+            if len(found) == 2:
+                break
+    return found
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """The lower-cased text between gaps, in pieces; each begins with the last two letters of the one before."""
+    lowered = "\0" + text.lower() + "\0"
+    if len(lowered) <= _BATCH_CHARS:
+        yield lowered
+        return
+    before = ""
+    for low in range(0, len(lowered), _BATCH_CHARS):
+        piece = before + lowered[low : low + _BATCH_CHARS]
+        before = _last_two(piece)
+        yield piece
+
+
+def _batched(texts: Iterator[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Pieces, and the number of the text that each belongs to."""
     held: list[str] = []
+    owners: list[int] = []
     size = 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        # The count matrix is bounded by the number of texts too.
-        if size >= _BATCH_CHARS or len(held) >= 256:
-            yield held
-            held, size = [], 0
+    for k, text in enumerate(texts):
+        for piece in _pieces(text):
+            held.append(piece)
+            owners.append(k)
+            size += len(piece)
+            # The count matrix is bounded by the number of pieces too.
+            if size >= _BATCH_CHARS or len(held) >= 256:
+                yield held, np.array(owners)
+                held, owners, size = [], [], 0
     if held:
-        yield held
+        yield held, np.array(owners)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -119,16 +172,12 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles.of(dimensions), {}
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            done = 0
-            for texts in _batched(t.as_py() for t in batch.column("text")):
-                _, counts, vectors = profiles.grams(texts)
-                mine = np.array(langs[done : done + len(texts)])
-                done += len(texts)
-                for lang in np.unique(mine):
-                    total = counts[mine == lang].sum(axis=0)
-                    bundled = np.rint(total.astype(np.float64) @ vectors.astype(np.float64)).astype(np.int64)
-                    sums[str(lang)] = sums.get(str(lang), 0) + bundled
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            for pieces, owners in _batched(t.as_py() for t in batch.column("text")):
+                present, row = np.unique(langs[owners].astype(str), return_inverse=True)
+                _, bundled = profiles.bundles(pieces, row, len(present))
+                for lang, one in zip(present.tolist(), bundled.astype(np.int64)):
+                    sums[lang] = sums.get(lang, 0) + one
         columns = [pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, ["lang", "bundle"])
 
@@ -148,24 +197,27 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     unit = np.stack([p / max(np.linalg.norm(p), 1e-12) for p in prototypes.values()]) if names else None
     others = [f for f in docs.schema.fields if f.name != "text"]
 
+    def decide(texts: pa.Array) -> tuple[list[str], list[float]]:
+        profiles = Profiles.of(unit.shape[1])
+        letters, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), unit.shape[1]))
+        for pieces, owners in _batched(t.as_py() or "" for t in texts):
+            own, row = np.unique(owners, return_inverse=True)
+            found, bundled = profiles.bundles(pieces, row, len(own))
+            np.add.at(letters, owners, found)
+            sums[own] += bundled
+        bundles = sums.astype(np.float32)
+        length = np.maximum(np.linalg.norm(bundles, axis=1), 1e-12)
+        cosine = (bundles @ unit.T.astype(np.float32)) / length[:, None]
+        best = cosine.argmax(axis=1)
+        value = np.clip(cosine[np.arange(len(texts)), best], 0.0, 1.0)
+        return [names[k] if n else UNKNOWN for k, n in zip(best, letters)], [float(v) if n else 0.0 for v, n in zip(value, letters)]
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chosen: list[str] = []
-            scores: list[float] = []
-            for texts in _batched(t.as_py() or "" for t in batch.column("text")):
-                if unit is None:
-                    chosen += [UNKNOWN] * len(texts)
-                    scores += [0.0] * len(texts)
-                    continue
-                profiles = Profiles.of(unit.shape[1])
-                letters, counts, vectors = profiles.grams(texts)
-                bundles = counts.astype(np.float32) @ vectors
-                length = np.maximum(np.linalg.norm(bundles, axis=1), 1e-12)
-                cosine = (bundles @ unit.T.astype(np.float32)) / length[:, None]
-                best = cosine.argmax(axis=1)
-                value = np.clip(cosine[np.arange(len(texts)), best], 0.0, 1.0)
-                chosen += [names[k] if n else UNKNOWN for k, n in zip(best, letters)]
-                scores += [float(v) if n else 0.0 for v, n in zip(value, letters)]
+            if unit is None:
+                chosen, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+            else:
+                chosen, scores = decide(batch.column("text"))
             columns = [batch.column(f.name) for f in others] + [pa.array(chosen, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*[f.name for f in others], "lang_pred", "score"])
 
