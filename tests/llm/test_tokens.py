@@ -263,6 +263,30 @@ def test_a_sections_menu_goes(spark):
     assert main_texts(spark, pages) == [f"own text of {i}" for i in range(240)]
 
 
+def test_slots_with_differing_texts_go_without_the_lists(spark):
+    page = (
+        "<title>t</title><nav><ul><li><a>go {0}</a><li><a>to {1}</a></ul></nav><div class='x{0}'>Buy {1} now {0}</div>"
+        "<article><h1>Title {0}</h1><div class='lead'>Lead {0}</div><p>" + STORY + "{0}</p></article><footer>By {1}</footer>"
+    )
+    rows = [(i, "http://one.example/", page.format(i, 7 * i)) for i in range(9)]
+    rows.append((9, "http://few.example/", page.format(9, 63)))
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(frame, lists=False).collect()}
+    wanted = {i: f"Title {i} Lead {i} {STORY}{i}" for i in range(10)}
+    # One page of a host is no evidence; there the lists decide.
+    assert got == {**wanted, 9: f"go 9 to 63 Buy 63 now 9 {wanted[9]} By 63"}
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(frame).collect()} == wanted
+
+
+def test_a_slot_that_holds_the_page_stays(spark):
+    # A page of links, an article without an article element, and a short text in a named block.
+    links = "<div class='list'>" + "".join(f"<a>entry{{0}} {k}</a> " for k in range(9)) + "</div>"
+    blocks = "<div class='lead'>Lead {0}</div><div class='text'>" + STORY + "{0}</div>"
+    wanted = [" ".join(f"entry{i} {k}" for k in range(9)) for i in range(9)]
+    assert main_texts(spark, [links.format(i) for i in range(9)]) == wanted
+    assert main_texts(spark, [blocks.format(i) for i in range(9)]) == [f"Lead {i} {STORY}{i}" for i in range(9)]
+
+
 STORY = "A long story of many words is told here for all who read it. " * 4
 
 
