@@ -28,6 +28,7 @@ def random_graph(seed=1, scenes=3, size=60):
 
 
 NODES = "scene_id string, node_id string, node_order bigint, x double, y double, z double"
+MAPS = "map_id string, low_x double, low_z double, high_x double, high_z double, n_rows int, n_cols int, metres_per_cell double"
 EDGES = "scene_id string, src string, dst string, edge_order bigint"
 STEPS = "episode_id bigint, scene_id string, step int, x double, z double"
 
@@ -175,10 +176,7 @@ def test_drawn_squares_make_later_nodes_visible(spark):
     nodes = [("s", "c", 0, 11.0, 0.0, 10.0), ("s", "a", 1, 10.0, 0.0, 10.0), ("s", "b", 2, 12.0, 0.0, 10.0),
              ("s", "far", 3, 30.0, 0.0, 10.0), ("s", "above", 4, 10.0, 1.0, 12.0)]
     starts = spark.createDataFrame([("m", "s", 10.0, 10.0)], "map_id string, scene_id string, x double, z double")
-    maps = spark.createDataFrame(
-        [("m", 0.0, 0.0, 64.0, 64.0, 64, 64, 0.125)],
-        "map_id string, low_x double, low_z double, high_x double, high_z double, n_rows int, n_cols int, metres_per_cell double",
-    )
+    maps = spark.createDataFrame([("m", 0.0, 0.0, 64.0, 64.0, 64, 64, 0.125)], MAPS)
     cells = spark.createDataFrame([("m", 10, 10, 1), ("m", 12, 10, 1)], "map_id string, row int, col int, code int")
     got = graph.same_floor_nodes(starts, spark.createDataFrame(nodes, NODES), cells, maps).collect()
     square = lambda r, c: {(i, j) for i in range(r - 2, r + 3) for j in range(c - 2, c + 3)}
@@ -186,6 +184,59 @@ def test_drawn_squares_make_later_nodes_visible(spark):
     assert {r["code"] for r in got} == {7}
 
 
+def drawn_cells(nodes, valid, half, size):
+    """Cells of the squares of ``(order, row, col)``, drawn one after the other."""
+    cells, open_cells = set(), set(valid)
+    for _, row, col in sorted(nodes):
+        if (row, col) in open_cells:
+            square = {(r, c) for r in range(row - half, row + half + 1) for c in range(col - half, col + half + 1)}
+            square = {(r, c) for r, c in square if 0 <= r < size and 0 <= c < size}
+            cells |= square
+            open_cells |= square
+    return cells
+
+
+@pytest.mark.parametrize("tile_cells", [7, 64, 1024])
+def test_nodes_are_drawn_in_order_over_tiles(spark, tile_cells):
+    rng = random.Random(5)
+    size = 48
+    maps, nodes, valid, starts, wanted = [], [], [], [], {}
+    for m in ("m1", "m2", "m3"):
+        places = [(k, rng.randrange(size), rng.randrange(size)) for k in range(300)]
+        first = {places[k][1:] for k in range(0, 300, 60)}
+        nodes += [(m, f"{m}-{k}", k, c + 0.5, 0.0, r + 0.5) for k, r, c in places]
+        maps.append((m, 0.0, 0.0, float(size), float(size), size, size, 0.125))
+        starts.append((m, m, 10.0, 10.0))
+        valid += [(m, r, c, 1) for r, c in first]
+        wanted[m] = drawn_cells(places, first, 2, size)
+    got = graph.same_floor_nodes(
+        spark.createDataFrame(starts, "map_id string, scene_id string, x double, z double"),
+        spark.createDataFrame(nodes, NODES),
+        spark.createDataFrame(valid, "map_id string, row int, col int, code int"),
+        spark.createDataFrame(maps, MAPS),
+        tile_cells=tile_cells,
+    ).collect()
+    assert {m: {(r["row"], r["col"]) for r in got if r["map_id"] == m} for m in wanted} == wanted
+
+
+def test_a_chain_of_nodes_takes_few_rounds(spark, monkeypatch):
+    """2,000 nodes, each visible only by the square of the one before."""
+    rounds = []
+    spread = graph._covers
+    monkeypatch.setattr(graph, "_covers", lambda *a: rounds.append(1) or spread(*a))
+    size = 4100
+    places = [(k, 10, 10 + 2 * k) for k in range(2000)]
+    nodes = [("m", f"n{k}", k, c + 0.5, 0.0, r + 0.5) for k, r, c in places]
+    got = graph.same_floor_nodes(
+        spark.createDataFrame([("m", "m", 10.0, 10.0)], "map_id string, scene_id string, x double, z double"),
+        spark.createDataFrame(nodes, NODES),
+        spark.createDataFrame([("m", 10, 10, 1)], "map_id string, row int, col int, code int"),
+        spark.createDataFrame([("m", 0.0, 0.0, float(size), float(size), size, size, 0.125)], MAPS),
+    ).collect()
+    assert {(r["row"], r["col"]) for r in got} == drawn_cells(places, {(10, 10)}, 2, size)
+    assert len(rounds) <= 8
+
+
 def test_salted_join_splits_hot_keys(spark):
     left = spark.range(1000).select("id", F.when(F.col("id") < 600, 0).otherwise(F.col("id") % 7).alias("k"))
     right = spark.range(5).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("v"))

@@ -7,10 +7,12 @@ is the insertion order that decides ties, and undirected
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +26,12 @@ from trailframe.operators.raster import (
     to_grid,
 )
 from trailframe.operators.skew import salted_join
-from trailframe.session import write_through
+from trailframe.session import remove_at_exit, shared_folder, write_through
 
 LEAF_NODES = 256
+# Cells along a side of a map's tile.
+TILE_CELLS = 1024
+_TILE_KEYS = ["map_id", "tile_row", "tile_col"]
 # Each level splits a square into 4 x 4; 13 levels give 2**26 cells per axis.
 MAX_LEVEL = 13
 
@@ -537,12 +542,101 @@ def _block_starts(leads: DataFrame, begin: DataFrame, longest: int) -> DataFrame
 # -- nodes on a map ---------------------------------------------------------
 
 
+def _covers(drawn: DataFrame, tile_cells: int) -> DataFrame:
+    """The squares of drawn nodes, once for each tile that they touch."""
+    half = (F.lit(POINT_PADDING) / F.col("metres_per_cell")).cast("int")
+    at = lambda c, by: F.floor((F.col(c) + by) / F.lit(tile_cells)).cast("int")
+    return (
+        drawn.where("node_order is not null")
+        .select("map_id", "node_order", "row", "col", half.alias("half"))
+        .withColumn("tile_row", F.explode(F.sequence(at("row", -F.col("half")), at("row", F.col("half")))))
+        .withColumn("tile_col", F.explode(F.sequence(at("col", -F.col("half")), at("col", F.col("half")))))
+        .select(*_TILE_KEYS, "node_order", "row", "col", "half")
+    )
+
+
+def _spread(tile_cells: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Waiting nodes that an earlier square covers; rows come by tile, in node order.
+
+    Holds the covered cells of one tile, however many nodes it has.
+    """
+    tile = last = None
+    covered = np.zeros((tile_cells, tile_cells), bool)
+    fresh: list[tuple[int, int, int]] = []
+    for batch in batches:
+        found = []
+        columns = [batch.column(c).to_pylist() for c in (*_TILE_KEYS, "node_order", "row", "col", "half", "waits")]
+        for k, (map_id, tile_row, tile_col, order, row, col, half, waits) in enumerate(zip(*columns)):
+            if (map_id, tile_row, tile_col) != tile:
+                tile, last = (map_id, tile_row, tile_col), None
+                covered[:] = False
+                fresh.clear()
+            if order != last:
+                # Squares count for later nodes only, not for others of the same place in order.
+                for r, c, h in fresh:
+                    covered[max(r - h, 0) : max(r + h + 1, 0), max(c - h, 0) : max(c + h + 1, 0)] = True
+                fresh.clear()
+                last = order
+            row, col = row - tile_row * tile_cells, col - tile_col * tile_cells
+            if waits:
+                if not covered[row, col]:
+                    continue
+                found.append(k)
+            if half is not None:
+                fresh.append((row, col, half))
+        yield batch.take(pa.array(found, pa.int64())).select(["map_id", "node_order", "row", "col"])
+
+
+def _drawn_in_order(drawn: DataFrame, waiting: DataFrame, tile_cells: int) -> DataFrame:
+    """The nodes ``drawn``, and those ``waiting`` that the square of an earlier drawn node covers.
+
+    A tile is run through in node order.  Squares that reach into another tile
+    have it run again, until no node is added; each round is written, so the plan
+    does not grow.
+    """
+    spark = drawn.sparkSession
+    half = (F.lit(POINT_PADDING) / F.col("metres_per_cell")).cast("int")
+    at = lambda c: F.floor(F.col(c) / F.lit(tile_cells)).cast("int")
+    waiting = waiting.where("node_order is not null").withColumns({"tile_row": at("row"), "tile_col": at("col")})
+    waiting = write_through(waiting.withColumns({"half": half, "waits": F.lit(True)}), "waiting")
+    paths = {name: shared_folder(spark, name) for name in ("drawn", "covers")}
+    schemas = {"drawn": drawn.schema, "covers": _covers(drawn, tile_cells).schema}
+    for path in paths.values():
+        remove_at_exit(spark, path)
+
+    def so_far(name: str) -> DataFrame:
+        return spark.read.schema(schemas[name]).parquet(paths[name])
+
+    new, first = write_through(drawn, "placed"), True
+    while True:
+        new.write.mode("append").parquet(paths["drawn"])
+        covers = write_through(_covers(new, tile_cells), "covers")
+        covers.write.mode("append").parquet(paths["covers"])
+        # A node's own tile has been run with it already, but for the first round.
+        reached = covers if first else covers.where((at("row") != F.col("tile_row")) | (at("col") != F.col("tile_col")))
+        first = False
+        tiles = write_through(waiting.select(*_TILE_KEYS).distinct().join(reached, _TILE_KEYS, "left_semi"), "tiles")
+        if tiles.isEmpty():
+            return so_far("drawn")
+        squares = so_far("covers").withColumn("waits", F.lit(False))
+        rows = squares.unionByName(waiting.select(*squares.columns)).join(tiles, _TILE_KEYS, "left_semi")
+        in_order = rows.repartition(*_TILE_KEYS).sortWithinPartitions(*_TILE_KEYS, "node_order")
+        place = in_order.select("map_id", "node_order", "row", "col").schema
+        found = in_order.mapInArrow(partial(_spread, tile_cells), place).distinct()
+        key = ["map_id", "node_order", "row", "col"]
+        added = waiting.select(*drawn.columns).join(found, key, "left_semi").join(so_far("drawn"), key, "left_anti")
+        new = write_through(added, "added")
+        if new.isEmpty():
+            return so_far("drawn")
+
+
 def same_floor_nodes(
     starts: DataFrame,
     nodes: DataFrame,
     cells: DataFrame,
     maps: DataFrame,
     height_tolerance: float = 1.0,
+    tile_cells: int = TILE_CELLS,
 ) -> DataFrame:
     """Stamped cells of the nodes on the start's floor: ``(map_id, row, col, code)``.
 
@@ -551,7 +645,8 @@ def same_floor_nodes(
     ``cells(map_id, row, col, code)`` its valid cells.  A node is drawn where
     its cell is valid.  Nodes are drawn in their order and a drawn square makes
     its cells valid, so a later node on an invalid cell is drawn as well once a
-    square covers it; that is repeated until no node is added.
+    square covers it.  Maps are cut into tiles of ``tile_cells`` squared cells; a
+    chain of such nodes takes a round per change of tile, not per node.
     """
     at_start = nearest_node(starts, nodes, ["map_id"]).select("map_id", "node_id")
     heights = nodes.select("scene_id", "node_id", F.col("y").alias("_floor"))
@@ -568,22 +663,8 @@ def same_floor_nodes(
     ).where("row >= 0 and row < n_rows and col >= 0 and col < n_cols")
     placed = write_through(placed, "placed")
     valid = cells.where(F.col("code") != INVALID).select("map_id", "row", "col").distinct()
-    drawn = write_through(placed.join(valid, ["map_id", "row", "col"], "left_semi"), "drawn")
-    waiting = write_through(placed.join(valid, ["map_id", "row", "col"], "left_anti"), "waiting")
-    added = drawn
-    while True:
-        covers = (
-            stamp_square(added, POINT_PADDING)
-            .groupBy("map_id", "row", "col")
-            .agg(F.min("node_order").alias("_earliest"))
-        )
-        reached = waiting.join(covers, ["map_id", "row", "col"]).where(F.col("_earliest") < F.col("node_order"))
-        added = write_through(reached.select(*placed.columns), "added")
-        if added.isEmpty():
-            break
-        drawn = drawn.unionByName(added)
-        waiting = write_through(
-            waiting.join(added.select("map_id", "node_order"), ["map_id", "node_order"], "left_anti"), "waiting"
-        )
+    drawn = placed.join(valid, ["map_id", "row", "col"], "left_semi")
+    waiting = placed.join(valid, ["map_id", "row", "col"], "left_anti")
+    drawn = _drawn_in_order(drawn, waiting, tile_cells)
     stamped = stamp_square(drawn, POINT_PADDING).select("map_id", "row", "col").distinct()
     return stamped.withColumn("code", F.lit(NODE_WAYPOINT))
