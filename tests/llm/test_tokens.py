@@ -3,6 +3,8 @@
 import io
 import random
 import re
+import string
+import time
 import zlib
 from collections import Counter
 
@@ -42,6 +44,20 @@ def test_counts_equal_the_library(spark, odd_documents, no_documents):
     assert token_counts.token_counts(no_documents, PIECES).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["letters", "base64", "mixed"])
+def test_counts_of_long_texts_without_blanks(kind):
+    rng = random.Random(4)
+    alphabet = {"letters": [chr(c) for c in range(0x4E00, 0x9FFF)], "base64": list(string.ascii_letters + string.digits + "+/")}
+    alphabet = alphabet.get(kind) or [*"aeinrst ", "▁", "日", "\U0001f600", "th", "ing", "\x00", "é"]
+    text = "".join(rng.choice(alphabet) for _ in range(2_000_000 if kind == "letters" else 500_000))
+    counter = token_counts.MergeCounter(PIECES)
+    started = time.monotonic()
+    assert counter.texts([text, text[:100_000]]) == [len(counter.library.encode(t)) for t in (text, text[:100_000])]
+    assert time.monotonic() - started < 60
+    # Long pre-tokens are not kept, whatever their number.
+    assert max(map(len, counter.seen)) <= token_counts.LONG_WORD
+
+
 def ids_of(text, end):
     return Tokenizer.from_file(BPE).encode(text or "", add_special_tokens=False).ids + [end]
 

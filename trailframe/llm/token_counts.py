@@ -3,8 +3,9 @@
 The model (a score per piece, best score first, ties from the left, bytes for
 unknown characters) is read from its file by the sentencepiece library.  No
 piece crosses from a visible character into a blank mark, so texts are cut
-there into pre-tokens; distinct pre-tokens are counted once per batch and kept
-in a bounded table.  New pre-tokens lie in one ragged array of symbol numbers.
+there into pre-tokens; long ones are cut as well between characters that no
+piece holds next to each other.  Distinct pre-tokens are counted once per batch
+and short ones kept in a bounded table.  New pre-tokens lie in one ragged array of symbol numbers.
 In every round each sequence finds its lowest-ranked pair of neighbours, all
 sequences merge theirs at once, and finished sequences leave.  What survives is
 counted: a known symbol is one token, an unknown character one per byte.
@@ -24,6 +25,8 @@ from trailframe.llm.common import text_of
 
 LIMIT = 4096
 KEPT_WORDS = 500_000
+# Longer pre-tokens are cut where they can be, and not kept.
+LONG_WORD = 64
 _BATCH_CHARS = 1 << 21
 MARK = "▁"
 _NONE = np.int64(1 << 60)
@@ -47,6 +50,7 @@ class MergeCounter:
         }
         if any(MARK in p.lstrip(MARK) for p in names):
             raise ValueError("a piece has a blank mark inside: texts cannot be cut there")
+        neighbours = {p[i : i + 2] for p in names for i in range(len(p) - 1)}
         # Characters that occur in pieces only as parts are symbols, but no tokens.
         letters = sorted({c for p in names for c in p} - names.keys())
         symbols = [*names, *letters]
@@ -54,6 +58,7 @@ class MergeCounter:
         self.known = len(names)
         ranks = {score: k for k, score in enumerate(sorted(set(names.values()), reverse=True))}
         self.width = len(symbols) + 1
+        self.joins = np.array(sorted(self.number[a] * self.width + self.number[b] for a, b in neighbours), np.int64)
         pairs = [
             (self.number[p[:i]] * self.width + self.number[p[i:]], ranks[score], self.number[p])
             for p, score in names.items()
@@ -155,11 +160,29 @@ class MergeCounter:
         """Tokens of each text."""
         if len(self.seen) > KEPT_WORDS:
             self.seen = {}
-        parts = [_PARTS.findall(self.normal(t)) for t in texts]
+        parts = [self.parts(self.normal(t)) for t in texts]
         new = list(set().union(*parts).difference(self.seen))
-        if new:
-            self.seen.update(zip(new, self.count(new).tolist()))
-        return [sum(map(self.seen.__getitem__, p)) for p in parts]
+        if not new:
+            return [sum(map(self.seen.__getitem__, p)) for p in parts]
+        counted = dict(zip(new, self.count(new).tolist()))
+        self.seen.update((w, n) for w, n in counted.items() if len(w) <= LONG_WORD)
+        long = {w: n for w, n in counted.items() if len(w) > LONG_WORD}
+        return [sum(long[w] if len(w) > LONG_WORD else self.seen[w] for w in p) for p in parts]
+
+    def parts(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        words = _PARTS.findall(text)
+        if max(map(len, words), default=0) <= LONG_WORD:
+            return words
+        return [part for word in words for part in (self._cut(word) if len(word) > LONG_WORD else (word,))]
+
+    def _cut(self, word: str) -> list[str]:
+        """The word between characters that no piece holds next to each other, so that no merge crosses."""
+        symbols = self.of_point[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")]
+        key = np.where((symbols[:-1] >= 0) & (symbols[1:] >= 0), symbols[:-1] * self.width + symbols[1:], -1)
+        at = np.minimum(np.searchsorted(self.joins, key), len(self.joins) - 1)
+        edges = np.flatnonzero(self.joins[at] != key) + 1
+        return [word[a:b] for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(word)])]
 
     def normal(self, text: str) -> str:
         """The text as the model sees it, with blank marks."""
