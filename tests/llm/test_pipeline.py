@@ -22,7 +22,7 @@ def plain_copies(rows):
         base = int(target >= sizes[source])
         rest = target - base * sizes[source]
         draws = sorted(
-            (int(hashlib.md5(str(d).encode()).hexdigest()[:15], 16), d, len(plain_words(t)))
+            (int(hashlib.md5(f"{d}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16), d, len(plain_words(t)))
             for d, t, s in rows
             if s == source
         )

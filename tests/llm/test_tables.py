@@ -240,5 +240,15 @@ def test_mix(spark, odd_documents):
         assert again == +wanted
 
 
+def test_documents_without_an_id_meet_the_target(spark):
+    rng = random.Random(3)
+    rows = [(None if i % 2 else 5, f"{i} " + "w " * rng.randrange(40), "en", "ab"[i % 3 == 0], 1) for i in range(900)]
+    taken, target = Counter(), {}
+    for r in mixing.mix_sources(spark.createDataFrame(rows, SCHEMA)).collect():
+        target[r["source_size"]] = r["target"]
+        taken[r["source_size"]] += r["taken"]
+    assert len(target) == 2 and all(abs(taken[s] - target[s]) <= 41 for s in target)
+
+
 def test_mix_of_nothing(no_documents):
     assert mixing.mix_sources(no_documents).collect() == [] and mixing.mixed_documents(no_documents).collect() == []

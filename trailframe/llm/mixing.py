@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document draws a 60-bit number from its id.  Per source, words are summed
+Every document draws a 60-bit number from its id and its text.  Per source, words are summed
 by the leading bits of that number; the bucket in which the running sum crosses
 the budget is the boundary.  Only the documents of boundary buckets are summed
 again, by the next bits, until the bits are used up.  What lies below the
@@ -32,10 +32,10 @@ HASH_BITS = 60
 STEP_BITS = 12
 
 
-def draw_of(doc_id: Column) -> Column:
-    """60 bits of the digest of the id."""
-    text = F.coalesce(doc_id.cast("string"), F.lit("null"))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+def draw_of(doc_id: Column, text: Column) -> Column:
+    """60 bits of the digest of the id and the text, so that documents without an id draw apart."""
+    named = F.concat(F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("null")), F.lit(":"), F.md5(text))
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("bigint")
 
 
 def n_words(text: Column) -> Column:
@@ -111,21 +111,26 @@ def _source_key() -> Column:
     return F.xxhash64(F.col("source").isNull(), F.col("source").cast("string"))
 
 
-def plan_of(docs: DataFrame) -> DataFrame:
-    """One row per source: ``skey, source_size, target, base, cut, n``.
-
-    Every document is taken ``base`` times, and once more if its number is
-    below ``cut``; ``n`` is the number of documents.
-    """
-    rows = write_through(
+def sized(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, skey, size, h`` of every row; a written table, so that texts are read once."""
+    return write_through(
         docs.select(
+            F.col("doc_id").cast("bigint").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             _source_key().alias("skey"),
             n_words(text_of()).cast("bigint").alias("size"),
-            draw_of(F.col("doc_id").cast("bigint")).alias("h"),
+            draw_of(F.col("doc_id"), text_of()).alias("h"),
         ),
         "sizes",
     )
+
+
+def plan_of(rows: DataFrame) -> DataFrame:
+    """One row per source of ``sized`` rows: ``skey, source_size, target, base, cut, n``.
+
+    Every document is taken ``base`` times, and once more if its number is
+    below ``cut``; ``n`` is the number of documents.
+    """
     counted = write_through(
         rows.groupBy("source", "skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources"
     )
@@ -144,27 +149,24 @@ def plan_of(docs: DataFrame) -> DataFrame:
     return write_through(full, "plan")
 
 
-def _with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """``docs(doc_id, source, ...)`` with the plan of its source and ``copies``."""
+def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows(skey, h, ...)`` with the plan of their source and ``copies``."""
     total = plan.agg(F.sum("n")).first()[0] or 0
-    joined = hot_join(docs.withColumn("skey", _source_key()), plan, ["skey"], "n", total)
-    copies = F.col("base") + (draw_of(F.col("doc_id").cast("bigint")) < F.col("cut")).cast("int")
-    return joined.withColumn("copies", copies)
+    joined = hot_join(rows, plan, ["skey"], "n", total)
+    return joined.withColumn("copies", F.col("base") + (F.col("h") < F.col("cut")).cast("int"))
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies`` for every row.
 
     ``size`` is the number of words, 0 for a null text; ``taken`` is ``size``
-    times ``copies`` (0, 1 or 2).  A null ``doc_id`` draws a number of its own,
-    a null source is a source.  Rows of one source that draw the same number
-    (repeated rows) share their fate.  Further columns are ignored; an empty
+    times ``copies`` (0, 1 or 2).  Documents without a ``doc_id`` draw by their text,
+    a null source is a source.  Rows of one source with the same id and text
+    draw the same number and share their fate.  Further columns are ignored; an empty
     table gives no rows.
     """
-    sized = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "source", n_words(text_of()).cast("bigint").alias("size")
-    )
-    mixed = _with_copies(write_through(sized, "mixed"), plan_of(docs))
+    rows = sized(docs)
+    mixed = _with_copies(rows, plan_of(rows))
     taken = (F.col("size") * F.col("copies")).cast("bigint").alias("taken")
     return mixed.select("doc_id", "size", "source_size", "target", taken, "copies")
 
@@ -174,6 +176,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Texts are not shuffled, but for those of sources of very few documents.
     """
-    used = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source")
-    chosen = _with_copies(used, plan_of(docs)).where(F.col("copies") > 0)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    used = docs.select(row, _source_key().alias("skey"), draw_of(F.col("doc_id"), text_of()).alias("h"))
+    chosen = _with_copies(used, plan_of(sized(docs))).where(F.col("copies") > 0)
     return chosen.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -269,7 +269,7 @@ from facts
 with rows as (
   select doc_id, source,
          cast(len(list_filter(string_split_regex(coalesce(text, ''), '{_BLANKS}+'), lambda x: x <> '')) as bigint) as size,
-         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 15) as bigint) as h
+         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':' || md5(coalesce(text, ''))), 1, 15) as bigint) as h
   from documents),
 sources as (select source, cast(sum(size) as bigint) as source_size from rows group by source),
 weighed as (
