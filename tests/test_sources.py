@@ -202,6 +202,17 @@ def test_image_lookup_order(spark):
     }
 
 
+def test_image_tables_do_not_pass_through_the_driver(spark):
+    """However small the tables seem, only the bitmap is broadcast."""
+    wanted = spark.createDataFrame([("r", "s1/t/a.jpg")], "root string, rel_path string")
+    store = spark.createDataFrame([("r", "s1", "t/a", bytearray(b"x"))], "root string, store string, key string, bytes binary")
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    resolved = images.resolve_images(wanted, store)
+    assert plan(images.locate_images(wanted, store)).count("BroadcastHashJoin") == 0
+    assert plan(resolved).count("BroadcastHashJoin") == 1
+    assert [bytes(r["bytes"]) for r in resolved.collect()] == [b"x"]
+
+
 def test_image_files(spark, tmp_path):
     (tmp_path / "full.jpg").write_bytes(b"x")
     (tmp_path / "empty.jpg").write_bytes(b"")

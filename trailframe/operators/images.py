@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions.choice import seeded_choice, seeded_number
-from trailframe.operators.skew import marked_by_bitmap, salted_join
+from trailframe.operators.skew import marked_by_bitmap, salted_join, shuffled_join
 from trailframe.session import write_through
 from trailframe.sources.images import ANY_SCENE
 
@@ -53,11 +53,11 @@ def locate_images(wanted: DataFrame, images: DataFrame, on: Sequence[str] = ("ro
     tries = paths.select(*on, F.inline(lookup_keys(F.col(on[-1]))))
     stored = images.select(*_places(images)).distinct()
     hits = (
-        tries.join(stored, _places(images))
+        shuffled_join(tries, stored, _places(images))
         .groupBy(*on)
         .agg(F.min(F.struct("priority", "store", "key")).alias("hit"))
     )
-    return paths.join(hits, list(on), "left").select(
+    return shuffled_join(paths, hits, on, "left").select(
         *on, F.col("hit.priority").alias("priority"), F.col("hit.store").alias("store"), F.col("hit.key").alias("key")
     )
 
@@ -75,7 +75,7 @@ def resolve_images(wanted: DataFrame, images: DataFrame, on: Sequence[str] = ("r
     listed = found.where("key is not null").select(*places)
     asked = marked_by_bitmap(images.select(*places, "bytes"), listed, keys, keys, "_asked").where("_asked")
     single = asked.groupBy(*places).agg(F.min("bytes").alias("bytes"))
-    return found.join(single, places, "left").select(*on, "priority", "store", "key", "bytes")
+    return shuffled_join(found, single, places, "left").select(*on, "priority", "store", "key", "bytes")
 
 
 def check_image_files(required: DataFrame, listing: DataFrame) -> DataFrame:
