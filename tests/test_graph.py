@@ -99,6 +99,19 @@ def test_track_nearest_node(spark, built, block_rows, gaps):
     assert {(r["episode_id"], r["step"]): r["node_id"] for r in got} == tracked_or_none(nodes, edges, steps, starts)
 
 
+def test_tracking_in_portions(spark, built, monkeypatch):
+    """The walks on a tile are dealt to several tasks."""
+    monkeypatch.setattr(graph, "WALK_ROWS", 50)
+    nodes, edges, node_frame, edge_frame = built
+    steps, starts = walks(), [(e, f"n{e % 3}-{e:03d}") for e in range(8)]
+    got = graph.track_nearest_node(
+        spark.createDataFrame(steps, STEPS), node_frame, edge_frame,
+        spark.createDataFrame(starts, "episode_id bigint, node_id string"),
+    ).collect()
+    assert {(r["episode_id"], r["step"]): r["node_id"] for r in got} == tracked(nodes, edges, steps, starts)
+    assert len(got) == len(steps)
+
+
 @pytest.mark.parametrize("tile_nodes, block_rows", [(5, 16_384), (1, 16_384), (20, 10)])
 def test_tracking_over_tiles(spark, built, tile_nodes, block_rows):
     """Scenes larger than a tile; one hub whose options no tile takes in as a neighbour's."""

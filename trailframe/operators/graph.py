@@ -11,10 +11,12 @@ from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from trailframe.functions.geometry import euclidean
 from trailframe.operators.blocks import BLOCK, rank_rows, with_block
@@ -261,38 +263,46 @@ def neighbourhoods(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 class _Tile:
     """A tile's neighbourhoods in ragged arrays: each owned node's options in a row, self first."""
 
-    def __init__(self, head: pd.Series):
-        nodes, self.to_names = np.asarray(head["node_ids"]), np.asarray(head["to_ids"])
+    def __init__(self, head: pa.Table):
+        nodes, self.to_names, xs, zs = (
+            head.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in _GRAPH
+        )
         first = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
         self.names = nodes[first]
         self.begin, self.size = first, np.diff(np.r_[first, len(nodes)])
         place = np.minimum(np.searchsorted(self.names, self.to_names), len(self.names) - 1)
         # Options that the tile does not own lead to another tile.
         self.to = np.where(self.names[place] == self.to_names, place, -1)
-        self.x, self.z = np.asarray(head["xs"], float), np.asarray(head["zs"], float)
+        self.x, self.z = xs.astype(float), zs.astype(float)
 
-    def move(self, here: np.ndarray, x: float, z: float) -> np.ndarray:
+    def move(self, here: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
         """The option that one step takes from each of the nodes ``here``; ties go to the first."""
         size = self.size[here]
         starts = np.cumsum(size) - size
         option = np.repeat(self.begin[here] - starts, size) + np.arange(size.sum())
-        dx, dz = self.x[option] - x, self.z[option] - z
+        dx, dz = self.x[option] - np.repeat(x, size), self.z[option] - np.repeat(z, size)
         distance = np.sqrt(dx * dx + dz * dz)
         distance[np.isnan(distance)] = np.inf
         nearest = distance == np.repeat(np.minimum.reduceat(distance, starts), size)
         hits = np.flatnonzero(nearest)
         return option[hits[np.searchsorted(hits, starts)]]
 
-    def walk(self, start, xs: np.ndarray, zs: np.ndarray) -> np.ndarray:
-        """Options taken from node ``start`` until the positions end or the tile is left."""
-        here, taken = np.searchsorted(self.names, [start]), []
-        for x, z in zip(xs, zs):
-            option = self.move(here, x, z)
-            taken.append(option[0])
-            here = self.to[option]
-            if here[0] < 0:
-                break
-        return np.array(taken, np.int64)
+    def walk(self, starts: np.ndarray, at: np.ndarray, end: np.ndarray, xs: np.ndarray, zs: np.ndarray, keep_steps: bool):
+        """Walks from the nodes ``starts`` over the positions ``at`` to ``end``, all at once, until these end or the tile is left.
+
+        Gives the place that each walk goes on from, the last option it took (-1: none), and
+        for ``keep_steps`` the walks, positions and options of all steps.
+        """
+        here, at, last = np.searchsorted(self.names, starts), at.copy(), np.full(len(at), -1)
+        going, kept = np.flatnonzero(at < end), []
+        while len(going):
+            option = self.move(here[going], xs[at[going]], zs[at[going]])
+            if keep_steps:
+                kept.append((going, at[going], option))
+            last[going], here[going] = option, self.to[option]
+            at[going] += 1
+            going = going[(here[going] >= 0) & (at[going] < end[going])]
+        return at, last, [np.concatenate(parts) for parts in zip(*kept)]
 
 
 TRACK_BLOCK_ROWS = 16_384
@@ -300,6 +310,11 @@ TRACK_BLOCK_ROWS = 16_384
 TILE_NODES = 16_384
 #: Neighbours with up to so many options are part of a tile too, so that walks along an edge seldom change tiles.
 HALO_OPTIONS = 16
+#: So many layers of neighbours, the second and later ones while the tile has fewer than HALO_NODES nodes.
+HALO_LAYERS = 12
+HALO_NODES = 256
+#: Rows of walks per task; a tile is repeated for each portion of its walks.
+WALK_ROWS = 262_144
 _PLACE = "_place"
 _GRAPH = ("node_ids", "to_ids", "xs", "zs")
 # What a walk gives: the node after a step, a change of tile, the end of a block.
@@ -309,32 +324,29 @@ _STEP, _HOP, _END = 0, 1, 2
 def graph_tiles(nodes: DataFrame, edges: DataFrame, tile_nodes: int = TILE_NODES) -> tuple[DataFrame, DataFrame]:
     """``owners(scene_id, node_id, tile)`` and ``tiles(scene_id, tile, node_ids, to_ids, xs, zs)``.
 
-    A scene is cut into strips by the rank along x, a strip into tiles by the rank
-    along z, so no tile has more than ``tile_nodes`` nodes of its own.  A tile
-    holds the options of its nodes and of their neighbours, as far as these
-    have few.
+    No tile has more than ``tile_nodes`` nodes of its own.  A scene is cut either by place,
+    into strips by the rank along x and strips into tiles by the rank along z, or by
+    the order of its nodes: whichever cuts fewer of its edges.  A tile holds the options
+    of its nodes and of layers of neighbours around them, as far as these have few.
     """
     sizes = nodes.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n"))
     crowd = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    options = write_through(neighbourhoods(nodes, edges), "options")
     if (crowd[0] or 0) <= tile_nodes:
-        owners = nodes.select("scene_id", "node_id", F.lit(0).cast("bigint").alias("tile"))
+        # A scene's neighbours are all its own.
+        members = owners = nodes.select("scene_id", "node_id", F.lit(0).cast("bigint").alias("tile"))
     else:
         ranked = rank_rows(nodes, ["scene_id"], ["x", "node_order"], "_rx")
+        ranked = rank_rows(ranked, ["scene_id"], ["node_order"], "_ro")
         sized = salted_join(ranked, sizes, ["scene_id"], ["node_id"], crowd[1])
         strips = F.ceil(F.sqrt(F.col("_n") / tile_nodes))
         cut = sized.withColumn("_strip", F.floor(F.col("_rx") * strips / F.col("_n")))
         ranked = rank_rows(cut, ["scene_id", "_strip"], ["z", "node_order"], "_rz")
-        tile = F.shiftleft(F.col("_strip").cast("bigint"), 32) + F.floor(F.col("_rz") / tile_nodes)
-        owners = write_through(ranked.select("scene_id", "node_id", tile.alias("tile")), "tile-owners")
-    options = write_through(neighbourhoods(nodes, edges), "options")
-    degree = options.groupBy("scene_id", "node_id").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") <= HALO_OPTIONS)
-    small = options.join(degree.select("scene_id", "node_id"), ["scene_id", "node_id"], "left_semi")
-    halo = (
-        small.join(owners, ["scene_id", "node_id"])
-        .select("scene_id", F.col("to_id").alias("node_id"), "tile")
-        .join(degree.select("scene_id", "node_id"), ["scene_id", "node_id"], "left_semi")
-    )
-    members = owners.unionByName(halo).distinct()
+        by_place = F.shiftleft(F.col("_strip").cast("bigint"), 32) + F.floor(F.col("_rz") / tile_nodes)
+        by_order = F.floor(F.col("_ro") / tile_nodes)
+        cuts = write_through(ranked.select("scene_id", "node_id", by_place.alias("_place"), by_order.alias("_order")), "cuts")
+        owners = write_through(_fewer_cut(cuts, options, crowd[1]), "tile-owners")
+        members = _with_halo(owners, options, tile_nodes)
     listed = F.array_sort(F.collect_list(F.struct("node_id", "rank", "to_id", "x", "z")))
     tiles = (
         members.join(options, ["scene_id", "node_id"])
@@ -345,6 +357,35 @@ def graph_tiles(nodes: DataFrame, edges: DataFrame, tile_nodes: int = TILE_NODES
     return owners, write_through(tiles, "tiles")
 
 
+def _fewer_cut(cuts: DataFrame, options: DataFrame, n_nodes: int) -> DataFrame:
+    """``(scene_id, node_id, tile)``, by that of a scene's two cuts that fewer options cross."""
+    far = cuts.withColumnsRenamed({"node_id": "to_id", "_place": "_to_place", "_order": "_to_order"})
+    both = options.select("scene_id", "node_id", "to_id").join(cuts, ["scene_id", "node_id"]).join(far, ["scene_id", "to_id"])
+    crossed = lambda name: F.count_if(F.col(f"_{name}") != F.col(f"_to_{name}"))
+    choice = both.groupBy("scene_id").agg((crossed("order") < crossed("place")).alias("_in_order"))
+    tile = F.when(F.col("_in_order"), F.col("_order")).otherwise(F.col("_place"))
+    return salted_join(cuts, choice, ["scene_id"], ["node_id"], n_nodes, "left").select("scene_id", "node_id", tile.alias("tile"))
+
+
+def _with_halo(owners: DataFrame, options: DataFrame, tile_nodes: int) -> DataFrame:
+    """The tiles' own nodes and layers of neighbours around them, as far as these have few options."""
+    key = ["scene_id", "node_id"]
+    degree = options.groupBy(*key).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") <= HALO_OPTIONS)
+    small = write_through(options.join(degree.select(*key), key, "left_semi").select(*key, "to_id"), "small")
+    most = max(HALO_NODES, tile_nodes + tile_nodes // 4)
+    members = layer = owners
+    for _ in range(HALO_LAYERS):
+        reached = layer.join(small, key).select("scene_id", F.col("to_id").alias("node_id"), "tile").distinct()
+        reached = reached.join(small.select(*key).distinct(), key, "left_semi")
+        layer = write_through(reached.join(members, [*key, "tile"], "left_anti"), "layer")
+        if layer.isEmpty():
+            break
+        members = members.unionByName(layer)
+        roomy = members.groupBy("scene_id", "tile").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < most)
+        layer = layer.join(roomy.select("scene_id", "tile"), ["scene_id", "tile"], "left_semi")
+    return members
+
+
 def track_nearest_node(
     steps: DataFrame,
     nodes: DataFrame,
@@ -369,8 +410,9 @@ def track_nearest_node(
     of the block before it has led.  Such sets close after as many rounds as walks
     need to meet, since walks that meet stay together.  The blocks' true start
     nodes follow by pointer doubling.  Blocks are chained in the order of
-    those that have rows, so steps may be missing, also many in a row.  A task
-    holds one block and one tile, 40 bytes per option.
+    those that have rows, so steps may be missing, also many in a row.  Rows go
+    to the tiles, in portions: a task holds one tile, 40 bytes per option, and some
+    ``WALK_ROWS`` rows.
     """
     owners, tiles = graph_tiles(nodes, edges, tile_nodes)
     rows = with_block(steps, "step", block_rows).select("episode_id", BLOCK, "scene_id", "step", "x", "z")
@@ -379,7 +421,7 @@ def track_nearest_node(
     here = F.when(_is_place(), F.struct("step", "x", "z"))
     blocks = write_through(
         rows.groupBy("episode_id", BLOCK)
-        .agg(F.first("scene_id").alias("scene_id"), F.max(here).alias("_at"))
+        .agg(F.first("scene_id").alias("scene_id"), F.max(here).alias("_at"), F.count(F.lit(1)).alias("_rows"))
         .withColumns(
             {
                 _PLACE: F.row_number().over(order) - 1,
@@ -397,7 +439,7 @@ def track_nearest_node(
     tokens = begin.join(blocks, ["episode_id", _PLACE]).select(
         "episode_id", _PLACE, BLOCK, "scene_id", F.col("node_id").alias("from_id"), "node_id", F.lit(None).cast("bigint").alias("after")
     )
-    walked = _walk(rows, tokens, owners, tiles, keep_steps=True)
+    walked = _walk(rows, blocks, tokens, owners, tiles, keep_steps=True)
     path = walked.where(F.col("kind") == _STEP).select("episode_id", BLOCK, F.col("after").alias("step"), "node_id")
     # Blocks that no walk has entered have no node; a block's rows are few.
     entered = walked.select("episode_id", BLOCK).distinct()
@@ -426,7 +468,7 @@ def _leads(rows: DataFrame, blocks: DataFrame, nodes: DataFrame, begin: DataFram
         tokens = new.join(place, ["episode_id", _PLACE]).select(
             "episode_id", _PLACE, BLOCK, "scene_id", F.col("node_id").alias("from_id"), "node_id", F.lit(None).cast("bigint").alias("after")
         )
-        ended = _walk(rows, tokens, owners, tiles, keep_steps=False).where(F.col("kind") == _END)
+        ended = _walk(rows, blocks, tokens, owners, tiles, keep_steps=False).where(F.col("kind") == _END)
         found = ended.select("episode_id", _PLACE, "from_id", F.col("node_id").alias("to_id"))
         leads = found if leads is None else leads.unionByName(found)
         known = new if known is None else write_through(known.unionByName(new), "known")
@@ -438,7 +480,7 @@ def _leads(rows: DataFrame, blocks: DataFrame, nodes: DataFrame, begin: DataFram
     return write_through(leads, "leads")
 
 
-def _walk(rows: DataFrame, tokens: DataFrame, owners: DataFrame, tiles: DataFrame, keep_steps: bool) -> DataFrame:
+def _walk(rows: DataFrame, blocks: DataFrame, tokens: DataFrame, owners: DataFrame, tiles: DataFrame, keep_steps: bool) -> DataFrame:
     """Run walks to the ends of their blocks, from tile to tile.
 
     ``tokens`` has ``episode_id, _place, block, scene_id, from_id, node_id, after``:
@@ -446,58 +488,76 @@ def _walk(rows: DataFrame, tokens: DataFrame, owners: DataFrame, tiles: DataFram
     step.  Walks whose node is not of the scene are dropped.  The result has the
     columns ``episode_id, _place, block, scene_id, kind, from_id, node_id, after``.
     """
-    key_type = rows.schema["episode_id"].dataType.simpleString()
-    node_type = owners.schema["node_id"].dataType.simpleString()
-    scene_type = rows.schema["scene_id"].dataType.simpleString()
-    columns = ["episode_id", _PLACE, BLOCK, "scene_id", "kind", "from_id", "node_id", "after"]
-    schema = (
-        f"episode_id {key_type}, {_PLACE} int, {BLOCK} bigint, scene_id {scene_type}, kind int, "
-        f"from_id {node_type}, node_id {node_type}, after bigint"
-    )
-    held: dict = {}
-
-    def walk(steps: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
-        if steps.empty or heads.empty:
-            return pd.DataFrame(columns=columns)
-        steps = steps.sort_values("step")
-        numbers = steps["step"].to_numpy(np.int64)
-        xs, zs = steps["x"].to_numpy(float), steps["z"].to_numpy(float)
-        kinds, froms, found, afters = [], [], [], []
-        for _, head in heads.iterrows():
-            key = (head["scene_id"], head["tile"])
-            if key not in held:
-                # One tile at a time: blocks of a tile often follow each other.
-                held.clear()
-                held[key] = _Tile(head)
-            tile = held[key]
-            for token in head["tokens"]:
-                at = 0 if token["after"] is None else int(np.searchsorted(numbers, token["after"], "right"))
-                taken = tile.walk(token["node_id"], xs[at:], zs[at:])
-                names, reached = tile.to_names[taken].tolist(), numbers[at : at + len(taken)].tolist()
-                if keep_steps:
-                    kinds += [_STEP] * len(taken)
-                    found += names
-                    afters += reached
-                kinds.append(_END if at + len(taken) == len(numbers) else _HOP)
-                found.append(names[-1] if names else token["node_id"])
-                afters.append(reached[-1] if names else int(numbers[-1]))
-                froms += [token["from_id"]] * (len(found) - len(froms))
-        head = heads.iloc[0]
-        place = {c: head[c] for c in ("episode_id", _PLACE, BLOCK, "scene_id")}
-        return pd.DataFrame({**{c: [v] * len(kinds) for c, v in place.items()}, "kind": kinds, "from_id": froms, "node_id": found, "after": afters})
-
+    types = {
+        "episode_id": rows.schema["episode_id"].dataType.simpleString(), _PLACE: "int", BLOCK: "bigint",
+        "scene_id": rows.schema["scene_id"].dataType.simpleString(), "kind": "int",
+        "from_id": owners.schema["node_id"].dataType.simpleString(),
+        "node_id": owners.schema["node_id"].dataType.simpleString(), "after": "bigint",
+    }
+    schema = ", ".join(f"{name} {kind}" for name, kind in types.items())
+    whole = ["episode_id", _PLACE, BLOCK]
+
+    def walk(moves: pa.Table, heads: pa.Table) -> pa.Table:
+        """The walks of one portion of a tile; ``moves`` holds the steps of their blocks, and the walks themselves."""
+        if not len(moves) or not len(heads):
+            return pa.table({c: pa.array([], t) for c, t in result.items()})
+        array = lambda table, c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        is_walk = moves.column("is_walk")
+        steps = moves.filter(pc.invert(is_walk)).sort_by([(c, "ascending") for c in ("episode_id", BLOCK, "step")])
+        walks = moves.filter(is_walk).sort_by([("episode_id", "ascending"), (BLOCK, "ascending")])
+        episode, block, number = (array(steps, c) for c in ("episode_id", BLOCK, "step"))
+        edges = np.r_[True, (episode[1:] != episode[:-1]) | (block[1:] != block[:-1])]
+        bounds = np.r_[np.flatnonzero(edges), len(number)]
+        of, of_block = array(walks, "episode_id"), array(walks, BLOCK)
+        # Both are sorted, and hold the same blocks.
+        place = np.cumsum(np.r_[False, (of[1:] != of[:-1]) | (of_block[1:] != of_block[:-1])])
+        end, after = bounds[place + 1], array(walks, "step")
+        at = np.array([a + np.searchsorted(number[a:b], t, "right") for a, b, t in zip(bounds[place], end, after)], np.int64)
+        tile = _Tile(heads)
+        starts = array(walks, "node_id")
+        gone_on, last, kept = tile.walk(starts, at, end, array(steps, "x"), array(steps, "z"), keep_steps)
+        reached = np.where(last < 0, starts, tile.to_names[last])
+        # A walk that took no step is at its block's end.
+        out = [(np.arange(len(at)), np.where(gone_on == end, _END, _HOP), reached, number[gone_on - 1])]
+        if kept:
+            out.append((kept[0], np.full(len(kept[0]), _STEP), tile.to_names[kept[2]], number[kept[1]]))
+        of_walk, kind, node, after = (np.concatenate(parts) for parts in zip(*out))
+        taken = walks.select([*whole, "scene_id", "from_id"]).take(pa.array(of_walk))
+        columns = {**{c: taken.column(c) for c in taken.column_names}, "kind": kind, "node_id": node, "after": after}
+        return pa.table({c: pa.chunked_array(columns[c]).cast(t) if isinstance(columns[c], pa.ChunkedArray) else pa.array(columns[c], t) for c, t in result.items()})
+
+    result = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(schema))}
     tokens = write_through(tokens, "walks")
+    sizes = blocks.select("episode_id", BLOCK, "_rows")
     out = None
     while True:
         n_tokens = tokens.count()
         placed = salted_join(tokens, owners, ["scene_id", "node_id"], ["episode_id", _PLACE], n_tokens)
-        grouped = placed.groupBy("episode_id", _PLACE, BLOCK, "scene_id", "tile").agg(
-            F.collect_list(F.struct("from_id", "node_id", "after")).alias("tokens")
+        placed = write_through(placed.join(sizes, ["episode_id", BLOCK]), "placed")
+        portions = placed.groupBy("scene_id", "tile").agg(F.ceil(F.sum("_rows") / WALK_ROWS).cast("int").alias("_portions"))
+        portions = write_through(portions, "portions")
+        portion = F.pmod(F.hash("episode_id", BLOCK), F.col("_portions")).alias("portion")
+        dealt = salted_join(placed, portions, ["scene_id", "tile"], ["episode_id", BLOCK], n_tokens).select(
+            *tokens.columns, "tile", portion
         )
-        heads = salted_join(grouped, tiles, ["scene_id", "tile"], ["episode_id", _PLACE], n_tokens)
-        heads = heads.withColumns({"of_id": F.col("episode_id"), "of_block": F.col(BLOCK)})
-        inside = rows.join(placed.select("episode_id", BLOCK).distinct(), ["episode_id", BLOCK], "left_semi")
-        walked = inside.groupBy("episode_id", BLOCK).cogroup(heads.groupBy("of_id", "of_block")).applyInPandas(walk, schema)
+        none = F.lit(None)
+        # A fresh walk begins before all steps.
+        walks = dealt.select(
+            *whole, "scene_id", "tile", "portion", F.lit(True).alias("is_walk"), "from_id", "node_id",
+            F.coalesce("after", F.lit(-(2**62))).alias("step"), none.cast("double").alias("x"), none.cast("double").alias("z"),
+        )
+        there = dealt.select(*whole, "scene_id", "tile", "portion").distinct()
+        steps = rows.drop("scene_id").join(there, ["episode_id", BLOCK]).select(
+            *whole, "scene_id", "tile", "portion", F.lit(False).alias("is_walk"),
+            none.cast(types["from_id"]).alias("from_id"), none.cast(types["node_id"]).alias("node_id"),
+            F.col("step").cast("bigint").alias("step"), F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"),
+        )
+        copies = tiles.join(portions, ["scene_id", "tile"]).select(
+            F.col("scene_id").alias("of_scene"), F.col("tile").alias("of_tile"), *_GRAPH,
+            F.explode(F.sequence(F.lit(0), F.col("_portions") - 1)).alias("of_portion"),
+        )
+        moves = walks.unionByName(steps).groupBy("scene_id", "tile", "portion")
+        walked = moves.cogroup(copies.groupBy("of_scene", "of_tile", "of_portion")).applyInArrow(walk, schema)
         walked = write_through(walked, "walked")
         out = walked if out is None else out.unionByName(walked)
         hops = walked.where(F.col("kind") == _HOP)
