@@ -112,6 +112,23 @@ def test_tracking_in_portions(spark, built, monkeypatch):
     assert len(got) == len(steps)
 
 
+def test_walks_seldom_change_tiles(spark, monkeypatch):
+    """Nodes whose order, but not whose place, follows the edges."""
+    written, write = [], graph.write_through
+    monkeypatch.setattr(graph, "write_through", lambda frame, purpose: (written.append(purpose), write(frame, purpose))[1])
+    rng = random.Random(7)
+    nodes = [("s0", f"n{i:03d}", i, rng.uniform(0, 90), 0.0, rng.uniform(0, 90)) for i in range(64)]
+    edges = [("s0", f"n{i:03d}", f"n{i + by:03d}", 2 * i + by) for i in range(64) for by in (1, 3) if i + by < 64]
+    steps = [(e, "s0", t, rng.uniform(0, 90), rng.uniform(0, 90)) for e in range(6) for t in range(20)]
+    starts = [(e, f"n{10 * e:03d}") for e in range(6)]
+    got = graph.track_nearest_node(
+        spark.createDataFrame(steps, STEPS), spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES),
+        spark.createDataFrame(starts, "episode_id bigint, node_id string"), tile_nodes=8,
+    ).collect()
+    assert {(r["episode_id"], r["step"]): r["node_id"] for r in got} == tracked(nodes, edges, steps, starts)
+    assert written.count("walked") <= 2
+
+
 @pytest.mark.parametrize("tile_nodes, block_rows", [(5, 16_384), (1, 16_384), (20, 10)])
 def test_tracking_over_tiles(spark, built, tile_nodes, block_rows):
     """Scenes larger than a tile; one hub whose options no tile takes in as a neighbour's."""
