@@ -74,6 +74,15 @@ def test_batches(spark, by_length):
             assert r["attention_mask"] == [1] * n + [0] * (longest - n)
 
 
+def test_pad_in_portions(spark, monkeypatch):
+    """Batches are the same when a task pads few ids at a time."""
+    frame = spark.range(60).select("id", F.array_repeat(F.lit(5), (F.col("id") % 9).cast("int")).alias("input_ids"))
+    frame = frame.withColumn("labels", F.col("input_ids"))
+    whole = {r["id"]: r for r in batches.pad_batches(frame, "id", 8, 0, rows_per_shard=30).collect()}
+    monkeypatch.setattr(batches, "PAD_IDS", 10)
+    assert {r["id"]: r for r in batches.pad_batches(frame, "id", 8, 0, rows_per_shard=30).collect()} == whole
+
+
 def test_spread_index_equals_floor_of_even_spacing(spark):
     np = pytest.importorskip("numpy")
     for slots in (1, 2, 8, 15, 23):

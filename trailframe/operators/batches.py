@@ -18,6 +18,9 @@ from trailframe.functions.tokens import (
     truncate_ids,
 )
 
+#: Ids that a task pads at once, or one row's.
+PAD_IDS = 262_144
+
 
 def label_samples(
     samples: DataFrame, marker: Column, response: Column, eos_id: int | None, max_length: int | None = None
@@ -67,7 +70,7 @@ def pad_batches(
 
     Ids and labels are shuffled once, by shard, and sorted there.  The sorted rows
     then stream by, and a batch leaves when it is full, so its rows stay together in one
-    file and a task holds a few thousand rows.  The mask follows from the lengths.
+    file; a task pads rows of some ``PAD_IDS`` ids at a time.  The mask follows from the lengths.
     """
     if shards is None:
         shards = max(1, -(-samples.count() // rows_per_shard))
@@ -77,6 +80,7 @@ def pad_batches(
     placed = rows.withColumn("shard", F.pmod("_number", F.lit(shards)))
     sorted_rows = placed.repartition("shard").sortWithinPartitions("shard", *order).drop("_number", "_size")
     fields = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    most = PAD_IDS
 
     def pad(group: pa.Table, first: int) -> pa.RecordBatch:
         """The batches of consecutive rows of one shard, the first of which has the number ``first``."""
@@ -103,7 +107,8 @@ def pad_batches(
             if not len(part):
                 continue
             shards_here = part.column("shard").to_numpy()
-            edges = np.flatnonzero(np.diff(shards_here)) + 1
+            portion = np.cumsum(part.column("input_ids").value_lengths().to_numpy(), dtype=np.int64) // most
+            edges = np.flatnonzero((np.diff(shards_here) != 0) | (np.diff(portion) != 0)) + 1
             for a, b in zip([0, *edges], [*edges, len(part)]):
                 if shards_here[a] != shard:
                     if held is not None and len(held):
