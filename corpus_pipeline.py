@@ -42,7 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
     # A smaller word table than by default: executors still hold what the earlier stages left.
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), kept_words=300_000)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), kept_words=150_000)
 
 
 STAGES = [

@@ -34,6 +34,23 @@ def test_encoder_equals_the_library():
     assert list(Encoder(BPE).encode(odd_texts())) == wanted
 
 
+def test_the_library_gets_few_characters_at_once():
+    """It holds some hundred bytes per token, so a batch of new words must not go to it whole."""
+    encoder = Encoder(BPE)
+    library, given = encoder.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            given.append(sum(map(len, texts)))
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counting()
+    text = " ".join(f"w{k * 7919 % 1_000_003}x" for k in range(150_000))
+    wanted = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert list(encoder.encode([text])) == [wanted]
+    assert max(given) <= 1 << 16
+
+
 def test_counts_equal_the_library(spark, odd_documents, no_documents):
     counter = token_counts.MergeCounter.of(PIECES)
     assert counter.texts(odd_texts()) == [len(x) for x in counter.library.encode(odd_texts())]

@@ -25,7 +25,9 @@ import pyarrow.compute as pc
 KEPT_WORDS = 800_000
 _WORD_BYTES = 200
 _LINE_WORDS = 100
-_BATCH_CHARS = 1 << 21
+_BATCH_CHARS = 1 << 20
+#: Characters that the library gets at once, or one text: it holds some hundred bytes per token until they are read.
+_LIBRARY_CHARS = 1 << 16
 
 #: Blanks other than single spaces and line ends between visible characters, for Arrow's expressions.
 _ODD = (
@@ -68,8 +70,16 @@ class Encoder:
         return cls._made[key]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        out: list[bytes] = []
+        while len(out) < len(texts):
+            begin = end = len(out)
+            size = 0
+            while end < len(texts) and (end == begin or size + len(texts[end]) <= _LIBRARY_CHARS):
+                size += len(texts[end])
+                end += 1
+            found = self.tokenizer.encode_batch_fast(texts[begin:end], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        return out
 
     def _apart(self, words: list[str], spaced: bool) -> list[bytes]:
         """Ids of visible words, each after a space or after a line end."""

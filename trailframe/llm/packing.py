@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,18 +153,20 @@ def pack(
     short = pieces.where(F.col("length") < window)
     groups = max(1, -(-short.count() // group_pieces))
 
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "row"], kind="stable", ignore_index=True)
-        sequence, offset = place(frame["length"].to_numpy(), window)
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("length", "doc_id", "row")])
+        sequence, offset = place(table.column("length").to_numpy(), window)
         # Groups have far fewer than 2 ** 24 sequences; even ids, as whole pieces take odd ones.
-        frame["sequence_id"] = 2 * (frame["pack"] * (1 << 24) + sequence)
-        frame["offset"] = offset
-        return frame[[*_NAMES, "sequence_id", "offset"]]
+        named = {"sequence_id": 2 * (table.column("pack").to_numpy() * (1 << 24) + sequence), "offset": offset}
+        placed = table.select(_NAMES)
+        for name, values in named.items():
+            placed = placed.append_column(name, pa.array(values, pa.int64()))
+        return placed
 
     packed = (
         short.withColumn("pack", F.pmod(F.xxhash64("row"), F.lit(groups)))
         .groupBy("pack")
-        .applyInPandas(fill, f"{_PIECES}, sequence_id bigint, offset bigint")
+        .applyInArrow(fill, f"{_PIECES}, sequence_id bigint, offset bigint")
     )
     return whole.unionByName(packed)
 
