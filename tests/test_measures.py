@@ -4,11 +4,12 @@ import datetime
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from trailframe.operators import measures
-from trailframe.streaming.measures import finish_measures, stream_measures, stream_measures_over_gaps
+from trailframe.streaming.measures import BlockMeasures, finish_measures, stream_measures, stream_measures_over_gaps
 
 SCHEMA = (
     "episode_id bigint, step int, x double, y double, z double, distance_to_goal double, "
@@ -205,3 +206,36 @@ def test_gap_stream_equals_batch(spark, tmp_path, block_rows):
     key = lambda r: (r["episode_id"],)
     got = {key(r): [r[n] for n in NAMES] for r in finish_measures(out).collect()}
     same(got, {key(r): [r[n] for n in NAMES] for r in batch})
+
+
+def test_a_block_costs_one_read_and_one_write_of_its_state():
+    """Rows that wait are part of the one value, not an entry of the state each."""
+    calls = []
+
+    class Value:
+        stored = None
+
+        def get(self):
+            calls.append("get")
+            return self.stored
+
+        def update(self, value):
+            calls.append("update")
+            self.stored = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    def frame(steps):
+        rows = [(s, float(s), 0.0, 0.0, 9.0 - s, 0.5) for s in steps]
+        return pd.DataFrame(rows, columns=["step", "x", "y", "z", "distance_to_goal", "spl"])
+
+    processor = BlockMeasures(100)
+    processor.init(Handle())
+    assert list(processor.handleInputRows((7, 0), iter([frame(range(1, 90))]), None)) == []
+    assert calls == ["get", "update"]
+    (out,) = processor.handleInputRows((7, 0), iter([frame([0, 95])]), None)
+    assert calls == ["get", "update"] * 2
+    assert out["step"].tolist() == list(range(90)) and out["path_length"].tolist() == [float(k) for k in range(90)]
+    assert out["oracle_navigation_error"].iloc[-1] == -80.0

@@ -42,36 +42,59 @@ _STATE = (
     "next_step INT, path DOUBLE, error DOUBLE, near DOUBLE, spl DOUBLE, moves DOUBLE, start DOUBLE, "
     "first_x DOUBLE, first_y DOUBLE, first_z DOUBLE, last_x DOUBLE, last_y DOUBLE, last_z DOUBLE"
 )
+#: Fields of the totals, in front of any other.
+_TOTALS = len(_STATE.split(", "))
 
 
 class BlockMeasures(StatefulProcessor):
-    """Running measures of one block of one episode."""
+    """Running measures of one block of one episode.
+
+    The state of a block is one value, with its waiting rows in bytes: a block is read
+    and written once per batch, however many of its rows wait.
+    """
+
+    columns = _COLUMNS
+    fields = _STATE
 
     def __init__(self, block_rows: int):
         self.block_rows = block_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", _STATE)
-        self.waiting = handle.getListState("waiting", _STEP)
+        self.handle = handle
+        self.block = handle.getValueState("block", f"{self.fields}, waiting BINARY")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = np.concatenate([frame[list(_COLUMNS)].to_numpy(float) for frame in rows])
-        ready = self._in_order(self._next_step(key), arrived)
-        if len(ready):
-            yield self._advance(key, ready)
+    def _arrived(self, rows: Iterator[pd.DataFrame]) -> np.ndarray:
+        return np.concatenate([np.column_stack([frame[c].to_numpy(float) for c in self.columns]) for frame in rows])
+
+    def _load(self) -> tuple[list, np.ndarray]:
+        """The fields of the state, null at first, and the waiting rows."""
+        stored = self.block.get()
+        if stored is None:
+            return [None] * len(self.fields.split(", ")), np.empty((0, len(self.columns)))
+        return list(stored[:-1]), np.frombuffer(stored[-1], float).reshape(-1, len(self.columns))
+
+    def _store(self, state: list, waiting: np.ndarray) -> None:
+        self.block.update((*state, waiting.tobytes()))
 
-    def _next_step(self, key) -> int:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, held = self._load()
+        ready, early = self._in_order(self._next_step(key, state), np.concatenate([held, self._arrived(rows)]))
+        out = [self._advance(key, state, ready)] if len(ready) else []
+        if len(ready) or len(early) != len(held):
+            self._store(state, early)
+        yield from out
+
+    def _next_step(self, key, state: list) -> int:
         """The step that the block goes on with."""
-        return self.totals.get()[0] if self.totals.exists() else int(key[1]) * self.block_rows
+        return int(key[1]) * self.block_rows if state[0] is None else state[0]
 
-    def _advance(self, key, ready: np.ndarray) -> pd.DataFrame:
-        """Take rows in step order into the totals; their values so far."""
-        state = list(self.totals.get()) if self.totals.exists() else None
+    def _advance(self, key, state: list, ready: np.ndarray) -> pd.DataFrame:
+        """Take rows in step order into the totals of ``state``; their values so far."""
         step, at, distance, spl = ready[:, 0], ready[:, 1:4], ready[:, 4], ready[:, 5]
-        if state is None:
+        if state[0] is None:
             start = distance[0] if step[0] == 0 else np.nan
-            state = [0, 0.0, np.inf, 0.0, 0.0, 0.0, start, *at[0], *at[0]]
-        legs = np.sqrt((np.diff(np.vstack([state[10:13], at]), axis=0) ** 2).sum(axis=1))
+            state[:_TOTALS] = [0, 0.0, np.inf, 0.0, 0.0, 0.0, start, *at[0], *at[0]]
+        legs = np.sqrt((np.diff(np.vstack([np.array(state[10:13], float), at]), axis=0) ** 2).sum(axis=1))
         near = (distance < ORACLE_SUCCESS_DISTANCE).astype(float)
         moved = step > 0
         running = {
@@ -81,15 +104,13 @@ class BlockMeasures(StatefulProcessor):
             "oracle_spl": np.fmax.accumulate(np.r_[state[4], np.where(moved, spl, np.nan)])[1:],
             "steps_taken": state[5] + np.cumsum(moved),
         }
-        self.totals.update(
-            (
-                int(step[-1]) + 1,
-                *[float(values[-1]) for values in running.values()],
-                float(state[6]),
-                *[float(v) for v in state[7:10]],
-                *[float(v) for v in at[-1]],
-            )
-        )
+        state[:_TOTALS] = [
+            int(step[-1]) + 1,
+            *[float(values[-1]) for values in running.values()],
+            float(state[6]),
+            *[float(v) for v in state[7:10]],
+            *[float(v) for v in at[-1]],
+        ]
         return pd.DataFrame(
             {
                 "episode_id": key[0],
@@ -102,19 +123,12 @@ class BlockMeasures(StatefulProcessor):
             }
         )
 
-    def _in_order(self, next_step: int, arrived: np.ndarray) -> np.ndarray:
-        """Rows that continue the block; the others wait in the state."""
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        rows = np.concatenate([np.array(held, dtype=float), arrived]) if held else arrived
+    def _in_order(self, next_step: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that continue the block, and those that wait; the first row of a step counts."""
         rows = rows[rows[:, 0] >= next_step]
         rows = rows[np.unique(rows[:, 0], return_index=True)[1]]
         in_place = rows[:, 0] == next_step + np.arange(len(rows))
-        early = rows[~in_place]
-        if len(early):
-            self.waiting.put([(int(r[0]), *map(float, r[1:])) for r in early])
-        elif held:
-            self.waiting.clear()
-        return rows[in_place]
+        return rows[in_place], rows[~in_place]
 
     def close(self) -> None:
         pass
@@ -130,25 +144,21 @@ class GapBlockMeasures(BlockMeasures):
     a later step has left, again, or after their block was dropped, are reported as late.
     """
 
+    columns = (*_COLUMNS, "at_ms")
+    # Also the step at which the totals begin, the latest event time, and the one timer that is set.
+    fields = f"{_STATE}, first_step INT, latest_ms BIGINT, timer_ms BIGINT"
+
     def __init__(self, block_rows: int, idle_ms: int):
         super().__init__(block_rows)
         self.idle_ms = idle_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.totals = handle.getValueState("totals", _STATE)
-        self.waiting = handle.getListState("waiting", f"{_STEP}, at_ms BIGINT")
-        # Step at which the totals begin, latest event time, and the one timer that is set.
-        self.segment = handle.getValueState("segment", "first_step INT")
-        self.clock = handle.getValueState("clock", "latest_ms BIGINT, timer_ms BIGINT")
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = np.concatenate([frame[[*_COLUMNS, "at_ms"]].to_numpy(float) for frame in rows])
-        held = self._held()
-        if not self.totals.exists() and not len(held):
+        state, held = self._load()
+        arrived = self._arrived(rows)
+        if state[0] is None and not len(held):
             closed = arrived[:, -1] < timerValues.getCurrentWatermarkInMs()
         else:
-            closed = arrived[:, 0] < self._next_step(key)
+            closed = arrived[:, 0] < self._next_step(key, state)
         late, arrived = arrived[closed], arrived[~closed]
         rows_now = np.concatenate([held, arrived])
         # The first row of a step counts, a second one is reported.
@@ -156,65 +166,59 @@ class GapBlockMeasures(BlockMeasures):
         again = np.ones(len(rows_now), bool)
         again[first] = False
         late, rows_now = np.concatenate([late, rows_now[again]]), rows_now[first]
-        if len(late):
-            yield self._late(key, late)
+        out = [self._late(key, late)] if len(late) else []
         if len(rows_now):
-            here = rows_now[:, 0] == self._next_step(key) + np.arange(len(rows_now))
-            yield from self._leave(key, rows_now, int(here.sum()))
-            self._set_timer(float(arrived[:, -1].max()) if len(arrived) else None)
+            here = rows_now[:, 0] == self._next_step(key, state) + np.arange(len(rows_now))
+            count = int(here.sum())
+            out += self._leave(key, state, rows_now[:count])
+            self._set_timer(state, rows_now[count:], float(arrived[:, -1].max()) if len(arrived) else None)
+            self._store(state, rows_now[count:])
+        yield from out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        latest, _ = self.clock.get()
-        self.clock.update((latest, None))  # the timer that was set is this one
-        held = self._held()
+        state, held = self._load()
+        state[-1] = None  # the timer that was set is this one
         passed = np.flatnonzero(held[:, -1] < watermark)
+        out, count = [], 0
         if len(passed):
             # Everything up to the last passed row, and what follows it without a gap.
             upto = int(passed[-1]) + 1
             after = held[upto:, 0] == held[upto - 1, 0] + 1 + np.arange(len(held) - upto)
-            yield from self._leave(key, held, upto + int(after.sum()))
-        if not len(self._held()) and watermark > latest + self.idle_ms:
-            for state in (self.totals, self.waiting, self.segment, self.clock):
-                state.clear()
-        else:
-            self._set_timer(None)
-
-    def _held(self) -> np.ndarray:
-        """Waiting rows by step."""
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        return np.array(held, dtype=float).reshape(len(held), len(_COLUMNS) + 1)
-
-    def _leave(self, key, rows: np.ndarray, count: int) -> Iterator[pd.DataFrame]:
-        """The first ``count`` rows leave, the others wait."""
-        rest = rows[count:]
-        if len(rest):
-            self.waiting.put([(int(r[0]), *map(float, r[1:-1]), int(r[-1])) for r in rest])
+            count = upto + int(after.sum())
+            out = self._leave(key, state, held[:count])
+        if count == len(held) and watermark > state[-2] + self.idle_ms:
+            self.block.clear()
         else:
-            self.waiting.clear()
-        if count:
-            if not self.segment.exists():
-                self.segment.update((int(rows[0, 0]),))
-            out = self._advance(key, rows[:count, : len(_COLUMNS)])
-            yield out.assign(segment=self.segment.get()[0], late=False)
+            self._set_timer(state, held[count:], None)
+            self._store(state, held[count:])
+        yield from out
+
+    def _leave(self, key, state: list, rows: np.ndarray) -> list[pd.DataFrame]:
+        """Rows that go into the totals."""
+        if not len(rows):
+            return []
+        if state[_TOTALS] is None:
+            state[_TOTALS] = int(rows[0, 0])
+        out = self._advance(key, state, rows[:, : len(_COLUMNS)])
+        return [out.assign(segment=state[_TOTALS], late=False)]
 
     def _late(self, key, rows: np.ndarray) -> pd.DataFrame:
         out = pd.DataFrame({"episode_id": key[0], BLOCK: key[1], "step": rows[:, 0].astype(np.int32)})
         values = {c.split()[0]: np.nan for c in _OUTPUT.split(", ")[2:]}
         return out.assign(**values, segment=-1, late=True)
 
-    def _set_timer(self, newest: float | None) -> None:
+    def _set_timer(self, state: list, waiting: np.ndarray, newest: float | None) -> None:
         """One timer: at the first waiting row, or where the block has been idle for long."""
-        latest, old = self.clock.get() if self.clock.exists() else (0, None)
+        latest, old = state[-2] or 0, state[-1]
         latest = latest if newest is None else max(latest, int(newest))
-        held = self._held()
         # The watermark has passed a time when it is beyond it.
-        timer = (int(held[:, -1].min()) if len(held) else latest + self.idle_ms) + 1
+        timer = (int(waiting[:, -1].min()) if len(waiting) else latest + self.idle_ms) + 1
         if timer != old:
             if old is not None:
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(timer)
-        self.clock.update((latest, timer))
+        state[-2:] = [latest, timer]
 
 
 def stream_measures_over_gaps(
