@@ -214,3 +214,14 @@ def test_bitmap_marks_every_listed_key(spark):
     hits = {r["id"] for r in marked.where("hit").collect()}
     assert {i for i in range(5000) if i % 9 == 0 or i % 50 == 0} <= hits and len(hits) < 700
     assert marked_by_bitmap(rows, listed.limit(0), [F.col("k")], [F.col("l")], "hit").where("hit").isEmpty()
+
+
+def test_tasks_of_a_path_layer_grow_with_its_points(spark):
+    """A task's cells are bounded, on both sides of the shuffle, whatever the session's partitions."""
+    rows = [(k % 3, k // 3, (k * 7 % 80) / 4.0, (k * 11 % 80) / 4.0) for k in range(900)]
+    bounds = "0.0 as low_x, 0.0 as low_z, 20.0 as high_x, 20.0 as high_z, 64 as n_rows, 64 as n_cols, 0.125 as metres_per_cell"
+    path = spark.createDataFrame(rows, "map_id bigint, step int, x double, z double").selectExpr("*", *bounds.split(", "))
+    small, large = (raster.reference_path_layer(path, task_points=n) for n in (90, 10_000))
+    assert small.rdd.getNumPartitions() == 10 and large.rdd.getNumPartitions() == 1
+    wanted = sorted(map(tuple, large.collect()))
+    assert len(set(wanted)) == len(wanted) and sorted(map(tuple, small.collect())) == wanted

@@ -49,6 +49,8 @@ TRIANGLE_PADDING = 0.35
 ORACLE_PADDING = 0.2
 DOT_GAP = 15
 PATH_GAP = 10
+#: Points of paths that a task draws; each covers some dozen cells.
+TASK_POINTS = 65_536
 # ---------------------------------------------------------------------------
 
 
@@ -265,14 +267,29 @@ def _path_segments(path: DataFrame, keys: Sequence[str], order: str) -> DataFram
     )
 
 
-def reference_path_layer(path: DataFrame, keys: Sequence[str] = ("map_id",), order: str = "step") -> DataFrame:
-    """A path as dashed lines between its points and a square at each."""
+def _distinct_cells(cells: DataFrame, keys: Sequence[str], tasks: int) -> DataFrame:
+    """The cells, once each, by so many tasks."""
+    return cells.select(*keys, "row", "col").repartition(tasks, *keys, "row").distinct()
+
+
+def reference_path_layer(
+    path: DataFrame, keys: Sequence[str] = ("map_id",), order: str = "step", task_points: int = TASK_POINTS
+) -> DataFrame:
+    """A path as dashed lines between its points and a square at each.
+
+    Points are dealt by path and block, so that a task draws some ``task_points`` of them,
+    and drops repeated cells before these are shuffled; the number of tasks grows with the points.
+    """
     keys = list(keys)
+    tasks = max(1, -(-path.count() // task_points))
     points = to_grid(path).select(*keys, order, "row", "col", "n_rows", "n_cols", "metres_per_cell")
-    lines = densify_segment(_path_segments(points, keys, order), "dashed", PATH_GAP).where(_inside())
-    squares = stamp_square(points)
-    cells = lines.select(*keys, "row", "col").unionByName(squares.select(*keys, "row", "col"))
-    return cells.distinct().withColumn("code", F.lit(SHORTEST_PATH_WAYPOINT))
+    by_block = [*keys, BLOCK]
+    dealt = with_block(points, order, task_points).repartition(tasks, *by_block)
+    segments = with_block(_path_segments(points, keys, order), order, task_points).repartition(tasks, *by_block)
+    lines = densify_segment(segments, "dashed", PATH_GAP).where(_inside())
+    drawn = [cells.select(*by_block, "row", "col").distinct() for cells in (lines, stamp_square(dealt))]
+    cells = _distinct_cells(drawn[0].unionByName(drawn[1]), keys, tasks)
+    return cells.withColumn("code", F.lit(SHORTEST_PATH_WAYPOINT))
 
 
 def straight_path_layer(path: DataFrame, keys: Sequence[str] = ("map_id",), order: str = "step") -> DataFrame:
