@@ -274,3 +274,39 @@ def test_salted_join_splits_hot_keys(spark):
         got = salted_join(left, right, ["k"], ["id"], 1000, how, min_hot_rows=50).select("id", "k", "v")
         plain = left.join(right, "k", how).select("id", "k", "v")
         assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+
+
+def test_short_episodes_walk_each_row_once(spark, built, monkeypatch):
+    """Four blocks: no start of a block is sought, and each round walks one block of an episode."""
+    written, write = [], graph.write_through
+
+    def noted(frame, purpose):
+        written.append((purpose, write(frame, purpose)))
+        return written[-1][1]
+
+    monkeypatch.setattr(graph, "write_through", noted)
+    nodes, edges, node_frame, edge_frame = built
+    steps = [s for s in walks() if s[0] or s[2] < 3]
+    starts = [(e, f"n{e % 3}-{e:03d}") for e in range(7)]
+    got = graph.track_nearest_node(
+        spark.createDataFrame(steps, STEPS), node_frame, edge_frame,
+        spark.createDataFrame(starts, "episode_id bigint, node_id string"), 8,
+    ).collect()
+    assert len(got) == len(steps)
+    assert {(r["episode_id"], r["step"]): r["node_id"] for r in got} == tracked_or_none(nodes, edges, steps, starts)
+    assert "guesses" not in [purpose for purpose, _ in written]
+    walked = [frame.where("kind = 0").count() for purpose, frame in written if purpose == "walked"]
+    assert walked == [3 + 6 * 8, 6 * 8, 6 * 8, 6 * 6]
+
+
+def test_chained_and_long_episodes(spark, built):
+    """Episodes of 1 to 5 blocks: those of up to 3 are chained, the others' starts are sought."""
+    nodes, edges, node_frame, edge_frame = built
+    steps = [s for s in walks() if s[2] < 4 * (s[0] + 1)]
+    starts = [(e, "n0-0005" if e == 3 else f"n{e % 3}-{e:03d}") for e in range(8) if e != 6]
+    got = graph.track_nearest_node(
+        spark.createDataFrame(steps, STEPS), node_frame, edge_frame,
+        spark.createDataFrame(starts, "episode_id bigint, node_id string"), 7, 20, 3,
+    ).collect()
+    assert len(got) == len(steps)
+    assert {(r["episode_id"], r["step"]): r["node_id"] for r in got} == tracked_or_none(nodes, edges, steps, starts)

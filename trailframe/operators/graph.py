@@ -27,7 +27,7 @@ from trailframe.operators.raster import (
     stamp_square,
     to_grid,
 )
-from trailframe.operators.skew import salted_join
+from trailframe.operators.skew import marked_by_bitmap, salted_join
 from trailframe.session import remove_at_exit, shared_folder, write_through
 
 LEAF_NODES = 256
@@ -306,6 +306,8 @@ class _Tile:
 
 
 TRACK_BLOCK_ROWS = 16_384
+#: An episode of up to so many blocks is walked block after block; the starts of a longer one's blocks are sought first.
+CHAINED_BLOCKS = 16
 #: Nodes per tile; a tile travels as one row with the options of its nodes.
 TILE_NODES = 16_384
 #: Neighbours with up to so many options are part of a tile too, so that walks along an edge seldom change tiles.
@@ -393,6 +395,7 @@ def track_nearest_node(
     starts: DataFrame,
     block_rows: int = TRACK_BLOCK_ROWS,
     tile_nodes: int = TILE_NODES,
+    chained_blocks: int = CHAINED_BLOCKS,
 ) -> DataFrame:
     """``(episode_id, step, node_id)``: the node carried from step to step.
 
@@ -404,7 +407,8 @@ def track_nearest_node(
 
     The recurrence is run per block of an episode and tile of a graph: a walk
     goes on until the block ends or the tile is left, and is then handed to
-    the tile that owns its node.  For an episode of several blocks, every block but the
+    the tile that owns its node.  In an episode of up to ``chained_blocks`` blocks a walk that
+    has ended a block goes on in the next one, so that each row is walked once.  In a longer episode, every block but the
     last is first run from the nodes where it may start: the node nearest to
     where the block before it ends, the episode's first node, and wherever a run
     of the block before it has led.  Such sets close after as many rounds as walks
@@ -426,24 +430,32 @@ def track_nearest_node(
             {
                 _PLACE: F.row_number().over(order) - 1,
                 "_last": F.count(F.lit(1)).over(Window.partitionBy("episode_id")) - 1,
+                "_next": F.lead(BLOCK).over(order),
             }
         ),
         "blocks",
     )
     longest = blocks.agg(F.max("_last")).first()[0] or 0
     begin = blocks.where(F.col(_PLACE) == 0).join(starts, "episode_id").select("episode_id", _PLACE, "node_id")
+    chained = F.col("_last") < chained_blocks
     if longest > 0:
         begin = write_through(begin, "begin")
-        leads = _leads(rows, blocks, nodes, begin, owners, tiles)
-        begin = _block_starts(leads, begin, longest)
+    if longest > 0 and longest >= chained_blocks:
+        long = blocks.where(~chained)
+        first = begin.join(long.select("episode_id", _PLACE), ["episode_id", _PLACE], "left_semi")
+        leads = _leads(rows, long, nodes, first, owners, tiles)
+        later = _block_starts(leads, first, longest).where(F.col(_PLACE) > 0)
+        begin = begin.unionByName(later)
     tokens = begin.join(blocks, ["episode_id", _PLACE]).select(
         "episode_id", _PLACE, BLOCK, "scene_id", F.col("node_id").alias("from_id"), "node_id", F.lit(None).cast("bigint").alias("after")
     )
-    walked = _walk(rows, blocks, tokens, owners, tiles, keep_steps=True)
+    following = blocks.where(chained & F.col("_next").isNotNull()).select("episode_id", BLOCK, "_next")
+    walked = _walk(rows, blocks, tokens, owners, tiles, keep_steps=True, following=following)
     path = walked.where(F.col("kind") == _STEP).select("episode_id", BLOCK, F.col("after").alias("step"), "node_id")
-    # Blocks that no walk has entered have no node; a block's rows are few.
-    entered = walked.select("episode_id", BLOCK).distinct()
-    lost = rows.join(entered, ["episode_id", BLOCK], "left_anti").select(
+    # Blocks that no walk has entered have no node; only their rows are shuffled.
+    entered = walked.where(F.col("kind") != _STEP).select("episode_id", BLOCK).distinct()
+    never = write_through(blocks.select("episode_id", BLOCK).join(entered, ["episode_id", BLOCK], "left_anti"), "never")
+    lost = _rows_of(rows, never).join(never, ["episode_id", BLOCK], "left_semi").select(
         "episode_id", "step", F.lit(None).cast(nodes.schema["node_id"].dataType).alias("node_id")
     )
     return path.select("episode_id", F.col("step").cast(steps.schema["step"].dataType), "node_id").unionByName(lost)
@@ -480,8 +492,17 @@ def _leads(rows: DataFrame, blocks: DataFrame, nodes: DataFrame, begin: DataFram
     return write_through(leads, "leads")
 
 
-def _walk(rows: DataFrame, blocks: DataFrame, tokens: DataFrame, owners: DataFrame, tiles: DataFrame, keep_steps: bool) -> DataFrame:
-    """Run walks to the ends of their blocks, from tile to tile.
+def _rows_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the blocks ``wanted(episode_id, block)``, and some others where these are very many; no row moves."""
+    key = [F.col("episode_id"), F.col(BLOCK)]
+    return marked_by_bitmap(rows, wanted, key, key, "_wanted").where("_wanted").drop("_wanted")
+
+
+def _walk(
+    rows: DataFrame, blocks: DataFrame, tokens: DataFrame, owners: DataFrame, tiles: DataFrame, keep_steps: bool,
+    following: DataFrame | None = None,
+) -> DataFrame:
+    """Run walks to the ends of their blocks, from tile to tile; on to the block ``_next`` of ``following(episode_id, block, _next)``.
 
     ``tokens`` has ``episode_id, _place, block, scene_id, from_id, node_id, after``:
     the walk that entered the block at ``from_id`` is at ``node_id`` after that
@@ -529,9 +550,12 @@ def _walk(rows: DataFrame, blocks: DataFrame, tokens: DataFrame, owners: DataFra
     result = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(schema))}
     tokens = write_through(tokens, "walks")
     sizes = blocks.select("episode_id", BLOCK, "_rows")
+    n_blocks = blocks.count()
     out = None
     while True:
         n_tokens = tokens.count()
+        if out is not None and not n_tokens:
+            return out
         placed = salted_join(tokens, owners, ["scene_id", "node_id"], ["episode_id", _PLACE], n_tokens)
         placed = write_through(placed.join(sizes, ["episode_id", BLOCK]), "placed")
         portions = placed.groupBy("scene_id", "tile").agg(F.ceil(F.sum("_rows") / WALK_ROWS).cast("int").alias("_portions"))
@@ -547,7 +571,9 @@ def _walk(rows: DataFrame, blocks: DataFrame, tokens: DataFrame, owners: DataFra
             F.coalesce("after", F.lit(-(2**62))).alias("step"), none.cast("double").alias("x"), none.cast("double").alias("z"),
         )
         there = dealt.select(*whole, "scene_id", "tile", "portion").distinct()
-        steps = rows.drop("scene_id").join(there, ["episode_id", BLOCK]).select(
+        # A round of few walks shuffles the rows of their blocks only.
+        near = _rows_of(rows, there) if 2 * n_tokens < n_blocks else rows
+        steps = near.drop("scene_id").join(there, ["episode_id", BLOCK]).select(
             *whole, "scene_id", "tile", "portion", F.lit(False).alias("is_walk"),
             none.cast(types["from_id"]).alias("from_id"), none.cast(types["node_id"]).alias("node_id"),
             F.col("step").cast("bigint").alias("step"), F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"),
@@ -560,10 +586,16 @@ def _walk(rows: DataFrame, blocks: DataFrame, tokens: DataFrame, owners: DataFra
         walked = moves.cogroup(copies.groupBy("of_scene", "of_tile", "of_portion")).applyInArrow(walk, schema)
         walked = write_through(walked, "walked")
         out = walked if out is None else out.unionByName(walked)
-        hops = walked.where(F.col("kind") == _HOP)
-        if hops.isEmpty():
-            return out
-        tokens = write_through(hops.drop("kind"), "walks")
+        tokens = walked.where(F.col("kind") == _HOP).drop("kind")
+        if following is not None:
+            ended = walked.where(F.col("kind") == _END).join(following, ["episode_id", BLOCK])
+            tokens = tokens.unionByName(
+                ended.select(
+                    "episode_id", (F.col(_PLACE) + 1).cast("int").alias(_PLACE), F.col("_next").alias(BLOCK), "scene_id",
+                    F.col("node_id").alias("from_id"), "node_id", F.lit(None).cast("bigint").alias("after"),
+                )
+            )
+        tokens = write_through(tokens, "walks")
 
 
 def _block_starts(leads: DataFrame, begin: DataFrame, longest: int) -> DataFrame:
