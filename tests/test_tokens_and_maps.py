@@ -9,6 +9,7 @@ from trailframe.functions import tokens
 from trailframe.functions.geometry import spread_index
 from trailframe.operators import batches, raster
 from trailframe.operators.skew import marked_by_bitmap
+from trailframe.plans.queries import QUERIES
 
 
 def last_place(ids, pattern):
@@ -225,3 +226,18 @@ def test_tasks_of_a_path_layer_grow_with_its_points(spark):
     assert small.rdd.getNumPartitions() == 10 and large.rdd.getNumPartitions() == 1
     wanted = sorted(map(tuple, large.collect()))
     assert len(set(wanted)) == len(wanted) and sorted(map(tuple, small.collect())) == wanted
+
+
+def test_loss_start_searches_each_pattern_once(spark):
+    rows = [(1, [5, 2, 3, 9, 9], [2, 3], [9]), (2, [5, 9, 4, 9], [2, 3], [9, 4]), (3, [5, 6, 7, 8], [2, 3], [1]),
+            (4, [5, 6, 7], [2, 3], None), (5, [], [2, 3], [4]), (6, [1, 2], [], [1])]
+    frame = spark.createDataFrame(rows, "id int, ids array<int>, mark array<int>, response array<int>")
+    found = frame.select("id", tokens.loss_start(F.col("ids"), F.col("mark"), F.col("response")).alias("start"))
+    assert {r["id"]: r["start"] for r in found.collect()} == {1: 3, 2: 1, 3: 2, 4: 1, 5: 0, 6: 2}
+    # Two searches, each of which writes ids and pattern as text.
+    assert found._jdf.queryExecution().analyzed().toString().count("array_join(") == 4
+
+
+def test_collate_derives_its_samples_once(spark):
+    plan = QUERIES["A4_collate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan and "loss_start" not in plan

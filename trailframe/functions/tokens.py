@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trailframe.config import IGNORE_LABEL
-from trailframe.functions.let import bind_all
+from trailframe.functions.let import bind, bind_all
 
 
 def last_subsequence(ids: Column, pattern: Column) -> Column:
@@ -43,14 +43,19 @@ def loss_start(ids: Column, marker: Column, response: Column) -> Column:
     Behind the last role marker; else at the last occurrence of the response;
     else at the middle.
     """
-    after_marker = last_subsequence(ids, marker)
-    at_response = last_subsequence(ids, response)
-    return (
-        F.when(after_marker >= 0, after_marker + F.size(marker))
-        .when(at_response >= 0, at_response)
-        .otherwise(F.floor(F.size(ids) / F.lit(2)))
-        .cast("int")
-    )
+
+    def behind(after_marker: Column) -> Column:
+        return F.when(after_marker >= 0, after_marker + F.size(marker))
+
+    def found(at_response: Column) -> Column:
+        return F.when(at_response >= 0, at_response)
+
+    # Each search runs once, and the second only where the first finds nothing.
+    return F.coalesce(
+        bind(last_subsequence(ids, marker), behind),
+        bind(last_subsequence(ids, response), found),
+        F.floor(F.size(ids) / F.lit(2)),
+    ).cast("int")
 
 
 def mask_labels(ids: Column, start: Column, eos_id: int | None) -> Column:

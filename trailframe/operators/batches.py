@@ -68,6 +68,7 @@ def pad_batches(
     shards grows with the table.  ``by_length`` orders a shard by length, which
     cuts padding; otherwise the order is pseudo-random.
 
+    ``samples`` are read twice without ``shards``, first to count them: write them before if they are costly.
     Ids and labels are shuffled once, by shard, and sorted there.  The sorted rows
     then stream by, and a batch leaves when it is full, so its rows stay together in one
     file; a task pads rows of some ``PAD_IDS`` ids at a time.  The mask follows from the lengths.

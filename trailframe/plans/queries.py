@@ -266,6 +266,8 @@ def collate(spark, sf_dir):
     marked = batches.label_samples(
         rows, F.array(F.lit(2), F.lit(3)), F.col("response"), EOS, max_length=CONFIG.max_seq_length
     )
+    # Padding reads its rows twice; these are costly to derive.
+    marked = write_through(marked.select("key", "input_ids", "labels"), "marked")
     padded = batches.pad_batches(marked, "key", 8, PAD)
     return padded.select(
         "key", whole("shard"), whole("batch_id"),
