@@ -10,6 +10,7 @@ from trailframe.operators import conversations, images, steps, validate
 from trailframe.sources import conversations as conversation_source
 from trailframe.session import write_through
 from trailframe.sources import exploration, json_elements
+from trailframe.plans.queries import QUERIES
 from trailframe.sources.images import load_image_files
 
 SETTINGS = {name: 1.0 for name in validate.REQUIRED_SETTINGS} | {"endpoint_target_radius_m": 3.0}
@@ -339,3 +340,16 @@ def test_large_conversation_lists_equal_whole_ones(spark, tmp_path, small_splits
     large = conversation_source.load_large_conversations(spark, f"{tmp_path}/*.json")
     assert large.columns == whole.columns
     assert sorted(map(str, large.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_violations_name_the_task_without_a_join(spark, tmp_path):
+    write(tmp_path / "r0" / "exploration_data.json", document(task(), task(actions=["x", 1, 1], task_id="odd")))
+    tasks = exploration.load_tasks(spark, f"{tmp_path}/r0/exploration_data.json")
+    found = validate.violations(tasks, [23], ["task_id"])
+    assert [(r["task_idx"], r["task_id"], r["rule"], r["detail"]) for r in found.collect()] == [(1, "odd", "unreadable_field", "actions")]
+
+
+def test_corrupt_documents_are_parsed_once(spark):
+    """One scan lists the unreadable documents, one the unreadable fields; nothing is joined."""
+    plan = QUERIES["S1_corrupt_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 2

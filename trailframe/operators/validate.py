@@ -227,9 +227,12 @@ def _entries(rules: Collection[int] | None) -> Column:
     return F.flatten(F.filter(F.array(*entries), lambda e: e.isNotNull()))
 
 
-def violations(tasks: DataFrame, rules: Collection[int] | None = None) -> DataFrame:
-    """All broken rules, or those of ``rules``; rules 10, 11 and 22 give one row per step."""
-    return tasks.select(*task_keys(tasks), F.inline(_entries(rules)))
+def violations(tasks: DataFrame, rules: Collection[int] | None = None, keep: Collection[str] = ()) -> DataFrame:
+    """All broken rules, or those of ``rules``; rules 10, 11 and 22 give one row per step.
+
+    The columns ``keep`` of the task follow its keys.
+    """
+    return tasks.select(*task_keys(tasks), *keep, F.inline(_entries(rules)))
 
 
 def document_violations(documents: DataFrame, rules: Collection[int] | None = None) -> DataFrame:

@@ -151,7 +151,8 @@ def exploration_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             "is_endpoint", "floor_transition", "expert_idx", "floor_id", "floor_height",
         ),
     )
-    grouped = rows.groupBy("task_idx", "scene_id", "task_id", "instruction").agg(
+    # Lists do not get shorter before the shuffle, so rows are dealt first and listed once.
+    grouped = rows.repartition("task_idx").groupBy("task_idx", "scene_id", "task_id", "instruction").agg(
         F.array_sort(F.collect_list("_r")).alias("all_rows")
     )
     grouped = grouped.withColumn(
@@ -216,6 +217,7 @@ def exploration_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             head.alias("head"),
             F.struct(user.alias("n"), text.alias("text")).alias("task"),
         )
+        .repartition("root")
         .groupBy("root", "head")
         .agg(F.array_sort(F.collect_list("task")).alias("tasks"))
         .select(
